@@ -1,7 +1,7 @@
 """Toxicity scores by a counterfactual-regularised classifier.
 
 A text's features are its distinct words and the distinct byte strings of ``GRAM`` bytes in them (a word begins with its
-boundary), hashed. Features that go with either label are selected, and a logistic model is fitted in numpy. For every
+boundary), hashed. Features that go with label 1 are selected, and a logistic model is fitted in numpy. For every
 labelled text that mentions an identity term, copies are made in which the term is swapped for the other terms of its
 group; the fit is penalised by the squared change of the score's logit, and likewise for bare mentions, so that naming a
 group, in whatever way, does not move a score.
@@ -30,6 +30,7 @@ GRAM = 5
 SAMPLE_ROWS = 4000
 BUCKET_BITS = 22
 PENALTY = 1.0
+RIDGE, EVIDENCE, STEPS = 2e-6, 3.0, 1500
 SWAPS = 3
 #: Terms that name groups of people; those of a group are swapped for each other.
 IDENTITY_GROUPS = (
@@ -129,17 +130,18 @@ def _csr(rows: list[np.ndarray], slot: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([*kept, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(k) for k in kept])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, row_weight: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY, steps: int = 400) -> Linear:
+def fit(rows: list[np.ndarray], y: np.ndarray, row_weight: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], penalty: float = PENALTY) -> Linear:
     """A logistic model; pairs: features of two texts whose logits should be equal."""
     share = float((row_weight @ y + 1) / (row_weight.sum() + 2))
     bias = float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return Linear(bias, np.zeros(0, np.int64), np.zeros(0))
     size, ones = 1 << BUCKET_BITS, y > 0
-    a, b = (sum((np.bincount(rows[i], minlength=size) for i in np.flatnonzero(k)), np.zeros(size, np.int64)) for k in (ones, ~ones))
+    a, b = (np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(k)]), minlength=size) for k in (ones, ~ones))
     n_a, n_b = int(ones.sum()), int((~ones).sum())
     odds = np.log((a + 0.5) / (n_a - a + 0.5)) - np.log((b + 0.5) / (n_b - b + 0.5))
-    strong = np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= 2.5
+    # neutral words are no evidence against what the others say, however many a text has
+    strong = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= EVIDENCE
     chosen = np.flatnonzero(strong & (a + b >= 3))
     slot = np.full(size, -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
@@ -148,6 +150,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, row_weight: np.ndarray, pairs: li
     scale = row_weight / row_weight.sum()
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     w[-1] = bias
+    steps = STEPS
     for step in range(1, steps + 1):
         z = np.bincount(row, w[col], minlength=len(rows)) + w[-1]
         r = scale * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
@@ -156,7 +159,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, row_weight: np.ndarray, pairs: li
             change = np.bincount(left[1], w[left[0]], minlength=len(pairs)) - np.bincount(right[1], w[right[0]], minlength=len(pairs))
             d = 2 * penalty * change / len(pairs)
             g[:-1] += np.bincount(left[0], d[left[1]], minlength=len(chosen)) - np.bincount(right[0], d[right[1]], minlength=len(chosen))
-        g[:-1] += 2e-4 * w[:-1]
+        g[:-1] += RIDGE * w[:-1]
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= 0.05 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
