@@ -31,6 +31,7 @@ MARK = "▁"
 NORMAL, BYTE = 1, 6
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 2_000_000
+_LAST = float("inf")
 _NONE = -1  # before the first piece, and for a character without a piece
 
 
@@ -78,10 +79,14 @@ class Codec:
     def __init__(self, path: str):
         pieces = read_pieces(path)
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
-        self.score = [s for _, s, _ in pieces]
+        self.rank = {p: -s for p, s, t in pieces if t == NORMAL}  # the best score is the first
         self.text = [p for p, _, _ in pieces]
         self.size = len(pieces)
-        self.longest = max(map(len, self.ids))
+        # of the pieces that end with these two characters, or are one: lengths, longest first
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            lengths.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.pairs: dict[int, bool] = {}
         self.known: dict[int, tuple[int, ...]] = {}
@@ -92,16 +97,16 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by rank leaves of text."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if best is None:
-                break
+        parts, rank = list(text), self.rank.get
+        joined = [rank(a + b, _LAST) for a, b in zip(parts, parts[1:], strict=False)]
+        while joined and (best := min(joined)) != _LAST:
+            at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at:
+                joined[at - 1] = rank(parts[at - 1] + parts[at], _LAST)
+            if at < len(joined):
+                joined[at] = rank(parts[at] + parts[at + 1], _LAST)
         return parts
 
     def follows(self, a: int, b: int) -> bool:
@@ -118,7 +123,7 @@ class Codec:
     def walk(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of sorted marked words."""
         out, last, start, before = [], [_NONE], [0], ""
-        ids, longest, follows = self.ids, self.longest, self.follows
+        ids, lengths, follows, transition, size = self.ids, self.lengths.get, self.follows, self.pairs.get, self.size
         for word in words:
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
@@ -126,11 +131,16 @@ class Codec:
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 state, origin = _NONE, end - 1
-                for begin in range(max(0, end - longest), end):
+                for n in lengths(word[end - 2 : end] if end > 1 else word[:1], ()) + (1,):
+                    if n > end:
+                        continue
+                    begin = end - n
                     k = ids.get(word[begin:end])
-                    if k is not None and follows(last[begin], k):
-                        state, origin = k, begin
-                        break
+                    if k is not None:
+                        ok = transition((last[begin] + 1) * size + k)
+                        if follows(last[begin], k) if ok is None else ok:
+                            state, origin = k, begin
+                            break
                 last.append(state)
                 start.append(origin)
             found, end = [], len(word)
