@@ -1,0 +1,4 @@
+"""Registered queries of the record engine, each with the SQL that it is held against."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
