@@ -15,7 +15,7 @@ from terrier.llm import exact_dedup, language_id, near_dedup, packing, suffix_de
 from terrier.llm import spark_io as io
 
 #: A text is rejected if it has no letter, or no learned language gets so large a share.
-LEAST_SHARE = 0.35
+LEAST_SHARE = 0.3
 
 #: SQL cannot express the first, third and fourth stage.
 ORACLE_SQL = None
