@@ -35,7 +35,7 @@ from . import spark_io as io
 from .exact_dedup import build_index
 
 LENGTH = 50
-SEED = 16
+SEED = 24
 #: Bytes of text behind one partition of minimisers, and bytes of segments behind one bucket of the suffix stage.
 PARTITION_BYTES = 32_000_000
 BUCKET_BYTES = 1_500_000
@@ -332,22 +332,32 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = posted.filter("part < 0").select("key", F.col("blob").alias("full"), F.lit(None).cast("binary").alias("looked"))
     marks = full.unionByName(looked.select("key", F.lit(None).cast("binary").alias("full"), F.col("blob").alias("looked")))
     marks = io.stored(marks.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("full").alias("full"), F.collect_list("looked").alias("looked")), "marks")
+    io.discard(posted)
     marked = io.restrict(first, marks.select("doc_id"), "doc_id").join(marks, "doc_id")
     segments = io.stored(marked.select("doc_id", "text", "full", "looked").mapInArrow(_segments(length, seed, parts), "k1 long, k2 long, doc_id long, start long, anchor long, segment binary"), "segments")
 
+    io.discard(marks)
     distinct = segments.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"), F.first("segment").alias("segment"))
     distinct = io.stored(distinct, "distinct")
-    segment_bytes = distinct.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    # a collection of one string needs no order: all its windows belong to the smallest id that holds it
+    meeting = io.stored(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.max("last").alias("latest"), F.min("doc_id").alias("earliest")).filter("n > 1 and latest > earliest").select("anchor"), "meeting")
+    single = distinct.join(meeting, "anchor", "left_anti").filter("last > doc_id").select("k1", "k2", F.lit(0).alias("low"), F.octet_length("segment").alias("high"), F.col("doc_id").alias("owner"))
+    together = distinct.join(meeting, "anchor", "left_semi")
+    segment_bytes = together.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
     buckets = max(1, -(-segment_bytes // BUCKET_BYTES))
-    dealt = distinct.select(F.pmod("anchor", F.lit(buckets)).alias("bucket"), "k1", "k2", "doc_id", "segment")
+    dealt = together.select(F.pmod("anchor", F.lit(buckets)).alias("bucket"), "k1", "k2", "doc_id", "segment")
     dealt = dealt.repartition(int(min(buckets, 20_000)), "bucket").sortWithinPartitions("bucket", "k1", "k2")
     owners = dealt.mapInArrow(_judge(length), "k1 long, k2 long, low int, high int, owner long")
     # only segments that some later document could lose
-    owners = io.stored(owners.join(distinct.select("k1", "k2", "last"), ["k1", "k2"]).filter("last > owner").drop("last"), "owners")
+    owners = owners.join(distinct.select("k1", "k2", "last"), ["k1", "k2"]).filter("last > owner").drop("last")
+    owners = io.stored(owners.unionByName(single), "owners")
+    io.discard(distinct, meeting)
     hits = segments.select("k1", "k2", "doc_id", "start").join(owners, ["k1", "k2"]).filter("doc_id > owner")
     ranges = hits.select("doc_id", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span"))
     gathered = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    return io.stored(gathered, "spans"), copies
+    spans = io.stored(gathered, "spans")
+    io.discard(segments, owners)
+    return spans, copies
 
 
 def _cut(characters: bool):
