@@ -60,7 +60,7 @@ def token_set(a: str, b: str, score: Callable[[str, str], float] = ratio) -> flo
     left, right = (" ".join([both, *sorted(s)]).strip() for s in (x - y, y - x))
     if both and (not x - y or not y - x):
         return 100.0
-    return max(score(left, right), *((score(both, left), score(both, right)) if both else ()))
+    return max([score(left, right), *((score(both, left), score(both, right)) if both else ())])
 
 
 def weighted(a: str, b: str) -> float:

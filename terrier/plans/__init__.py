@@ -119,15 +119,15 @@ def lookup_range_year(spark, d):
     return R.cascade(j, ["c_custkey"], [F.col("gap") <= 2, F.col("gap") == 0]).select("c_custkey", "o_orderkey")
 
 
-@query("""SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber) AS line, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) AS x1, max(l_suppkey) AS y1, CAST(floor(avg(l_quantity)) AS BIGINT) AS conf FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS line, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) AS x1, max(l_suppkey) AS y1, CAST(floor(avg(l_quantity)) AS BIGINT) AS conf FROM lineitem GROUP BY l_orderkey""")
 def lines_from_words(spark, d):
     li = table(spark, d, "lineitem").withColumn("t", F.concat("l_returnflag", "l_linestatus"))
     return R.lines_from_words(li, ["l_orderkey"], "l_linenumber", "t", ("l_partkey", "l_suppkey", "l_partkey", "l_suppkey"), "l_quantity")
 
 
-@query("""SELECT split_part(p_name, ' ', 1) AS form, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
+@query("""SELECT p_name || ' ' || p_size AS form, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
 def ambiguous_forms(spark, d):
-    return R.sole_owners(table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("form"), "p_brand"), "form", "p_brand")
+    return R.sole_owners(table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("form"), "p_brand"), "form", "p_brand")
 
 
 @query("""WITH b AS (SELECT s_suppkey // 20 AS page, s_suppkey AS block_id, CAST(s_suppkey * 37 % 800 AS DOUBLE) AS x0, CAST(s_suppkey * 53 % 900 AS DOUBLE) AS y0 FROM supplier),
