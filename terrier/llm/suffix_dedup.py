@@ -90,7 +90,7 @@ def _postings(length: int, seed: int, parts: int):
             order = np.argsort(known_d, kind="stable")
             known_h, known_d = known_h[order], known_d[order]
             edges = np.flatnonzero(np.r_[True, known_d[1:] != known_d[:-1]][: len(known_d)]).tolist()
-            for low, high in zip(edges, [*edges[1:], len(known_d)], strict=True):
+            for low, high in zip(edges, [*edges[1:], len(known_d)], strict=False):
                 out.append((-1, int(known_d[low]), known_h[low:high].tobytes()))
             send = ~many
             send[first] = True
@@ -195,6 +195,8 @@ def suffix_order(text: np.ndarray, at: np.ndarray, cap: int, folder: str) -> tup
     Suffixes end with their string; an end is smaller than any byte, and two ends share nothing. Symbols must be below 255.
     """
     n = len(at) - 1
+    if not len(text):
+        return at[1:].astype(np.int32), np.zeros(n, np.uint8)
     transform, common, places = ExternalColumn(folder, "bwt", np.uint8), ExternalColumn(folder, "lcp", np.uint8), ExternalColumn(folder, "place", np.int32)
     lengths = np.diff(at)
     # round 0: the ends, in order of the strings
