@@ -2,11 +2,12 @@
 
 Each text gives a set of word shingles. Of ``HASHES`` minima per set, bands of rows become bucket keys and the low
 ``BITS`` bits of every minimum are packed into bit planes. Texts with equal sets are one class; its smallest id stands
-for it. Within a bucket every class is paired with the smallest class only; pairs whose similarity, estimated from the
-counts of differing bits and corrected for chance agreement, may reach the threshold are confirmed on the full sets.
-Components of the confirmed links are found, and then, in buckets that still span several components, the classes
-outside the first one's component meet those of other components. So a group of n copies costs about n pairs, and yet
-no link between two components is lost that a bucket shows.
+for it. Within a bucket every class is paired with its centre only, the class whose buckets are largest together and so
+nearest to the middle of its group; pairs whose similarity, estimated from the counts of differing bits and corrected
+for chance agreement, may reach the threshold are confirmed on the full sets. Components of the confirmed links are
+found, and then, in buckets that still span several components, the classes outside the centre's component meet those
+of other components, each two in the first bucket they share. So a group of n copies costs about n pairs, and yet no
+link between two components is lost that a bucket shows.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a chance below ``MISS``.
 
@@ -27,7 +28,7 @@ from . import blocks
 from . import spark_io as io
 
 #: Minima of a set; the first BAND_HASHES make the bands, all make the estimate.
-HASHES = 256
+HASHES = 512
 BAND_HASHES = 150
 BITS = 4
 MISS = 1e-5
@@ -189,9 +190,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     own = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sigs = own.select(F.col("doc_id").alias("rep"), "sig")
-    keyed = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
-    centre = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = io.stored(keyed.join(centre, "band"), "buckets")
+    keyed = own.select(F.posexplode("bands").alias("place", "band"), F.col("doc_id").alias("rep"))
+    shared = io.stored(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"), "shared")
+    weighed = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("weight")), "rep").select("band", "place", "rep", "weight")
+    centre = weighed.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
+    buckets = io.stored(shared.select("band", "place", "rep").join(centre, "band"), "buckets")
 
     pairs = buckets.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -202,11 +205,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = of(of(buckets, "rep", "comp"), "centre", "first")
     mixed = placed.filter("comp <> first").select("band").distinct()
     if mixed.take(1):
-        spread = io.stored(placed.join(mixed, "band", "left_semi").join(sigs, "rep"), "spread")
-        outside = spread.filter("comp <> first").select("band", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("sig").alias("sig_a"))
-        inside = spread.filter("rep <> centre").select("band", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("sig").alias("sig_b"), "first")
+        keys = own.select(F.col("doc_id").alias("rep"), "sig", "bands")
+        spread = placed.join(mixed, "band", "left_semi").join(keys, "rep")
+        spread = io.stored(spread.withColumn("before", F.slice("bands", F.lit(1), F.col("place"))).drop("bands"), "spread")
+        outside = spread.filter("comp <> first").select("band", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("sig").alias("sig_a"), F.col("before").alias("before_a"))
+        inside = spread.filter("rep <> centre").select("band", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("sig").alias("sig_b"), F.col("before").alias("before_b"), "first")
         once = (F.col("comp_b") == F.col("first")) | (F.col("a") < F.col("b"))
-        more = outside.join(inside, "band").filter((F.col("comp_a") != F.col("comp_b")) & once & _passes(threshold)).select("a", "b").distinct()
+        new = ~F.arrays_overlap("before_a", "before_b")  # the keys of two places differ, so this is their first shared bucket
+        more = outside.join(inside, "band").filter((F.col("comp_a") != F.col("comp_b")) & once & _passes(threshold) & new).select("a", "b").distinct()
         second = io.stored(confirmed(io.stored(more, "more"), texts, width, percent), "links2")
         if second.take(1):
             merged = second.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
