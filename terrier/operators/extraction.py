@@ -144,7 +144,7 @@ def indication(pages: DataFrame, page: list[str], text: str = "full_text", least
 
 def chosen_indication(c: Column | str) -> Column:
     """C17: a model's answer that names one of A, B and C only, as its sentence; other answers stay, without quotes and outer signs."""
-    plain = F.trim(F.lit(" .:,"), F.translate(X.col(c), "\"'", ""))
+    plain = F.trim(F.translate(X.col(c), "\"'", ""), F.lit(" .:,"))
     has = {k: F.contains(F.upper(plain), F.lit(k)) for k in INDICATIONS}
     out = F.when(F.lit(False), "")
     for k, sentence in INDICATIONS.items():
