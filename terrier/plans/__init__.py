@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
+from ..operators import extraction as E
 from ..operators import matching as M
 from ..operators import records as R
 
@@ -347,6 +348,27 @@ def publication_payload(spark, d):
     return R.payload(rows)
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER w = 1 THEN 'all' WHEN l_linenumber = 1 THEN 'entete' WHEN l_linenumber = count(*) OVER w THEN 'signatures' ELSE 'corps' END AS role FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""")
+def page_role(spark, d):
+    """X26."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", E.page_role("l_linenumber", F.count("*").over(W.partitionBy("l_orderkey"))).alias("role"))
+
+
+@query("""WITH t AS (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS n, greatest(3, CAST(floor(count(*) OVER (PARTITION BY user_id) * 0.3) AS BIGINT)) AS line FROM events)
+SELECT event_id, CAST(CASE WHEN n >= line THEN greatest(0, 75 - least(40, (n - line + 1) * 10)) ELSE 75 END AS DOUBLE) AS score FROM t""")
+def frequency_penalty(spark, d):
+    """A14."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.lit(75).alias("score"))
+    return E.frequency_penalty(e, ["user_id"], "event_type").select("event_id", "score")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1993-01-01' AND '1996-06-30' ORDER BY o_orderkey LIMIT 50 OFFSET 20""")
+def record_search(spark, d):
+    """The third page of a search."""
+    o = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return E.search(o, {"o_orderstatus": "F"}, "day", "1993-01-01", "1996-06-30", ("o_orderkey",), 20, 50).select("o_orderkey", "o_totalprice")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Register matches of coherent orders."""
     return lookup_cascade(spark, d).withColumnRenamed("status", "match").join(coherence_score(spark, d), "o_orderkey")
