@@ -272,3 +272,51 @@ def search(records: DataFrame, equal: dict[str, object], date: str, first: str |
         records = records.filter(holds) if bound is not None else records
     page = records.orderBy(*order).offset(offset) if order or offset else records
     return page.limit(limit) if limit is not None else page
+
+
+def text_scan(pages: DataFrame, names: DataFrame, page: list[str], text: str, name: str, above: float = 88.0, longer: int = 5) -> DataFrame:
+    """Per page the name of more than ``longer`` signs that its text holds best, by partial ratio above a line; ties by name."""
+    own = pages.select(*page, X.match_key(text).alias("_t"))
+    ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("found")).filter(F.length("_n") > longer)
+    best = M.top_k(own, ref, "_t", "_n", 1, S._vectorised(S.partial_ratio)).filter(F.col("score") > above).select("_t", "_n", "score")
+    return own.join(best.join(ref, "_n"), "_t").select(*page, "found", "score")
+
+
+def manual_references(matches: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:
+    """A typed reference (keys, reference, op_code) becomes the record where none matched; a match stays, blanks don't count.
+
+    matches: keys, status, reference, op_code; of several typed references of a key the smallest counts.
+    """
+    typed = manual.filter(F.trim("reference") != "").groupBy(*keys).agg(F.min(F.struct(F.trim("reference").alias("reference"), F.trim("op_code").alias("op_code"))).alias("_m"))
+    use = F.col("_m").isNotNull() & (F.coalesce("status", F.lit("NO_MATCH")) == "NO_MATCH")
+    pick = lambda c: F.when(use, F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c)
+    return matches.join(typed, keys, "left").select(*keys, F.when(use, "MANUEL").otherwise(F.col("status")).alias("status"), pick("reference"), pick("op_code"))
+
+
+def model_answers(cells: DataFrame, names: DataFrame, cell: str = "cell_id", name: str = "name") -> DataFrame:
+    """The name that a model's answers stand for: cell, official, score, methode; cells of which no pass is sure are left out.
+
+    cells: cell, answer, hint, second, letters (signs that were counted; 0 or null: unknown). A name scores the best of the answer's
+    weighted score (15 names), 0.95 of its ratio and 0.9 of the hint's weighted score (10 each). P1 takes 75 with at most 5 letters
+    more or less; P2 the second answer's best name from 70, or 82 if the length differs; P3 one of the first five from 65, within 6.
+    """
+    own = cells.select(cell, *[X.match_key(c).alias(f"_{c}") for c in ("answer", "hint", "second")], F.upper("second").alias("_raw"), F.coalesce("letters", F.lit(0)).alias("_len"))
+    ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("official"))
+    ways = [("_answer", S.weighted_col, 15, 1.0), ("_answer", S._vectorised(S.ratio), 10, 0.95), ("_hint", S.weighted_col, 10, 0.9)]
+    scored = None
+    for probe, score, k, share in ways:
+        some = own.filter(F.col(probe) != "")
+        best = M.top_k(some, ref, probe, "_n", k, score).select(probe, "_n", F.floor(F.col("score") * share).alias("score"))
+        way = some.select(cell, probe, "_len").join(best, probe).select(cell, "_len", "_n", "score")
+        scored = way if scored is None else scored.unionByName(way)
+    merged = scored.groupBy(cell, "_len", "_n").agg(F.max("score").alias("score"))
+    gap = F.when(F.col("_len") == 0, 0).otherwise(F.abs(F.col("_len") - F.length(F.replace("_n", F.lit(" "), F.lit("")))))
+    ranked = merged.withColumn("_r", F.row_number().over(W.partitionBy(cell).orderBy(F.desc("score"), "_n"))).withColumn("_gap", gap)
+    row = lambda df, n, methode, share: df.select(cell, F.lit(n).alias("_p"), F.col("_r"), "_n", F.floor(F.col("score") * share).alias("score"), F.lit(methode).alias("methode"))
+    asked = own.filter((F.col("_second") != "") & ~F.col("_raw").contains("ILLISIBLE") & (F.length("_raw") > 2))
+    again = asked.join(M.top_k(asked, ref, "_second", "_n", 1).select("_second", "_n", "score"), "_second").withColumns({"_r": F.lit(1), "_gap": gap})
+    passes = row(ranked.filter("score >= 75 and _gap <= 5"), 1, "VLM_P1", 1.0)
+    passes = passes.unionByName(row(again.filter("score >= if(_gap <= 5, 70, 82)"), 2, "VLM_P2", 0.95))
+    passes = passes.unionByName(row(ranked.filter("_r <= 5 and score >= 65 and _gap <= 6"), 3, "VLM_P3_rescue", 0.85))
+    first = passes.groupBy(cell).agg(F.min_by(F.struct("_n", "score", "methode"), F.struct("_p", "_r")).alias("b"))
+    return first.select(cell, "b.*").join(ref, "_n").select(cell, "official", "score", "methode")

@@ -369,6 +369,17 @@ def record_search(spark, d):
     return E.search(o, {"o_orderstatus": "F"}, "day", "1993-01-01", "1996-06-30", ("o_orderkey",), 20, 50).select("o_orderkey", "o_totalprice")
 
 
+@query("""WITH m AS (SELECT user_id AS o_orderkey, min(event_type) AS r FROM events WHERE trim(event_type) <> '' GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'MATCH_UNIQUE' WHEN r IS NULL THEN 'NO_MATCH' ELSE 'MANUEL' END AS status,
+CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority ELSE r END AS reference, CASE WHEN o_orderstatus <> 'F' THEN 'Em' WHEN r IS NOT NULL THEN 'Da' END AS op_code FROM orders LEFT JOIN m USING (o_orderkey)""")
+def manual_reference(spark, d):
+    """Typed references stand in for missing matches."""
+    hit = F.col("o_orderstatus") != "F"
+    found = table(spark, d, "orders").select("o_orderkey", F.when(hit, "MATCH_UNIQUE").otherwise("NO_MATCH").alias("status"), F.when(hit, F.col("o_orderpriority")).alias("reference"), F.when(hit, "Em").alias("op_code"))
+    typed = table(spark, d, "events").select(F.col("user_id").alias("o_orderkey"), F.col("event_type").alias("reference"), F.lit("Da").alias("op_code"))
+    return E.manual_references(found, typed, ["o_orderkey"])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Register matches of coherent orders."""
     return lookup_cascade(spark, d).withColumnRenamed("status", "match").join(coherence_score(spark, d), "o_orderkey")

@@ -103,3 +103,24 @@ def test_knowledge_base(spark):
 def test_search(spark):
     rows = spark.createDataFrame([(i, "07" if i % 2 else "26", f"2020-01-{i:02d}") for i in range(1, 11)], "id int, dept string, date string")
     assert [r.id for r in E.search(rows, {"dept": "07"}, "date", "2020-01-03", "2020-01-09", ("id",), 1, 2).collect()] == [5, 7]
+
+
+def test_text_scan(spark):
+    pages = spark.createDataFrame([(1, "plan de la commune de AUBENAS centre"), (2, "rien"), (3, None)], "page int, text string")
+    names = spark.createDataFrame([("Aubenas",), ("Ucel",), ("Privas",)], "name string")
+    assert [(r.page, r.found, r.score) for r in E.text_scan(pages, names, ["page"], "text", "name").collect()] == [(1, "Aubenas", 100.0)]
+
+
+def test_manual_references(spark):
+    found = spark.createDataFrame([(1, "NO_MATCH", None, None), (2, "MATCH_UNIQUE", "97050", "Em"), (3, None, None, None), (4, "NO_MATCH", None, None)], "id int, status string, reference string, op_code string")
+    typed = spark.createDataFrame([(1, " 97051 ", "Da"), (2, "1", "Da"), (3, "98001", ""), (4, " ", "Da")], "id int, reference string, op_code string")
+    got = {r.id: (r.status, r.reference, r.op_code) for r in E.manual_references(found, typed, ["id"]).collect()}
+    assert got == {1: ("MANUEL", "97051", "Da"), 2: ("MATCH_UNIQUE", "97050", "Em"), 3: ("MANUEL", "98001", ""), 4: ("NO_MATCH", None, None)}
+
+
+def test_model_answers(spark):
+    cells = spark.createDataFrame([(1, "Aubenas", None, None, 7), (2, "zzz", None, "Privas", 0), (3, "zzz", "", "illisible", 0), (4, None, None, None, None)], "cell_id int, answer string, hint string, second string, letters int")
+    names = spark.createDataFrame([("Aubenas",), ("Privas",), ("Ucel",)], "name string")
+    got = {r.cell_id: (r.official, r.score, r.methode) for r in E.model_answers(cells, names).collect()}
+    assert got == {1: ("Aubenas", 100, "VLM_P1"), 2: ("Privas", 95, "VLM_P2")}
+    assert E.model_answers(cells.filter("false"), names).count() == 0
