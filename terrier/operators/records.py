@@ -175,13 +175,14 @@ def lineage_edges(lines: DataFrame) -> DataFrame:
 
 def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(seed, leaf): the parcels without children that each seed reaches in at most ``depth`` steps; an unknown seed is
-    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Levels are checkpointed.
+    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are checkpointed.
     """
     spark = seeds.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineage-"))
+    edges = edges.checkpoint()
     parents = edges.select(F.col("parent").alias("node")).distinct()
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().checkpoint()
     seen, found = frontier, []

@@ -255,13 +255,23 @@ def lineage_edges(spark, d):
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey BETWEEN 1 AND 50 UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
 SELECT DISTINCT {_NUMBER.format('seed')} AS seed, {_NUMBER.format('node')} AS leaf FROM w WHERE node NOT IN (SELECT parent FROM e)""")
 def lineage_leaves(spark, d):
-    """The parcels in force that the first fifty parcels became."""
+    """The parcels in force that the first fifty parcels became; of every parcel see lineage_leaves_all."""
+    return _leaves(spark, d, F.col("c_custkey").between(1, 50))
+
+
+def _leaves(spark, d, chosen):
     edges = R.lineage_edges(_lines(spark, d))
-    k = F.col("c_custkey")
-    seeds = table(spark, d, "customer").filter(k.between(1, 50)).select(F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), X.zero_filled(k, 4).alias("numero")).alias("seed"))
+    seeds = table(spark, d, "customer").filter(chosen).select(F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), X.zero_filled(F.col("c_custkey"), 4).alias("numero")).alias("seed"))
     return R.leaves(seeds, edges).select(F.col("seed.numero").alias("seed"), F.col("leaf.numero").alias("leaf"))
 
 
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
+SELECT DISTINCT {_NUMBER.format('seed')} AS seed, {_NUMBER.format('node')} AS leaf FROM w WHERE node NOT IN (SELECT parent FROM e)""")
+def lineage_leaves_all(spark, d):
+    """The parcels in force that each parcel became."""
+    return _leaves(spark, d, F.lit(True))
+
+
 @query("""SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey % 2 = 0) UNION ALL SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0)""")
 def anti_append(spark, d):
     """Own rows and those of another table whose key is missing."""

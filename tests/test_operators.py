@@ -59,6 +59,18 @@ def test_lineage(spark):
     assert got == {("0001", "0011"), ("0001", "0020"), ("0001", "0021"), ("0011", "0011"), ("9999", "9999")}
 
 
+def test_every_parcel_is_a_seed(spark):
+    keys = {r.c_custkey for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
+    n = max(keys)
+
+    def walk(k):
+        below = [c for c in (3 * k, 3 * k + 1) if c in keys] if k > 0 and 3 * k <= n else []
+        return {leaf for c in below for leaf in walk(c)} or {k}
+
+    got = {(int(r.seed), int(r.leaf)) for r in QUERIES["lineage_leaves_all"](spark, DATA).collect()}
+    assert got == {(k, leaf) for k in keys for leaf in walk(k)}
+
+
 def test_a_cycle_has_no_leaf(spark):
     edges = R.lineage_edges(lines(spark, "070;289;x;D1;x;x;x;x;S;1;A30", "070;289;x;D1;x;x;x;x;S;2;A31", "070;289;x;D2;x;x;x;x;S;1;A31", "070;289;x;D2;x;x;x;x;S;2;A30"))
     seeds = edges.select(F.col("parent").alias("seed"))
