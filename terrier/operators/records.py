@@ -1,14 +1,14 @@
 """Relational operators on records: lines, votes, merges, lookups, rules, lineage, review, payloads.
 
 Every operator takes and returns DataFrames and is lazy, but for the lineage walk, which is a loop of at most eleven
-levels over tables in the checkpoint folder.
+levels over tables in the checkpoint folder, and with_places, which checkpoints the ranged rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -173,15 +173,18 @@ def lineage_edges(lines: DataFrame) -> DataFrame:
     return side("1", "parent").join(side("2", "child"), ["insee", "doc", "seq"]).select("parent", "child").distinct()
 
 
-def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(seed, leaf): the parcels without children that each seed reaches in at most ``depth`` steps; an unknown seed is
-    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are checkpointed.
-    """
-    spark = seeds.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineage-"))
+
+
+def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+    """(seed, leaf): the parcels without children that each seed reaches in at most ``depth`` steps; an unknown seed is
+    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are checkpointed.
+    """
+    _checkpoint_dir(seeds.sparkSession)
     edges = edges.checkpoint()
     parents = edges.select(F.col("parent").alias("node")).distinct()
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().checkpoint()
@@ -196,6 +199,21 @@ def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+# -- order ----------------------------------------------------------------------------------------------------------
+
+
+def with_places(rows: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """All rows with their place (from 1) in the order. The rows are ranged by it and checkpointed; a row's place is
+    its number in its range plus the rows of the ranges before, so no task sees more than a range.
+    """
+    _checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part").join(F.broadcast(sizes.select(F.col("_part").alias("_q"), "_n")), F.col("_q") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_part").withColumn(place, (own + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 # -- spatial ---------------------------------------------------------------------------------------------------------
 
 

@@ -302,12 +302,22 @@ def learned_corrections(spark, d):
 
 @query("""SELECT row_number() OVER (ORDER BY upper(o_orderpriority), o_orderdate, o_orderkey) AS place, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'OK (sans document)' ELSE 'ECHEC' END AS statut FROM orders QUALIFY place <= 100""")
 def register_sorted(spark, d):
-    """The first hundred rows of the sorted register."""
-    statut = F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "OK (sans document)").otherwise("ECHEC")
-    top = table(spark, d, "orders").withColumn("statut", statut).orderBy(F.upper("o_orderpriority"), "o_orderdate", "o_orderkey").limit(100)
+    """The first hundred rows of register_places."""
+    top = table(spark, d, "orders").withColumn("statut", _statut()).orderBy(F.upper("o_orderpriority"), "o_orderdate", "o_orderkey").limit(100)
     return top.select(F.row_number().over(W.orderBy(F.upper("o_orderpriority"), "o_orderdate", "o_orderkey")).cast("long").alias("place"), "o_orderkey", "statut")
 
 
+def _statut():
+    return F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "OK (sans document)").otherwise("ECHEC")
+
+
+@query("""SELECT row_number() OVER (ORDER BY upper(o_orderpriority), o_orderdate, o_orderkey) AS place, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'OK (sans document)' ELSE 'ECHEC' END AS statut FROM orders""")
+def register_places(spark, d):
+    """Every row of the sorted register with its place and status."""
+    o = table(spark, d, "orders").select(F.upper("o_orderpriority").alias("_priority"), "o_orderdate", "o_orderkey", _statut().alias("statut"))
+    return R.with_places(o, [F.col("_priority"), F.col("o_orderdate"), F.col("o_orderkey")]).select("place", "o_orderkey", "statut")
+
+
 @query("""SELECT c_custkey, CASE WHEN length(s) = 0 THEN NULL ELSE s END AS section FROM (SELECT c_custkey, substr(regexp_replace(upper(c_mktsegment), '[^A-Z0-9]', '', 'g'), 1, 2) AS s FROM customer)""")
 def section_format(spark, d):
     """C4."""

@@ -71,6 +71,20 @@ def test_every_parcel_is_a_seed(spark):
     assert got == {(k, leaf) for k in keys for leaf in walk(k)}
 
 
+def test_the_whole_register_has_places(spark):
+    """More ranges than one, so that places cross them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = QUERIES["register_places"](spark, DATA).collect()
+        rows = spark.createDataFrame([(i * 7919 % 5000,) for i in range(5000)], "v int")
+        assert {r.place - 1 == r.v for r in R.with_places(rows, [F.col("v")]).collect()} == {True}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    o = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_orderkey").collect()
+    order = sorted((r.o_orderpriority.upper(), r.o_orderdate, r.o_orderkey) for r in o)
+    assert sorted((r.place, r.o_orderkey) for r in got) == [(i + 1, k) for i, (_, _, k) in enumerate(order)]
+
+
 def test_a_cycle_has_no_leaf(spark):
     edges = R.lineage_edges(lines(spark, "070;289;x;D1;x;x;x;x;S;1;A30", "070;289;x;D1;x;x;x;x;S;2;A31", "070;289;x;D2;x;x;x;x;S;1;A31", "070;289;x;D2;x;x;x;x;S;2;A30"))
     seeds = edges.select(F.col("parent").alias("seed"))
