@@ -9,6 +9,7 @@ plus own words. weighted: the largest of ratio and 0.95 * the token scores; wher
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -105,7 +106,23 @@ def _vectorised(f: Callable[[str, str], float]):
             out.append(known[pair])
         return pd.Series(out, dtype="float64")
 
+    score.plain = f
     return score
 
 
+def best_of(score, k: int, least: float) -> Callable:
+    """Of (text, array of names) the k names (score, name) that score most and ``least`` or more, ties by name; ``score`` is one of the functions below."""
+    f = score.plain
+
+    @F.pandas_udf("array<struct<score:double,name:string>>")
+    def best(texts: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, names, strict=True):
+            scored = ((-f(text, n), n) for n in own)
+            out.append([{"score": -s, "name": n} for s, n in heapq.nsmallest(k, (x for x in scored if -x[0] >= least))])
+        return pd.Series(out, dtype="object")
+
+    return best
+
+
 ratio_col, partial_col, token_sort_col, token_set_col, weighted_col, alignment_col, sequence_col = map(_vectorised, (ratio, partial_ratio, token_sort, token_set, weighted, alignment, sequence_ratio))

@@ -1,4 +1,4 @@
-"""Fuzzy matching of names against a reference table: blocked where the reference is large, scored by Arrow UDFs."""
+"""Fuzzy matching of names against a reference table: every name is held against every probe, block by block, scored by Arrow UDFs."""
 
 from __future__ import annotations
 
@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from .records import small
+from .records import BROADCAST_ROWS, small
 
-#: A reference of up to so many names is held against every probe; beyond, probe and name must share a letter pair.
-ALL_NAMES = 2_000
+#: Names of a block: each probe meets the blocks one by one.
+BLOCK_NAMES = 2_000
+#: Where the names are too many to broadcast, each block is held in so many copies, and a probe meets one of each.
+COPIES = 64
 
 
-def candidates(probes: DataFrame, names: DataFrame, probe: str, name: str) -> DataFrame:
-    """(probe, name) pairs to score, of distinct probes."""
-    p, n = probes.select(probe).filter(F.col(probe).isNotNull()).distinct(), names.select(name).filter(F.col(name).isNotNull()).distinct()
-    if n.limit(ALL_NAMES + 1).count() <= ALL_NAMES:
-        return p.join(F.broadcast(n.groupBy().agg(F.collect_set(name).alias("_all"))).hint("broadcast"), F.lit(True)).select(probe, F.explode("_all").alias(name))
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
-    left, right = (df.withColumn("_g", F.explode(pairs(F.col(c)))) for df, c in ((p, probe), (n, name)))
-    return left.join(right, "_g").select(probe, name).distinct()
+def against_blocks(probes: DataFrame, names: DataFrame, probe: str) -> DataFrame:
+    """(probe, _all): each distinct probe with every block of the distinct names, at any number of names."""
+    p = probes.select(probe).filter(F.col(probe).isNotNull()).distinct()
+    n = names.toDF("_name").filter("_name is not null").distinct()
+    count = n.count()
+    blocks = max(1, -(-count // BLOCK_NAMES))
+    held = n.groupBy(F.pmod(F.xxhash64("_name"), F.lit(blocks)).alias("_block")).agg(F.collect_list("_name").alias("_all"))
+    wide = p.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("_copy", F.pmod(F.xxhash64(probe, "_block"), F.lit(COPIES)))
+    if count <= BROADCAST_ROWS:
+        parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return wide.repartition(parts, probe, "_block").join(F.broadcast(held), "_block").select(probe, "_all")
+    copies = held.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
+    return wide.join(copies, ["_block", "_copy"]).select(probe, "_all")
 
 
 def top_k(probes: DataFrame, names: DataFrame, probe: str, name: str, k: int = 5, score=S.weighted_col, least: float = 0.0) -> DataFrame:
-    """Each distinct probe's k best names, ties by name."""
-    scored = candidates(probes, names, probe, name).withColumn("score", score(F.col(probe), F.col(name))).filter(F.col("score") >= least)
+    """Each distinct probe's k best names, ties by name: of each block, then of all blocks."""
+    blocks = against_blocks(probes, names.select(name), probe)
+    scored = blocks.select(probe, F.explode(S.best_of(score, k, least)(F.col(probe), F.col("_all"))).alias("_s")).select(probe, F.col("_s.name").alias(name), F.col("_s.score").alias("score"))
     order = W.partitionBy(probe).orderBy(F.desc("score"), name)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -50,9 +58,11 @@ def match_hypotheses(hypotheses: DataFrame, names: DataFrame, cell: str = "cell_
 def label_matches(blocks: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", least: float = 0.82) -> DataFrame:
     """Per block the longest label that its key contains, or that it resembles (labels of six signs or more)."""
     own = blocks.withColumn("_b", X.label_key(text))
-    pairs = candidates(own, labels.withColumn("_l", X.label_key(label)), "_b", "_l")
+    pairs = against_blocks(own, labels.select(X.label_key(label)), "_b").select("_b", F.explode("_all").alias("_l"))
+    both = F.length("_b") + F.length("_l")
+    inside, could = F.col("_b").contains(F.col("_l")), (F.length("_l") >= 6) & (2.0 * F.least(F.length("_b"), F.length("_l")) / both >= least)  # the most that the ratio can be
     near = S.sequence_col(F.col("_b"), F.col("_l")) >= least
-    hit = pairs.filter(F.col("_b").contains(F.col("_l")) | ((F.length("_l") >= 6) & near))
+    hit = pairs.filter(inside | could).filter(inside | ((F.length("_l") >= 6) & near))
     best = hit.groupBy("_b").agg(F.max_by("_l", F.struct(F.length("_l"), "_l")).alias("found"))
     return own.join(best, "_b").drop("_b")
 
