@@ -28,8 +28,10 @@ from . import blocks
 from . import spark_io as io
 
 ALPHA = 0.01
-#: Smallest hashes of words that the vocabulary's size is worked out from; below so many words it is exact.
-SKETCH = 4096
+#: No limit: the vocabulary's size is worked out from the hashes of all words.
+SKETCH = None
+#: A task sends out the distinct word hashes that it holds when they are so many.
+HELD_WORDS = 1 << 20
 HOT_GRAMS = 100_000
 #: An n-gram is a candidate for counting before if 1 / HOT_PART of a chunk's documents hold it, of HOT_DOCS at least.
 HOT_PART, HOT_DOCS = 16, 64
@@ -66,18 +68,30 @@ def share(gram: np.ndarray, own: np.ndarray, target: np.ndarray, c_t: np.ndarray
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n_words, null), and with a null id (hash, kind): of the vocabulary's sketch (0) or a hot n-gram (1)."""
-    sketch = np.zeros(0, np.uint64)
+    """Rows (doc_id, n_words, null), and with a null id (hash, kind): of a word (0; distinct but for words sent out twice by long tasks) or a hot n-gram (1)."""
+    own, size = [], 0
     names = ["doc_id", "n_words", "hash"]
+
+    def word_rows(words: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(np.zeros(len(words), np.int64)), pa.array(words.view(np.int64))], names)
+
     for batch in blocks.chunks(batches, "text"):
         gram, doc, _, n, word = document_grams(*blocks.text_bytes(batch.column(1)))
-        sketch = np.unique(np.concatenate([sketch, word]))[:SKETCH]
+        own.append(np.unique(word))
+        size += len(own[-1])
+        if size > HELD_WORDS:
+            own = [np.unique(np.concatenate(own))]
+            if len(own[0]) > HELD_WORDS // 2:
+                yield word_rows(own[0])
+                own = []
+            size = sum(map(len, own))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], names)
         if batch.num_rows >= HOT_DOCS:
             g, held = np.unique(gram, return_counts=True)
             g = g[held * HOT_PART >= batch.num_rows]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int64()), pa.array(np.ones(len(g), np.int64)), pa.array(g.view(np.int64))], names)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(sketch), pa.int64()), pa.array(np.zeros(len(sketch), np.int64)), pa.array(sketch.view(np.int64))], names)
+    if own:
+        yield word_rows(np.unique(np.concatenate(own)))
 
 
 def _hot_counts(shared):
@@ -195,11 +209,9 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(np.add.reduceat(sums, first))], ["doc_id", "total"])
 
 
-def vocabulary_size(sketch: list[int]) -> float:
-    """Distinct words behind the smallest hashes, taken as unsigned numbers: their number, or if there are SKETCH, an estimate."""
-    if len(sketch) < SKETCH:
-        return float(max(1, len(sketch)))
-    return (SKETCH - 1) / (max(sketch) / 2.0**64)
+def vocabulary_size(words: DataFrame | list[int]) -> float:
+    """The number of distinct hashes of words, at least 1."""
+    return float(max(1, words.distinct().count() if isinstance(words, DataFrame) else len(set(words))))
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -209,9 +221,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(ids) if io.few(ids) else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
     survey = io.stored(rows.mapInArrow(_survey, "doc_id long, n_words long, hash long"), "survey")
-    # the smallest unsigned hashes: those with the sign bit clear come first
-    words = survey.filter("doc_id is null and n_words = 0").select("hash").distinct().orderBy((F.col("hash") < 0), "hash").limit(SKETCH)
-    size = vocabulary_size([r[0] & (1 << 64) - 1 for r in words.collect()])
+    size = vocabulary_size(survey.filter("doc_id is null and n_words = 0").select("hash"))
     hot = survey.filter("doc_id is null and n_words = 1").groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(HOT_GRAMS).collect()
     hot = np.sort(np.array([r["hash"] for r in hot], np.int64).view(np.uint64))
     c_t = c_b = np.zeros(len(hot), np.int64)

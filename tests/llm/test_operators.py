@@ -240,6 +240,19 @@ def test_lm_scores(spark, docs, odd, empty):
     assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 20, 500])
+def test_lm_scores_count_every_word(spark, monkeypatch, held):
+    """Over 4,096 words; the brute force counts the vocabulary itself. Tasks also send their words out early."""
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", held)
+    seen = [np.asarray(b.column(2)) for b in lm_scoring._survey(lm_scoring.pa.RecordBatch.from_pydict({"doc_id": [i], "text": [f"a{i} b{i} a{i - 1}"]}) for i in range(900)) if b.column(0).null_count]
+    assert len(np.unique(np.concatenate(seen))) == 1801
+    df = spark.createDataFrame([(i, " ".join(f"w{i * 97 + j * (1 + i % 3)}" for j in range(150))) for i in range(60)], "doc_id long, text string")
+    assert len({w for _, t in pairs(df) for w in t.split()}) > 4096
+    got = by_id(lm_scoring.cross_entropy_difference(df, df.filter("doc_id % 4 = 0").select("doc_id")), "score")
+    for i, score in brute.cross_entropy(pairs(df), set(range(0, 60, 4)), lm_scoring.ALPHA, None).items():
+        assert got[i][0] == pytest.approx(score, abs=1e-9)
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_nearest(spark, metric):
     rng = np.random.default_rng(8)
