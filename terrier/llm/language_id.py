@@ -2,7 +2,7 @@
 
 Bytes are embedded; filters of several widths slide over fixed-length windows of a text's UTF-8 bytes, each filter's
 largest answer in the window goes through a rectifier to a softmax layer. The network is trained in numpy on windows of
-a bounded sample of labelled texts and applied to all windows of every whole text; a text's answer is the softmax of
+a bounded sample of labelled texts of each language and applied to all windows of every whole text; a text's answer is the softmax of
 its windows' mean logits, weighted by their bytes. For scoring, embedding and filters are folded into tables that are
 looked up by pairs of bytes.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -27,8 +28,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 10
 EMBEDDING = 8
-#: Labelled texts that are learned from (those whose ids have the smallest hashes), and windows of each.
+#: Labelled texts that are learned from, shared evenly among the languages (of each those whose ids have the smallest
+#: hashes), at least so many of each that has them; and windows of each text.
 SAMPLE_ROWS = 6000
+SAMPLE_LEAST = 300
 SAMPLE_WINDOWS = 3
 EPOCHS = 4
 UNKNOWN = "und"
@@ -132,15 +135,23 @@ def windows_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
-    """A network for the languages of the sampled rows; each class counts alike."""
+    """A network for all languages of the training rows; each class counts alike."""
     text = F.col(text_col).cast("string")
     room = F.greatest(F.length(text) - F.lit(WINDOW // 2), F.lit(0))
     cuts = [F.substring(text, 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), room + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     rows = docs.filter(F.col(lang_col).isNotNull() & text.isNotNull() & train_rows & text.rlike(r"\p{L}"))
-    sample = rows.select(F.xxhash64(F.col(id_col).cast("long")).alias("_h"), F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts")).orderBy("_h").limit(SAMPLE_ROWS).collect()
-    if not sample:
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("long")).alias("_h"), F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts"))
+    keys = io.stored(rows.select("lang", "_h"), "languages")
+    classes = sorted(r["lang"] for r in keys.select("lang").distinct().collect())
+    if not classes:
         return None
-    classes = sorted({r["lang"] for r in sample})
+    most = max(SAMPLE_LEAST, -(-SAMPLE_ROWS // len(classes)))
+    first = lambda df, *order: df.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= most)
+    # the largest hash of each language's sample; rows of equal ids may be more, so they are counted again
+    lines = first(keys, "_h").groupBy("lang").agg(F.max("_h").alias("_line"))
+    near = rows.join(F.broadcast(lines) if io.few(lines) else lines, "lang").filter("_h <= _line")
+    sample = sorted(first(near, "_h", "cuts").collect(), key=lambda r: (r["_h"], r["lang"], r["cuts"]))
+    io.discard(keys)
     raw = [(c.encode()[:WINDOW], classes.index(r["lang"])) for r in sample for c in r["cuts"]]
     x = np.frombuffer(b"".join(b.ljust(WINDOW, b"\0") for b, _ in raw), np.uint8).reshape(-1, WINDOW)
     y = np.array([k for _, k in raw])

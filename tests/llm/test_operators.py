@@ -202,6 +202,17 @@ def test_language_id(spark, docs, odd, empty):
     assert language_id.identify_languages(empty).count() == 0
 
 
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    """One text in 900 is of a third language; the sample is far smaller than the rows, and rows without an id don't crowd it."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(language_id, "SAMPLE_LEAST", 10)
+    words = {"aa": "the house and the garden of", "bb": "dom i ogrod przy drodze", "zz": "ŵŷ ẁŵ ŷŷŵ"}
+    rows = [(i, f"{words[k]} {i} " * 5, k) for i in range(900) for k in ["zz" if i == 450 else "ab"[i % 2] * 2]] + [(None, "the house", "aa")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.train(df, F.lit(True))
+    assert net.classes == ["aa", "bb", "zz"]
+
+
 @pytest.mark.parametrize("score, label, least", [(quality.score_quality, "quality", 0.95), (toxicity.score_toxicity, "toxic", 0.95)])
 def test_classifiers(spark, odd, empty, score, label, least):
     big = DATA.replace("0.001", "0.01")
