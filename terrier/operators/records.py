@@ -91,7 +91,7 @@ def filter_if_any(rows: DataFrame, query: list[str], predicate: Column) -> DataF
 
 
 def cascade(rows: DataFrame, query: list[str], steps: list[Column], score: Column | None = None, least: float = 60.0, unique: bool = True) -> DataFrame:
-    """Filters one after the other, each ignored where it would leave nothing; then, where several rows are left,
+    """Filter, score and status steps of J12-J15, on pairs already joined (their fuzzy commune step is not built): filters one after the other, each ignored where it would leave nothing; then, where several rows are left,
     those at the largest score if that reaches ``least``; each row gets its query's status.
     """
     for step in steps:
@@ -119,7 +119,7 @@ def append_missing(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def issues(df: DataFrame, keys: list[str], rules: list[tuple[str, str, Column, list[str]]]) -> DataFrame:
-    """One row per rule (name, level, condition, fields) that holds; of equal rule and fields the first."""
+    """A5: one row per rule (name, level, condition, fields) that holds; of equal rule and fields the first."""
     made = [F.when(c, F.struct(F.lit(i).alias("place"), F.lit(name).alias("rule"), F.lit(level).alias("level"), F.array(*map(F.lit, sorted(fields))).alias("fields"))) for i, (name, level, c, fields) in enumerate(rules)]
     found = df.select(*keys, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("_i"))
     first = found.groupBy(*keys, F.col("_i.rule").alias("rule"), F.concat_ws(",", "_i.fields").alias("fields")).agg(F.min_by("_i.level", "_i.place").alias("level"))

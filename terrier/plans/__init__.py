@@ -104,7 +104,7 @@ e AS (SELECT o_orderkey, l_linenumber FROM c WHERE n = 1 OR top < 20 OR q = top)
 SELECT o_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CASE WHEN count(*) OVER (PARTITION BY o_orderkey) = 1 THEN 'MATCH_UNIQUE' ELSE 'CANDIDATS' END AS status FROM e
 UNION ALL SELECT o_orderkey, NULL, 'NO_MATCH' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def lookup_cascade(spark, d):
-    """Filters that are ignored where they would leave nothing, then the best score, then a status."""
+    """J12 without its fuzzy commune step: filters that are ignored where they would leave nothing, then the best score, then a status."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     rows = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", (F.col("l_suppkey") % 3 == F.col("o_custkey") % 3).alias("p1"), (F.year("l_shipdate") == F.year("o_orderdate")).alias("p2"), F.col("l_quantity").cast("long").alias("q"))
     found = R.cascade(rows, ["o_orderkey"], [F.col("p1"), F.col("p2")], F.col("q"), 20).select("o_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "status")
@@ -115,7 +115,7 @@ def lookup_cascade(spark, d):
 m AS (SELECT *, min(gap) OVER (PARTITION BY c_custkey) AS least FROM j)
 SELECT c_custkey, o_orderkey FROM m WHERE CASE WHEN least = 0 THEN gap = 0 WHEN least <= 2 THEN gap <= 2 ELSE true END""")
 def lookup_range_year(spark, d):
-    """The year, else two years around it, else all."""
+    """J15's year step: the year, else two years around it, else all."""
     j = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", F.abs(F.year("o_orderdate") - (1992 + F.col("c_custkey") % 7)).alias("gap"))
     return R.cascade(j, ["c_custkey"], [F.col("gap") <= 2, F.col("gap") == 0]).select("c_custkey", "o_orderkey")
 
@@ -186,7 +186,7 @@ UNION ALL SELECT o_orderkey, 'STATUT_PARTIEL', 'statut', 'INFO' FROM orders WHER
 
 @query(_ISSUES)
 def rules_issues(spark, d):
-    """V, A5."""
+    """A5, by rules on orders; V1-V8 are plan_rules()."""
     return R.issues(table(spark, d, "orders"), ["o_orderkey"], _order_rules())
 
 
@@ -333,7 +333,7 @@ def scale_format(spark, d):
 
 @query("""SELECT part.p_partkey, part.p_name, first.p_partkey AS first_partkey FROM part JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1) first USING (p_name)""")
 def first_by_position(spark, d):
-    """The first row of equal names."""
+    """The first row of equal names."""
     p = table(spark, d, "part")
     return p.select("p_partkey", "p_name", F.min("p_partkey").over(W.partitionBy("p_name")).alias("first_partkey"))
 
