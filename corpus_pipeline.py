@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: known languages, no exact or near copies, no repeated passages, packed.
+"""A training corpus from ``documents``: texts with a letter, no exact or near copies, no repeated passages, packed.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, which run() writes to the shared folder and reads again as the next one's docs. All but the last
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from terrier.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from terrier.llm import spark_io as io
 
-#: A text is rejected if it has no letter, or no learned language gets so large a share.
+#: A text is rejected if it has no letter, or no learned language gets so large a share. Shares add up to 1, so up to three
+#: languages none is rejected by this, and with four hardly any.
 LEAST_SHARE = 0.3
 
 #: SQL cannot express the first, third and fourth stage.
@@ -28,7 +29,9 @@ def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are in no language the classifier learned."""
+    """Drops documents without a letter (``und``), null texts among them, and those of no share of LEAST_SHARE. It is no test of being in a
+    learned language: foreign or garbled text with letters mostly stays.
+    """
     found = language_id.identify_languages(docs)
     kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
     return _only(docs, found.select("doc_id", kept.alias("kept")))

@@ -304,5 +304,11 @@ def test_pipeline(spark, docs, odd):
     assert {r.doc_id for r in own.collect()} >= {4, 7} and not {r.doc_id for r in own.collect()} & {1, 2, 3, 8, 9, 12}
 
 
+def test_the_first_stage_says_what_it_rejects():
+    """With up to three languages the largest share is 1/3 at least, so only texts without a letter go."""
+    assert corpus_pipeline.LEAST_SHARE < 1 / 3
+    assert "foreign or garbled text with letters mostly stays" in " ".join(corpus_pipeline.known_language.__doc__.split())
+
+
 def test_all_are_registered():
     assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
