@@ -40,16 +40,30 @@ SEED = 24
 PARTITION_BYTES = 32_000_000
 BUCKET_BYTES = 1_500_000
 _PLACE = np.uint64((1 << 26) - 1)
+#: Window places worked on at a time; slices overlap by length - 1 bytes, and their places must fit into _PLACE.
+SLICE = 1 << 23
 
 
 def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the minimiser, first window, last window, document) of every run of windows with one minimiser."""
-    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     n_windows = np.maximum(np.diff(at) - length + 1, 0)
-    if not n_windows.any() or len(data) > int(_PLACE):
-        if len(data) > int(_PLACE):
-            raise ValueError("a text is longer than 64 MB; cut it before")
-        return none
+    windows = blocks.ranges(at[:-1], n_windows)
+    doc = np.repeat(np.arange(len(at) - 1), n_windows)
+    found, anchors = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low in range(0, len(data), SLICE):
+        own = windows[np.searchsorted(windows, low) : np.searchsorted(windows, low + SLICE)]
+        if len(own):
+            hashes, anchor = _anchors(data[low : low + SLICE + length - 1], own - low, length, seed)
+            found.append(hashes)
+            anchors.append(anchor + low)
+    hashes, anchor = np.concatenate(found), np.concatenate(anchors)
+    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(windows)])
+    last = np.r_[new[1:], len(windows)][: len(new)] - 1
+    return hashes[new], windows[new], windows[last], doc[new]
+
+
+def _anchors(data: np.ndarray, windows: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the minimiser of each window of a slice; of equal hashes (their upper bits) the first place."""
     width = length - seed + 1
     prefix = blocks.prefix_hash(data)
     place = np.arange(len(data) - seed + 1)
@@ -60,12 +74,8 @@ def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tupl
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    windows = blocks.ranges(at[:-1], n_windows)
     anchor = (low[windows] & _PLACE).astype(np.int64)
-    doc = np.repeat(np.arange(len(at) - 1), n_windows)
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-    last = np.r_[new[1:], len(windows)] - 1
-    return hashes[anchor[new]], windows[new], windows[last], doc[new]
+    return hashes[anchor], anchor
 
 
 def _postings(length: int, seed: int, parts: int):

@@ -115,6 +115,37 @@ def test_suffix_dedup(docs, odd, empty):
     assert kept[8] == ("",) and kept[7] == (LONG,) and kept[11][0].startswith("é漢🙂")
 
 
+def test_a_text_over_64_mb_has_minimisers():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, (1 << 26) + 1000).astype(np.uint8)
+    data[5000:6000], data[-2000:-1000] = 65, data[(1 << 23) - 500 : (1 << 23) + 500]
+    hashes, first, last, doc = suffix_dedup.minimisers(data, np.array([0, len(data)]), 50, 24)
+    assert first[0] == 0 and last[-1] == len(data) - 50 and (first[1:] == last[:-1] + 1).all() and not doc.any()
+    near, far = (set(hashes[(first >= low) & (last <= low + 950)].tolist()) for low in ((1 << 23) - 500, len(data) - 2000))
+    assert near == far and near  # a passage over the edge of two slices has the minimisers of its copy
+
+
+@pytest.mark.parametrize("size", [64, 1000, 4096])
+def test_slices_leave_minimisers_as_they_are(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    texts = [b"", b"x" * 49, b"x" * 300, b"abcdefg" * 900, rng.integers(97, 100, 5000).astype(np.uint8).tobytes(), b"y" * 50]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    want = suffix_dedup.minimisers(data, at, 50, 24)
+    monkeypatch.setattr(suffix_dedup, "SLICE", size)
+    for a, b in zip(want, suffix_dedup.minimisers(data, at, 50, 24), strict=True):
+        assert (a == b).all() and len(a) == len(b) > 0
+
+
+def test_a_periodic_long_text_equals_the_brute_force(spark, odd, monkeypatch):
+    """60 kB of one period, with copies of a part of it; slices are small, so the text is worked on in many."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 5000)
+    long = "".join(f"line {i % 40} of a form; " for i in range(3500))
+    df = spark.createDataFrame([(3, long), (5, "own words first " + long[20000:23000] + " and last"), (1, "before " + long[:90])], "doc_id long, text string")
+    assert len(long) > 60_000
+    for rows in (df, odd):
+        assert by_id(suffix_dedup.suffix_dedup(rows), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(pairs(rows))
+
+
 def test_suffix_order(tmp_path):
     rng = np.random.default_rng(4)
     for _ in range(60):
