@@ -47,35 +47,40 @@ SLICE = 1 << 23
 def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of the minimiser, first window, last window, document) of every run of windows with one minimiser."""
     n_windows = np.maximum(np.diff(at) - length + 1, 0)
-    windows = blocks.ranges(at[:-1], n_windows)
-    doc = np.repeat(np.arange(len(at) - 1), n_windows)
-    found, anchors = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    ends = at[:-1] + n_windows
+    runs = []
     for low in range(0, len(data), SLICE):
-        own = windows[np.searchsorted(windows, low) : np.searchsorted(windows, low + SLICE)]
+        first, last = np.clip(at[:-1], low, low + SLICE), np.clip(ends, low, low + SLICE)
+        own = blocks.ranges(first - low, np.maximum(last - first, 0))
         if len(own):
-            hashes, anchor = _anchors(data[low : low + SLICE + length - 1], own - low, length, seed)
-            found.append(hashes)
-            anchors.append(anchor + low)
-    hashes, anchor = np.concatenate(found), np.concatenate(anchors)
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(windows)])
-    last = np.r_[new[1:], len(windows)][: len(new)] - 1
-    return hashes[new], windows[new], windows[last], doc[new]
-
-
-def _anchors(data: np.ndarray, windows: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the minimiser of each window of a slice; of equal hashes (their upper bits) the first place."""
+            runs.append(_runs(data[low : low + SLICE + length - 1], own, length, seed, low))
+    if not runs:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    hashes, anchor, first, last = map(np.concatenate, zip(*runs, strict=True))
+    new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])  # a run over an edge is one; documents share no place
+    first, last = first[new], last[np.r_[new[1:], len(anchor)] - 1]
+    return hashes[new], first, last, np.searchsorted(at, first, "right") - 1
+
+
+def _runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int, base: int) -> tuple[np.ndarray, ...]:
+    """(hash, place, first window, last window) of the minimisers of a slice that starts at base; of equal hashes (their upper
+    bits) the first place counts.
+    """
     width = length - seed + 1
-    prefix = blocks.prefix_hash(data)
     place = np.arange(len(data) - seed + 1)
-    hashes = blocks.span_hash(prefix, place, place + seed)
+    hashes = blocks.span_hash(blocks.prefix_hash(data), place, place + seed)
     low = (hashes & ~_PLACE) | place.astype(np.uint64)
+    del place
     span = 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     anchor = (low[windows] & _PLACE).astype(np.int64)
-    return hashes[anchor], anchor
+    del low
+    new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    last = np.r_[new[1:], len(windows)] - 1
+    return hashes[anchor[new]], anchor[new] + base, windows[new] + base, windows[last] + base
 
 
 def _postings(length: int, seed: int, parts: int):
