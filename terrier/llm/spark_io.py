@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys at any size.
 HOT_SHARE = 1000
+#: Partitions of an exchange at most; where there are more parts, a partition gets several, one after the other.
+MOST_PARTS = 20_000
 
 
 @functools.cache
@@ -22,8 +25,12 @@ def _local_fallback() -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_fallback()
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one if driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_fallback()
     return f"{base.rstrip('/')}/terrier-{uuid.uuid4().hex}"
 
 
@@ -39,13 +46,17 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that stored() wrote and nothing will read again; their shuffle files go with the JVM's garbage."""
+    """Deletes tables that stored() wrote and nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._terrier_path)
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._terrier_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    collect_garbage(tables[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that the driver no longer holds, once its garbage is collected."""
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

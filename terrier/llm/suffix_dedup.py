@@ -2,46 +2,61 @@
 
 A string of ``length`` bytes is found in a candidate stage and judged in a suffix stage.
 
-Candidates. Of the windows of ``length`` bytes, each is assigned to its minimiser (the ``SEED``-byte string in it with
-the smallest hash), so equal windows have equal minimisers and meet in one bucket. Minimisers that only one document
-holds are left out: their windows cannot repeat. For the others the stretch of text of all windows assigned to one
-occurrence is a segment; equal segments are one, with the smallest id.
+Blocks. Documents are packed into blocks of ``BLOCK_BYTES`` of text, a compressed table row each; every later exchange is
+between blocks and parts of a hash space, one row for each pair, so a string that a third of all documents hold costs one
+entry a block, and no task sees more than a part or a block. Of documents with equal texts (found and held against each
+other byte by byte by exact dedup) only the one with the smallest id takes part.
 
-Suffix order. The segments of a bucket are one collection. Column by column from the right, each round inserts one
-symbol of every segment into the collection's Burrows-Wheeler transform; common prefixes of neighbouring suffixes are
-updated in the same round, by minima over the intervals between equal symbols. Transform, prefixes and text places are
-sequential files, read once and written once a round. In the final order the suffixes that share ``length`` bytes are
-neighbours, and their smallest document id is the answer for all their windows.
+Candidates. Of the windows of ``length`` bytes, each is assigned to its minimiser (the ``SEED``-byte string in it with
+the smallest hash), so equal windows have equal minimisers. Minimisers that only one document holds are left out: their
+windows cannot repeat. For the others the stretch of text of all windows assigned to one occurrence is a segment; equal
+segments (compared by their bytes) are one, with the smallest id.
+
+Suffix order. Segments meet by minimiser. Those that have a window in common with a different segment are ordered in
+collections of about ``BUCKET_BYTES``; a segment without such a window is a collection of one string, whose windows all
+belong to the smallest id that holds it. Column by column from the right, each round inserts one symbol of every segment
+into the collection's Burrows-Wheeler transform; common prefixes of neighbouring suffixes are updated in the same round,
+by minima over the intervals between equal symbols. Transform, prefixes and text places are sequential files, read once
+and written once a round; they stay in memory up to ``FILE_BYTES`` and are seen by their own task only. In the final
+order the suffixes that share ``length`` bytes are neighbours, and their smallest document id is the answer for all their
+windows.
 
 Cases: null and empty texts have no windows; a string that repeats within one document only stays; matches never cross
-documents; overlaps count; repeated rows with one id count as one document; an empty table gives no rows; other columns
-are left out.
+documents; overlaps count; rows with one id count as one document, each with a row of its own in the result; a null id
+counts as larger than every id, and rows with a null id as one document; a text of any size is one block, whose task holds
+some twenty times its bytes; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
 from . import spark_io as io
-from .exact_dedup import build_index
+from .exact_dedup import exact_dedup
 
 LENGTH = 50
-SEED = 24
-#: Bytes of text behind one partition of minimisers, and bytes of segments behind one bucket of the suffix stage.
+SEED = 32
+BLOCK_BYTES = 2_000_000
+#: Bytes of text behind one part of the minimisers, and behind one part of the segments.
 PARTITION_BYTES = 32_000_000
-BUCKET_BYTES = 1_500_000
-_PLACE = np.uint64((1 << 26) - 1)
+SEGMENT_PART_BYTES = 16_000_000
+#: Bytes of segments of one collection, if they have more than one minimiser.
+BUCKET_BYTES = 400_000
+FILE_BYTES = 1 << 24
 #: Window places worked on at a time; slices overlap by length - 1 bytes, and their places must fit into _PLACE.
-SLICE = 1 << 23
+SLICE = 1 << 17
+_PLACE = np.uint64((1 << 18) - 1)
+NO_ID = np.iinfo(np.int64).max
+BLOCK = "block long, ids binary, sizes binary, copy binary, data binary"
 
 
 def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,7 +65,9 @@ def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tupl
     ends = at[:-1] + n_windows
     runs = []
     for low in range(0, len(data), SLICE):
-        first, last = np.clip(at[:-1], low, low + SLICE), np.clip(ends, low, low + SLICE)
+        # only the documents that reach into the slice
+        a, b = int(np.searchsorted(at, low, "right")) - 1, min(len(ends), int(np.searchsorted(at, low + SLICE, "left")))
+        first, last = np.clip(at[a:b], low, low + SLICE), np.clip(ends[a:b], low, low + SLICE)
         own = blocks.ranges(first - low, np.maximum(last - first, 0))
         if len(own):
             runs.append(_runs(data[low : low + SLICE + length - 1], own, length, seed, low))
@@ -70,141 +87,220 @@ def _runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int, base: i
     place = np.arange(len(data) - seed + 1)
     hashes = blocks.span_hash(blocks.prefix_hash(data), place, place + seed)
     low = (hashes & ~_PLACE) | place.astype(np.uint64)
-    del place
     span = 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
     anchor = (low[windows] & _PLACE).astype(np.int64)
-    del low
     new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     last = np.r_[new[1:], len(windows)] - 1
     return hashes[anchor[new]], anchor[new] + base, windows[new] + base, windows[last] + base
 
 
-def _postings(length: int, seed: int, parts: int):
-    """Rows (part, doc_id, blob): part < 0: minimisers of doc_id known to be shared; else those to be looked up, ids in front.
+# -- blocks ----------------------------------------------------------------------------------------------------------
 
-    A minimiser that several documents of the chunk hold is known to be shared at once; one mark of it goes out for
-    the other chunks, so a minimiser of many documents costs one posting a chunk.
-    """
+
+def _deflate(*columns: np.ndarray) -> bytes:
+    """Columns of one length each, with their lengths, compressed."""
+    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _inflate(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    at = np.r_[0, np.cumsum(np.frombuffer(raw, "<i8", len(kinds)))] + 8 * len(kinds)
+    return [np.frombuffer(raw[at[i] : at[i + 1]], kind) for i, kind in enumerate(kinds)]
+
+
+def _packed(limit: int):
+    """Rows (doc_id, text, copy) to blocks: the texts of copies are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks.chunks(batches, "text"):
-            ids = batch.column(0).to_numpy()
-            hashes, _, _, doc = minimisers(*blocks.text_bytes(batch.column(1)), length, seed)
-            order = np.lexsort((ids[doc], hashes))
-            h, d = hashes[order], ids[doc][order]
-            keep = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
-            h, d = h[keep], d[keep]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-            many = np.repeat(np.diff(np.r_[first, len(h)]) > 1, np.diff(np.r_[first, len(h)]))
-            known_h, known_d = h[many], d[many]
-            out: list[tuple[int, int, bytes]] = []
-            order = np.argsort(known_d, kind="stable")
-            known_h, known_d = known_h[order], known_d[order]
-            edges = np.flatnonzero(np.r_[True, known_d[1:] != known_d[:-1]][: len(known_d)]).tolist()
-            for low, high in zip(edges, [*edges[1:], len(known_d)], strict=False):
-                out.append((-1, int(known_d[low]), known_h[low:high].tobytes()))
-            send = ~many
-            send[first] = True
-            h, d, mark = h[send], d[send], many[send]
-            part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((d, mark, part))
-            h, d, mark, part = h[order], d[order], mark[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1)).tolist()
-            for p in range(parts):
-                low, high = edges[p], edges[p + 1]
-                if low < high:
-                    alone = int((~mark[low:high]).sum())
-                    short = (h[low:high] // np.uint64(parts)).astype("<u4")
-                    out.append((p, alone, d[low : low + alone].astype("<i8").tobytes() + short.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "key", "blob"])
+        number = TaskContext.get().partitionId() << 32
+        for batch in blocks.chunks(batches, "text", limit):
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            data, at = blocks.text_bytes(batch.column(1))
+            copy = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if copy.any():
+                data = data[~np.repeat(copy, np.diff(at))]
+            row = (number, ids.astype("<i8").tobytes(), np.diff(at).astype("<i8").tobytes(), copy.astype(np.uint8).tobytes(), _deflate(data))
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "ids", "sizes", "copy", "data"])
 
     return work
 
 
-def _shared(parts: int):
-    """Of the postings of whole parts, rows (doc_id, blob): short hashes with the part that other chunks hold too."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(block, ids, full sizes, copy, data, at, further columns) of every block; data and at are without the copies."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, ids, sizes, copy, data, *more = (c[i].as_py() for c in batch.columns)
+            ids, sizes, copy = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(copy, bool)
+            yield block, ids, sizes, copy, _inflate(data, "u1")[0], np.r_[0, np.cumsum(np.where(copy, 0, sizes))], more
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(rows), 500):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 500], strict=True), kinds, strict=True)], names)
+
+
+def _parts_of(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(order by part, parts that occur, their edges in the order)."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return order, part[first].tolist(), [*first.tolist(), len(part)]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(part, [(block, blob)]) of rows (part, block, blob) that come sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append((block, blob))
+    if held:
+        yield now, held
+
+
+_PART_ROW = (["part", "block", "blob"], (pa.int64(), pa.int64(), pa.binary()))
+
+
+# -- candidates ------------------------------------------------------------------------------------------------------
+
+
+def _short(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _postings(length: int, seed: int, parts: int):
+    """Rows (part, block, blob): the distinct minimisers of a block, as short hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for p, alone, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                d = np.frombuffer(blob, "<i8", alone)
-                h = np.frombuffer(blob, "<u4", -1, 8 * alone)
-                held.setdefault(p, []).append((h, np.r_[d, np.full(len(h) - alone, np.iinfo(np.int64).min)]))
-        for p in list(held):
-            h, d = map(np.concatenate, zip(*held.pop(p), strict=True))
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            same = h[1:] == h[:-1]
-            hit = np.r_[False, same] | np.r_[same, False]
-            hit &= d != np.iinfo(np.int64).min
-            h, d = h[hit], d[hit]
-            order = np.argsort(d, kind="stable")
-            h, d = h[order].astype(np.uint64), d[order]
-            key = h << np.uint64(32) | np.uint64(p)
-            edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]][: len(d)])
-            stops = np.r_[edges[1:], len(d)]
-            for low in range(0, len(edges), 20_000):
-                a, b = edges[low : low + 20_000], stops[low : low + 20_000]
-                blob = blocks.binary_column(key[a[0] : b[-1]].view(np.uint8), (b - a) * 8)
-                yield pa.RecordBatch.from_arrays([pa.array(d[a]), blob], ["key", "blob"])
+        for block, _, _, _, data, at, _ in _opened(batches):
+            hashes = np.unique(minimisers(data, at, length, seed)[0])
+            order, own, edges = _parts_of(hashes, parts)
+            short = _short(hashes[order], parts)
+            yield from _rows([(p, block, short[a:b].tobytes()) for p, a, b in zip(own, edges, edges[1:], strict=False)], *_PART_ROW)
 
     return work
 
 
-def _segments(length: int, seed: int, parts: int):
-    """Rows (k1, k2, doc_id, start, bucket_key, segment) of the shared minimisers of each document."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the postings of whole parts, rows (part, block, blob): the short hashes that another block holds too."""
+    for part, rows in _grouped(batches):
+        own = [np.frombuffer(blob, "<u4") for _, blob in rows]
+        row, short = np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(own)
+        order = np.argsort(short, kind="stable")
+        same = short[order][1:] == short[order][:-1]
+        hit = np.zeros(len(short), bool)
+        hit[order] = np.r_[False, same] | np.r_[same, False]
+        row, short = row[hit], short[hit]
+        edges = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+        yield from _rows([(part, block, short[a:b].tobytes()) for (block, _), a, b in zip(rows, edges, edges[1:], strict=False) if a < b], *_PART_ROW)
+
+
+class Segments:
+    """The candidate segments of a block: occurrences (doc, start, size, local), and the distinct ones in the order of local."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, at: np.ndarray, marks: list | None, length: int, seed: int, parts: int):
+        hashes, first, last, doc = minimisers(data, at, length, seed)
+        keep = np.zeros(len(hashes), bool)
+        if marks:
+            key = _short(hashes, parts).astype(np.uint64) << np.uint64(32) | hashes % np.uint64(parts)
+            known = np.concatenate([np.frombuffer(m["blob"], "<u4").astype(np.uint64) << np.uint64(32) | np.uint64(m["part"]) for m in marks])
+            known.sort()
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            keep |= known[place] == key
+        # those that two documents of the block hold
+        order = np.argsort(hashes, kind="stable")
+        other = (hashes[order][1:] == hashes[order][:-1]) & (ids[doc[order]][1:] != ids[doc[order]][:-1])
+        again = np.unique(hashes[order][1:][other])
+        if len(again):
+            place = np.minimum(np.searchsorted(again, hashes), len(again) - 1)
+            keep |= again[place] == hashes
+        rows = np.flatnonzero(keep)
+        self.doc, self.start, self.size = doc[rows], first[rows], last[rows] - first[rows] + length
+        owner, anchor = ids[self.doc], hashes[rows]
+        order, new = equal_spans(data, self.start, self.size, np.zeros(len(rows), np.uint64))
+        group = np.cumsum(new) - 1
+        self.local = np.empty(len(rows), np.int64)
+        self.local[order] = group
+        head = np.flatnonzero(new)
+        self.n = len(head)
+        self.low = np.minimum.reduceat(owner[order], head) if len(head) else np.zeros(0, np.int64)
+        self.several = self.low != (np.maximum.reduceat(owner[order], head) if len(head) else self.low)
+        self.anchor, self.at, self.length = anchor[order][head], self.start[order][head], self.size[order][head]
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and hash of the bytes, True where a span differs from the one before in key or any byte)."""
+    hashes = np.empty(len(start), np.uint64)
+    for low in range(0, len(start), 1 << 14):
+        s = slice(low, low + (1 << 14))
+        if not len(start[s]):
+            break
+        base, end = int(start[s].min()), int((start[s] + size[s]).max())
+        if end - base > 1 << 22:  # spans from all over
+            base, own = 0, blocks.ranges(start[s], size[s])
+            at = np.r_[0, np.cumsum(size[s])]
+            hashes[s] = blocks.span_hash(blocks.prefix_hash(data[own]), at[:-1], at[1:])
+        else:
+            hashes[s] = blocks.span_hash(blocks.prefix_hash(data[base:end]), start[s] - base, start[s] + size[s] - base)
+    order = np.lexsort((hashes, key))
+    new = np.ones(len(start), bool)
+    if len(start) > 1:
+        a, b = order[:-1], order[1:]
+        pairs = np.flatnonzero((hashes[a] == hashes[b]) & (key[a] == key[b]) & (size[a] == size[b]))
+        for low in range(0, len(pairs), 1 << 15):
+            p = pairs[low : low + (1 << 15)]
+            n = size[a[p]]
+            differ = data[blocks.ranges(start[a[p]], n)] != data[blocks.ranges(start[b[p]], n)]
+            new[p + 1] = np.add.reduceat(differ, np.cumsum(n) - n) > 0
+    return order, new
+
+
+def _segments(length: int, seed: int, parts: int, targets: int):
+    """Rows (part, block, blob): the distinct candidate segments of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "doc_id", "start", "anchor", "segment"]
-        for batch in blocks.chunks(batches, "text"):
-            ids = batch.column(0).to_numpy()
-            data, at = blocks.text_bytes(batch.column(1))
-            hashes, first, last, doc = minimisers(data, at, length, seed)
-            short = ((hashes // np.uint64(parts)) & np.uint64(0xFFFFFFFF)) << np.uint64(32) | hashes % np.uint64(parts)
-            keep = np.zeros(len(hashes), bool)
-            edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            for i, (full, looked) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                own = slice(edges[i], edges[i + 1])
-                for col, blobs in ((hashes, full), (short, looked)):
-                    if blobs:
-                        keep[own] |= np.isin(col[own], np.frombuffer(b"".join(blobs), "<u8"))
-            rows = np.flatnonzero(keep)
-            if not len(rows):
-                continue
-            start, size = first[rows], last[rows] - first[rows] + length
-            k1 = blocks.span_hash(blocks.prefix_hash(data), start, start + size)
-            k2 = blocks.span_hash(blocks.prefix_hash(data, blocks.BYTE_VALUE[::-1]), start, start + size)
-            for low in range(0, len(rows), 20_000):
-                s = slice(low, low + 20_000)
-                taken = data[blocks.ranges(start[s], size[s])]
-                yield pa.RecordBatch.from_arrays([pa.array(k1[s].view(np.int64)), pa.array(k2[s].view(np.int64)), pa.array(ids[doc[rows[s]]]), pa.array(start[s] - at[doc[rows[s]]]), pa.array(hashes[rows[s]].view(np.int64)), blocks.binary_column(taken, size[s])], names)
+        for block, ids, _, _, data, at, (marks,) in _opened(batches):
+            own = Segments(ids, data, at, marks, length, seed, parts)
+            order, part, edges = _parts_of(own.anchor // np.uint64(parts), targets)
+            out = []
+            for p, a, b in zip(part, edges, edges[1:], strict=False):
+                rows = order[a:b]
+                text = data[blocks.ranges(own.at[rows], own.length[rows])]
+                out.append((p, block, _deflate(rows.astype("<u4"), own.length[rows].astype("<u2"), own.several[rows], own.low[rows].astype("<i8"), own.anchor[rows], text)))
+            yield from _rows(out, *_PART_ROW)
 
     return work
 
 
+# -- suffix order ----------------------------------------------------------------------------------------------------
+
+
 class ExternalColumn:
     """One array of the collection, kept as a file that each round reads once and writes once, in order."""
 
-    def __init__(self, folder: str, name: str, kind: type):
-        self.paths = [os.path.join(folder, f"{name}{i}") for i in range(2)]
-        self.kind = kind
-        open(self.paths[0], "wb").close()
+    def __init__(self, kind: type):
+        self.kind, self.file = kind, tempfile.SpooledTemporaryFile(FILE_BYTES)
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.paths[0], self.kind)
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(), self.kind)
 
     def write(self, values: np.ndarray) -> None:
-        values.tofile(self.paths[1])
-        self.paths.reverse()
+        self.file.seek(0)
+        self.file.write(values.tobytes())  # arrays only grow, so nothing of the round before is left
 
 
-def suffix_order(text: np.ndarray, at: np.ndarray, cap: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, at: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """(text places, common prefixes up to ``cap``) of all suffixes of the strings text[at[i]:at[i+1]], in order.
 
     Suffixes end with their string; an end is smaller than any byte, and two ends share nothing. Symbols must be below 255.
@@ -212,65 +308,63 @@ def suffix_order(text: np.ndarray, at: np.ndarray, cap: int, folder: str) -> tup
     n = len(at) - 1
     if not len(text):
         return at[1:].astype(np.int32), np.zeros(n, np.uint8)
-    transform, common, places = ExternalColumn(folder, "bwt", np.uint8), ExternalColumn(folder, "lcp", np.uint8), ExternalColumn(folder, "place", np.int32)
+    transform, common, places = ExternalColumn(np.uint8), ExternalColumn(np.uint8), ExternalColumn(np.int32)
     lengths = np.diff(at)
     # round 0: the ends, in order of the strings
-    before = at[1:] - 1
-    transform.write(np.where(lengths > 0, text[np.maximum(before, 0)] + np.uint8(1), np.uint8(0)))
+    transform.write(np.where(lengths > 0, text[np.maximum(at[1:] - 1, 0)] + np.uint8(1), np.uint8(0)))
     common.write(np.zeros(n, np.uint8))
     places.write(at[1:].astype(np.int32))
-    active = np.flatnonzero(lengths > 0)
-    where = active.copy()  # of the last suffix of each active string
+    string = np.flatnonzero(lengths > 0)
+    where = string.copy()  # of the last suffix of each string that goes on; both in the order of the suffixes
     for step in range(1, int(lengths.max(initial=0)) + 1):
         bwt, lcp, sa = transform.read(), common.read(), places.read()
         size = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(size, np.int64)
-        rank[order] = np.arange(size)
-        by_symbol = np.bincount(bwt, minlength=257)
-        r = rank[where]
-        target = r - by_symbol[0] + n  # ends come first; no suffix starts with the 0 of a finished string
-        symbol = bwt[where]
-        position = at[active + 1] - step
-        incoming = np.where(position > at[active], text[np.maximum(position - 1, 0)] + np.uint8(1), np.uint8(0))
-
-        def span_min(left: np.ndarray, right: np.ndarray, lcp: np.ndarray = lcp) -> np.ndarray:
+        order = np.argsort(bwt, kind="stable")  # a counting sort of bytes
+        mark = np.zeros(size, bool)
+        mark[where] = True
+        r = np.flatnonzero(mark[order])  # ranks of the new suffixes among all equal symbols before them
+        now = order[r]
+        at_row = np.empty(size, np.int32)
+        at_row[where] = string
+        string = at_row[now]
+        target = r - int(np.count_nonzero(bwt == 0)) + n  # ends come first; no suffix starts with the 0 of a finished string
+        position = at[string + 1] - step
+        incoming = np.where(position > at[string], text[np.maximum(position - 1, 0)] + np.uint8(1), np.uint8(0))
+        symbol = bwt[now]
+        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, size - 1)]
+        has_before, has_after = (r > 0) & (bwt[before] == symbol), (r + 1 < size) & (bwt[after] == symbol)
+        padded = np.append(lcp, np.uint8(0))
+
+        def span_min(left: np.ndarray, right: np.ndarray, lcp: np.ndarray = padded) -> np.ndarray:
             """1 + the minimum of lcp over (left, right], at most cap."""
             if not len(left):
                 return np.zeros(0, np.uint8)
-            order = np.argsort(left, kind="stable")
             cuts = np.empty(2 * len(left), np.int64)
-            cuts[::2], cuts[1::2] = left[order] + 1, right[order] + 1
-            low = np.minimum.reduceat(np.append(lcp, np.uint8(0)), cuts)[::2]
-            out = np.empty(len(left), np.uint8)
-            out[order] = np.minimum(low, cap - 1) + 1
-            return out
-
-        has_before = (r > 0) & (bwt[order[np.maximum(r - 1, 0)]] == symbol)
-        has_after = (r + 1 < size) & (bwt[order[np.minimum(r + 1, size - 1)]] == symbol)
-        own = np.zeros(len(active), np.uint8)
-        own[has_before] = span_min(order[r[has_before] - 1], where[has_before])
-        follow = span_min(where[has_after], order[r[has_after] + 1])
-
-        grown = size + len(active)
-        old = np.ones(grown, bool)
+            cuts[::2], cuts[1::2] = left + 1, right + 1
+            return np.minimum(np.minimum.reduceat(lcp, cuts)[::2], cap - 1) + np.uint8(1)
+
+        own = np.zeros(len(now), np.uint8)
+        own[has_before] = span_min(before[has_before], now[has_before])
+        follow = span_min(now[has_after], after[has_after])
+
+        old = np.ones(size + len(now), bool)
         old[target] = False
         for column, was, new in ((transform, bwt, incoming), (places, sa, position)):
-            out = np.empty(grown, column.kind)
+            out = np.empty(len(old), column.kind)
             out[old], out[target] = was, new
             column.write(out)
-        out = np.empty(grown, np.uint8)
+        out = np.empty(len(old), np.uint8)
         out[old], out[target] = lcp, own
         out[target[has_after] + 1] = follow
         common.write(out)
-        going = position > at[active]
-        active, where = active[going], target[going]
+        going = position > at[string]
+        string, where = string[going], target[going]
     return places.read(), common.read()
 
 
-def window_owners(segments: list[bytes] | np.ndarray, at: np.ndarray, owner: np.ndarray, length: int, folder: str) -> np.ndarray:
+def window_owners(text: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """For every place of the joined segments, the smallest owner of an equal window of ``length`` bytes; -1 where none begins."""
-    place, common = suffix_order(segments, at, length, folder)
+    place, common = suffix_order(text, at, length)
     string = np.searchsorted(at, place, "right") - 1
     string = np.minimum(string, len(at) - 2)
     full = (place + length <= at[string + 1]) & (place >= at[string])
@@ -278,157 +372,180 @@ def window_owners(segments: list[bytes] | np.ndarray, at: np.ndarray, owner: np.
     full[: len(at) - 1] = False
     new = np.r_[True, common[1:] < length]
     first = np.flatnonzero(new)
-    big = np.iinfo(np.int64).max
-    low = np.minimum.reduceat(np.where(full, owner[string], big), first)
+    low = np.minimum.reduceat(np.where(full, owner[string], NO_ID), first)
     out = np.full(at[-1] + 1, -1, np.int64)
     out[place[full]] = np.repeat(low, np.diff(np.r_[first, len(place)]))[full]
     return out[:-1]
 
 
+def collection_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(string, low, high, owner) of the stretches of distinct strings whose windows belong to one owner, sorted by string."""
+    at = np.r_[0, np.cumsum(size)]
+    raw = data[blocks.ranges(start, size)]
+    alphabet = np.zeros(256, np.uint8)
+    present = np.unique(raw)
+    alphabet[present] = np.arange(len(present))
+    owners = window_owners(alphabet[raw], at, owner, length)
+    count = np.maximum(size - length + 1, 0)
+    spot, string = blocks.ranges(at[:-1], count), np.repeat(np.arange(len(size)), count)
+    own = owners[spot]
+    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (string[1:] != string[:-1])][: len(own)])
+    last = np.r_[new[1:], len(spot)] - 1
+    base = at[string[new]]
+    return string[new], spot[new] - base, spot[last] - base + length, own[new]
+
+
 def _judge(length: int):
-    """Rows (k1, k2, low, high, owner) of distinct segments (bucket, k1, k2, doc_id, segment) that come sorted by bucket."""
-
-    def one(rows: list[tuple]) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        at = np.r_[0, np.cumsum([len(r[4]) for r in rows])].astype(np.int64)
-        present = np.unique(raw)
-        text = np.searchsorted(present, raw).astype(np.uint8)
-        with tempfile.TemporaryDirectory(prefix="suffix") as folder:
-            owners = window_owners(text, at, np.array([r[3] for r in rows], np.int64), length, folder)
-        valid = np.flatnonzero(blocks.ranges(at[:-1], np.maximum(np.diff(at) - length + 1, 0)) >= 0)
-        spot = blocks.ranges(at[:-1], np.maximum(np.diff(at) - length + 1, 0))
-        seg = np.repeat(np.arange(len(rows)), np.maximum(np.diff(at) - length + 1, 0))
-        own = owners[spot]
-        new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (seg[1:] != seg[:-1])][: len(valid)])
-        last = np.r_[new[1:], len(spot)] - 1
-        k1, k2 = (np.array([r[i] for r in rows], np.int64)[seg[new]] for i in (1, 2))
-        base = at[seg[new]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, (spot[new] - base).astype(np.int32), (spot[last] - base + length).astype(np.int32), own[new])], ["k1", "k2", "low", "high", "owner"])
+    """Rows (block, blob) of the segments (part, block, blob) of whole parts: whose windows belong to smaller ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and rows[-1][0] != row[0]:
-                    yield one(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield one(rows)
+        for _, rows in _grouped(batches):
+            local, size, several, low, anchor, text = ([] for _ in range(6))
+            n = []
+            for _, blob in rows:
+                own = _inflate(blob, "<u4", "<u2", "?", "<i8", "<u8", "u1")
+                n.append(len(own[0]))
+                for column, values in zip((local, size, several, low, anchor, text), own, strict=True):
+                    column.append(values)
+            row = np.repeat(np.arange(len(rows)), n)
+            local, size, several, low, anchor, data = map(np.concatenate, (local, size, several, low, anchor, text))
+            del text
+            size = size.astype(np.int64)
+            start = np.cumsum(size) - size
+            order, new = equal_spans(data, start, size, anchor)
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
+            head = np.flatnonzero(new)
+            owner = np.minimum.reduceat(low[order], head)
+            at, length_of, key = start[order][head], size[order][head], anchor[order][head]
+            found = [(np.arange(len(head)), np.zeros(len(head), np.int64), length_of, owner)]
+            mixed = np.flatnonzero(_windows_met(data, at, length_of, key, length))
+            if len(mixed):
+                alone = np.ones(len(head), bool)
+                alone[mixed] = False
+                found = [tuple(c[alone] for c in found[0])]
+                cuts = np.flatnonzero(np.r_[True, key[mixed][1:] != key[mixed][:-1]])
+                held = np.cumsum(length_of[mixed])
+                low_cut = 0
+                for cut, following in zip(cuts, [*cuts[1:], len(mixed)], strict=True):
+                    if held[following - 1] - (held[low_cut - 1] if low_cut else 0) >= BUCKET_BYTES or following == len(mixed):
+                        own = mixed[low_cut:following]
+                        string, a, b, o = collection_owners(data, at[own], length_of[own], owner[own], length)
+                        found.append((own[string], a, b, o))
+                        low_cut = following
+            string, a, b, o = map(np.concatenate, zip(*found, strict=True))
+            by = np.argsort(string, kind="stable")
+            string, a, b, o = string[by], a[by], b[by], o[by]
+            first = np.searchsorted(string, np.arange(len(head) + 1))
+            count = np.diff(first)[group]
+            posting = np.repeat(np.arange(len(group)), count)
+            run = blocks.ranges(first[:-1][group], count)
+            loses = several[posting] | (low[posting] > o[run])
+            posting, run = posting[loses], run[loses]
+            edges = np.searchsorted(row[posting], np.arange(len(rows) + 1)).tolist()
+            out = []
+            for (block, _), x, y in zip(rows, edges, edges[1:], strict=False):
+                if x < y:
+                    p, q = posting[x:y], run[x:y]
+                    out.append((block, _deflate(local[p], a[q].astype("<u2"), b[q].astype("<u2"), o[q].astype("<i8"))))
+            yield from _rows(out, ["block", "blob"], (pa.int64(), pa.binary()))
 
     return work
 
 
-def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for low, high in sorted(spans):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
+def _windows_met(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """True for the distinct strings (sorted by key) with a window whose hash another string of their key has too: only these need an order."""
+    out = np.zeros(len(start), bool)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    several = np.flatnonzero(np.repeat(np.diff(np.r_[first, len(key)]) > 1, np.diff(np.r_[first, len(key)])))
+    low = 0
+    while low < len(several):
+        high = min(len(several), low + (1 << 16))
+        while high < len(several) and key[several[high]] == key[several[high - 1]]:
+            high += 1
+        own = several[low:high]
+        low = high
+        at = np.r_[0, np.cumsum(size[own])]
+        count = size[own] - length + 1
+        spot, string = blocks.ranges(at[:-1], count), np.repeat(np.arange(len(own)), count)
+        hashes = blocks.span_hash(blocks.prefix_hash(data[blocks.ranges(start[own], size[own])]), spot, spot + length)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        hit = order[np.r_[False, same] | np.r_[same, False]]
+        out[own[string[hit]]] = True
     return out
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, spans array<struct<low, high>>) of documents that lose bytes, in bytes of the UTF-8 text, sorted and
-    disjoint; and (doc_id) of documents that lose all since a smaller id has the same text.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    long = texts.filter(F.octet_length("text") >= length).withColumn("_digest", F.unhex(F.sha2("text", 256)))
-    total, size = long.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    repeated = io.stored(build_index(long, "_digest", "doc_id").filter("n > 1"), "repeated").withColumnRenamed("digest", "_digest")
-    copies = io.skew_safe_join(long.select("doc_id", "_digest"), repeated, ["_digest"], "n", total).filter("doc_id > best").select("doc_id")
-    copies = io.stored(copies, "copies")
-    first = long.select("doc_id", "text").join(F.broadcast(copies) if io.few(copies) else copies, "doc_id", "left_anti")
-
-    parts = max(1, -(-(size or 0) // PARTITION_BYTES))
-    if parts > 1 << 31:
-        raise ValueError("too many parts")
-    posted = io.stored(first.mapInArrow(_postings(length, seed, parts), "part int, key long, blob binary"), "postings")
-    looked = posted.filter("part >= 0").repartition(parts, "part").mapInArrow(_shared(parts), "key long, blob binary")
-    full = posted.filter("part < 0").select("key", F.col("blob").alias("full"), F.lit(None).cast("binary").alias("looked"))
-    marks = full.unionByName(looked.select("key", F.lit(None).cast("binary").alias("full"), F.col("blob").alias("looked")))
-    marks = io.stored(marks.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("full").alias("full"), F.collect_list("looked").alias("looked")), "marks")
-    io.discard(posted)
-    marked = io.restrict(first, marks.select("doc_id"), "doc_id").join(marks, "doc_id")
-    segments = io.stored(marked.select("doc_id", "text", "full", "looked").mapInArrow(_segments(length, seed, parts), "k1 long, k2 long, doc_id long, start long, anchor long, segment binary"), "segments")
-
-    io.discard(marks)
-    distinct = segments.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"), F.first("segment").alias("segment"))
-    distinct = io.stored(distinct, "distinct")
-    # a collection of one string needs no order: all its windows belong to the smallest id that holds it
-    meeting = io.stored(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.max("last").alias("latest"), F.min("doc_id").alias("earliest")).filter("n > 1 and latest > earliest").select("anchor"), "meeting")
-    single = distinct.join(meeting, "anchor", "left_anti").filter("last > doc_id").select("k1", "k2", F.lit(0).alias("low"), F.octet_length("segment").alias("high"), F.col("doc_id").alias("owner"))
-    together = distinct.join(meeting, "anchor", "left_semi")
-    segment_bytes = together.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    buckets = max(1, -(-segment_bytes // BUCKET_BYTES))
-    dealt = together.select(F.pmod("anchor", F.lit(buckets)).alias("bucket"), "k1", "k2", "doc_id", "segment")
-    dealt = dealt.repartition(int(min(buckets, 20_000)), "bucket").sortWithinPartitions("bucket", "k1", "k2")
-    owners = dealt.mapInArrow(_judge(length), "k1 long, k2 long, low int, high int, owner long")
-    # only segments that some later document could lose
-    owners = owners.join(distinct.select("k1", "k2", "last"), ["k1", "k2"]).filter("last > owner").drop("last")
-    owners = io.stored(owners.unionByName(single), "owners")
-    io.discard(distinct, meeting)
-    hits = segments.select("k1", "k2", "doc_id", "start").join(owners, ["k1", "k2"]).filter("doc_id > owner")
-    ranges = hits.select("doc_id", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).alias("span"))
-    gathered = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    spans = io.stored(gathered, "spans")
-    io.discard(segments, owners)
-    return spans, copies
-
-
-def _cut(characters: bool):
-    """Rows of texts with spans: what is left, its digest, and the merged spans."""
+# -- what is left ----------------------------------------------------------------------------------------------------
+
+
+def _finish(length: int, seed: int, parts: int, with_text: bool):
+    """Blocks with their marks and owners to one row per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n, removed, runs, digests, kept = batch.column(0), [], [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                merged = merged_spans([(s["low"], s["high"]) for s in spans])
-                if characters:  # only whole characters go
-                    inner = []
-                    for low, high in merged:
-                        while low < high and raw[low] & 0xC0 == 0x80:
-                            low += 1
-                        while high > low and high < len(raw) and raw[high] & 0xC0 == 0x80:
-                            high -= 1
-                        inner.append((low, high))
-                    merged = inner
-                left, at = [], 0
-                for low, high in merged:
-                    left.append(raw[at:low])
-                    at = high
-                rest = b"".join([*left, raw[at:]])
-                n.append(len(raw))
-                removed.append(len(raw) - len(rest))
-                runs.append(len(merged))
-                digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if characters else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        for _, ids, sizes, copy, data, at, (marks, found) in _opened(batches):
+            gone = np.zeros(len(data), bool)
+            if found:
+                own = Segments(ids, data, at, marks, length, seed, parts)
+                local, a, b, o = map(np.concatenate, zip(*(_inflate(blob, "<u4", "<u2", "<u2", "<i8") for blob in found), strict=True))
+                by = np.argsort(local, kind="stable")
+                first = np.searchsorted(local[by], np.arange(own.n + 1))
+                count = np.diff(first)[own.local]
+                spot, run = np.repeat(np.arange(len(own.local)), count), by[blocks.ranges(first[:-1][own.local], count)]
+                lost = o[run] < ids[own.doc[spot]]
+                spot, run = spot[lost], run[lost]
+                depth = np.zeros(len(data) + 1, np.int32)
+                np.add.at(depth, own.start[spot] + a[run], 1)
+                np.add.at(depth, own.start[spot] + b[run], -1)
+                gone = np.cumsum(depth[:-1]) > 0
+            if with_text and gone.any():  # only whole characters go
+                lead = (data & 0xC0) != 0x80
+                lead[0] = True
+                gone = np.minimum.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
+            starts, _ = blocks.runs_of(gone, at)
+            spans = np.diff(np.searchsorted(starts, at))
+            removed = np.diff(np.r_[0, np.cumsum(gone)][at])
+            rest = data[~gone].tobytes()
+            edges = np.r_[0, np.cumsum(np.diff(at) - removed)].tolist()
+            kept = [rest[x:y] for x, y in zip(edges, edges[1:], strict=False)]
+            whole = copy & (sizes > 0)
+            columns = [pa.array(ids, mask=ids == NO_ID), pa.array(sizes), pa.array(np.where(copy, sizes, removed)), pa.array(np.where(whole, 1, spans).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if with_text:
+                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return work
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the text that is left, of
-    which only whole characters are removed (the counts are then those of whole characters).
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept_text, the text that is
+    left, of which only whole characters are removed (the counts are then those of whole characters).
     """
-    spans, copies = removed_spans(docs, id_col, text_col, length)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    few, few_copies = io.few(spans), io.few(copies)
-    mark = F.broadcast(spans.select("doc_id", F.lit(True).alias("_spans"))) if few else spans.select("doc_id", F.lit(True).alias("_spans"))
-    gone = copies.select("doc_id", F.lit(True).alias("_copy"))
-    marked = texts.join(mark, "doc_id", "left").join(F.broadcast(gone) if few_copies else gone, "doc_id", "left")
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
-    n, copy = F.octet_length("text").cast("long"), F.coalesce("_copy", F.lit(False))
-    plain = marked.filter("_spans is null").select(
-        "doc_id", n.alias("n_bytes"), F.when(copy, n).otherwise(0).cast("long").alias("n_removed"), F.when(copy, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.sha2(F.when(copy, F.lit("")).otherwise(F.col("text")), 256).alias("kept_sha256"), F.when(copy, F.lit("")).otherwise(F.col("text")).alias("kept_text"),
-    )
-    cut = marked.filter("_spans is not null").select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
-    out = plain.unionByName(cut.withColumn("kept_text", F.col("kept_text").cast("string")))
-    return out.select(*columns).withColumnRenamed("doc_id", id_col)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, targets = max(1, -(-total // PARTITION_BYTES)), max(1, -(-total // SEGMENT_PART_BYTES))
+    copies = exact_dedup(texts.filter(F.octet_length("text") >= length), keep="min").filter("not kept and doc_id is not null")
+    copies = io.stored(copies.select("doc_id", F.col("text_sha256").alias("_sha"), F.lit(True).alias("_copy")).distinct(), "copies")
+    marked = texts.withColumn("_sha", F.sha2("text", 256)).join(F.broadcast(copies) if io.few(copies) else copies, ["doc_id", "_sha"], "left")
+    packed = io.stored(marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("copy")).mapInArrow(_packed(BLOCK_BYTES), BLOCK), "blocks")
+
+    posted = packed.mapInArrow(_postings(length, seed, parts), "part long, block long, blob binary")
+    shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_shared, "part long, block long, blob binary")
+    marks = io.stored(shared, "marks")
+    io.collect_garbage(docs.sparkSession)
+    by_block = marks.groupBy("block").agg(F.collect_list(F.struct("part", "blob")).alias("marks"))
+    known = packed.join(by_block, "block", "left")
+    segments = known.mapInArrow(_segments(length, seed, parts, targets), "part long, block long, blob binary")
+    owners = segments.repartition(int(min(targets, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_judge(length), "block long, blob binary")
+    owners = io.stored(owners, "owners")
+    io.collect_garbage(docs.sparkSession)
+    full = known.join(owners.groupBy("block").agg(F.collect_list("blob").alias("found")), "block", "left")
+    out = full.mapInArrow(_finish(length, seed, parts, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    out = io.stored(out, "left")
+    io.discard(copies, packed, marks, owners)
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
