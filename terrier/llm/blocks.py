@@ -1,4 +1,4 @@
-"""Vectorised work on the UTF-8 bytes of Arrow text columns: chunks, words, hashes."""
+"""Vectorised work on the UTF-8 bytes of Arrow text columns: chunks, words, hashes, and compressed blocks of documents."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 #: Bytes of text that are worked on at once; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -125,3 +126,79 @@ def list_column(values: np.ndarray, width: int, kind: pa.DataType) -> pa.Array:
     """A list column of rows of ``width`` values."""
     flat = pa.array(np.ascontiguousarray(values).reshape(-1), kind)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * width), flat)
+
+
+# -- blocks of documents, and rows (part, block, blob) between blocks and the parts of a hash space ----------------------
+
+#: Stands for a null id.
+NO_ID = np.iinfo(np.int64).max
+BLOCK = "block long, ids binary, sizes binary, flag binary, data binary"
+PART_ROW = (["part", "block", "blob"], (pa.int64(), pa.int64(), pa.binary()))
+PART_SCHEMA = "part long, block long, blob binary"
+
+
+def deflate(*columns: np.ndarray) -> bytes:
+    """Columns, with their numbers of bytes, compressed."""
+    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def inflate(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    at = np.r_[0, np.cumsum(np.frombuffer(raw, "<i8", len(kinds)))] + 8 * len(kinds)
+    return [np.frombuffer(raw[at[i] : at[i + 1]], kind) for i, kind in enumerate(kinds)]
+
+
+def pack(limit: int, without_flagged: bool = False):
+    """Rows (doc_id, text, flag) to blocks of at most ``limit`` bytes of text, or one longer text; without_flagged: no texts of flagged rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in chunks(batches, "text", limit):
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            data, at = text_bytes(batch.column(1))
+            flag = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            if without_flagged and flag.any():
+                data = data[~np.repeat(flag, np.diff(at))]
+            row = (number, ids.astype("<i8").tobytes(), np.diff(at).astype("<i8").tobytes(), flag.astype(np.uint8).tobytes(), deflate(data))
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "ids", "sizes", "flag", "data"])
+
+    return work
+
+
+def opened(batches: Iterator[pa.RecordBatch], without_flagged: bool = False) -> Iterator[tuple]:
+    """(block, ids, sizes, flag, data, at, further columns) of every block, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, ids, sizes, flag, data, *more = (c[i].as_py() for c in batch.columns)
+            ids, sizes, flag = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(flag, bool)
+            yield block, ids, sizes, flag, inflate(data, "u1")[0], np.r_[0, np.cumsum(np.where(flag, 0, sizes) if without_flagged else sizes)], more
+
+
+def rows(values: list[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(values), 500):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values[low : low + 500], strict=True), kinds, strict=True)], names)
+
+
+def parts_of(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(order by key % parts, parts that occur, their edges in the order)."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    return order, part[first].tolist(), [*first.tolist(), len(part)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(part, [(block, blob)]) of rows (part, block, blob) that come sorted by part; one part is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for part, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append((block, blob))
+    if held:
+        yield now, held

@@ -1,18 +1,21 @@
 """Language-model scores: cross-entropy difference of two matched bigram models.
 
-The target model counts the documents marked as target, the background model counts all documents; both have one
-vocabulary (all words of the corpus) and the same additive smoothing, and a document's own words are left out of the
-counts that judge it. P(w | v) = (c(v, w) + a) / (c(v) + a V). A document's score is the mean over its words of the
-target's loss less the background's: low where the document is like the target.
-
-The score is a sum over a document's distinct bigrams, of the counts of the bigram, and over its distinct contexts, of
-the counts of the context. So each distinct n-gram of a document is one posting, sent to the n-gram's partition, where
-counts and the documents' shares of the sums are worked out in one sort. N-grams that hold a large part of the documents
-of some chunk are counted before, chunk by chunk; their totals are broadcast (at most ``HOT_GRAMS`` of them) and they are
-never posted, so no partition gets a posting from every document.
-
-Cases: null and empty texts and texts without words have no words and a null score; repeated rows are documents of their
-own; an empty table gives no rows; other columns are left out.
+The target model counts the documents marked as target, the background model counts all documents. They are matched: one
+vocabulary (all words of the corpus), one additive smoothing, and background counts scaled by the target's share of all
+words, so that smoothing weighs alike in both and the difference tells the domain, not the size, of the models. All
+documents are counted; none is drawn. A document's own words are left out of the counts that judge it. With k = scale of
+the model, P(w | v) = (k c(v, w) + a) / (k c(v) + a V). A document's score is the mean over its words of the target's loss
+less the background's: low where the document is like the target.
+
+Documents are packed into compressed blocks. A block posts each n-gram that it holds once, with its counts, to the n-gram's
+part of the hash space, and gets the n-gram's totals back in the same order; then it works out its documents' sums. So the
+most frequent n-gram costs one posting a block, and a task holds one part or one block.
+
+Words and n-grams are told apart by hashes of 62 bits; two that collide would count as one.
+
+Cases: null and empty texts and texts without words have no words and a null score; each row is a document of its own,
+with a repeated or null id too (a null id is in no target); an empty target gives scores of 0; an empty table gives no
+rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,212 +31,129 @@ from . import blocks
 from . import spark_io as io
 
 ALPHA = 0.01
-#: No limit: the vocabulary's size is worked out from the hashes of all words.
-SKETCH = None
-#: A task sends out the distinct word hashes that it holds when they are so many.
-HELD_WORDS = 1 << 20
-HOT_GRAMS = 100_000
-#: An n-gram is a candidate for counting before if 1 / HOT_PART of a chunk's documents hold it, of HOT_DOCS at least.
-HOT_PART, HOT_DOCS = 16, 64
-PARTITION_BYTES = 16_000_000
-_BIGRAM, _CONTEXT = np.uint64(0), np.uint64(1)
+BLOCK_BYTES = 4_000_000
+#: Bytes of text behind one part of the n-grams.
+PARTITION_BYTES = 8_000_000
+#: The two lowest bits of an n-gram: bigram, context, last word of a document.
+_BIGRAM, _CONTEXT, _LAST, _KIND = np.uint64(0), np.uint64(1), np.uint64(2), np.uint64(3)
+TOTALS = "part long, block long, blob binary, words long, n long, n_target long"
 
 
-def document_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, document, times) sorted by document and n-gram; words of each document; the words' hashes.
+def document_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, their documents, last word of each document that has words, number of words of each document).
 
-    The lowest bit of an n-gram tells contexts from bigrams. A document's first word follows the start mark.
+    A document's first word follows the start mark; a context and a last word that are the same word differ in their lowest bits only.
     """
     starts, ends, doc = blocks.words(data, at)
     word = blocks.span_hash(blocks.prefix_hash(data, blocks.BYTE_VALUE_LOWER), starts, ends)
-    n = np.bincount(doc, minlength=len(at) - 1)
     before = np.r_[np.uint64(0), word[:-1]][: len(word)]
-    if len(word):
-        before[np.r_[True, doc[1:] != doc[:-1]]] = 0
-    context = blocks.mix(before + np.uint64(0x51ED270B)) & ~np.uint64(1) | _CONTEXT
-    bigram = blocks.mix(blocks.mix(before + np.uint64(0x2545F491)) + word) & ~np.uint64(1) | _BIGRAM
-    gram, own = np.concatenate([bigram, context]), np.concatenate([doc, doc])
-    order = np.lexsort((gram, own))
-    gram, own = gram[order], own[order]
-    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])][: len(gram)])
-    return gram[first], own[first], np.diff(np.r_[first, len(gram)]), n, word
-
-
-def share(gram: np.ndarray, own: np.ndarray, target: np.ndarray, c_t: np.ndarray, c_b: np.ndarray, size: float, alpha: float) -> np.ndarray:
-    """What postings add to the loss difference: own counts ``own`` (in the target too if ``target``) of totals c_t, c_b."""
-    context = (gram & np.uint64(1)) == _CONTEXT
-    smooth = np.where(context, alpha * size, alpha)
-    ratio = np.log((c_b - own + smooth) / (c_t - own * target + smooth))
-    return own * np.where(context, -ratio, ratio)
-
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n_words, null), and with a null id (hash, kind): of a word (0; distinct but for words sent out twice by long tasks) or a hot n-gram (1)."""
-    own, size = [], 0
-    names = ["doc_id", "n_words", "hash"]
-
-    def word_rows(words: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(np.zeros(len(words), np.int64)), pa.array(words.view(np.int64))], names)
-
-    for batch in blocks.chunks(batches, "text"):
-        gram, doc, _, n, word = document_grams(*blocks.text_bytes(batch.column(1)))
-        own.append(np.unique(word))
-        size += len(own[-1])
-        if size > HELD_WORDS:
-            own = [np.unique(np.concatenate(own))]
-            if len(own[0]) > HELD_WORDS // 2:
-                yield word_rows(own[0])
-                own = []
-            size = sum(map(len, own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.nulls(len(n), pa.int64())], names)
-        if batch.num_rows >= HOT_DOCS:
-            g, held = np.unique(gram, return_counts=True)
-            g = g[held * HOT_PART >= batch.num_rows]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int64()), pa.array(np.ones(len(g), np.int64)), pa.array(g.view(np.int64))], names)
-    if own:
-        yield word_rows(np.unique(np.concatenate(own)))
-
-
-def _hot_counts(shared):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        c_t, c_b = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)
-        for batch in blocks.chunks(batches, "text"):
-            gram, doc, times, _, _ = document_grams(*blocks.text_bytes(batch.column(1)))
-            target = np.array(batch.column(2).to_pylist(), bool)
-            at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-            hit = hot[at] == gram
-            c_b += np.bincount(at[hit], times[hit], minlength=len(hot)).astype(np.int64)
-            c_t += np.bincount(at[hit], times[hit] * target[doc[hit]], minlength=len(hot)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hot.view(np.int64)), pa.array(c_t), pa.array(c_b)], ["gram", "c_t", "c_b"])
-
-    return work
-
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(word)])
+    before[first] = 0
+    key = lambda w: blocks.mix(w + np.uint64(0x51ED270B)) & ~_KIND
+    bigram = blocks.mix(blocks.mix(before + np.uint64(0x2545F491)) + word) & ~_KIND | _BIGRAM
+    last = word[np.r_[first[1:], len(word)] - 1] if len(word) else word
+    return np.concatenate([bigram, key(before) | _CONTEXT]), np.concatenate([doc, doc]), key(last) | _LAST, np.bincount(doc, minlength=len(at) - 1)
 
-def _pack(ids: np.ndarray, target: np.ndarray, doc: np.ndarray, times: np.ndarray, gram: np.ndarray, parts: int) -> bytes:
-    """Postings of one part: documents, how many postings each has, own counts, 48 bits of the n-grams besides the part."""
-    held = np.bincount(doc, minlength=len(ids))
-    some = np.flatnonzero(held)
-    short = (gram >> np.uint64(1)) // np.uint64(parts)
-    code = (short << np.uint64(1) | gram & np.uint64(1)) & np.uint64((1 << 48) - 1)
-    code = (code & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (code >> np.uint64(32)).astype("<u2").tobytes()
-    return b"".join([np.array([len(some)], "<i8").tobytes(), ids[some].astype("<i8").tobytes(), target[some].astype(np.uint8).tobytes(), held[some].astype("<u4").tobytes(), times.astype("<u4").tobytes(), code])
 
+def _posted(gram: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a block, in the order in which each part gets them."""
+    return np.unique(np.concatenate([gram, last]))
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    ids = np.frombuffer(blob, "<i8", n, 8)
-    target = np.frombuffer(blob, np.uint8, n, 8 + 8 * n)
-    held = np.frombuffer(blob, "<u4", n, 8 + 9 * n).astype(np.int64)
-    m = int(held.sum())
-    times = np.frombuffer(blob, "<u4", m, 8 + 13 * n)
-    low, high = np.frombuffer(blob, "<u4", m, 8 + 13 * n + 4 * m), np.frombuffer(blob, "<u2", m, 8 + 13 * n + 8 * m)
-    return np.repeat(ids, held), np.repeat(target, held), times, high.astype(np.uint64) << np.uint64(32) | low
 
-
-def _postings(shared, parts: int, size: float, alpha: float):
-    """Rows (part, blob): postings of a part, or with part -1 (documents, sums) of the n-grams counted before."""
+def _postings(parts: int):
+    """Rows (part, block, blob): n-grams of a block with their counts in it, in all documents and in the target's."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, c_t, c_b = shared.value
-        for batch in blocks.chunks(batches, "text"):
-            ids, target = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), bool)
-            gram, doc, times, _, _ = document_grams(*blocks.text_bytes(batch.column(1)))
-            out: list[tuple[int, bytes]] = []
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
-                hit = hot[at] == gram
-                sums = np.bincount(doc[hit], share(gram[hit], times[hit], target[doc[hit]], c_t[at[hit]], c_b[at[hit]], size, alpha), minlength=len(ids))
-                out += _sums(ids, sums, parts, lambda p: -1 - p)
-                gram, doc, times = gram[~hit], doc[~hit], times[~hit]
-            part = ((gram >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            gram, doc, times = gram[order], doc[order], times[order]
-            edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-            out += [(p, _pack(ids, target, doc[a:b], times[a:b], gram[a:b], parts)) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary()), strict=True)], ["part", "blob"])
+        for block, _, _, target, data, at, _ in blocks.opened(batches):
+            gram, doc, last, _ = document_grams(data, at)
+            own = _posted(gram, last)
+            place = np.searchsorted(own, gram)
+            n, n_target = np.bincount(place, minlength=len(own)), np.bincount(place[target[doc]], minlength=len(own))
+            order, part, edges = blocks.parts_of(own >> np.uint64(2), parts)
+            code = (own >> np.uint64(2)) // np.uint64(parts) << np.uint64(2) | own & _KIND
+            out = []
+            for p, a, b in zip(part, edges, edges[1:], strict=False):
+                rows = order[a:b]
+                steps = np.diff(code[rows], prepend=np.uint64(0))  # ascending; their upper bytes are mostly 0
+                out.append((p, block, blocks.deflate(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T, n[rows].astype("<u4"), n_target[rows].astype("<u4"))))
+            yield from blocks.rows(out, *blocks.PART_ROW)
 
     return work
 
 
-def _sums(ids: np.ndarray, sums: np.ndarray, parts: int, name) -> list[tuple[int, bytes]]:
-    """(name(p), blob of ids and sums) of the documents that fall to each part p."""
-    part = ids % parts
-    order = np.argsort(part, kind="stable")
-    ids, sums = ids[order], sums[order]
-    edges = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
-    return [(name(p), ids[a:b].astype("<i8").tobytes() + sums[a:b].astype("<f8").tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole parts to rows (part, block, blob) of totals in the order of the postings, and a row of the part's sums."""
+    names, kinds = [*blocks.PART_ROW[0], "words", "n", "n_target"], (*blocks.PART_ROW[1], *[pa.int64()] * 3)
+    for part, rows in blocks.grouped(batches):
+        code, n, n_target = [], [], []
+        for _, blob in rows:
+            steps, all_n, own_n = blocks.inflate(blob, "u1", "<u4", "<u4")
+            code.append(np.cumsum(np.ascontiguousarray(steps.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64))
+            n.append(all_n)
+            n_target.append(own_n)
+        edges = np.r_[0, np.cumsum([len(c) for c in code])].tolist()
+        code, n, n_target = map(np.concatenate, (code, n, n_target))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        sums = [np.add.reduceat(c[order].astype(np.int64), first) for c in (n, n_target)]
+        held, group = np.diff(np.r_[first, len(code)]), np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), held)
+        kind = code[first] & _KIND
+        words = np.unique(code[first][kind != _BIGRAM] >> np.uint64(2))
+        bigram = kind == _BIGRAM
+        out = [(part, block, blocks.deflate(*(s[group[a:b]].astype("<i8") for s in sums)), None, None, None) for (block, _), a, b in zip(rows, edges, edges[1:], strict=False)]
+        yield from blocks.rows([*out, (part, -1, None, len(words), int(sums[0][bigram].sum()), int(sums[1][bigram].sum()))], names, kinds)
+
+
+def share(gram: np.ndarray, own: np.ndarray, target: np.ndarray, c_t: np.ndarray, c_b: np.ndarray, size: float, scale: float, alpha: float) -> np.ndarray:
+    """What n-grams add to the loss difference: own counts ``own`` (in the target too if ``target``) of totals c_t, c_b."""
+    context = (gram & _KIND) == _CONTEXT
+    smooth = np.where(context, alpha * size, alpha)
+    ratio = np.log((scale * (c_b - own) + smooth) / (c_t - own * target + smooth))
+    return own * np.where(context, -ratio, ratio)
 
 
-def _totals(parts: int, size: float, alpha: float):
-    """Postings of whole parts to (part of the documents, blob of documents and sums)."""
+def _scores(parts: int, size: float, scale: float, alpha: float):
+    """Blocks with their totals to rows (doc_id, n_words, in_target, score)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(p, []).append(blob)
-        for p in list(held):
-            blobs = held.pop(p)
-            if p < 0:
-                out = [(-1 - p, b) for b in blobs]
-            else:
-                doc, target, times, code = map(np.concatenate, zip(*map(_unpack, blobs), strict=True))
-                order = np.argsort(code, kind="stable")
-                code, doc, target, times = code[order], doc[order], target[order].astype(np.int64), times[order].astype(np.int64)
-                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-                n = np.diff(np.r_[first, len(code)])
-                c_b = np.repeat(np.add.reduceat(times, first), n)
-                c_t = np.repeat(np.add.reduceat(times * target, first), n)
-                ids, inverse = np.unique(doc, return_inverse=True)
-                sums = np.bincount(inverse, share(code.astype(np.uint64), times, target, c_t, c_b, size, alpha), minlength=len(ids))
-                out = _sums(ids, sums, parts, lambda q: q)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary()), strict=True)], ["part", "blob"])
+        for _, ids, _, target, data, at, (totals,) in blocks.opened(batches):
+            gram, doc, last, words = document_grams(data, at)
+            sums = np.zeros(len(ids))
+            if len(gram):
+                own = _posted(gram, last)
+                order, part, edges = blocks.parts_of(own >> np.uint64(2), parts)
+                c_b, c_t = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+                blob = {t["part"]: t["blob"] for t in totals}
+                for p, a, b in zip(part, edges, edges[1:], strict=False):
+                    c_b[order[a:b]], c_t[order[a:b]] = blocks.inflate(blob[p], "<i8", "<i8")
+                key, times = np.unique(doc * np.int64(len(own)) + np.searchsorted(own, gram), return_counts=True)
+                doc, place = key // len(own), key % len(own)
+                sums = np.bincount(doc, share(own[place], times, target[doc], c_t[place], c_b[place], size, scale, alpha), minlength=len(ids))
+            score = pa.array(sums / np.maximum(words, 1), mask=words == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == blocks.NO_ID), pa.array(words.astype(np.int64)), pa.array(target), score], ["doc_id", "n_words", "in_target", "score"])
 
     return work
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, total) of whole parts of documents."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(p, []).append(blob)
-    for blobs in held.values():
-        ids = np.concatenate([np.frombuffer(b, "<i8", len(b) // 16) for b in blobs])
-        sums = np.concatenate([np.frombuffer(b, "<f8", len(b) // 16, len(b) // 2) for b in blobs])
-        order = np.lexsort((sums, ids))  # one order of addition, whatever order blobs come in
-        ids, sums = ids[order], sums[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(np.add.reduceat(sums, first))], ["doc_id", "total"])
-
-
-def vocabulary_size(words: DataFrame | list[int]) -> float:
-    """The number of distinct hashes of words, at least 1."""
-    return float(max(1, words.distinct().count() if isinstance(words, DataFrame) else len(set(words))))
-
-
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """id, n_words, in_target, score. targets: (id) of the target's documents. Ids are taken to be distinct."""
-    spark = docs.sparkSession
+    """id, n_words, in_target, score, one row per row of docs. targets: (id) of the target's documents."""
     ids = targets.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(ids) if io.few(ids) else ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    survey = io.stored(rows.mapInArrow(_survey, "doc_id long, n_words long, hash long"), "survey")
-    size = vocabulary_size(survey.filter("doc_id is null and n_words = 0").select("hash"))
-    hot = survey.filter("doc_id is null and n_words = 1").groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(HOT_GRAMS).collect()
-    hot = np.sort(np.array([r["hash"] for r in hot], np.int64).view(np.uint64))
-    c_t = c_b = np.zeros(len(hot), np.int64)
-    if len(hot):
-        counted = rows.mapInArrow(_hot_counts(spark.sparkContext.broadcast(hot)), "gram long, c_t long, c_b long")
-        found = {r["gram"]: (r["t"], r["b"]) for r in counted.groupBy("gram").agg(F.sum("c_t").alias("t"), F.sum("c_b").alias("b")).collect()}
-        c_t, c_b = np.array([found.get(g, (0, 0)) for g in hot.view(np.int64).tolist()], np.int64).T
-    parts = int(max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES)))
-    posted = rows.mapInArrow(_postings(spark.sparkContext.broadcast((hot, c_t, c_b)), parts, size, alpha), "part int, blob binary")
-    sums = posted.repartition(parts, "part").mapInArrow(_totals(parts, size, alpha), "part int, blob binary").repartition(parts, "part").mapInArrow(_added, "doc_id long, total double")
-    known = survey.filter("doc_id is not null").select("doc_id", "n_words").join(ids.withColumnRenamed("target", "in_target"), "doc_id", "left").join(sums, "doc_id", "left")
-    return known.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("in_target", F.lit(False)).alias("in_target"), F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("score"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(ids) if io.few(ids) else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("flag"))
+    packed = io.stored(rows.mapInArrow(blocks.pack(BLOCK_BYTES), blocks.BLOCK), "blocks")
+    parts = int(max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // PARTITION_BYTES)))
+    posted = packed.mapInArrow(_postings(parts), blocks.PART_SCHEMA).repartition(min(parts, io.MOST_PARTS), "part").sortWithinPartitions("part")
+    totals = io.stored(posted.mapInArrow(_totals, TOTALS), "totals")
+    io.collect_garbage(docs.sparkSession)
+    # the start mark is a context but no word
+    words, n, n_target = (x or 0 for x in totals.filter("block = -1").agg(F.sum("words"), F.sum("n"), F.sum("n_target")).first())
+    by_block = totals.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "blob")).alias("totals"))
+    scored = packed.join(by_block, "block", "left").mapInArrow(_scores(parts, float(max(1, words - 1)), n_target / max(1, n), alpha), "doc_id long, n_words long, in_target boolean, score double")
+    scored = io.stored(scored, "scores")
+    io.discard(packed, totals)
+    return scored.withColumnRenamed("doc_id", id_col)
 
 
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

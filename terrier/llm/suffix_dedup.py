@@ -35,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +54,6 @@ FILE_BYTES = 1 << 24
 #: Window places worked on at a time; slices overlap by length - 1 bytes, and their places must fit into _PLACE.
 SLICE = 1 << 17
 _PLACE = np.uint64((1 << 18) - 1)
-NO_ID = np.iinfo(np.int64).max
-BLOCK = "block long, ids binary, sizes binary, copy binary, data binary"
 
 
 def minimisers(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,79 +95,6 @@ def _runs(data: np.ndarray, windows: np.ndarray, length: int, seed: int, base: i
     return hashes[anchor[new]], anchor[new] + base, windows[new] + base, windows[last] + base
 
 
-# -- blocks ----------------------------------------------------------------------------------------------------------
-
-
-def _deflate(*columns: np.ndarray) -> bytes:
-    """Columns of one length each, with their lengths, compressed."""
-    raw = b"".join([np.array([c.nbytes for c in columns], "<i8").tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _inflate(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    at = np.r_[0, np.cumsum(np.frombuffer(raw, "<i8", len(kinds)))] + 8 * len(kinds)
-    return [np.frombuffer(raw[at[i] : at[i + 1]], kind) for i, kind in enumerate(kinds)]
-
-
-def _packed(limit: int):
-    """Rows (doc_id, text, copy) to blocks: the texts of copies are left out."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in blocks.chunks(batches, "text", limit):
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
-            data, at = blocks.text_bytes(batch.column(1))
-            copy = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if copy.any():
-                data = data[~np.repeat(copy, np.diff(at))]
-            row = (number, ids.astype("<i8").tobytes(), np.diff(at).astype("<i8").tobytes(), copy.astype(np.uint8).tobytes(), _deflate(data))
-            number += 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "ids", "sizes", "copy", "data"])
-
-    return work
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, ids, full sizes, copy, data, at, further columns) of every block; data and at are without the copies."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block, ids, sizes, copy, data, *more = (c[i].as_py() for c in batch.columns)
-            ids, sizes, copy = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(copy, bool)
-            yield block, ids, sizes, copy, _inflate(data, "u1")[0], np.r_[0, np.cumsum(np.where(copy, 0, sizes))], more
-
-
-def _rows(rows: list[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
-    for low in range(0, len(rows), 500):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low : low + 500], strict=True), kinds, strict=True)], names)
-
-
-def _parts_of(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[int], list[int]]:
-    """(order by part, parts that occur, their edges in the order)."""
-    part = (key % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-    return order, part[first].tolist(), [*first.tolist(), len(part)]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(part, [(block, blob)]) of rows (part, block, blob) that come sorted by part."""
-    now, held = None, []
-    for batch in batches:
-        for part, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if part != now and held:
-                yield now, held
-                held = []
-            now = part
-            held.append((block, blob))
-    if held:
-        yield now, held
-
-
-_PART_ROW = (["part", "block", "blob"], (pa.int64(), pa.int64(), pa.binary()))
-
-
 # -- candidates ------------------------------------------------------------------------------------------------------
 
 
@@ -182,18 +106,18 @@ def _postings(length: int, seed: int, parts: int):
     """Rows (part, block, blob): the distinct minimisers of a block, as short hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, data, at, _ in _opened(batches):
+        for block, _, _, _, data, at, _ in blocks.opened(batches, True):
             hashes = np.unique(minimisers(data, at, length, seed)[0])
-            order, own, edges = _parts_of(hashes, parts)
+            order, own, edges = blocks.parts_of(hashes, parts)
             short = _short(hashes[order], parts)
-            yield from _rows([(p, block, short[a:b].tobytes()) for p, a, b in zip(own, edges, edges[1:], strict=False)], *_PART_ROW)
+            yield from blocks.rows([(p, block, short[a:b].tobytes()) for p, a, b in zip(own, edges, edges[1:], strict=False)], *blocks.PART_ROW)
 
     return work
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the postings of whole parts, rows (part, block, blob): the short hashes that another block holds too."""
-    for part, rows in _grouped(batches):
+    for part, rows in blocks.grouped(batches):
         own = [np.frombuffer(blob, "<u4") for _, blob in rows]
         row, short = np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(own)
         order = np.argsort(short, kind="stable")
@@ -202,7 +126,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit[order] = np.r_[False, same] | np.r_[same, False]
         row, short = row[hit], short[hit]
         edges = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
-        yield from _rows([(part, block, short[a:b].tobytes()) for (block, _), a, b in zip(rows, edges, edges[1:], strict=False) if a < b], *_PART_ROW)
+        yield from blocks.rows([(part, block, short[a:b].tobytes()) for (block, _), a, b in zip(rows, edges, edges[1:], strict=False) if a < b], *blocks.PART_ROW)
 
 
 class Segments:
@@ -269,15 +193,15 @@ def _segments(length: int, seed: int, parts: int, targets: int):
     """Rows (part, block, blob): the distinct candidate segments of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, _, _, data, at, (marks,) in _opened(batches):
+        for block, ids, _, _, data, at, (marks,) in blocks.opened(batches, True):
             own = Segments(ids, data, at, marks, length, seed, parts)
-            order, part, edges = _parts_of(own.anchor // np.uint64(parts), targets)
+            order, part, edges = blocks.parts_of(own.anchor // np.uint64(parts), targets)
             out = []
             for p, a, b in zip(part, edges, edges[1:], strict=False):
                 rows = order[a:b]
                 text = data[blocks.ranges(own.at[rows], own.length[rows])]
-                out.append((p, block, _deflate(rows.astype("<u4"), own.length[rows].astype("<u2"), own.several[rows], own.low[rows].astype("<i8"), own.anchor[rows], text)))
-            yield from _rows(out, *_PART_ROW)
+                out.append((p, block, blocks.deflate(rows.astype("<u4"), own.length[rows].astype("<u2"), own.several[rows], own.low[rows].astype("<i8"), own.anchor[rows], text)))
+            yield from blocks.rows(out, *blocks.PART_ROW)
 
     return work
 
@@ -372,7 +296,7 @@ def window_owners(text: np.ndarray, at: np.ndarray, owner: np.ndarray, length: i
     full[: len(at) - 1] = False
     new = np.r_[True, common[1:] < length]
     first = np.flatnonzero(new)
-    low = np.minimum.reduceat(np.where(full, owner[string], NO_ID), first)
+    low = np.minimum.reduceat(np.where(full, owner[string], blocks.NO_ID), first)
     out = np.full(at[-1] + 1, -1, np.int64)
     out[place[full]] = np.repeat(low, np.diff(np.r_[first, len(place)]))[full]
     return out[:-1]
@@ -399,11 +323,11 @@ def _judge(length: int):
     """Rows (block, blob) of the segments (part, block, blob) of whole parts: whose windows belong to smaller ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches):
+        for _, rows in blocks.grouped(batches):
             local, size, several, low, anchor, text = ([] for _ in range(6))
             n = []
             for _, blob in rows:
-                own = _inflate(blob, "<u4", "<u2", "?", "<i8", "<u8", "u1")
+                own = blocks.inflate(blob, "<u4", "<u2", "?", "<i8", "<u8", "u1")
                 n.append(len(own[0]))
                 for column, values in zip((local, size, several, low, anchor, text), own, strict=True):
                     column.append(values)
@@ -447,8 +371,8 @@ def _judge(length: int):
             for (block, _), x, y in zip(rows, edges, edges[1:], strict=False):
                 if x < y:
                     p, q = posting[x:y], run[x:y]
-                    out.append((block, _deflate(local[p], a[q].astype("<u2"), b[q].astype("<u2"), o[q].astype("<i8"))))
-            yield from _rows(out, ["block", "blob"], (pa.int64(), pa.binary()))
+                    out.append((block, blocks.deflate(local[p], a[q].astype("<u2"), b[q].astype("<u2"), o[q].astype("<i8"))))
+            yield from blocks.rows(out, ["block", "blob"], (pa.int64(), pa.binary()))
 
     return work
 
@@ -483,11 +407,11 @@ def _finish(length: int, seed: int, parts: int, with_text: bool):
     """Blocks with their marks and owners to one row per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, sizes, copy, data, at, (marks, found) in _opened(batches):
+        for _, ids, sizes, copy, data, at, (marks, found) in blocks.opened(batches, True):
             gone = np.zeros(len(data), bool)
             if found:
                 own = Segments(ids, data, at, marks, length, seed, parts)
-                local, a, b, o = map(np.concatenate, zip(*(_inflate(blob, "<u4", "<u2", "<u2", "<i8") for blob in found), strict=True))
+                local, a, b, o = map(np.concatenate, zip(*(blocks.inflate(blob, "<u4", "<u2", "<u2", "<i8") for blob in found), strict=True))
                 by = np.argsort(local, kind="stable")
                 first = np.searchsorted(local[by], np.arange(own.n + 1))
                 count = np.diff(first)[own.local]
@@ -509,7 +433,7 @@ def _finish(length: int, seed: int, parts: int, with_text: bool):
             edges = np.r_[0, np.cumsum(np.diff(at) - removed)].tolist()
             kept = [rest[x:y] for x, y in zip(edges, edges[1:], strict=False)]
             whole = copy & (sizes > 0)
-            columns = [pa.array(ids, mask=ids == NO_ID), pa.array(sizes), pa.array(np.where(copy, sizes, removed)), pa.array(np.where(whole, 1, spans).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            columns = [pa.array(ids, mask=ids == blocks.NO_ID), pa.array(sizes), pa.array(np.where(copy, sizes, removed)), pa.array(np.where(whole, 1, spans).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
@@ -529,15 +453,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = exact_dedup(texts.filter(F.octet_length("text") >= length), keep="min").filter("not kept and doc_id is not null")
     copies = io.stored(copies.select("doc_id", F.col("text_sha256").alias("_sha"), F.lit(True).alias("_copy")).distinct(), "copies")
     marked = texts.withColumn("_sha", F.sha2("text", 256)).join(F.broadcast(copies) if io.few(copies) else copies, ["doc_id", "_sha"], "left")
-    packed = io.stored(marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("copy")).mapInArrow(_packed(BLOCK_BYTES), BLOCK), "blocks")
+    packed = io.stored(marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("flag")).mapInArrow(blocks.pack(BLOCK_BYTES, True), blocks.BLOCK), "blocks")
 
-    posted = packed.mapInArrow(_postings(length, seed, parts), "part long, block long, blob binary")
-    shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_shared, "part long, block long, blob binary")
+    posted = packed.mapInArrow(_postings(length, seed, parts), blocks.PART_SCHEMA)
+    shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_shared, blocks.PART_SCHEMA)
     marks = io.stored(shared, "marks")
     io.collect_garbage(docs.sparkSession)
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("part", "blob")).alias("marks"))
     known = packed.join(by_block, "block", "left")
-    segments = known.mapInArrow(_segments(length, seed, parts, targets), "part long, block long, blob binary")
+    segments = known.mapInArrow(_segments(length, seed, parts, targets), blocks.PART_SCHEMA)
     owners = segments.repartition(int(min(targets, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_judge(length), "block long, blob binary")
     owners = io.stored(owners, "owners")
     io.collect_garbage(docs.sparkSession)

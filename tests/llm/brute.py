@@ -35,13 +35,14 @@ def near(docs, percent, width=5):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def suffix(docs, length=50):
+def suffix_rows(docs, length=50):
+    """(id, bytes, removed, spans, digest of the rest) of every row of docs."""
     first = {}
     for i, t in sorted(docs, key=lambda r: r[0]):
         b = (t or "").encode()
         for p in range(len(b) - length + 1):
             first.setdefault(b[p : p + length], i)
-    out = {}
+    out = []
     for i, t in docs:
         b = (t or "").encode()
         cover = np.zeros(len(b), bool)
@@ -49,28 +50,34 @@ def suffix(docs, length=50):
             if first[b[p : p + length]] < i:
                 cover[p : p + length] = True
         runs = int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum())
-        out[i] = (len(b), int(cover.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~cover].tobytes()).hexdigest())
+        out.append((i, len(b), int(cover.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~cover].tobytes()).hexdigest()))
     return out
 
 
-def cross_entropy(docs, targets, alpha, size=None):
-    words = {i: WORD.findall((t or "").translate(LOWER)) for i, t in docs}
-    own = {}
+def suffix(docs, length=50):
+    return {i: tuple(rest) for i, *rest in suffix_rows(docs, length)}
+
+
+def cross_entropy(docs, targets, alpha):
+    """Score of every row of docs, (id, text), in their order; the background's counts are scaled to the target's number of words."""
+    words = [WORD.findall((t or "").translate(LOWER)) for _, t in docs]
+    target = [i is not None and i in targets for i, _ in docs]
+    own = [(collections.Counter(zip(["", *w], w, strict=False)), collections.Counter(["", *w][:-1])) for w in words]
     b, bt, c, ct = (collections.Counter() for _ in range(4))
-    for i, w in words.items():
-        own[i] = collections.Counter(zip(["", *w], w, strict=False)), collections.Counter(["", *w][:-1])
-        b.update(own[i][0])
-        c.update(own[i][1])
-        if i in targets:
-            bt.update(own[i][0])
-            ct.update(own[i][1])
-    size = size or len({x for w in words.values() for x in w})
-    out = {}
-    for i, (grams, heads) in own.items():
-        t, total = i in targets, 0.0
-        for (v, w), k in grams.items():
-            p_t = (bt[v, w] - k * t + alpha) / (ct[v] - heads[v] * t + alpha * size)
-            p_b = (b[v, w] - k + alpha) / (c[v] - heads[v] + alpha * size)
-            total += k * (math.log(p_b) - math.log(p_t))
-        out[i] = total / len(words[i]) if words[i] else None
+    for (grams, heads), t in zip(own, target, strict=True):
+        b.update(grams)
+        c.update(heads)
+        if t:
+            bt.update(grams)
+            ct.update(heads)
+    size = max(1, len({x for w in words for x in w}))
+    k = sum(len(w) for w, t in zip(words, target, strict=True) if t) / max(1, sum(map(len, words)))
+    out = []
+    for (grams, heads), t, w in zip(own, target, words, strict=True):
+        total = 0.0
+        for (v, x), n in grams.items():
+            p_t = (bt[v, x] - n * t + alpha) / (ct[v] - heads[v] * t + alpha * size)
+            p_b = (k * (b[v, x] - n) + alpha) / (k * (c[v] - heads[v]) + alpha * size)
+            total += n * (math.log(p_b) - math.log(p_t))
+        out.append(total / len(w) if w else None)
     return out

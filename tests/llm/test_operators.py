@@ -114,6 +114,23 @@ def test_suffix_dedup(docs, odd, empty):
     assert kept[8] == ("",) and kept[7] == (LONG,) and kept[11][0].startswith("é漢🙂")
 
 
+@pytest.mark.parametrize("block, part", [(2_000_000, 16_000_000), (3_000, 2_000)])
+def test_suffix_dedup_of_many_blocks_and_odd_ids(spark, docs, monkeypatch, block, part):
+    """Passages over blocks and parts; null ids come last and are one document, and so are rows with one id."""
+    for name, size in (("BLOCK_BYTES", block), ("PARTITION_BYTES", part), ("SEGMENT_PART_BYTES", part), ("BUCKET_BYTES", 300)):
+        monkeypatch.setattr(suffix_dedup, name, size)
+    rng = np.random.default_rng(11)
+    passages = ["".join(rng.choice(list("abcd efgh"), 90)) for _ in range(12)]
+    rows = [(int(i), "".join([passages[j] + str(rng.integers(0, 99)) for j in rng.integers(0, 12, 3)])) for i in rng.permutation(80)]
+    rows += [(5, passages[0] + passages[1]), (5, passages[0] + passages[1]), (None, passages[2] + " of its own" * 9), (None, " of its own" * 9), (None, rows[0][1]), (None, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept_text string").repartition(5)
+    last = 1 << 40
+    want = brute.suffix_rows([(last if i is None else i, t) for i, t in rows])
+    got = suffix_dedup.suffix_dedup(df).collect()
+    assert sorted((last if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    assert by_id(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(pairs(docs))
+
+
 def test_a_text_over_64_mb_has_minimisers():
     rng = np.random.default_rng(5)
     data = rng.integers(0, 256, (1 << 26) + 1000).astype(np.uint8)
@@ -269,29 +286,39 @@ def test_identity_swaps_do_not_move_a_score():
     assert gap[1] < 0.05 and gap[1] <= gap[0]
 
 
-def test_lm_scores(spark, docs, odd, empty):
+def key_of(row):
+    return tuple((x is not None, x if x is not None else 0) for x in row)
+
+
+def same_scores(df, targets):
+    """Scores of all rows, rows with equal or null ids among them, against the brute force, which counts the vocabulary itself."""
+    who = {r.doc_id for r in targets.collect()}
+    rows = pairs(df)
+    got = sorted(((r.doc_id, r.score) for r in lm_scoring.cross_entropy_difference(df, targets).collect()), key=key_of)
+    want = sorted(((i, s) for (i, _), s in zip(rows, brute.cross_entropy(rows, who, lm_scoring.ALPHA), strict=True)), key=key_of)
+    assert len(got) == len(want)
+    for (i, a), (j, b) in zip(got, want, strict=True):
+        assert i == j and a == (None if b is None else pytest.approx(b, abs=1e-9))
+
+
+@pytest.mark.parametrize("block, part", [(4_000_000, 8_000_000), (20_000, 15_000)])
+def test_lm_scores(spark, docs, odd, empty, monkeypatch, block, part):
+    """Also with many blocks and parts."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_scoring, "PARTITION_BYTES", part)
     targets = spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 1").select("doc_id")
-    ids = {r.doc_id for r in targets.collect()}
-    hashes = [lm_scoring.document_grams(*lm_scoring.blocks.text_bytes(lm_scoring.pa.array([t])))[4] for _, t in pairs(docs)]
-    size = lm_scoring.vocabulary_size(np.unique(np.concatenate(hashes))[: lm_scoring.SKETCH].tolist())
-    for df, who, n in ((docs, ids, size), (odd, {7}, None)):
-        got = by_id(lm_scoring.cross_entropy_difference(df, targets if who is ids else odd.filter("doc_id = 7").select("doc_id")), "score")
-        for i, s in brute.cross_entropy(pairs(df), who, lm_scoring.ALPHA, n).items():
-            assert got[i][0] == (None if s is None else pytest.approx(s, abs=1e-9))
+    same_scores(docs, targets)
+    strange = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a null id"), (None, ""), (None, None), (None, "one"), (4, "an id again"), (7, "of the target again")], "doc_id long, text string"))
+    same_scores(strange, odd.filter("doc_id = 7").select("doc_id"))
+    assert {r.score for r in lm_scoring.cross_entropy_difference(odd, targets.filter("false")).collect()} <= {None, 0.0}
     assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
 
 
-@pytest.mark.parametrize("held", [1 << 20, 500])
-def test_lm_scores_count_every_word(spark, monkeypatch, held):
-    """Over 4,096 words; the brute force counts the vocabulary itself. Tasks also send their words out early."""
-    monkeypatch.setattr(lm_scoring, "HELD_WORDS", held)
-    seen = [np.asarray(b.column(2)) for b in lm_scoring._survey(lm_scoring.pa.RecordBatch.from_pydict({"doc_id": [i], "text": [f"a{i} b{i} a{i - 1}"]}) for i in range(900)) if b.column(0).null_count]
-    assert len(np.unique(np.concatenate(seen))) == 1801
+def test_lm_scores_count_every_word(spark):
+    """Over 4,096 words."""
     df = spark.createDataFrame([(i, " ".join(f"w{i * 97 + j * (1 + i % 3)}" for j in range(150))) for i in range(60)], "doc_id long, text string")
     assert len({w for _, t in pairs(df) for w in t.split()}) > 4096
-    got = by_id(lm_scoring.cross_entropy_difference(df, df.filter("doc_id % 4 = 0").select("doc_id")), "score")
-    for i, score in brute.cross_entropy(pairs(df), set(range(0, 60, 4)), lm_scoring.ALPHA, None).items():
-        assert got[i][0] == pytest.approx(score, abs=1e-9)
+    same_scores(df, df.filter("doc_id % 4 = 0").select("doc_id"))
 
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
