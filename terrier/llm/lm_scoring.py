@@ -55,19 +55,14 @@ def document_grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([bigram, key(before) | _CONTEXT]), np.concatenate([doc, doc]), key(last) | _LAST, np.bincount(doc, minlength=len(at) - 1)
 
 
-def _posted(gram: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The distinct n-grams of a block, in the order in which each part gets them."""
-    return np.unique(np.concatenate([gram, last]))
-
-
 def _postings(parts: int):
     """Rows (part, block, blob): n-grams of a block with their counts in it, in all documents and in the target's."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, target, data, at, _ in blocks.opened(batches):
             gram, doc, last, _ = document_grams(data, at)
-            own = _posted(gram, last)
-            place = np.searchsorted(own, gram)
+            own, place = blocks.numbered(np.concatenate([gram, last]))
+            place = place[: len(gram)]
             n, n_target = np.bincount(place, minlength=len(own)), np.bincount(place[target[doc]], minlength=len(own))
             order, part, edges = blocks.parts_of(own >> np.uint64(2), parts)
             code = (own >> np.uint64(2)) // np.uint64(parts) << np.uint64(2) | own & _KIND
@@ -93,14 +88,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_target.append(own_n)
         edges = np.r_[0, np.cumsum([len(c) for c in code])].tolist()
         code, n, n_target = map(np.concatenate, (code, n, n_target))
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code = code[order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
         sums = [np.add.reduceat(c[order].astype(np.int64), first) for c in (n, n_target)]
         held, group = np.diff(np.r_[first, len(code)]), np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(first)), held)
         kind = code[first] & _KIND
-        words = np.unique(code[first][kind != _BIGRAM] >> np.uint64(2))
+        words = blocks.distinct(code[first][kind != _BIGRAM] >> np.uint64(2))
         bigram = kind == _BIGRAM
         out = [(part, block, blocks.deflate(*(s[group[a:b]].astype("<i8") for s in sums)), None, None, None) for (block, _), a, b in zip(rows, edges, edges[1:], strict=False)]
         yield from blocks.rows([*out, (part, -1, None, len(words), int(sums[0][bigram].sum()), int(sums[1][bigram].sum()))], names, kinds)
@@ -122,13 +117,13 @@ def _scores(parts: int, size: float, scale: float, alpha: float):
             gram, doc, last, words = document_grams(data, at)
             sums = np.zeros(len(ids))
             if len(gram):
-                own = _posted(gram, last)
+                own, place = blocks.numbered(np.concatenate([gram, last]))
                 order, part, edges = blocks.parts_of(own >> np.uint64(2), parts)
                 c_b, c_t = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
                 blob = {t["part"]: t["blob"] for t in totals}
                 for p, a, b in zip(part, edges, edges[1:], strict=False):
                     c_b[order[a:b]], c_t[order[a:b]] = blocks.inflate(blob[p], "<i8", "<i8")
-                key, times = np.unique(doc * np.int64(len(own)) + np.searchsorted(own, gram), return_counts=True)
+                key, times = np.unique(doc * np.int64(len(own)) + place[: len(gram)], return_counts=True)
                 doc, place = key // len(own), key % len(own)
                 sums = np.bincount(doc, share(own[place], times, target[doc], c_t[place], c_b[place], size, scale, alpha), minlength=len(ids))
             score = pa.array(sums / np.maximum(words, 1), mask=words == 0)

@@ -6,6 +6,7 @@ import functools
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,18 +46,27 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def remove(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote and nothing will read again."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._terrier_path)
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._terrier_path).getParent()
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """remove(), and the shuffle files of plans that are gone."""
+    remove(*tables)
     collect_garbage(tables[0].sparkSession)
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of plans that the driver no longer holds, once its garbage is collected."""
+    """Spark deletes the shuffle files of plans that the driver no longer holds, once its garbage is collected. What the last
+    query held goes in a second round, after the references that the first has cleared.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -64,6 +74,12 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def hash_line(rows: int, wanted: int) -> int:
+    """A bound of signed 64-bit hashes that ``wanted`` of so many distinct ones, or slightly more, do not pass: a sample is chosen before anything leaves a task."""
+    share = 1.0 if rows <= wanted else min(1.0, (wanted + 6 * wanted**0.5 + 10) / rows)
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
 def restrict(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of df whose key is in keys (distinct): by broadcast if keys were counted to be few, else by shuffle."""
     return df.join(F.broadcast(keys) if few(keys) else keys, on, "left_semi")
@@ -102,12 +118,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b")))
-        e = stored(small.distinct(), "edges")
+        before, e = e, stored(small.distinct(), "edges")
+        remove(before)
         if not _unsettled(e).take(1):
             break
     else:
         raise RuntimeError("components did not settle")
-    return stored(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select("b", "b").distinct().toDF("node", "comp")), "components")
+    out = stored(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select("b", "b").distinct().toDF("node", "comp")), "components")
+    remove(e)
+    return out
 
 
 def _unsettled(e: DataFrame) -> DataFrame:

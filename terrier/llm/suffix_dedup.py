@@ -44,10 +44,10 @@ from .exact_dedup import exact_dedup
 
 LENGTH = 50
 SEED = 32
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Bytes of text behind one part of the minimisers, and behind one part of the segments.
 PARTITION_BYTES = 32_000_000
-SEGMENT_PART_BYTES = 16_000_000
+SEGMENT_PART_BYTES = 8_000_000
 #: Bytes of segments of one collection, if they have more than one minimiser.
 BUCKET_BYTES = 400_000
 FILE_BYTES = 1 << 24
@@ -107,7 +107,7 @@ def _postings(length: int, seed: int, parts: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, _, data, at, _ in blocks.opened(batches, True):
-            hashes = np.unique(minimisers(data, at, length, seed)[0])
+            hashes = blocks.distinct(minimisers(data, at, length, seed)[0])
             order, own, edges = blocks.parts_of(hashes, parts)
             short = _short(hashes[order], parts)
             yield from blocks.rows([(p, block, short[a:b].tobytes()) for p, a, b in zip(own, edges, edges[1:], strict=False)], *blocks.PART_ROW)
@@ -120,7 +120,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, rows in blocks.grouped(batches):
         own = [np.frombuffer(blob, "<u4") for _, blob in rows]
         row, short = np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(own)
-        order = np.argsort(short, kind="stable")
+        order = np.argsort(short)
         same = short[order][1:] == short[order][:-1]
         hit = np.zeros(len(short), bool)
         hit[order] = np.r_[False, same] | np.r_[same, False]
@@ -142,9 +142,9 @@ class Segments:
             place = np.minimum(np.searchsorted(known, key), len(known) - 1)
             keep |= known[place] == key
         # those that two documents of the block hold
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         other = (hashes[order][1:] == hashes[order][:-1]) & (ids[doc[order]][1:] != ids[doc[order]][:-1])
-        again = np.unique(hashes[order][1:][other])
+        again = blocks.distinct(hashes[order][1:][other])
         if len(again):
             place = np.minimum(np.searchsorted(again, hashes), len(again) - 1)
             keep |= again[place] == hashes
@@ -193,7 +193,7 @@ def _segments(length: int, seed: int, parts: int, targets: int):
     """Rows (part, block, blob): the distinct candidate segments of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, _, _, data, at, (marks,) in blocks.opened(batches, True):
+        for block, ids, _, _, data, at, (_, marks) in blocks.opened(batches, True):
             own = Segments(ids, data, at, marks, length, seed, parts)
             order, part, edges = blocks.parts_of(own.anchor // np.uint64(parts), targets)
             out = []
@@ -307,7 +307,7 @@ def collection_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, own
     at = np.r_[0, np.cumsum(size)]
     raw = data[blocks.ranges(start, size)]
     alphabet = np.zeros(256, np.uint8)
-    present = np.unique(raw)
+    present = np.flatnonzero(np.bincount(raw, minlength=256))
     alphabet[present] = np.arange(len(present))
     owners = window_owners(alphabet[raw], at, owner, length)
     count = np.maximum(size - length + 1, 0)
@@ -393,7 +393,7 @@ def _windows_met(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.
         count = size[own] - length + 1
         spot, string = blocks.ranges(at[:-1], count), np.repeat(np.arange(len(own)), count)
         hashes = blocks.span_hash(blocks.prefix_hash(data[blocks.ranges(start[own], size[own])]), spot, spot + length)
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         same = hashes[order][1:] == hashes[order][:-1]
         hit = order[np.r_[False, same] | np.r_[same, False]]
         out[own[string[hit]]] = True
@@ -407,7 +407,7 @@ def _finish(length: int, seed: int, parts: int, with_text: bool):
     """Blocks with their marks and owners to one row per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, sizes, copy, data, at, (marks, found) in blocks.opened(batches, True):
+        for _, ids, sizes, copy, data, at, (digests, marks, found) in blocks.opened(batches, True):
             gone = np.zeros(len(data), bool)
             if found:
                 own = Segments(ids, data, at, marks, length, seed, parts)
@@ -436,8 +436,8 @@ def _finish(length: int, seed: int, parts: int, with_text: bool):
             columns = [pa.array(ids, mask=ids == blocks.NO_ID), pa.array(sizes), pa.array(np.where(copy, sizes, removed)), pa.array(np.where(whole, 1, spans).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
-                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                names.append("kept_text")
+                columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([digests[i : i + 32] for i in range(0, len(digests), 32)], pa.binary())]
+                names += ["kept_text", "text_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return work
@@ -445,7 +445,8 @@ def _finish(length: int, seed: int, parts: int, with_text: bool):
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept_text, the text that is
-    left, of which only whole characters are removed (the counts are then those of whole characters).
+    left, of which only whole characters are removed (the counts are then those of whole characters), and text_sha256 of the
+    text as it was, in binary.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -453,7 +454,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = exact_dedup(texts.filter(F.octet_length("text") >= length), keep="min").filter("not kept and doc_id is not null")
     copies = io.stored(copies.select("doc_id", F.col("text_sha256").alias("_sha"), F.lit(True).alias("_copy")).distinct(), "copies")
     marked = texts.withColumn("_sha", F.sha2("text", 256)).join(F.broadcast(copies) if io.few(copies) else copies, ["doc_id", "_sha"], "left")
-    packed = io.stored(marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("flag")).mapInArrow(blocks.pack(BLOCK_BYTES, True), blocks.BLOCK), "blocks")
+    marked = marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("flag"), F.unhex("_sha").alias("digest"))
+    packed = io.stored(marked.mapInArrow(blocks.pack(BLOCK_BYTES, True), blocks.BLOCK + ", digest binary"), "blocks")
 
     posted = packed.mapInArrow(_postings(length, seed, parts), blocks.PART_SCHEMA)
     shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_shared, blocks.PART_SCHEMA)
@@ -466,7 +468,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     owners = io.stored(owners, "owners")
     io.collect_garbage(docs.sparkSession)
     full = known.join(owners.groupBy("block").agg(F.collect_list("blob").alias("found")), "block", "left")
-    out = full.mapInArrow(_finish(length, seed, parts, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    out = full.mapInArrow(_finish(length, seed, parts, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, text_sha256 binary" if with_text else ""))
     out = io.stored(out, "left")
     io.discard(copies, packed, marks, owners)
     return out.withColumnRenamed("doc_id", id_col)
