@@ -18,8 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks
 from . import spark_io as io
@@ -28,8 +28,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 10
 EMBEDDING = 8
-#: Labelled texts that are learned from, shared evenly among the languages (of each those whose ids have the smallest
-#: hashes), at least so many of each that has them; and windows of each text.
+#: Labelled texts that are learned from, shared evenly among the languages (of each those whose ids and texts have the
+#: smallest hashes), at least so many of each that has them; and windows of each text.
 SAMPLE_ROWS = 6000
 SAMPLE_LEAST = 300
 SAMPLE_WINDOWS = 3
@@ -140,56 +140,69 @@ def train(docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col:
     room = F.greatest(F.length(text) - F.lit(WINDOW // 2), F.lit(0))
     cuts = [F.substring(text, 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), room + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     rows = docs.filter(F.col(lang_col).isNotNull() & text.isNotNull() & train_rows & text.rlike(r"\p{L}"))
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("long")).alias("_h"), F.col(lang_col).alias("lang"), F.array(*cuts).alias("cuts"))
-    keys = io.stored(rows.select("lang", "_h"), "languages")
-    classes = sorted(r["lang"] for r in keys.select("lang").distinct().collect())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), text).alias("_h"), F.array(*cuts).alias("cuts"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    classes = sorted(counts)
     if not classes:
         return None
     most = max(SAMPLE_LEAST, -(-SAMPLE_ROWS // len(classes)))
-    first = lambda df, *order: df.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_r") <= most)
-    # the largest hash of each language's sample; rows of equal ids may be more, so they are counted again
-    lines = first(keys, "_h").groupBy("lang").agg(F.max("_h").alias("_line"))
-    near = rows.join(F.broadcast(lines) if io.few(lines) else lines, "lang").filter("_h <= _line")
-    sample = sorted(first(near, "_h", "cuts").collect(), key=lambda r: (r["_h"], r["lang"], r["cuts"]))
-    io.discard(keys)
+    lines = docs.sparkSession.createDataFrame([(k, io.hash_line(n, most)) for k, n in counts.items()], "lang string, _line long")
+    near = rows.join(F.broadcast(lines), "lang").filter("_h <= _line").dropDuplicates(["lang", "_h"])
+    sample, held = [], dict.fromkeys(classes, 0)
+    for r in sorted(near.select("lang", "_h", "cuts").collect(), key=lambda r: (r["_h"], r["lang"])):
+        held[r["lang"]] += 1
+        if held[r["lang"]] <= most:
+            sample.append(r)
     raw = [(c.encode()[:WINDOW], classes.index(r["lang"])) for r in sample for c in r["cuts"]]
     x = np.frombuffer(b"".join(b.ljust(WINDOW, b"\0") for b, _ in raw), np.uint8).reshape(-1, WINDOW)
     y = np.array([k for _, k in raw])
-    per = np.bincount(y, minlength=len(classes))
+    per = np.maximum(np.bincount(y, minlength=len(classes)), 1)
     return ByteNet(classes).fit(x, y, (len(y) / (len(classes) * per))[y].astype(np.float32))
 
 
-def _predict(shared):
+def _predict(shared, names: list[str]):
+    """Rows (columns to keep, text, has a letter) to (columns, lang_pred, score)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, tables = shared.value
-        for batch in blocks.chunks(batches, "text"):
-            windows, count, held = windows_of(*blocks.text_bytes(batch.column(2)))
+        for batch in blocks.chunks(batches, "_text"):
+            windows, count, held = windows_of(*blocks.text_bytes(batch.column(len(names))))
             logits = window_logits(tables, windows) * held[:, None]
             first = np.cumsum(count) - count
             mean = np.add.reduceat(logits, first) / np.maximum(np.add.reduceat(held, first), 1)[:, None]
             prob = np.exp(mean - mean.max(1, keepdims=True))
             prob /= prob.sum(1, keepdims=True)
-            has = np.array(batch.column(3).to_pylist(), bool)
+            has = batch.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(bool)
             best = prob.argmax(1)
-            names = [classes[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.where(has, prob.max(1), 0).astype(np.float64))], ["doc_id", "held_out", "lang_pred", "score"])
+            found = [classes[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(np.where(has, prob.max(1), 0).astype(np.float64))], [*names, "lang_pred", "score"])
 
     return work
 
 
-def predict(net: ByteNet | None, docs: DataFrame, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(net: ByteNet | None, docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """The columns of ``keep``, none of them named lang_pred, score, _text or _has, with lang_pred and score, one row per row of docs."""
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~train_rows).alias("held_out"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has"))
+    own = docs.select(*[c.alias(k) for k, c in keep.items()], text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_has"))
     if net is None:
-        return own.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return own.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((net.classes, net.tables()))  # a fixed size for each language
-    return own.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*own.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return own.mapInArrow(_predict(shared, list(keep)), schema)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1) -> DataFrame:
     """id, held_out, lang_pred, score; learned from rows whose crc32(id as text) % modulus is not held_out."""
     rows = is_training(id_col, modulus, held_out)
-    return predict(train(docs, rows, id_col, text_col, lang_col), docs, rows, id_col, text_col).withColumnRenamed("doc_id", id_col)
+    keep = {"doc_id": F.col(id_col).cast("long"), "held_out": F.coalesce(~rows, F.lit(False))}
+    return predict(train(docs, rows, id_col, text_col, lang_col), docs, keep, text_col).withColumnRenamed("doc_id", id_col)
+
+
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, that are not ``und``."""
+    net = train(docs, is_training(id_col), id_col, text_col, lang_col)
+    found = predict(net, docs, {f"_c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}, text_col)
+    return found.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

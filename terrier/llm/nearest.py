@@ -168,7 +168,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], schema)
     dim, n = common["d"], common["count"]
     rows = rows.filter(F.size("v") == dim)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    picked = rows.filter(F.xxhash64("id", "v") <= io.hash_line(n, SAMPLE_ROWS)).orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE_ROWS).toArrow()
     shared = spark.sparkContext.broadcast(learn(_matrix(picked.column("v").combine_chunks(), dim)))  # BOOKS * WORDS vectors
     groups = int(max(1, min(-(-n // BLOCK), 4096)))
     coded = io.stored(rows.mapInArrow(_coded(shared, dim, groups), "grp int, ids binary, vectors binary, codes binary, norms binary"), "coded")

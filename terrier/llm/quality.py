@@ -184,8 +184,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     broadcast, at most ``rows`` of them.
     """
     own = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).filter(train_rows)
-    picked = own.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("y")).orderBy(F.xxhash64(F.col("_id").cast("long")), "y").limit(rows)
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "y")
+    own = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(id_col).cast("long")).alias("_h"))
+    picked = own.filter(F.col("_h") <= io.hash_line(own.count(), rows)).orderBy("_h", "y").limit(rows).select("doc_id", "y")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
@@ -201,7 +203,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     """id, held_out, score, predicted; learned from labels whose crc32(id as text) % modulus is not held_out."""
     rows = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, rows, id_col, text_col))  # tables of a fixed size
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~rows).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~rows, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_scored(shared, line), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 

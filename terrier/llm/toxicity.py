@@ -83,7 +83,7 @@ def occurrences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def distinct_features(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     feature, doc = occurrences(data, at)
-    key = np.unique(doc.astype(np.int64) << BUCKET_BITS | feature)
+    key = blocks.distinct(doc.astype(np.int64) << BUCKET_BITS | feature)
     edges = np.searchsorted(key, np.arange(len(at)) << BUCKET_BITS)
     key = (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
     return [key[a:b] for a, b in zip(edges, edges[1:], strict=False)]
@@ -117,7 +117,7 @@ class Linear:
         feature, doc = occurrences(data, at)
         slot = place[feature]
         hit = slot >= 0
-        key = np.unique(doc[hit].astype(np.int64) << BUCKET_BITS | slot[hit])
+        key = blocks.distinct(doc[hit].astype(np.int64) << BUCKET_BITS | slot[hit])
         z = self.bias + np.bincount(key >> BUCKET_BITS, self.weights[key & ((1 << BUCKET_BITS) - 1)], minlength=len(at) - 1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -204,7 +204,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     """id, held_out, score, predicted; learned from labels whose crc32(id as text) % modulus is not held_out."""
     rows = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, rows, id_col, text_col))  # at most 2**BUCKET_BITS weights
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~rows).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~rows, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_scored(shared, line), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 
