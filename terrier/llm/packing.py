@@ -266,35 +266,49 @@ def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
     return -(-sum(k * n for k, n in histogram.items()) // capacity)
 
 
+def _placed(shared):
+    """Pieces with their rank among those of their length, last, to pieces with sequence and offset."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, low, sequence, offset = shared.value
+        for batch in batches:
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            at = np.searchsorted(key, (length << 44) + rank, "right") - 1
+            own = [batch.column(batch.schema.get_field_index(c)) for c in PLACED[:-2]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence[at] + rank - low[at]), pa.array(offset[at])], list(PLACED))
+
+    return work
+
+
+PLACED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length, part, ...) with sequence_id and offset.
+    """pieces (doc_id, piece, start, length, ids_crc32, part) with sequence_id and offset.
 
     ``part`` numbers blocks of bounded size; ranks are counted within (part, length) and shifted by the counts of
-    earlier parts, so no length, however common, meets in one task.
+    earlier parts, so no length, however common, meets in one task. The plan is broadcast: it grows with the distinct
+    lengths and with the pieces of a sequence, both at most the capacity, and not with the number of pieces.
     """
     from pyspark.sql import Window as W
 
-    spark = pieces.sparkSession
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = io.stored(counts, "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = plan(histogram, capacity)
-    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("length", "low", "n", "sequence", "offset")])
-    table = spark.createDataFrame(slots, schema)
+    counts = io.stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
+    length, low, _, sequence, offset = np.array(plan(histogram, capacity), np.int64).reshape(-1, 5).T
+    order = np.argsort((length << 44) + low, kind="stable")
+    shared = pieces.sparkSession.sparkContext.broadcast([c[order] for c in ((length << 44) + low, low, sequence, offset)])
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     ranked = pieces.withColumn("_r", F.row_number().over(W.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["part", "length"]).withColumn("_rank", F.col("_r") + F.col("before"))
-    lengths = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "n", "sequence", "offset"))).alias("slots"))
-    found = F.element_at(F.filter("slots", lambda s: (s["low"] <= F.col("_rank")) & (F.col("_rank") < s["low"] + s["n"])), 1)
-    # at most one row a length, and of all of them as many slots as the plan has
-    out = ranked.join(F.broadcast(lengths), "length").withColumn("_s", found)
-    return out.withColumns({"sequence_id": F.col("_s.sequence") + F.col("_rank") - F.col("_s.low"), "offset": F.col("_s.offset")}).drop("_r", "_rank", "_s", "slots", "before", "part")
+    ranked = ranked.join(before, ["part", "length"]).select(*PLACED[:-2], (F.col("_r") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = io.stored(tokenised_pieces(docs, path or vocabulary_path(), capacity, end_id), "pieces")
-    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = io.stored(pack(pieces, capacity), "packed")
+    io.discard(pieces)
+    return out
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
