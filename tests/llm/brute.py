@@ -54,6 +54,43 @@ def suffix_rows(docs, length=50):
     return out
 
 
+def cut(docs, length=50):
+    """(id, what is left of the text: only whole characters of covered stretches go), for distinct ids."""
+    first = {}
+    for i, t in sorted(docs):
+        b = t.encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    out = {}
+    for i, t in docs:
+        b = t.encode()
+        cover = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                cover[p : p + length] = True
+        at, rest = 0, []
+        for ch in t:
+            n = len(ch.encode())
+            if not cover[at : at + n].all():
+                rest.append(ch)
+            at += n
+        out[i] = "".join(rest)
+    return out
+
+
+def pipeline(docs):
+    """{id: text} after each of the first four stages, for rows (id, text) with distinct ids."""
+    stages = [{i: t for i, t in docs if t and any(ch.isalpha() for ch in t)}]
+    first = {}
+    for i, t in sorted(stages[0].items()):
+        first.setdefault(t, i)
+    stages.append({i: t for t, i in first.items()})
+    groups = near(list(stages[1].items()), 80)
+    stages.append({i: t for i, t in stages[1].items() if groups[i][2]})
+    stages.append({i: t for i, t in cut(list(stages[2].items())).items() if t.strip(" ")})
+    return stages
+
+
 def suffix(docs, length=50):
     return {i: tuple(rest) for i, *rest in suffix_rows(docs, length)}
 

@@ -260,12 +260,14 @@ def test_a_rare_language_is_learned(spark, monkeypatch):
     assert net.classes == ["aa", "bb", "zz"]
 
 
-@pytest.mark.parametrize("score, label, least", [(quality.score_quality, "quality", 0.95), (toxicity.score_toxicity, "toxic", 0.95)])
-def test_classifiers(spark, odd, empty, score, label, least):
+@pytest.mark.parametrize("score, label, recall, precision", [(quality.score_quality, "quality", 0.98, 0.95), (toxicity.score_toxicity, "toxic", 0.7, 0.98)])
+def test_classifiers(spark, odd, empty, score, label, recall, precision):
     big = DATA.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet")
     got = score(spark.read.parquet(f"{big}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out")
-    assert got.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= least
+    n = {(r[0], r[1]): r[2] for r in got.groupBy(label, "predicted").count().collect()}
+    right, wrong = n.get((1, 1), 0), n.get((0, 1), 0)
+    assert right / (right + n.get((1, 0), 0)) >= recall and right / (right + wrong) >= precision
     few = spark.createDataFrame([(4, 1, 1), (7, 0, 0), (9, None, None)], "doc_id long, quality int, toxic int")
     rows = score(odd, few).collect()
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
@@ -346,25 +348,86 @@ def test_nearest_of_few(spark):
     assert nearest.nearest(df.filter("false"), "id % 20 = 0").count() == 0
 
 
-def test_pipeline(spark, docs, odd):
-    columns = set(docs.columns)
-    left = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.io.stored(stage(spark, left, DATA), name)
-        assert set(out.columns) == columns and out.count() <= left.count() and out.count() > 0.8 * docs.count()
-        left = out
-    assert left.select("text").distinct().count() == left.count()
-    assert corpus_pipeline.packed(spark, left, DATA).select("doc_id").distinct().count() == left.count()
-    own = odd
+def test_pipeline_equals_the_brute_force(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.vocabulary_path())
+    for df in (docs, odd):
+        left = df
+        for (name, stage), want in zip(corpus_pipeline.STAGES, brute.pipeline(pairs(df)), strict=False):
+            left = corpus_pipeline.io.stored(stage(spark, left, DATA), name)
+            assert left.columns == df.columns and dict(pairs(left)) == want
+            assert left.count() == len(want)
+        if "n_chars" in left.columns:
+            assert left.filter(F.length("text") != F.col("n_chars")).count() == 0
+        rows = corpus_pipeline.packed(spark, left, DATA).toPandas()
+        sizes = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
+        assert rows.groupby("doc_id").length.sum().to_dict() == sizes
+        assert rows.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Clashing column names; rows with one id: equal ones become one, others are told apart; null ids go in the second stage."""
+    text = "a text of some words that no other row has " * 4
+    rows = [(1, text, 1), (1, text, 1), (1, "other words under the same id", 2), (2, text, 3), (None, "words without an id", 4), (3, LONG, 5), (4, LONG[:300] + " and words of its own" + text[:60], 6), (5, None, 7), (6, "", 8)]
+    names = "doc_id long, text string, kept_text int"
+    df = spark.createDataFrame(rows, names).selectExpr("doc_id", "text", "kept_text", "'x' AS sha", "'r' AS rest", "1 AS y", "2 AS _id", "3 AS flag", "4 AS block", "'en' AS lang", "5 AS lang_pred", "6 AS _text", "7 AS score", "8 AS kept", "9 AS n")
+    left, seen = df, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        own = stage(spark, own, DATA)
-    assert {r.doc_id for r in own.collect()} >= {4, 7} and not {r.doc_id for r in own.collect()} & {1, 2, 3, 8, 9, 12}
+        left = stage(spark, left, DATA)
+        assert left.columns == df.columns
+        seen.append(sorted((r.doc_id or 0, r.text) for r in left.collect()))
+    assert [len(x) for x in seen] == [7, 4, 4, 4]
+    assert seen[-1][:3] == [(1, text), (1, "other words under the same id"), (3, LONG)] and seen[-1][3][0] == 4 and " and words of its own" in seen[-1][3][1]
+    assert {r.doc_id for r in corpus_pipeline.packed(spark, left, DATA).collect()} == {1, 3, 4}
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    for score in (quality.score_quality, toxicity.score_toxicity):
+        got = score(df, labels).collect()
+        assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
 
 
 def test_the_first_stage_says_what_it_rejects():
-    """With up to three languages the largest share is 1/3 at least, so only texts without a letter go."""
-    assert corpus_pipeline.LEAST_SHARE < 1 / 3
-    assert "foreign or garbled text with letters mostly stays" in " ".join(corpus_pipeline.known_language.__doc__.split())
+    assert "foreign or garbled text with letters gets one of the learned ones" in " ".join(corpus_pipeline.known_language.__doc__.split())
+
+
+def test_near_dedup_of_odd_ids(spark, monkeypatch):
+    """Null ids are alone; rows with one id are linked to whatever any of their texts is linked to. Also in tiny cells."""
+    monkeypatch.setattr(near_dedup, "CELL", 2)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 400, 120)]
+    rows = []
+    for i in range(30):
+        words = list(base)
+        for j in rng.integers(0, 120, i % 7):
+            words[j] = f"z{i}_{j}"
+        rows.append((i, " ".join(words)))
+    for percent in (80, 92):
+        assert by_id(near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent), "n_shingles", "component_id", "kept") == brute.near(rows, percent)
+    other = " ".join(f"o{i}" for i in range(40))
+    df = spark.createDataFrame([*rows[:1], (0, other), (50, other.upper()), (None, other), (None, None), (60, " one  word ")], "doc_id long, text string")
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(df).collect()), key=str)
+    assert got == sorted([(0, 116, 0, True), (0, 36, 0, True), (50, 36, 0, False), (-1, 36, None, True), (-1, 0, None, True), (60, 1, 60, True)], key=str)
+
+
+def test_sequences_ignore_case_and_spaces():
+    texts = ["A b  c", " a\tB c\n", "ab c", "", "  ", "\n\na b c"]
+    got = near_dedup.sequences(*near_dedup.blocks.text_bytes(near_dedup.pa.array(texts)))
+    assert got[0] == got[1] == got[5] != got[2] and got[3] == got[4]
+
+
+def test_neutral_mentions_are_not_toxic(spark):
+    """Held-out texts: neutral documents with an identity term put in are flagged no more often than without, toxic ones are found."""
+    big = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    rows = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    model = toxicity.train(docs, labels, "toxic", rows)
+    own = docs.join(labels.filter(~rows), "doc_id").filter("text is not null").select("text", "toxic").collect()
+    score = lambda texts: model.score(*toxicity.blocks.text_bytes(toxicity.pa.array(texts)))
+    toxic, clean = [r.text for r in own if r.toxic == 1], [r.text for r in own if r.toxic == 0]
+    assert (score(toxic) >= 0.7).mean() >= 0.7 and (score(clean) >= 0.7).mean() <= 0.02
+    for group in toxicity.IDENTITY_GROUPS:
+        for term in group:
+            assert (score([f"{t} The {term} next door came to lunch." for t in clean]) >= 0.7).mean() <= 0.02, term
 
 
 def test_all_are_registered():
