@@ -2,8 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, which run() writes to the shared folder and reads again as the next one's docs. All but the last
-return the columns of ``documents``. Null texts and ids: a null text goes in the first stage (it has no language); rows
-with a null id are kept by the first stage and dropped by the second, since later stages work by id.
+return the columns of ``documents``; further columns pass through, whatever their names.
+
+Null texts go in the first stage (they have no language). Rows with a null id are kept by the first stage and dropped by
+the second, since later stages tell documents by id. Rows with one id and one text become one in the second stage; rows
+with one id and different texts are told apart by the text's digest, but for the third stage, where they are one document.
 """
 
 from __future__ import annotations
@@ -14,38 +17,51 @@ from pyspark.sql import functions as F
 from terrier.llm import exact_dedup, language_id, near_dedup, packing, suffix_dedup
 from terrier.llm import spark_io as io
 
-#: A text is rejected if it has no letter, or no learned language gets so large a share. Shares add up to 1, so up to three
-#: languages none is rejected by this, and with four hardly any.
-LEAST_SHARE = 0.3
-
 #: SQL cannot express the first, third and fourth stage.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among those to go, ``keep`` being (doc_id, kept)."""
-    gone = io.stored(keep.filter(~F.col("kept")).select("doc_id"), "gone")
-    return docs.join(F.broadcast(gone) if io.few(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _digest(docs: DataFrame):
+    return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+
+
+def _hint(table: DataFrame) -> DataFrame:
+    """Narrow rows are broadcast if they were counted to be few."""
+    return F.broadcast(table) if io.few(table) else table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter (``und``), null texts among them, and those of no share of LEAST_SHARE. It is no test of being in a
-    learned language: foreign or garbled text with letters mostly stays.
+    """Drops documents that the classifier rejects (``und``): those without a letter, null texts among them. It is no test of
+    being in a learned language: shares add up to 1, so foreign or garbled text with letters gets one of the learned ones.
     """
-    found = language_id.identify_languages(docs)
-    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return _only(docs, found.select("doc_id", kept.alias("kept")))
+    return language_id.known_language(docs)
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
-    own = docs.filter("doc_id is not null")
-    return _only(own, exact_dedup.exact_dedup(own))
+    """Of equal texts, the document with the smallest id stays, as one row."""
+    own = docs.filter(F.col("doc_id").isNotNull())
+    sha = _free(docs, "sha")
+    found = io.stored(exact_dedup.exact_dedup(own).select("doc_id", F.col("text_sha256").alias(sha), "kept"), "found")
+    gone = found.filter("not kept").select("doc_id", sha).distinct()
+    again = io.stored(found.filter("kept").groupBy("doc_id", sha).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", sha), "again")
+    left = own.withColumn(sha, _digest(own)).join(_hint(gone), ["doc_id", sha], "left_anti")
+    if again.take(1):
+        marks = _hint(again)
+        left = left.join(marks, ["doc_id", sha], "left_anti").unionByName(left.join(marks, ["doc_id", sha], "left_semi").dropDuplicates(["doc_id", sha]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8 or more), the smallest id stays."""
-    return _only(docs, near_dedup.near_dedup(docs))
+    gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(_hint(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +69,16 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     The columns are those of docs; n_chars, where there is one, is counted anew.
     """
-    cut = suffix_dedup.suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", "kept_text")
-    cut = io.stored(cut, "cut")
-    new = docs.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")]).join(F.broadcast(cut) if io.few(cut, 2000) else cut, "doc_id").withColumnRenamed("kept_text", "text")
-    new = new.filter(F.length(F.trim("text")) > 0)
+    sha, rest = _free(docs, "sha"), _free(docs, "rest")
+    cut = suffix_dedup.suffix_dedup(docs, with_text=True).filter("n_removed > 0")
+    cut = io.stored(cut.select("doc_id", F.lower(F.hex("text_sha256")).alias(sha), F.col("kept_text").alias(rest)).distinct(), "cut")
+    marks = _hint(cut.select("doc_id", sha))
+    marked = docs.withColumn(sha, _digest(docs))
+    new = marked.join(marks, ["doc_id", sha], "left_semi").join(cut, ["doc_id", sha]).filter(F.length(F.trim(rest)) > 0).withColumn("text", F.col(rest))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    marks = cut.select("doc_id")
-    same = docs.join(F.broadcast(marks) if io.few(marks) else marks, "doc_id", "left_anti")
-    return same.select(*docs.columns).unionByName(new.select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.join(marks, ["doc_id", sha], "left_anti").select(*columns).unionByName(new.select(*columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +90,11 @@ STAGES = [("language_id", known_language), ("exact_dedup", no_exact_copies), ("n
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = None
     docs = io.documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = io.stored(stage(spark, docs, sf_dir), name)
+        if before:
+            io.discard(before)
+        before = docs
     return docs
