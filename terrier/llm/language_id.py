@@ -182,6 +182,7 @@ def _predict(shared, names: list[str]):
 
 def predict(net: ByteNet | None, docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep``, none of them named lang_pred, score, _text or _has, with lang_pred and score, one row per row of docs."""
+    io.bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     own = docs.select(*[c.alias(k) for k, c in keep.items()], text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_has"))
     if net is None:

@@ -227,11 +227,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     own = known.join(classes.select(F.col("rep").alias("doc_id"), "sequence"), ["doc_id", "sequence"], "left_semi")
     sigs = io.stored(own.select(F.col("doc_id").alias("rep"), "sig", "bands"), "sigs")
-    keyed = sigs.select(F.explode("bands").alias("band"), "rep")
+    keyed = sigs.select(F.posexplode("bands").alias("place", "band"), "rep")
     shared = io.stored(keyed.join(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band"), "shared")
     weighed = shared.join(shared.groupBy("rep").agg(F.sum("n").alias("weight")), "rep").select("band", "rep", "weight")
     centre = weighed.groupBy("band").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
-    buckets = io.stored(shared.select("band", "rep").join(centre, "band"), "buckets")
+    buckets = io.stored(shared.select("band", "place", "rep").join(centre, "band"), "buckets")
 
     pairs = buckets.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -259,7 +259,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _across(outside: DataFrame, placed: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Stored (a, b) whose estimate may reach the threshold: classes outside their bucket's first component with those of other
-    components of the bucket. A bucket of n by m classes is dealt to cells of about CELL by CELL of them.
+    components of the bucket, each pair in the first bucket that it shares. A bucket of n by m classes is dealt to cells of about
+    CELL by CELL of them.
     """
     n_out = outside.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rows"))
     inside = placed.filter("rep <> centre").join(n_out, "band")
@@ -268,11 +269,12 @@ def _across(outside: DataFrame, placed: DataFrame, sigs: DataFrame, threshold: f
     cell = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
     left = outside.join(n_out.join(n_in, "band"), "band").withColumn("x", cell("rows", 1)).withColumn("y", upto("columns"))
     right = inside.join(n_in, "band").withColumn("y", cell("columns", 2)).withColumn("x", upto("rows"))
-    sig = sigs.select("rep", "sig")
-    left = left.join(sig, "rep").select("band", "x", "y", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("sig").alias("sig_a"))
-    right = right.join(sig, "rep").select("band", "x", "y", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("sig").alias("sig_b"), "first")
+    before = F.slice("bands", F.lit(1), F.col("place"))
+    side = lambda df, i: df.join(sigs, "rep").select("band", "x", "y", F.col("rep").alias(i), F.col("comp").alias(f"comp_{i}"), F.col("sig").alias(f"sig_{i}"), before.alias(f"before_{i}"), "first")
+    left, right = side(left, "a").drop("first"), side(right, "b")
     once = (F.col("comp_b") == F.col("first")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["band", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & once & _passes(threshold))
+    new = ~F.arrays_overlap("before_a", "before_b")  # the keys of two places differ, so this is their first shared bucket
+    met = left.join(right, ["band", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & once & _passes(threshold) & new)
     return io.stored(met.select("a", "b").distinct(), "more")
 
 

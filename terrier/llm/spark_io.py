@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most so many rows; each such row is a few fixed-size values.
 BROADCAST_ROWS = 200_000
+BATCH_BYTES = "4m"
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys at any size.
 HOT_SHARE = 1000
 #: Partitions of an exchange at most; where there are more parts, a partition gets several, one after the other.
@@ -35,9 +36,16 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/terrier-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches between the JVM and Python hold at most BATCH_BYTES from here on: by default they hold up to 64 MB, twice a task."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, fixes the rows."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{work_dir(spark)}/{name}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -100,6 +108,7 @@ def skew_safe_join(left: DataFrame, right: DataFrame, on: list[str], weight: str
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
