@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,32 @@ _ODD_INV = pow(_ODD, -1, 1 << 64)
 _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+@functools.cache
+def _trim():
+    """The allocator's call that gives free memory back to the system, or None."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def tidy(work):
+    """work, a function for mapInArrow, whose task leaves no free memory in the Python worker that the next task will use: idle workers keep what
+    they ever held, beside the executor's own heap.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _pow[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return tidied
+
+
 def _mixer(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 64, n, dtype=np.uint64)
 

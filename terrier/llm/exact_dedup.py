@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import spark_io as io
 
 MEMTABLE_ROWS = 65_536
@@ -125,7 +126,7 @@ def _task_runs(width: int, memtable_rows: int):
 
 def build_index(rows: DataFrame, digest: str, key: str, width: int = 32, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """The compacted index of rows: one row (digest, best, n) per digest."""
-    runs = rows.select(F.col(digest).alias("digest"), F.col(key).alias("key")).mapInArrow(_task_runs(width, memtable_rows), RUN_SCHEMA)
+    runs = rows.select(F.col(digest).alias("digest"), F.col(key).alias("key")).mapInArrow(blocks.tidy(_task_runs(width, memtable_rows)), RUN_SCHEMA)
     return runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 

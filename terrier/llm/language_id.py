@@ -189,7 +189,7 @@ def predict(net: ByteNet | None, docs: DataFrame, keep: dict[str, Column], text_
         return own.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((net.classes, net.tables()))  # a fixed size for each language
     schema = T.StructType([*own.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return own.mapInArrow(_predict(shared, list(keep)), schema)
+    return own.mapInArrow(blocks.tidy(_predict(shared, list(keep))), schema)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 3, held_out: int = 1) -> DataFrame:

@@ -137,15 +137,15 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     ids = targets.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(ids) if io.few(ids) else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("flag"))
-    packed = io.stored(rows.mapInArrow(blocks.pack(BLOCK_BYTES), blocks.BLOCK), "blocks")
+    packed = io.stored(rows.mapInArrow(blocks.tidy(blocks.pack(BLOCK_BYTES)), blocks.BLOCK), "blocks")
     parts = int(max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) // PARTITION_BYTES)))
-    posted = packed.mapInArrow(_postings(parts), blocks.PART_SCHEMA).repartition(min(parts, io.MOST_PARTS), "part").sortWithinPartitions("part")
-    totals = io.stored(posted.mapInArrow(_totals, TOTALS), "totals")
+    posted = packed.mapInArrow(blocks.tidy(_postings(parts)), blocks.PART_SCHEMA).repartition(min(parts, io.MOST_PARTS), "part").sortWithinPartitions("part")
+    totals = io.stored(posted.mapInArrow(blocks.tidy(_totals), TOTALS), "totals")
     io.collect_garbage(docs.sparkSession)
     # the start mark is a context but no word
     words, n, n_target = (x or 0 for x in totals.filter("block = -1").agg(F.sum("words"), F.sum("n"), F.sum("n_target")).first())
     by_block = totals.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "blob")).alias("totals"))
-    scored = packed.join(by_block, "block", "left").mapInArrow(_scores(parts, float(max(1, words - 1)), n_target / max(1, n), alpha), "doc_id long, n_words long, in_target boolean, score double")
+    scored = packed.join(by_block, "block", "left").mapInArrow(blocks.tidy(_scores(parts, float(max(1, words - 1)), n_target / max(1, n), alpha)), "doc_id long, n_words long, in_target boolean, score double")
     scored = io.stored(scored, "scores")
     io.discard(packed, totals)
     return scored.withColumnRenamed("doc_id", id_col)

@@ -136,7 +136,7 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sign(width, bands, rows), SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(blocks.tidy(_sign(width, bands, rows)), SIGNED)
 
 
 def differing(a: str, b: str):
@@ -208,7 +208,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     heads = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(own.withColumnRenamed("doc_id", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a").join(own.withColumnRenamed("doc_id", "a"), "a").select("b", "salt", "a", "text")
     rows = heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
-    links = io.stored(rows.mapInArrow(_confirm(width, percent), "a long, b long").distinct(), "links")
+    links = io.stored(rows.mapInArrow(blocks.tidy(_confirm(width, percent)), "a long, b long").distinct(), "links")
     io.remove(own)
     return links
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
 from . import spark_io as io
 
 BOOKS, WORDS, BEAM = 8, 256, 4
@@ -171,11 +172,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     picked = rows.filter(F.xxhash64("id", "v") <= io.hash_line(n, SAMPLE_ROWS)).orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE_ROWS).toArrow()
     shared = spark.sparkContext.broadcast(learn(_matrix(picked.column("v").combine_chunks(), dim)))  # BOOKS * WORDS vectors
     groups = int(max(1, min(-(-n // BLOCK), 4096)))
-    coded = io.stored(rows.mapInArrow(_coded(shared, dim, groups), "grp int, ids binary, vectors binary, codes binary, norms binary"), "coded")
+    coded = io.stored(rows.mapInArrow(blocks.tidy(_coded(shared, dim, groups)), "grp int, ids binary, vectors binary, codes binary, norms binary"), "coded")
     queries = rows.join(_query_ids(vectors, is_query, id_col), "id", "left_semi") if not isinstance(is_query, str) else rows.filter(is_query)
-    asked = queries.mapInArrow(_query_blocks(dim), "q_ids binary, q_vectors binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = queries.mapInArrow(blocks.tidy(_query_blocks(dim)), "q_ids binary, q_vectors binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     cells = asked.repartition(groups, "grp").join(coded, "grp").select("q_ids", "q_vectors", "ids", "vectors", "codes", "norms")
-    found = cells.mapInArrow(_searched(shared, dim, k, metric, rerank), "query_id long, vec_id long, score double")
+    found = cells.mapInArrow(blocks.tidy(_searched(shared, dim, k, metric, rerank)), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import blocks
 from . import spark_io as io
@@ -32,7 +31,7 @@ END_ID = 2
 #: Fixed values of the vocabulary's pre-tokeniser.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 SPECIAL = "<|endoftext|>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 
@@ -99,10 +98,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        import tokenizers
 
-        self.full = tokenizers.Tokenizer.from_file(path)
-        self.special = self.full.token_to_id(SPECIAL)
+        self.path = path
         ranks = path.rsplit(".", 1)[0] + ".tiktoken"
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -111,6 +108,13 @@ class Encoder:
         self.merge = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._encode_single_piece
         self.known: dict[int, tuple[int, ...]] = {}
 
+    @functools.cached_property
+    def full(self):
+        """The library's own tokenizer, loaded for the first text that holds a special token."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         odd = {i for i, x in enumerate(texts) if SPECIAL in x}
@@ -173,7 +177,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(path, capacity, end_id), PIECES_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(blocks.tidy(_pieces(path, capacity, end_id)), PIECES_SCHEMA)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -300,7 +304,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
     ranked = pieces.withColumn("_r", F.row_number().over(W.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["part", "length"]).select(*PLACED[:-2], (F.col("_r") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(blocks.tidy(_placed(shared)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

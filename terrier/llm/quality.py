@@ -192,7 +192,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
 
 def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     sample = labelled_sample(docs, labels, label, train_rows, SAMPLE_ROWS, id_col, text_col)
-    got = sample.select("y", "text").mapInArrow(_featured, "y double, x array<double>").toArrow()
+    got = sample.select("y", "text").mapInArrow(blocks.tidy(_featured), "y double, x array<double>").toArrow()
     y = got.column("y").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
@@ -204,7 +204,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     rows = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, rows, id_col, text_col))  # tables of a fixed size
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~rows, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_scored(shared, line), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
+    return own.mapInArrow(blocks.tidy(_scored(shared, line)), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,15 +243,15 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row."""
-    return _texts(docs, id_col, text_col).mapInArrow(_encoded(path or vocabulary_path()), "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(blocks.tidy(_encoded(path or vocabulary_path())), "doc_id long, ids array<int>").withColumnRenamed("doc_id", id_col)
 
 
 def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of every row of ids."""
     own = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return own.mapInArrow(_decoded(path or vocabulary_path()), "doc_id long, text string").withColumnRenamed("doc_id", id_col)
+    return own.mapInArrow(blocks.tidy(_decoded(path or vocabulary_path())), "doc_id long, text string").withColumnRenamed("doc_id", id_col)
 
 
 def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, number and crc32 (little-endian unsigned 32-bit) of the ids, and whether decoding gives the text again."""
-    return _texts(io.documents(spark, sf_dir), "doc_id", "text").mapInArrow(_checked(vocabulary_path()), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return _texts(io.documents(spark, sf_dir), "doc_id", "text").mapInArrow(blocks.tidy(_checked(vocabulary_path())), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and has at most so many rows; each such row is a few fixed-size values.
 BROADCAST_ROWS = 200_000
 BATCH_BYTES = "4m"
+#: Bytes that a writer of stored() holds before it writes them.
+ROW_GROUP_BYTES = 32 << 20
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys at any size.
 HOT_SHARE = 1000
 #: Partitions of an exchange at most; where there are more parts, a partition gets several, one after the other.
@@ -48,7 +50,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     bound_batches(spark)
     path = f"{work_dir(spark)}/{name}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._terrier_path = path
     return out
@@ -77,6 +79,16 @@ def collect_garbage(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Collects the executors' garbage, so that their heaps give back what an earlier stage filled, and a stage of a long job has the
+    memory for its Python workers that it would have on its own. A task a core, each a call of System.gc().
+    """
+    if re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        return
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if df has at most ``limit`` rows (counts at most limit + 1)."""
     return df.limit(limit + 1).count() <= limit

@@ -455,20 +455,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = io.stored(copies.select("doc_id", F.col("text_sha256").alias("_sha"), F.lit(True).alias("_copy")).distinct(), "copies")
     marked = texts.withColumn("_sha", F.sha2("text", 256)).join(F.broadcast(copies) if io.few(copies) else copies, ["doc_id", "_sha"], "left")
     marked = marked.select("doc_id", "text", F.coalesce("_copy", F.lit(False)).alias("flag"), F.unhex("_sha").alias("digest"))
-    packed = io.stored(marked.mapInArrow(blocks.pack(BLOCK_BYTES, True), blocks.BLOCK + ", digest binary"), "blocks")
+    packed = io.stored(marked.mapInArrow(blocks.tidy(blocks.pack(BLOCK_BYTES, True)), blocks.BLOCK + ", digest binary"), "blocks")
 
-    posted = packed.mapInArrow(_postings(length, seed, parts), blocks.PART_SCHEMA)
-    shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_shared, blocks.PART_SCHEMA)
+    posted = packed.mapInArrow(blocks.tidy(_postings(length, seed, parts)), blocks.PART_SCHEMA)
+    shared = posted.repartition(int(min(parts, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(blocks.tidy(_shared), blocks.PART_SCHEMA)
     marks = io.stored(shared, "marks")
     io.collect_garbage(docs.sparkSession)
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("part", "blob")).alias("marks"))
     known = packed.join(by_block, "block", "left")
-    segments = known.mapInArrow(_segments(length, seed, parts, targets), blocks.PART_SCHEMA)
-    owners = segments.repartition(int(min(targets, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(_judge(length), "block long, blob binary")
+    segments = known.mapInArrow(blocks.tidy(_segments(length, seed, parts, targets)), blocks.PART_SCHEMA)
+    owners = segments.repartition(int(min(targets, io.MOST_PARTS)), "part").sortWithinPartitions("part").mapInArrow(blocks.tidy(_judge(length)), "block long, blob binary")
     owners = io.stored(owners, "owners")
     io.collect_garbage(docs.sparkSession)
     full = known.join(owners.groupBy("block").agg(F.collect_list("blob").alias("found")), "block", "left")
-    out = full.mapInArrow(_finish(length, seed, parts, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, text_sha256 binary" if with_text else ""))
+    out = full.mapInArrow(blocks.tidy(_finish(length, seed, parts, with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string, text_sha256 binary" if with_text else ""))
     out = io.stored(out, "left")
     io.discard(copies, packed, marks, owners)
     return out.withColumnRenamed("doc_id", id_col)

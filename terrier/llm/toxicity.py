@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows, id_col: st
     for kind in (0, 1):
         part = labelled_sample(docs, own.filter(F.col(label) == kind), label, train_rows, SAMPLE_ROWS, id_col, text_col)
         sample = part if sample is None else sample.unionByName(part)
-    got = sample.select("doc_id", "text", "y").mapInArrow(_training_rows, "y double, x binary, of long").toArrow()
+    got = sample.select("doc_id", "text", "y").mapInArrow(blocks.tidy(_training_rows), "y double, x binary, of long").toArrow()
     order = sorted(range(got.num_rows), key=lambda i, of=got.column("of").to_pylist(), y=got.column("y").to_pylist(): (of[i], y[i] is None))
     got = got.take(pa.array(order, pa.int64()))
     x, of, y = ([np.frombuffer(b, np.int32) for b in got.column("x").to_pylist()], got.column("of").to_pylist(), got.column("y").to_pylist())
@@ -205,7 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     rows = F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, rows, id_col, text_col))  # at most 2**BUCKET_BITS weights
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(~rows, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_scored(shared, line), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
+    return own.mapInArrow(blocks.tidy(_scored(shared, line)), "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
