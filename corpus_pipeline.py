@@ -41,11 +41,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents that the classifier rejects (``und``): those without a letter, null texts among them. It is no test of
     being in a learned language: shares add up to 1, so foreign or garbled text with letters gets one of the learned ones.
     """
+    io.shrink_executors(spark)
     return language_id.known_language(docs)
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays, as one row."""
+    io.shrink_executors(spark)
     own = docs.filter(F.col("doc_id").isNotNull())
     sha = _free(docs, "sha")
     found = io.stored(exact_dedup.exact_dedup(own).select("doc_id", F.col("text_sha256").alias(sha), "kept"), "found")
@@ -60,6 +62,7 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8 or more), the smallest id stays."""
+    io.shrink_executors(spark)
     gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
     return docs.join(_hint(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -69,6 +72,7 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     The columns are those of docs; n_chars, where there is one, is counted anew.
     """
+    io.shrink_executors(spark)
     sha, rest = _free(docs, "sha"), _free(docs, "rest")
     cut = suffix_dedup.suffix_dedup(docs, with_text=True).filter("n_removed > 0")
     cut = io.stored(cut.select("doc_id", F.lower(F.hex("text_sha256")).alias(sha), F.col("kept_text").alias(rest)).distinct(), "cut")
@@ -83,6 +87,7 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    io.shrink_executors(spark)
     return packing.pack_documents(docs)
 
 
