@@ -11,13 +11,10 @@ OPERATION_CODES = {
 }
 #: Statuses of the review and of the publication service.
 STATUS_CODES = {"Achevé": "achevé", "Indéterminé": "indéterminé", "En cours": "en production", "Annulé": "annulé", "Archivé": "achevé"}
-#: Kinds of document and the words that count for each.
-DOCUMENT_KINDS = {
-    "Document d'Arpentage (DMPC)": ("arpentage", "dmpc", "chemise verte", "division", "document de modification", "arpentage"),
-    "Plan de Bornage": ("bornage", "reconnaissance", "limites", "amiable", "pv", "procès-verbal", "borné ce jour", "reconnaissance de limites"),
-    "Plan Topographique": ("topographique", "etat des lieux", "releve", "courbes de niveau", "levé topographique"),
-    "Plan de Division": ("division", "lotissement", "création de lots"),
-}
+#: The register of each surveyor.
+REGISTERS = {"HARROIS": "HB", "BARRIAL": "HB", "RACAT": "RC", "CEYTE": "RC", "DUPUY": "D", "SERRET": "S"}
+#: Known surveyors, in this order.
+SURVEYORS = ("DUPUY Roger", "HARROIS Gervais", "RACAT", "SERRET Fernand", "CEYTE", "BARRIAL", "ROBERT Lionnel", "LACOUR Jacques")
 
 
 def two_columns(spark: SparkSession, table: dict[str, str], key: str = "code", value: str = "label") -> DataFrame:

@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def _accent_table() -> tuple[str, str]:
     """Every letter below U+0250 whose compatibility decomposition is one ASCII letter and marks."""
     pairs = []
@@ -31,36 +36,62 @@ EXPANSIONS = {"ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "½": "1/2"}
 
 
 def strip_accents(c: Column | str) -> Column:
+    """Letters without their marks; texts of ASCII alone are left as they are."""
     out = F.regexp_replace(F.translate(col(c), _FROM, _TO), "[̀-ͯ]", "")
     for a, b in EXPANSIONS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(col(c).rlike("[^\\x00-\\x7F]"), out).otherwise(col(c))
 
 
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def expand_saints(c: Column) -> Column:
-    for short, long in ((r"C\.N\.E\.?", "COMMUNE"), (r"\bCNE\b\.?", "COMMUNE"), (r"\bSTE\b\.?", "SAINTE"), (r"\bST\b\.?", "SAINT")):
-        c = F.regexp_replace(c, "(?i)" + short, long)
-    return c
+def _upper_words(c: Column) -> Column:
+    """Upper case; every sign but A-Z and 0-9 is a space, and spaces are single."""
+    return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
+
+
+#: Abbreviations and what they stand for, in this order.
+ABBREVIATIONS = ((r"\bC\.?N\.?E\.?\b", "COMMUNE"), (r"\bST\.?\b", "SAINT"), (r"\bSTE\.?\b", "SAINTE"))
 
 
 def match_key(c: Column | str) -> Column:
-    """Accents off, CNE/ST/STE in full, punctuation to spaces, upper case, A-Z 0-9 and single spaces only."""
-    out = F.upper(F.translate(expand_saints(strip_accents(c)), "-'`’", "    "))
-    return squeeze(F.regexp_replace(out, "[^A-Z0-9 ]", ""))
+    """Accents off, CNE/ST/STE in full, upper case, each run of other signs one space; then ST, STE and CNE left as words in full."""
+    out = strip_accents(c)
+    for short, long in ABBREVIATIONS:
+        out = F.regexp_replace(out, "(?i)" + short, long)
+    out = _upper_words(out)
+    for short, long in (("ST", "SAINT"), ("STE", "SAINTE"), ("CNE", "COMMUNE")):
+        out = F.regexp_replace(out, rf"\b{short}\b", long)
+    return out
 
 
 def register_key(c: Column | str) -> Column:
-    """As N1 but nothing is written in full and other signs become nothing."""
-    return squeeze(F.regexp_replace(F.upper(F.translate(strip_accents(c), "-'`’", "    ")), "[^A-Z0-9 ]", ""))
+    """Accents off, upper case, each run of other signs one space."""
+    return _upper_words(strip_accents(c))
 
 
 def corrector_key(c: Column | str) -> Column:
-    """N2 with ST and STE in full."""
-    return squeeze(F.regexp_replace(F.upper(F.translate(expand_saints(strip_accents(c)), "-'`’", "    ")), "[^A-Z0-9 ]", ""))
+    """N2 with the words ST and STE in full."""
+    out = F.upper(F.translate(strip_accents(c), "-'`’", "    "))
+    return _upper_words(F.regexp_replace(F.regexp_replace(out, r"\bST\b", "SAINT"), r"\bSTE\b", "SAINTE"))
+
+
+def interface_key(c: Column | str) -> Column:
+    """N5 of the review: N4 after hyphens and apostrophes became spaces, with the words ST and STE in full."""
+    out = loose_key(c)
+    return F.regexp_replace(F.regexp_replace(out, r"\bST\b", "SAINT"), r"\bSTE\b", "SAINTE")
+
+
+def archive_key(c: Column | str) -> Column:
+    """N11, first form: accents off, lower case, signs that aren't ASCII dropped."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), "[^\\x00-\\x7F]", ""))
+
+
+def archive_name(c: Column | str) -> Column:
+    """N11, second form: accents off, upper case."""
+    return F.trim(F.upper(strip_accents(c)))
 
 
 def loose_key(c: Column | str) -> Column:
@@ -121,13 +152,15 @@ def format_scale(c: Column | str) -> Column:
 
 
 def clean_parcels(c: Column | str) -> Column:
-    """Ranges by '-', all other separators one comma."""
-    out = F.regexp_replace(col(c), r"(?i)\s+à\s+", "-")
-    out = F.regexp_replace(out, r"[;:/\\|_+]", ",")
-    out = F.regexp_replace(out, r"(?iu)\b(et|ou|puis)\b", ",")
-    out = F.regexp_replace(out, r"(?<=[0-9A-Za-z])\s+(?=[0-9A-Za-z])", ", ")
-    out = F.regexp_replace(out, r"\s*,[\s,]*", ", ")
-    return F.trim(F.regexp_replace(out, r"^[, ]+|[, ]+$", ""))
+    """C6: ' à ' and ' a ' are ranges, other separators one comma; numbers and words that follow a number or a word are parted,
+    but a number stays with the letters before it.
+    """
+    out = F.regexp_replace(F.regexp_replace(col(c), r"\n", " "), " (?:à|a) ", "-")
+    out = F.regexp_replace(out, r"[;:/|_+]+", ",")
+    out = F.regexp_replace(out, r"(?iu)\s+(?:et|ou|puis)\s+", ",")
+    out = F.regexp_replace(out, r"(?<=\d)\s+(?=[0-9A-Za-z])|(?<=[A-Za-z])\s+(?=[A-Za-z])", ", ")
+    out = F.regexp_replace(F.regexp_replace(out, r",\s*,", ","), r"\s*,\s*", ", ")
+    return F.regexp_replace(out, r"^[, ]+|[, ]+$", "")
 
 
 def numeric_tokens(c: Column | str, high: int = 9999, whole_words: bool = True) -> Column:
@@ -175,17 +208,34 @@ def parcel_parts(c: Column | str) -> Column:
 
 
 def act_number(c: Column | str, code_insee: Column | str) -> Column:
-    """struct(prefixe, numero) of a survey act: digits without leading zeros and the letter that touches them, else A."""
+    """struct(dmpc_prefixe, dmpc_ref) of a survey act: digits without leading zeros and the letter that touches them, else A."""
     m = F.regexp_extract(col(c), r"(\d+)([A-Za-z]?)", 1)
     letter = F.upper(F.regexp_extract(col(c), r"(\d+)([A-Za-z]?)", 2))
     number = F.regexp_replace(m, "^0+(?=.)", "")
-    return F.when(m != "", F.struct(F.concat(F.substring(col(code_insee), 1, 2), F.lit("0")).alias("prefixe"), F.concat(number, F.when(letter == "", "A").otherwise(letter)).alias("numero")))
+    return F.when(m != "", F.struct(F.coalesce(F.concat(F.substring(F.when(col(code_insee) != "", col(code_insee)), 1, 2), F.lit("0")), F.lit("000")).alias("dmpc_prefixe"), F.concat(number, F.when(letter == "", "A").otherwise(letter)).alias("dmpc_ref")))
 
 
 def format_cadastre(section: Column | str, parcels: Column | str) -> Column:
-    """C14: array of struct(prefixe, section, numero) of the numbers between & and commas."""
-    parts = F.filter(F.transform(F.split(col(parcels), "[&,]"), lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(F.lit("000").alias("prefixe"), F.upper(F.trim(col(section))).alias("section"), x.cast("int").alias("numero")))
+    """C14: array of struct(cad_prefixe, cad_section, cad_parcelle) of the numbers between & and commas; none without a section."""
+    parts = F.filter(F.transform(F.split(col(parcels), "[&,]"), lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: (x != "") & (F.length(x) < 10))
+    out = F.transform(parts, lambda x: F.struct(F.lit("000").alias("cad_prefixe"), F.upper(F.trim(col(section))).alias("cad_section"), x.cast("int").alias("cad_parcelle")))
+    return F.when(F.trim(col(section)) != "", out)
+
+
+def formatted_section(c: Column | str, pad_all: bool = False) -> Column:
+    """Letters and digits in upper case; two signs at least for numbers (``pad_all``: for all)."""
+    clean = F.regexp_replace(F.upper(F.trim(col(c))), "[^A-Z0-9]", "")
+    return zero_filled(clean, 2) if pad_all else F.when(clean.rlike(r"^\d+$"), zero_filled(clean, 2)).otherwise(clean)
+
+
+def formatted_number(c: Column | str, digits_only: bool = True) -> Column:
+    """Of the first of several numbers the digits, four at least; else the whole, padded if it is a number. Null without a digit in the first case."""
+    if digits_only:
+        own = F.get(F.filter(F.transform(F.split(col(c), "[&,]"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+        digits = F.regexp_replace(own, "[^0-9]", "")
+        return F.when(digits != "", zero_filled(digits, 4))
+    own = F.upper(F.trim(col(c)))
+    return F.when(own.rlike(r"^\d+$"), zero_filled(own, 4)).otherwise(own)
 
 
 #: Keywords of the nature of an act, in order, and their codes.
@@ -222,24 +272,53 @@ def pivot(year2: Column | str, last: int) -> Column:
 
 
 def year_of_date(c: Column | str) -> Column:
-    """The year as two digits: ISO first, then day-month-year, then a bare 19xx or 20xx."""
-    c = col(c)
-    iso, dmy, bare = F.regexp_extract(c, r"^\s*(\d{4})-\d{1,2}-\d{1,2}", 1), F.regexp_extract(c, r"\d{1,2}[./-]\d{1,2}[./-](\d{4}|\d{2})\b", 1), F.regexp_extract(c, r"\b((?:19|20)\d{2})\b", 1)
-    year = F.coalesce(*[F.when(x != "", x.cast("int")) for x in (iso, dmy, bare)])
-    return F.pmod(year, F.lit(100))
+    """The year as two digits: ISO first, then day-month-year (from 1900 on its last two digits, else as written), then a bare 19xx or 20xx."""
+    c = F.trim(col(c))
+    iso, parted, bare = (F.regexp_extract(c, p, 1) for p in (r"^((?:19|20)\d{2})-\d{2}-\d{2}$", r"\d{1,2}[./-]\d{1,2}[./-](\d{2,4})", r"\b((?:19|20)\d{2})\b"))
+    number = lambda x: F.when(x != "", x.cast("int"))
+    short = F.when(number(parted) >= 1900, F.pmod(number(parted), F.lit(100))).otherwise(number(parted))
+    return F.coalesce(F.pmod(number(iso), F.lit(100)), short, F.pmod(number(bare), F.lit(100)))
+
 
+def year_in_text(c: Column | str) -> Column:
+    """The first 19xx or 20xx of the text."""
+    y = F.regexp_extract(col(c), r"\b((?:19|20)\d{2})\b", 1)
+    return F.when(y != "", y.cast("int"))
 
-def year_in_text(c: Column | str, low: int = 1900, high: int = 2099) -> Column:
-    """The first four-digit year of the text."""
+
+def any_year(c: Column | str) -> Column:
+    """The first number of four digits."""
     y = F.regexp_extract(col(c), r"\b(\d{4})\b", 1)
-    return F.when(y != "", y.cast("int")).cast("int") if (low, high) == (0, 9999) else F.when(F.regexp_extract(col(c), r"\b((?:19|20)\d{2})\b", 1) != "", F.regexp_extract(col(c), r"\b((?:19|20)\d{2})\b", 1).cast("int"))
+    return F.when(y != "", y.cast("int"))
+
+
+_PARTED = r"(\d{1,2})[./-](\d{1,2})[./-](\d{2,4})"
+
+
+def parted_year(c: Column | str, last: int = 30) -> Column:
+    """The year of the first day-month-year, below 100 by pivot."""
+    y = F.regexp_extract(col(c), _PARTED, 3)
+    y = F.when(y != "", y.cast("int"))
+    return F.when(y < 100, pivot(y, last)).otherwise(y)
 
 
 def serret_year(c: Column | str) -> Column:
-    """day/month/year with two digits by pivot 30, else a bare year from 1900 to 2029."""
-    short = F.regexp_extract(col(c), r"\d{1,2}[/.-]\d{1,2}[/.-](\d{2})\b(?!\d)", 1)
+    """day/month/year with two digits by pivot 30; else a bare year from 1900 to 2029."""
     bare = F.regexp_extract(col(c), r"\b(19\d{2}|20[0-2]\d)\b", 1)
-    return F.coalesce(F.when(bare != "", bare.cast("int")), F.when(short != "", pivot(short.cast("int"), 30)))
+    return F.coalesce(parted_year(c), F.when(bare != "", bare.cast("int")))
+
+
+def search_year(c: Column | str, bare: bool) -> Column:
+    """The year that a register search is filled with; ``bare``: else the first number of four digits (registers D and S)."""
+    return F.coalesce(parted_year(c), any_year(c)) if bare else parted_year(c)
+
+
+def full_year(c: Column | str) -> Column:
+    """A two-digit year at the end is written in full (pivot 30), unless the text has a year of four digits."""
+    t = F.trim(col(c))
+    y = F.regexp_extract(t, r"[/.\-](\d{2})$", 1)
+    long = F.concat(F.substring(t, F.lit(1), F.length(t) - 2), pivot(y.cast("int"), 30).cast("string"))
+    return F.when(t.rlike(r"\b(?:19|20)\d{2}\b") | (y == ""), t).otherwise(long)
 
 
 def dossier_year(c: Column | str) -> Column:
@@ -249,27 +328,28 @@ def dossier_year(c: Column | str) -> Column:
 
 
 def compact_date(c: Column | str) -> Column:
-    """dd/mm/yyyy of 8 or 6 digits or of parted numbers; other texts stay."""
+    """dd/mm/yyyy of eight digits, of six (pivot 49), or of the first day, month and four-digit year anywhere in the text; other texts stay."""
     t = F.trim(col(c))
-    m = lambda p, k: F.regexp_extract(t, p, k)
-    eight, six, parted = r"^(\d{2})(\d{2})(\d{4})$", r"^(\d{2})(\d{2})(\d{2})$", r"^(\d{1,2})[./ -](\d{1,2})[./ -](\d{4}|\d{2})$"
-    year = lambda y: F.when(F.length(y) == 4, y).otherwise(F.when(y.cast("int") < 50, F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y)))
-    out = F.lit(None).cast("string")
-    for p in (parted, six, eight):
-        out = F.when(t.rlike(p), F.concat_ws("/", zero_filled(m(p, 1), 2), zero_filled(m(p, 2), 2), year(m(p, 3)))).otherwise(out)
-    return F.coalesce(out, t)
+    year = F.substring(t, 5, 2)
+    six = F.concat_ws("/", F.substring(t, 1, 2), F.substring(t, 3, 2), F.concat(F.when(year.cast("int") < 50, "20").otherwise("19"), year))
+    eight = F.concat_ws("/", F.substring(t, 1, 2), F.substring(t, 3, 2), F.substring(t, 5, 4))
+    p = r"(\d{1,2})\D(\d{1,2})\D(\d{4})"
+    parted = F.concat_ws("/", zero_filled(F.regexp_extract(t, p, 1), 2), zero_filled(F.regexp_extract(t, p, 2), 2), F.regexp_extract(t, p, 3))
+    return F.when(t.rlike(r"^\d{8}$"), eight).when(t.rlike(r"^\d{6}$"), six).when(t.rlike(p), parted).otherwise(t)
 
 
 def iso_date(c: Column | str, year: Column | str | None = None, as_of: Column | None = None) -> Column:
-    """D3: ISO text of a day-month-year or ISO date, pivot 7; else January 1st of ``year``, else ``as_of``."""
+    """D3: an ISO date as it is; yyyy-mm-dd of day, month (checked to be up to 31 and 12) and a year from 1900 to 2100 or of two digits
+    (pivot 7); else January 1st of ``year``, else ``as_of``.
+    """
     t = F.trim(col(c))
     p = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})$"
-    y = F.regexp_extract(t, p, 3)
-    y = F.when(F.length(y) == 4, y.cast("int")).otherwise(pivot(y.cast("int"), 7))
-    own = F.when(t.rlike(p), F.try_make_timestamp(y, F.regexp_extract(t, p, 2).cast("int"), F.regexp_extract(t, p, 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date"))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
-    first = F.make_date(col(year).cast("int"), F.lit(1), F.lit(1)) if year is not None else F.lit(None).cast("date")
-    return F.date_format(F.coalesce(iso, own, first, *([as_of] if as_of is not None else [])), "yyyy-MM-dd")
+    day, month, y = (F.when(t.rlike(p), F.regexp_extract(t, p, k).cast("int")) for k in (1, 2, 3))
+    full = F.when(F.length(F.regexp_extract(t, p, 3)) == 4, F.when(y.between(1900, 2100), y)).otherwise(pivot(y, 7))
+    own = F.when(day.between(1, 31) & month.between(1, 12) & full.isNotNull(), F.format_string("%04d-%02d-%02d", full, month, day))
+    first = F.format_string("%04d-01-01", col(year).cast("int")) if year is not None else F.lit(None).cast("string")
+    first = F.when(col(year).isNotNull(), first) if year is not None else first
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t), own, first, *([F.date_format(as_of, "yyyy-MM-dd")] if as_of is not None else []))
 
 
 def outside_register(year: Column | str, month: Column | str) -> Column:
@@ -293,8 +373,8 @@ def informativeness(c: Column | str) -> Column:
 
 
 def length_coherence(ocr: Column | str, name: Column | str) -> Column:
-    """M3: a log-normal bump around a ratio of 1.3, not below 0.05."""
-    n, m = F.length(F.replace(col(ocr), F.lit(" "), F.lit(""))), F.length(F.replace(col(name), F.lit(" "), F.lit("")))
+    """M3: a log-normal bump around a ratio of 1.3 of the numbers of letters, not below 0.05."""
+    n, m = (F.length(F.regexp_replace(col(c), r"\P{L}", "")) for c in (ocr, name))
     z = (F.log(m / n) - F.log(F.lit(1.3))) / 0.65
     return F.when(n == 0, 0.08).when(m == 0, 0.5).otherwise(F.greatest(F.lit(0.05), F.exp(-0.5 * z * z)))
 

@@ -1,19 +1,20 @@
 """Relational operators on records: lines, votes, merges, lookups, rules, lineage, review, payloads.
 
 Every operator takes and returns DataFrames and is lazy, but for the lineage walk, which is a loop of at most eleven
-levels over tables in the checkpoint folder, and with_places, which checkpoints the ranged rows.
+levels over tables in the shared folder, and with_places, which stores the ranged rows there.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as X
+from .shared import stored
 
 #: Reference tables are broadcast up to so many rows (counted).
 BROADCAST_ROWS = 50_000
@@ -51,8 +52,8 @@ def keyword_class(df: DataFrame, text: str, kinds: dict[str, tuple[str, ...]], u
 def vote(candidates: DataFrame, keys: list[str], value: str, confidence: str) -> DataFrame:
     """A10: values that agree but for case are one; the one with most votes wins, then the most confident, then the first by text."""
     votes = candidates.withColumn("_v", F.lower(value)).groupBy(*keys, "_v").agg(F.count("*").alias("votes"), F.max(confidence).alias("best"))
-    pick = F.max_by(F.struct("_v", "votes", "best"), F.struct("votes", "best", F.transform(F.split("_v", ""), lambda ch: -F.ascii(ch))))
-    return votes.groupBy(*keys).agg(pick.alias("_p")).select(*keys, F.col("_p._v").alias("value"), F.col("_p.votes").alias("votes"), F.col("_p.best").alias("best"))
+    first = F.min(F.struct((-F.col("votes")).alias("votes"), (-F.col("best")).alias("best"), F.col("_v").alias("value")))
+    return votes.groupBy(*keys).agg(first.alias("_p")).select(*keys, "_p.value", (-F.col("_p.votes")).alias("votes"), (-F.col("_p.best")).alias("best"))
 
 
 def merge_pages(fields: DataFrame, keys: list[str], page: str, field: str, value: str, last_wins: tuple[str, ...] = ("date",)) -> DataFrame:
@@ -167,47 +168,37 @@ def lineage_edges(lines: DataFrame) -> DataFrame:
     """G1: edges from each mother to each daughter of an operation (insee, document, sequence), from ';' lines of 11 parts or more."""
     p = lines.select(F.split("value", ";").alias("p")).filter(F.size("p") >= 11)
     part = lambda i: F.trim(F.element_at("p", i + 1))
-    parcels = p.select(X.insee(part(0), part(1)).alias("insee"), part(3).alias("doc"), part(8).alias("seq"), part(9).alias("kind"), F.explode(F.slice("p", 11, 100_000)).alias("raw"))
+    parcels = p.select(X.insee(part(0), part(1)).alias("insee"), part(3).alias("doc"), part(8).alias("seq"), part(9).alias("kind"), F.explode(F.slice("p", F.lit(11), F.size("p"))).alias("raw"))
     parcels = parcels.withColumn("x", X.parcel_parts("raw")).filter("x is not null").select("insee", "doc", "seq", "kind", "x.section", "x.numero").distinct()
     side = lambda kind, name: parcels.filter(F.col("kind") == kind).select("insee", "doc", "seq", F.struct("insee", "section", "numero").alias(name))
     return side("1", "parent").join(side("2", "child"), ["insee", "doc", "seq"]).select("parent", "child").distinct()
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineage-"))
-
-
 def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(seed, leaf): the parcels without children that each seed reaches in at most ``depth`` steps; an unknown seed is
-    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are checkpointed.
+    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are tables in the
+    shared folder, each computed once; the leaves are picked from all levels in one join.
     """
-    _checkpoint_dir(seeds.sparkSession)
-    edges = edges.checkpoint()
-    parents = edges.select(F.col("parent").alias("node")).distinct()
-    frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().checkpoint()
-    seen, found = frontier, []
-    for _ in range(depth + 1):
-        found.append(frontier.join(parents, "node", "left_anti").select("seed", F.col("node").alias("leaf")))
-        frontier = frontier.join(edges.withColumnRenamed("parent", "node"), "node").select("seed", F.col("child").alias("node")).distinct()
-        frontier = frontier.join(seen, ["seed", "node"], "left_anti").checkpoint()
-        if not frontier.take(1):
+    edges = stored(edges.select(F.col("parent").alias("node"), "child"), "edges")
+    level = stored(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
+    seen = level
+    for _ in range(depth):
+        below = level.join(edges, "node").select("seed", F.col("child").alias("node")).distinct()
+        level = stored(below.join(seen, ["seed", "node"], "left_anti"), "level")
+        if not level.take(1):
             break
-        seen = seen.unionByName(frontier)
-    return reduce(DataFrame.unionByName, found).distinct()
+        seen = seen.unionByName(level)
+    return seen.join(edges.select("node").distinct(), "node", "left_anti").select("seed", F.col("node").alias("leaf"))
 
 
 # -- order ----------------------------------------------------------------------------------------------------------
 
 
 def with_places(rows: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
-    """All rows with their place (from 1) in the order. The rows are ranged by it and checkpointed; a row's place is
+    """All rows with their place (from 1) in the order. The rows are ranged by it and stored; a row's place is
     its number in its range plus the rows of the ranges before, so no task sees more than a range.
     """
-    _checkpoint_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part").join(F.broadcast(sizes.select(F.col("_part").alias("_q"), "_n")), F.col("_q") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_before"))
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
@@ -256,11 +247,29 @@ def learn_corrections(log: DataFrame) -> DataFrame:
     return keyed.groupBy("field", "ocr_norm").agg(F.max_by("correction", "ts").alias("correction"), F.count("*").alias("count"))
 
 
-def payload(records: DataFrame) -> DataFrame:
-    """doc_id and the JSON that the publication service takes, of commune, code_insee, reference, date, statut, section, parcelles, numero_da, op_code."""
-    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in dims.STATUS_CODES.items() for x in kv]), F.col("statut")), F.lit("achevé"))
+def payload(records: DataFrame, holder: str = "", surveyor: str = "", firms: dict[str, str] | None = None, as_of: Column | None = None) -> DataFrame:
+    """doc_id, payload (the JSON that the publication service takes) and status, of ref_dossier, geometre, commune, code_insee,
+    date_dossier, annee_full, enr_statut, section, parcelles, n_ordre, op_code (array), lat and lon.
+
+    ``firms``: the creating firm of each surveyor, else ``holder``; the last five signs of the firm name its surveyor, else
+    ``surveyor``. Empty lists are left out. Without a reference there is no payload. ``as_of`` dates records without a date.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in (firms or {"": ""}).items() for x in kv]), F.upper(text("geometre")))
+    firm = F.coalesce(F.when(named != "", named), F.lit(holder))
+    reference = F.translate(F.substring(text("ref_dossier"), 1, 15), " ", "_")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in dims.STATUS_CODES.items() for x in kv]), F.coalesce(F.col("enr_statut"), F.lit("Achevé")))
+    east, north = X.lambert93("lat", "lon")
+    place = F.struct(F.round(east, 2).alias("loc_coord_est"), F.round(north, 2).alias("loc_coord_nord"))
+    act = F.when(F.lower(text("n_ordre")).isin("nan", "none", ""), None).otherwise(X.act_number("n_ordre", text("code_insee")))
+    some = lambda a: F.when(F.size(a) > 0, a)
     body = F.struct(
-        F.col("reference").alias("enr_ref_dossier"), X.iso_date("date").alias("enr_date"), status.alias("enr_statut"), F.array(F.coalesce("op_code", F.lit("Em"))).alias("op_code"),
-        X.format_cadastre("section", "parcelles").alias("cadastre"), F.array(F.struct(F.col("code_insee"), F.col("commune"))).alias("localisant"), F.filter(F.array(X.act_number("numero_da", "code_insee")), lambda x: x.isNotNull()).alias("dmpc_ref"),
+        firm.alias("enr_cab_createur"), reference.alias("enr_ref_dossier"), F.lit(holder).alias("enr_cab_detenteur"),
+        F.when(F.length(firm) >= 5, F.substring(firm, -5, 5)).otherwise(surveyor).alias("enr_ge_createur"), text("code_insee").alias("enr_code_insee"),
+        X.iso_date("date_dossier", "annee_full", as_of).alias("enr_date_dossier"), F.coalesce("op_code", F.array().cast("array<string>")).alias("op_code"), F.lit(False).alias("enr_visible"),
+        F.coalesce(known, F.lit("achevé")).alias("enr_statut"), F.concat(F.lit("Archive importée automatiquement. Commune: "), text("commune")).alias("enr_memo"),
+        some(X.format_cadastre("section", "parcelles")).alias("cadastre"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array(place)).alias("localisant"),
+        some(F.filter(F.array(act), lambda x: x.isNotNull())).alias("dmpc_ref"),
     )
-    return records.select("doc_id", F.to_json(body).alias("payload"))
+    ok = reference != ""
+    return records.select("doc_id", F.when(ok, F.to_json(body)).alias("payload"), F.when(ok, "OK").otherwise("ECHEC - ref_dossier manquante").alias("status"))

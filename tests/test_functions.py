@@ -45,9 +45,9 @@ CASES = [
     (lambda: X.format_scale("c"), "abc", "abc"),
     (lambda: X.format_section("c"), " a-b ", "AB"),
     (lambda: X.format_section("c"), "AH 01", "AH"),
-    (lambda: X.act_number("c", F.lit("07186"))["numero"], "03854", "3854A"),
-    (lambda: X.act_number("c", F.lit("07186"))["numero"], "677 J", "677A"),
-    (lambda: X.act_number("c", F.lit("07186"))["numero"], "891-a", "891A"),
+    (lambda: X.act_number("c", F.lit("07186"))["dmpc_ref"], "03854", "3854A"),
+    (lambda: X.act_number("c", F.lit("07186"))["dmpc_ref"], "677 J", "677A"),
+    (lambda: X.act_number("c", F.lit("07186"))["dmpc_ref"], "891-a", "891A"),
     (lambda: X.repair_mojibake("c"), "CommunautÃ©", "Communauté"),
     (lambda: X.act_nature("c"), "Plan de division", "DIVISION_PARCELLAIRE"),
 ]
