@@ -33,18 +33,20 @@ KEYWORD_REPAIRS = (
 )
 
 
+#: A scale and a section behind their words, a short token with a digit among look-alikes, and a file number; K4: what the signs of each become.
+SCALE_TEXT, SECTION_TEXT = r"(?U)(?:[Ee]chelle|[Ee]ch\.?)\s*[A-Za-z0-9/]+\b", r"(?U)(?:[Ss]ection|[Ss]ect\.?)\s*[0-9A-Za-z]{1,2}\b"
+NUMBER_TEXT, FILE_TEXT = r"(?U)\b(?=[A-Za-z]{0,4}[0-9])[0-9OolISsB]{1,5}\b", r"(?U)\b\d{4}[- ]\d+[A-ZÀ-Ÿ]?\b"
+
+
 def cadastral_rules(c: Column | str) -> Column:
-    """Signs of scales, section letters, short tokens of digit-like signs, file numbers, keywords; null stays null."""
-    u = "(?U)"
-    scale, section = u + r"(?:[Ee]chelle|[Ee]ch\.?)\s*[A-Za-z0-9/]+\b", u + r"(?:[Ss]ection|[Ss]ect\.?)\s*[0-9A-Za-z]{1,2}\b"
+    """Signs of scales, section letters, short tokens of digit-like signs, file numbers, keywords; null stays null."""
     head = lambda x, p: F.regexp_extract(x, p, 1)
     tail = lambda x, p: F.substring(x, F.length(head(x, p)) + 1, F.length(x))
     a, b = r"^((?:[Ee]chelle|[Ee]ch\.?)\s*)", r"^((?:[Ss]ection|[Ss]ect\.?)\s*)"
-    out = rewritten(X.col(c), scale, lambda x: F.concat(head(x, a), F.translate(tail(x, a), "lIftOo", "11//00")))
-    out = rewritten(out, section, lambda x: F.concat(head(x, b), F.translate(tail(x, b), "0185", "OIBS")))
-    number = u + r"\b(?=[A-Za-z]{0,4}[0-9])[0-9OolISsB]{1,5}\b"
-    out = rewritten(out, number, lambda x: F.translate(x, "OolISsB", "0011558"))
-    out = rewritten(out, u + r"\b\d{4}[- ]\d+[A-ZÀ-Ÿ]?\b", lambda x: F.translate(x, "Oo", "00"))
+    out = rewritten(X.col(c), SCALE_TEXT, lambda x: F.concat(head(x, a), F.translate(tail(x, a), "lIftOo", "11//00")))
+    out = rewritten(out, SECTION_TEXT, lambda x: F.concat(head(x, b), F.translate(tail(x, b), "0185", "OIBS")))
+    out = rewritten(out, NUMBER_TEXT, lambda x: F.translate(x, "OolISsB", "0011558"))
+    out = rewritten(out, FILE_TEXT, lambda x: F.translate(x, "Oo", "00"))
     for pattern, word in KEYWORD_REPAIRS:
         out = F.regexp_replace(out, "(?iU)" + pattern, word)
     return out
@@ -142,9 +144,25 @@ def indication(pages: DataFrame, page: list[str], text: str = "full_text", least
     return best.select(*page, F.col("b.v").alias("valeur"), F.least(F.lit(0.95), F.col("b.s") / 100).alias("confidence"))
 
 
+#: How a model begins before it says what it read.
+ANSWER_STARTS = (
+    r"la commune\s.*?(?:est|:|: |\s)\s*", r"la commune est", r"la date .*? est", r"le num[é\w]ro .*? est", r"le da est", r"le g[é\w]om[è\w]tre est", r"la photo montre.*?(?:sont|est|:)\s*",
+    r"l'image montre.*?(?:sont|est|:)\s*", r"this image (?:shows|contains|depicts).*?(?::,)\s*", r"il semble.*?:\s*", r"les nombres.*?(?:sont|est|:)\s*", r"le texte sur l'?image est",
+    r"le texte dans l'?image est", r"le texte correspondant .*? est", r"il s'agit de", r"ce document", r"voici le texte", r"texte lu", r"le texte lu est", r"le texte est", r"texte:", r"valeur",
+    r"je peux voir", r"je vois", r"i can see", r"the text (?:reads|says|is)", r"based on the image", r"in the image",
+)
+
+
+def plain_answer(c: Column | str) -> Column:
+    """C17: a model's answer without its beginnings, quotes and outer signs."""
+    own = F.trim(F.regexp_replace(X.col(c), r"(?iu)^(?:.*?(?:" + "|".join(ANSWER_STARTS) + r")\s*:?\s*)+", ""))
+    own = F.trim(F.regexp_replace(own, r"(?iu)^(?:texte|le texte|la valeur)?\s*(?:dans|sur)?\s*(?:l'?image|ce document)?\s*(?:est|:)?\s*", ""))
+    return F.trim(F.translate(own, "\"'", ""), F.lit(" .:,"))
+
+
 def chosen_indication(c: Column | str) -> Column:
-    """C17: a model's answer that names one of A, B and C only, as its sentence; other answers stay, without quotes and outer signs."""
-    plain = F.trim(F.translate(X.col(c), "\"'", ""), F.lit(" .:,"))
+    """C17: plain_answer(); one that names one of A, B and C only becomes its sentence."""
+    plain = plain_answer(c)
     has = {k: F.contains(F.upper(plain), F.lit(k)) for k in INDICATIONS}
     out = F.when(F.lit(False), "")
     for k, sentence in INDICATIONS.items():
@@ -155,11 +173,22 @@ def chosen_indication(c: Column | str) -> Column:
     return out.otherwise(plain)
 
 
+#: Numbers behind 'parcelles n°', and the lines of numbers below a line that names parcels or sections.
+PARCELS_BEHIND = r"(?iu)(?:parcelle[s]?\s*n[o°][s]?|n[o°]\s*de\s*parcelle[s]?)\s*[:\-]?\s*(\d{1,5}[A-Za-z]?(?:\s*[,/;]\s*\d{1,5}[A-Za-z]?)*)"
+PARCELS_BELOW = r"(?iu)(?:parcelle[s]?|section[s]?)[^\n]{0,80}\n((?:\s*(?:n[o°]\s*)?\d{1,5}[A-Za-z]?(?:\s*[,/;]\s*|\s*\n\s*|\s+|$)){1,15})"
+
+
 def parcel_lists(pages: DataFrame, page: list[str], text: str, new: str, old: str) -> DataFrame:
-    """The parcel numbers of a text without years, and the numbers read by colour, tagged; text first, each once."""
-    numbers = F.filter(X.numeric_tokens(text), lambda n: ~n.between(1900, 2099)).cast("array<string>")
-    tagged = lambda c, tag: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(x, F.lit(f" ({tag})")))
-    return pages.select(*page, F.array_distinct(F.concat(F.coalesce(numbers, F.array().cast("array<string>")), tagged(new, "Nouveau"), tagged(old, "Ancien"))).alias("parcelles"))
+    """The parcels of a text (behind and below the words that name them, years left out below), tagged new, then those read by colour: new ones that
+    the text lacks, and old ones, each once. ``new`` and ``old`` are null where colours don't tell.
+    """
+    found = lambda p, one: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(one), F.lit(0))))
+    below = F.filter(found(PARCELS_BELOW, r"\b\d{1,5}[A-Za-z]?\b"), lambda n: ~n.rlike(r"^(?:19|20)\d{2}$"))
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.concat(found(PARCELS_BEHIND, r"\d{1,5}[A-Za-z]?"), below), none)
+    tagged = lambda a, tag: F.transform(a, lambda x: F.concat(x, F.lit(f" ({tag})")))
+    fresh = F.array_distinct(F.filter(F.coalesce(F.col(new), none), lambda x: ~F.array_contains(own, x)))
+    return pages.select(*page, F.concat(tagged(own, "Nouveau"), tagged(fresh, "Nouveau"), tagged(F.array_distinct(F.coalesce(F.col(old), none)), "Ancien")).alias("parcelles"))
 
 
 def signatories(blocks: DataFrame, doc: list[str], order: list[str], text: str = "text") -> DataFrame:
@@ -178,11 +207,16 @@ SIGNING = (("dispense", "dispensés de signer (3°)"), ("represente", "représen
 
 
 def certification(docs: DataFrame, blocks: DataFrame, doc: list[str], least: float = 0.25) -> DataFrame:
-    """The way of signing whose word was read most surely, struck-out words being read badly; 'soussignés (1°)' where none was."""
+    """Who represents the owners where a block says so; else the way of signing whose word was read most surely, struck-out words being
+    read badly; 'soussignés (1°)' where none was.
+    """
     t = F.lower(X.strip_accents("text"))
     hits = F.filter(F.array(*[F.when(t.contains(w), F.struct(F.col("prob").alias("p"), F.lit(-i).alias("i"), F.lit(v).alias("v"))) for i, (w, v) in enumerate(SIGNING)]), lambda x: x.isNotNull())
     best = blocks.filter(F.col("prob") >= least).select(*doc, F.explode(hits).alias("b")).groupBy(*doc).agg(F.max("b").alias("b"))
-    return docs.select(*doc).distinct().join(best, doc, "left").select(*doc, F.coalesce("b.v", F.lit(SIGNING[-1][1])).alias("certification"))
+    who = F.trim(F.regexp_extract("text", r"(?iu)repr[eé]sent[eé]s?\s+(?:par\s+)?([A-ZÀ-Ý][A-Za-zÀ-ÿ\s\-.]{2,40})", 1))
+    named = blocks.select(*doc, "block_id", F.when(who != "", who).alias("w")).filter("w is not null").groupBy(*doc).agg(F.min_by("w", "block_id").alias("w"))
+    said = F.coalesce(F.concat(F.lit("représentés par "), F.col("w"), F.lit(" (2°)")), F.col("b.v"), F.lit(SIGNING[-1][1]))
+    return docs.select(*doc).distinct().join(best, doc, "left").join(named, doc, "left").select(*doc, said.alias("certification"))
 
 
 def page_role(page: Column | str, pages: Column | str) -> Column:

@@ -11,33 +11,22 @@ from ..functions import text as X
 from ..operators import extraction as E
 from ..operators import matching as M
 from ..operators import records as R
+from ..operators import review as V
+from .base import ORACLES, QUERIES, query, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 # DuckDB's upper() keeps ß, so both sides write ss first.
-_KEY = r"trim(regexp_replace(regexp_replace(translate(upper(strip_accents(replace({0}, 'ß', 'ss'))), '-''`’', '    '), '[^A-Z0-9 ]', '', 'g'), '\s+', ' ', 'g'))"
+_PLAIN = "upper(strip_accents(replace({0}, 'ß', 'ss')))"
+_KEY = "trim(regexp_replace(" + _PLAIN + ", '[^A-Z0-9]+', ' ', 'g'))"
+_SAINTS = "trim(regexp_replace(regexp_replace(regexp_replace(" + _PLAIN + r", '\bST\b', 'SAINT', 'g'), '\bSTE\b', 'SAINTE', 'g'), '[^A-Z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_KEY.format('text')} AS key, length({_KEY.format('text')}) AS n FROM documents")
+@query(f"SELECT doc_id, {_KEY.format('text')} AS key, length({_KEY.format('text')}) AS n, {_SAINTS.format('text')} AS corrector_key FROM documents")
 def normalize_text(spark, d):
-    key = X.register_key(F.replace("text", F.lit("\n"), F.lit("")))
-    return table(spark, d, "documents").select("doc_id", key.alias("key"), F.length(key).cast("long").alias("n"))
+    """N2, N3."""
+    key = X.register_key("text")
+    return table(spark, d, "documents").select("doc_id", key.alias("key"), F.length(key).cast("long").alias("n"), X.corrector_key("text").alias("corrector_key"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
@@ -62,6 +51,7 @@ def numeric_tokens(spark, d):
 @query("""SELECT o_orderkey, CASE WHEN y <= 7 THEN 2000 ELSE 1900 END + y AS d2, CASE WHEN y <= 30 THEN 2000 ELSE 1900 END + y AS d4, CASE WHEN y <= 49 THEN 2000 ELSE 1900 END + y AS d7,
 CASE WHEN y <= 35 THEN 2000 ELSE 1900 END + y AS d8 FROM (SELECT o_orderkey, year(o_orderdate) % 100 AS y FROM orders)""")
 def two_digit_year_pivot(spark, d):
+    """The pivot that D2, D4, D7 and D8 have in common; the functions themselves are in years_and_dates."""
     y = F.year("o_orderdate") % 100
     return table(spark, d, "orders").select("o_orderkey", *[X.pivot(y, k).cast("long").alias(n) for n, k in (("d2", 7), ("d4", 30), ("d7", 49), ("d8", 35))])
 
@@ -203,7 +193,7 @@ def coherence_score(spark, d):
 def issues_by_field(spark, d):
     """A7."""
     i = R.issues(table(spark, d, "orders"), ["o_orderkey"], _order_rules())
-    return i.select("level", F.explode(F.split("fields", ",")).alias("fields")).groupBy("level", "fields").agg(F.count("*").alias("n"))
+    return V.issues_by_field(i).select("level", "fields", "n")
 
 
 @query("""SELECT page_id, greatest(a, b, c) AS hits, CASE WHEN greatest(a, b, c) = 0 THEN 'Type Inconnu' WHEN a = greatest(a, b, c) THEN 'list' WHEN b = greatest(a, b, c) THEN 'table' ELSE 'links' END AS kind FROM (SELECT page_id,
@@ -252,26 +242,15 @@ def lineage_edges(spark, d):
     return R.lineage_edges(_lines(spark, d)).select("parent.insee", "parent.section", F.col("parent.numero").alias("parent"), F.col("child.numero").alias("child"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey BETWEEN 1 AND 50 UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
 SELECT DISTINCT {_NUMBER.format('seed')} AS seed, {_NUMBER.format('node')} AS leaf FROM w WHERE node NOT IN (SELECT parent FROM e)""")
 def lineage_leaves(spark, d):
-    """The parcels in force that the first fifty parcels became; of every parcel see lineage_leaves_all."""
-    return _leaves(spark, d, F.col("c_custkey").between(1, 50))
-
-
-def _leaves(spark, d, chosen):
+    """The parcels in force that each parcel became."""
     edges = R.lineage_edges(_lines(spark, d))
-    seeds = table(spark, d, "customer").filter(chosen).select(F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), X.zero_filled(F.col("c_custkey"), 4).alias("numero")).alias("seed"))
+    seeds = table(spark, d, "customer").select(F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), X.zero_filled(F.col("c_custkey"), 4).alias("numero")).alias("seed"))
     return R.leaves(seeds, edges).select(F.col("seed.numero").alias("seed"), F.col("leaf.numero").alias("leaf"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
-SELECT DISTINCT {_NUMBER.format('seed')} AS seed, {_NUMBER.format('node')} AS leaf FROM w WHERE node NOT IN (SELECT parent FROM e)""")
-def lineage_leaves_all(spark, d):
-    """The parcels in force that each parcel became."""
-    return _leaves(spark, d, F.lit(True))
-
-
 @query("""SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey % 2 = 0) UNION ALL SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0)""")
 def anti_append(spark, d):
     """Own rows and those of another table whose key is missing."""
@@ -289,8 +268,7 @@ def edit_overlay(spark, d):
 @query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'F') / count(*) AS progress FROM orders GROUP BY 1""")
 def review_progress(spark, d):
     """A15."""
-    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"), done.alias("done"), (done / F.count("*")).alias("progress"))
+    return V.progress(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
 @query("""SELECT lower(event_type) AS ocr_norm, 'type' AS field, arg_max(CAST(user_id AS VARCHAR), event_id) AS correction, count(*) AS count FROM events GROUP BY 1""")
@@ -300,19 +278,12 @@ def learned_corrections(spark, d):
     return R.learn_corrections(log)
 
 
-@query("""SELECT row_number() OVER (ORDER BY upper(o_orderpriority), o_orderdate, o_orderkey) AS place, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'OK (sans document)' ELSE 'ECHEC' END AS statut FROM orders QUALIFY place <= 100""")
-def register_sorted(spark, d):
-    """The first hundred rows of register_places."""
-    top = table(spark, d, "orders").withColumn("statut", _statut()).orderBy(F.upper("o_orderpriority"), "o_orderdate", "o_orderkey").limit(100)
-    return top.select(F.row_number().over(W.orderBy(F.upper("o_orderpriority"), "o_orderdate", "o_orderkey")).cast("long").alias("place"), "o_orderkey", "statut")
-
-
 def _statut():
     return F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "OK (sans document)").otherwise("ECHEC")
 
 
 @query("""SELECT row_number() OVER (ORDER BY upper(o_orderpriority), o_orderdate, o_orderkey) AS place, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'OK (sans document)' ELSE 'ECHEC' END AS statut FROM orders""")
-def register_places(spark, d):
+def register_sorted(spark, d):
     """Every row of the sorted register with its place and status."""
     o = table(spark, d, "orders").select(F.upper("o_orderpriority").alias("_priority"), "o_orderdate", "o_orderkey", _statut().alias("statut"))
     return R.with_places(o, [F.col("_priority"), F.col("o_orderdate"), F.col("o_orderkey")]).select("place", "o_orderkey", "statut")
@@ -340,7 +311,7 @@ def first_by_position(spark, d):
 
 @query()
 def fuzzy_topk(spark, d):
-    """Brand-like probes against part types. No SQL: the score is our own."""
+    """Brand-like probes against part types. No SQL: the score is our own."""
     p = table(spark, d, "part")
     probes = p.select(F.translate(F.upper("p_type"), "AEO", "4E0").alias("probe")).distinct()
     return M.top_k(probes, p.select(F.upper("p_type").alias("name")), "probe", "name", 3)
@@ -348,9 +319,19 @@ def fuzzy_topk(spark, d):
 
 @query()
 def alignment_score(spark, d):
-    """M1, M2, M3."""
+    """M1, K2. No SQL: the recurrence is our own."""
     p = table(spark, d, "part").select("p_partkey", F.upper("p_type").alias("name"), F.upper("p_name").alias("probe"))
-    return p.withColumns({"alignment": S.alignment_col(F.col("probe"), F.col("name")), "informativeness": X.informativeness("probe"), "coherence": X.length_coherence("probe", "name")})
+    return p.withColumn("alignment", S.alignment_col(F.col("probe"), F.col("name")))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS a, length(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS n, length(regexp_replace(p_type || ' 12', '[^A-Za-z]', '', 'g')) AS m, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS w FROM part),
+c AS (SELECT p_partkey, unnest(string_split(w, '')) AS ch FROM (SELECT DISTINCT ON (p_partkey) p_partkey, w FROM p) WHERE w <> ''), f AS (SELECT p_partkey, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2), h AS (SELECT p_partkey, sum(k) AS t, count(*) AS u FROM f GROUP BY 1),
+e AS (SELECT p_partkey, -sum(k / t * log2(k / t)) AS e FROM f JOIN h USING (p_partkey) GROUP BY 1)
+SELECT p.p_partkey, round(0.4 * least(1, t / 5) + 0.6 * CASE WHEN u > 1 THEN e / log2(u) ELSE 0 END, 6)::DOUBLE AS informativeness, round(greatest(0.05, exp(-0.5 * pow((ln(m / n) - ln(1.3)) / 0.65, 2))), 6)::DOUBLE AS coherence FROM p JOIN h USING (p_partkey) JOIN e USING (p_partkey)""")
+def reading_quality(spark, d):
+    """M2, M3."""
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.round(X.informativeness("p_name"), 6).alias("informativeness"), F.round(X.length_coherence("p_name", F.concat("p_type", F.lit(" 12"))), 6).alias("coherence"))
 
 
 @query()
@@ -360,12 +341,19 @@ def label_match(spark, d):
     return M.label_matches(p.select("p_partkey", F.col("p_name").alias("text")), p.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("label")).distinct())
 
 
-@query()
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE '{"enr_cab_createur":"' || CASE WHEN c_custkey % 2 = 0 THEN '1965I002702' ELSE '2000X00001' END || '","enr_ref_dossier":"97_' || c_custkey || '","enr_cab_detenteur":"2000X00001","enr_ge_createur":"' || CASE WHEN c_custkey % 2 = 0 THEN '02702' ELSE '00001' END
+|| '","enr_code_insee":"07186","enr_date_dossier":"1997-06-22","op_code":["Em"],"enr_visible":false,"enr_statut":"en production","enr_memo":"Archive importée automatiquement. Commune: ' || c_name || '"' || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE ',"cadastre":[{"cad_prefixe":"000","cad_section":"' || substr(c_mktsegment, 1, 2) || '","cad_parcelle":' || c_custkey || '},{"cad_prefixe":"000","cad_section":"' || substr(c_mktsegment, 1, 2) || '","cad_parcelle":' || c_nationkey || '}]' END
+|| ',"dmpc_ref":[{"dmpc_prefixe":"070","dmpc_ref":"' || c_custkey || 'J"}]}' END AS payload, CASE WHEN c_custkey % 10 = 9 THEN 'ECHEC - ref_dossier manquante' ELSE 'OK' END AS status FROM customer""")
 def publication_payload(spark, d):
-    """P1, C14, C15, D3."""
-    c = table(spark, d, "customer")
-    rows = c.select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("commune"), F.lit("07186").alias("code_insee"), X.reference_hb(F.lit(97), "c_custkey").alias("reference"), F.lit("22.06.97").alias("date"), F.lit("En cours").alias("statut"), X.format_section("c_mktsegment").alias("section"), F.concat_ws(" & ", "c_custkey", "c_nationkey").alias("parcelles"), F.concat("c_custkey", F.lit("J")).alias("numero_da"), F.lit(None).cast("string").alias("op_code"))
-    return R.payload(rows)
+    """Records without a reference have no payload, those without a section no parcels."""
+    c, none = table(spark, d, "customer"), F.lit(None).cast("double")
+    rows = c.select(
+        F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 10 != 9, F.concat(F.lit("97 "), "c_custkey")).alias("ref_dossier"), F.when(F.col("c_custkey") % 2 == 0, "dupuy").otherwise("x").alias("geometre"),
+        F.col("c_name").alias("commune"), F.lit("07186").alias("code_insee"), F.lit("22.06.97").alias("date_dossier"), F.lit(1999).alias("annee_full"), F.lit("En cours").alias("enr_statut"),
+        F.when(F.col("c_mktsegment") != "BUILDING", X.format_section("c_mktsegment")).alias("section"), F.concat_ws(" & ", "c_custkey", "c_nationkey").alias("parcelles"), F.concat(F.lit("00"), "c_custkey", F.lit("j")).alias("n_ordre"),
+        F.array(F.lit("Em")).alias("op_code"), none.alias("lat"), none.alias("lon"),
+    )
+    return R.payload(rows, "2000X00001", firms={"DUPUY": "1965I002702"})
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER w = 1 THEN 'all' WHEN l_linenumber = 1 THEN 'entete' WHEN l_linenumber = count(*) OVER w THEN 'signatures' ELSE 'corps' END AS role FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""")
@@ -404,3 +392,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Register matches of coherent orders."""
     return lookup_cascade(spark, d).withColumnRenamed("status", "match").join(coherence_score(spark, d), "o_orderkey")
 
+
+
+from . import communes, documents, fields, registers, review  # noqa: E402, F401  these register their queries

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.small import parcels_of_all
 
 
 def communes(spark: SparkSession, *paths: str) -> DataFrame:
@@ -50,6 +52,53 @@ def numeric_rows(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.expr(f"try_cast(`{column}` as double)").isNotNull())
 
 
+def numeric_sheet(df: DataFrame, names: list[str], number: str) -> DataFrame:
+    """A sheet without a header: its columns by place, the rows whose ``number`` is one."""
+    named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=False)])
+    return numeric_rows(named, number)
+
+
+def parcel_register(df: DataFrame) -> DataFrame:
+    """Register RC of a sheet without a header: a numeric n_registre, names in upper case, the year of the date, and the numbers of its
+    three lists of parcels, each and together.
+    """
+    names = ["n_registre", "n_cadastre", "vendeur", "notaire", "commune", "section", "parcelle_origine", "parcelle_acquereur", "parcelle_vendeur", "acquereur", "date_cadastre"]
+    own = numeric_sheet(df, names, "n_registre").withColumn("n_registre", F.col("n_registre").cast("double").cast("int"))
+    lists = {k: X.numeric_tokens(F.col(c).cast("string"), 99999, whole_words=False) for k, c in (("parc_orig", "parcelle_origine"), ("parc_acq", "parcelle_acquereur"), ("parc_vend", "parcelle_vendeur"))}
+    own = own.withColumns({"commune": F.upper(F.trim("commune")), "section": F.upper(F.trim("section")), "annee": X.year_in_text(F.col("date_cadastre").cast("string"))} | lists)
+    return own.withColumn("parc_all", parcels_of_all("parc_acq", "parc_orig", "parc_vend"))
+
+
+def words_of_spans(spans: DataFrame) -> DataFrame:
+    """Each span (span_id, text, x0, y0, x1, y1, conf) as a block, line and word of its own."""
+    one = F.lit(1)
+    return spans.select(
+        F.col("span_id").alias("block_num"), one.alias("par_num"), one.alias("line_num"), one.alias("word_num"), F.col("x0").alias("left"), F.col("y0").alias("top"),
+        (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), "text", "conf",
+    )
+
+
+def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON table, or an empty one of the same schema where there is none or it can't be read."""
+    try:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def write_modern(df: DataFrame, path: str, boxes: str = "bbox") -> None:
+    """As write_plans, arrays joined by ' / ', the boxes of the fields as JSON in Bbox_Champs."""
+    own = df.withColumn("Bbox_Champs", F.to_json(boxes)).drop(boxes) if boxes in df.columns else df
+    write_plans(own, path, " / ")
+
+
+def write_booklet(rows: DataFrame, fields: DataFrame, path: str) -> None:
+    """The rows as ';' CSV and as JSON, and the fields of the first page as a second CSV."""
+    write_plans(rows, f"{path}/lignes.csv")
+    write_plans(fields, f"{path}/champs.csv")
+    rows.write.mode("overwrite").json(f"{path}/lignes.json")
+
+
 def write_plans(df: DataFrame, path: str, joiner: str = ", ") -> None:
     """S15, S16: ';' CSV, arrays joined, texts repaired."""
     cols = [F.concat_ws(joiner, c).alias(c) if t.startswith("array") else (X.repair_mojibake(c).alias(c) if t == "string" else F.col(c)) for c, t in df.dtypes]

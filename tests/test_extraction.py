@@ -59,11 +59,13 @@ def test_indication(spark):
     p = spark.createDataFrame([(1, "xx en conformite d'un piquetage qu'ils ont effectué sur le terrain yy"), (2, "0 " * 60)], "page int, full_text string")
     assert [(r.page, r.valeur) for r in E.indication(p, ["page"]).collect()] == [(1, E.INDICATIONS["B"])]
     assert one(spark, E.chosen_indication, "B.") == E.INDICATIONS["B"] and one(spark, E.chosen_indication, '"12"') == "12"
+    assert one(spark, E.plain_answer, "Le texte est : 'Ucel'.") == "Ucel" and one(spark, E.plain_answer, "je vois Vals") == "Vals"
 
 
 def test_parcels_and_roles(spark):
-    p = spark.createDataFrame([(1, "n 12 et 34 de 1997", ["56"], None)], "page int, text string, new array<string>, old array<string>")
-    assert E.parcel_lists(p, ["page"], "text", "new", "old").first().parcelles == ["12", "34", "56 (Nouveau)"]
+    p = spark.createDataFrame([(1, "parcelles n° 12, 14a de 1997\nsections ci-apres\n 34\n1950", ["56", "12"], None), (2, None, None, ["7", "7"])], "page int, text string, new array<string>, old array<string>")
+    got = {r.page: r.parcelles for r in E.parcel_lists(p, ["page"], "text", "new", "old").collect()}
+    assert got == {1: ["12 (Nouveau)", "14a (Nouveau)", "34 (Nouveau)", "56 (Nouveau)"], 2: ["7 (Ancien)"]}
     roles = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (3, 3)], "p int, n int").select(E.page_role("p", "n").alias("r"))
     assert [r.r for r in roles.collect()] == ["all", "entete", "corps", "signatures"]
 
