@@ -213,6 +213,15 @@ def test_plan_is_close_to_the_bound():
         assert len(ends) <= max(1.35 * packing.lower_bound(histogram), large)
 
 
+def test_plan_of_real_lengths_is_near_the_bound(spark):
+    """Within 1 % and two sequences of what no packing can be below."""
+    pieces = packing.tokenised_pieces(spark.read.parquet(DATA.replace("0.001", "0.01") + "/documents.parquet"), packing.vocabulary_path())
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    slots = packing.plan(histogram)
+    used = max(s + n for _, _, n, s, _ in slots)
+    assert used <= 1.01 * packing.lower_bound(histogram) + 2
+
+
 def test_codec(docs, odd, empty):
     import sentencepiece
 
@@ -323,8 +332,11 @@ def test_lm_scores_count_every_word(spark):
     same_scores(df, df.filter("doc_id % 4 = 0").select("doc_id"))
 
 
-@pytest.mark.parametrize("metric", ["ip", "l2"])
-def test_nearest(spark, metric):
+@pytest.mark.parametrize("metric, block, queries", [("ip", 4096, 512), ("l2", 4096, 512), ("ip", 400, 32)])
+def test_nearest(spark, monkeypatch, metric, block, queries):
+    """Also with many blocks of vectors and of queries, and their merge."""
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", queries)
     rng = np.random.default_rng(8)
     v = rng.normal(size=(3000, 24)).astype(np.float32)
     v[100:160] = v[100]
@@ -341,6 +353,23 @@ def test_nearest(spark, metric):
         assert np.allclose(got.score, (w[got.query_id] * w[got.vec_id]).sum(1), atol=1e-12)
 
 
+def test_recall_on_embeddings(spark):
+    """Against brute force in double precision, all queries of sf0.01."""
+    table = spark.read.parquet(DATA.replace("0.001", "0.01") + "/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect() if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float64)
+    got = nearest.op9_additive_quantisation(spark, DATA.replace("0.001", "0.01")).toPandas()
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        s[ids == ids[q]] = -np.inf
+        want = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        own = got[got.query_id == ids[q]].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and (np.diff(own.score) <= 0).all()
+        hit, total = hit + len(want & set(own.vec_id)), total + 20
+    assert hit / total >= 0.9
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 2.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in nearest.nearest(df, "id % 20 = 0").orderBy("query_id", "rank").collect()]
