@@ -144,8 +144,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = digest_bits // 8
     base = base.withColumn("_digest", full if narrow >= 32 else F.concat(F.substring(full, 1, narrow), F.lit(bytes(32 - narrow))))
     base = base.withColumn("_key", F.coalesce(F.col("_id"), F.lit((1 << 63) - 2)) * sign)
-    index = io.stored(build_index(base, "_digest", "_key", memtable_rows=memtable_rows), "index").withColumnRenamed("digest", "_digest")
-    repeated = index.filter("n > 1")
+    index = io.stored(build_index(base, "_digest", "_key", memtable_rows=memtable_rows), "index")
+    repeated = index.withColumnRenamed("digest", "_digest").filter("n > 1")
     total = docs.count()
 
     again = io.skew_safe_join(base, repeated, ["_digest"], "n", total).select("_id", "_text", "_digest", "_key", "best", "n", F.ceil(F.col("n") / 256).cast("int").alias("_salts"))
@@ -161,7 +161,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = out.join(texts.drop("_text"), ["_digest", "_sha"], "left").withColumns({"best": F.coalesce("_best2", "best"), "n": F.coalesce("_n2", "n")})
     keep_id = F.when(F.col("n") > 1, F.col("best") * sign).otherwise(F.col("_id"))
     keep_id = F.when(F.abs(keep_id) == (1 << 63) - 2, F.lit(None)).otherwise(keep_id)
-    return out.select(F.col("_id").alias(id_col), keep_id.alias("keep_id"), F.col("n").alias("group_size"), keep_id.eqNullSafe(F.col("_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
+    out = io.stored(out.select("_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), keep_id.eqNullSafe(F.col("_id")).alias("kept"), F.col("_sha").alias("text_sha256")), "rows")
+    io.discard(index, differ)
+    return out.withColumnRenamed("_id", id_col)
 
 
 def _with_index(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:

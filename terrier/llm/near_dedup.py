@@ -246,6 +246,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if outside.take(1):
         more = _across(outside, placed, sigs, threshold)
         second = confirmed(more, texts, width, percent)
+        io.remove(more)
         if second.take(1):
             merged = second.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
             joined = io.connected_components(merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")

@@ -6,7 +6,9 @@ query's inner products with all codewords make a lookup table; a block's approxi
 (less half the stored squared norm for Euclidean distance), and the best of each block are scored again, exactly, on
 the original vectors in double precision.
 
-Queries, in blocks, are held against every block of vectors. Equal scores go to smaller ids.
+Queries, in blocks, are held against every block of vectors. Equal scores go to smaller ids. Lists of a coarse codebook were
+measured and left out: of 64 lists on the test vectors (64 dimensions, near to random) a bound on the inner product rules out 3 to
+16 % of the vectors, and half of the lists hold 88 % of the nearest.
 
 Cases: vectors that are null, of no or another than the most common length, zero, or hold null or non-finite components
 take no part, nor do rows with a null id; fewer candidates than asked for give fewer rows; repeated ids are candidates
@@ -178,7 +180,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     cells = asked.repartition(groups, "grp").join(coded, "grp").select("q_ids", "q_vectors", "ids", "vectors", "codes", "norms")
     found = cells.mapInArrow(blocks.tidy(_searched(shared, dim, k, metric, rerank)), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = io.stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+    io.discard(coded)
+    return best
 
 
 def _query_ids(vectors: DataFrame, is_query: Column, id_col: str) -> DataFrame:
