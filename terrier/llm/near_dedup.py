@@ -263,20 +263,24 @@ def _across(outside: DataFrame, placed: DataFrame, sigs: DataFrame, threshold: f
     components of the bucket, each pair in the first bucket that it shares. A bucket of n by m classes is dealt to cells of about
     CELL by CELL of them.
     """
-    n_out = outside.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rows"))
-    inside = placed.filter("rep <> centre").join(n_out, "band")
-    n_in = inside.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("columns"))
+    # the counts of the buckets are joined without an exchange by bucket, so a hot bucket isn't gathered in one task
+    n_out = io.stored(outside.groupBy("band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rows")), "rows")
+    inside = placed.filter("rep <> centre").join(io.narrow(n_out), "band")
+    n_in = io.stored(inside.groupBy("band", "rows").agg(F.ceil(F.count("*") / CELL).cast("int").alias("columns")), "columns")
+    sizes = io.narrow(n_in)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cell = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n).cast("int")
-    left = outside.join(n_out.join(n_in, "band"), "band").withColumn("x", cell("rows", 1)).withColumn("y", upto("columns"))
-    right = inside.join(n_in, "band").withColumn("y", cell("columns", 2)).withColumn("x", upto("rows"))
+    left = outside.join(sizes, "band").withColumn("x", cell("rows", 1)).withColumn("y", upto("columns"))
+    right = inside.join(sizes.drop("rows"), "band").withColumn("y", cell("columns", 2)).withColumn("x", upto("rows"))
     before = F.slice("bands", F.lit(1), F.col("place"))
     side = lambda df, i: df.join(sigs, "rep").select("band", "x", "y", F.col("rep").alias(i), F.col("comp").alias(f"comp_{i}"), F.col("sig").alias(f"sig_{i}"), before.alias(f"before_{i}"), "first")
     left, right = side(left, "a").drop("first"), side(right, "b")
     once = (F.col("comp_b") == F.col("first")) | (F.col("a") < F.col("b"))
     new = ~F.arrays_overlap("before_a", "before_b")  # the keys of two places differ, so this is their first shared bucket
     met = left.join(right, ["band", "x", "y"]).filter((F.col("comp_a") != F.col("comp_b")) & once & _passes(threshold) & new)
-    return io.stored(met.select("a", "b").distinct(), "more")
+    more = io.stored(met.select("a", "b").distinct(), "more")
+    io.remove(n_out, n_in)
+    return more
 
 
 def _attach(members: DataFrame, top: DataFrame) -> DataFrame:

@@ -100,6 +100,11 @@ def hash_line(rows: int, wanted: int) -> int:
     return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """df, a table of a few fixed-size values a row, with a broadcast hint if it was counted to be few."""
+    return F.broadcast(df) if few(df) else df
+
+
 def restrict(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of df whose key is in keys (distinct): by broadcast if keys were counted to be few, else by shuffle."""
     return df.join(F.broadcast(keys) if few(keys) else keys, on, "left_semi")
