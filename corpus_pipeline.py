@@ -32,11 +32,6 @@ def _digest(docs: DataFrame):
     return F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
 
 
-def _hint(table: DataFrame) -> DataFrame:
-    """Narrow rows are broadcast if they were counted to be few."""
-    return F.broadcast(table) if io.few(table) else table
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects (``und``): those without a letter, null texts among them. It is no test of
     being in a learned language: shares add up to 1, so foreign or garbled text with letters gets one of the learned ones.
@@ -53,9 +48,9 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = io.stored(exact_dedup.exact_dedup(own).select("doc_id", F.col("text_sha256").alias(sha), "kept"), "found")
     gone = found.filter("not kept").select("doc_id", sha).distinct()
     again = io.stored(found.filter("kept").groupBy("doc_id", sha).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", sha), "again")
-    left = own.withColumn(sha, _digest(own)).join(_hint(gone), ["doc_id", sha], "left_anti")
+    left = own.withColumn(sha, _digest(own)).join(io.narrow(gone), ["doc_id", sha], "left_anti")
     if again.take(1):
-        marks = _hint(again)
+        marks = io.narrow(again)
         left = left.join(marks, ["doc_id", sha], "left_anti").unionByName(left.join(marks, ["doc_id", sha], "left_semi").dropDuplicates(["doc_id", sha]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -64,7 +59,7 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Of each component of near copies (five-word shingles, similarity 0.8 or more), the smallest id stays."""
     io.shrink_executors(spark)
     gone = near_dedup.near_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(_hint(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(io.narrow(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +71,7 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     sha, rest = _free(docs, "sha"), _free(docs, "rest")
     cut = suffix_dedup.suffix_dedup(docs, with_text=True).filter("n_removed > 0")
     cut = io.stored(cut.select("doc_id", F.lower(F.hex("text_sha256")).alias(sha), F.col("kept_text").alias(rest)).distinct(), "cut")
-    marks = _hint(cut.select("doc_id", sha))
+    marks = io.narrow(cut.select("doc_id", sha))
     marked = docs.withColumn(sha, _digest(docs))
     new = marked.join(marks, ["doc_id", sha], "left_semi").join(cut, ["doc_id", sha]).filter(F.length(F.trim(rest)) > 0).withColumn("text", F.col(rest))
     if "n_chars" in docs.columns:
