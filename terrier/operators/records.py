@@ -40,15 +40,31 @@ def sole_owners(forms: DataFrame, form: str, owner: str) -> DataFrame:
     return forms.groupBy(form).agg(F.min(owner).alias(owner), F.max(owner).alias("_m")).filter(F.col(owner) == F.col("_m")).drop("_m")
 
 
-def keyword_class(df: DataFrame, text: str, kinds: dict[str, tuple[str, ...]], unknown: str = "Type Inconnu") -> DataFrame:
-    """The kind with most keywords found; the first of several; ``unknown`` if there are none."""
+def keyword_class(df: DataFrame, text: str, kinds: dict[str, tuple[str, ...]], unknown: str = "Type Inconnu", bonus: dict[str, Column] | None = None) -> DataFrame:
+    """The kind with most keywords found (``bonus``: points that a kind has besides); the first of several; ``unknown`` if there are none."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    scores = [sum((low.contains(w).cast("int") for w in ws), F.lit(0)) for ws in kinds.values()]
+    more = bonus or {}
+    scores = [sum((low.contains(w).cast("int") for w in ws), F.lit(0)) + F.coalesce(more.get(kind, F.lit(0)), F.lit(0)).cast("int") for kind, ws in kinds.items()]
     best = F.greatest(*scores)
     label = reduce(lambda acc, x: acc.when(x[1] == best, x[0]), list(zip(kinds, scores, strict=True)), F.when(best == 0, unknown))
     return df.withColumns({"kind": label, "hits": best})
 
 
+#: Kinds of document and the words that count for each, in order.
+DOCUMENT_KINDS = {
+    "Document d'Arpentage (DMPC)": ("arpentage", "dmpc", "chemise verte", "division", "document de modification", "arpentage"),
+    "Plan de Bornage": ("bornage", "reconnaissance", "limites", "amiable", "pv", "procès-verbal", "borné ce jour", "reconnaissance de limites"),
+    "Plan Topographique": ("topographique", "etat des lieux", "releve", "courbes de niveau", "levé topographique"),
+    "Plan de Division": ("division", "lotissement", "création de lots"),
+}
+
+
+def document_class(df: DataFrame, text: str, order_number: str, dossier: str) -> DataFrame:
+    """A8 over DOCUMENT_KINDS: a document whose order number was found, or whose dossier says dmpc, has two points more as a survey act for each."""
+    act = F.when(F.coalesce(F.col(order_number), F.lit("Inconnu")) != "Inconnu", 2).otherwise(0) + F.when(F.lower(F.coalesce(dossier, F.lit(""))).contains("dmpc"), 2).otherwise(0)
+    return keyword_class(df, text, DOCUMENT_KINDS, bonus={"Document d'Arpentage (DMPC)": act})
+
+
 def vote(candidates: DataFrame, keys: list[str], value: str, confidence: str) -> DataFrame:
     """A10: values that agree but for case are one; the one with most votes wins, then the most confident, then the first by text."""
     votes = candidates.withColumn("_v", F.lower(value)).groupBy(*keys, "_v").agg(F.count("*").alias("votes"), F.max(confidence).alias("best"))
@@ -241,10 +257,17 @@ def overlay(rows: DataFrame, edits: DataFrame, key: str, column: str, order: str
     return rows.join(last, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def learn_corrections(log: DataFrame) -> DataFrame:
-    """Of each (field, normalised reading) the last correction and how often one was made; readings of three signs or more."""
-    keyed = log.withColumn("ocr_norm", X.learned_key("ocr_value")).filter(F.length("ocr_norm") >= 3)
-    return keyed.groupBy("field", "ocr_norm").agg(F.max_by("correction", "ts").alias("correction"), F.count("*").alias("count"))
+#: The fields whose corrections are learned.
+LEARNED_FIELDS = ("Geometre", "Commune", "Section", "Indication", "Nature_Acte_Geofoncier", "Signataires")
+
+
+def learn_corrections(log: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Of each (field, normalised reading) the last correction and how often one was made; readings of three signs or more, that the
+    correction changes. ``fields``: only these (LEARNED_FIELDS in the review).
+    """
+    keyed = log.withColumn("ocr_norm", X.learned_key("ocr_value")).filter((F.length("ocr_norm") >= 3) & (F.trim("correction") != "") & (F.col("ocr_norm") != X.learned_key("correction")))
+    own = keyed.filter(F.col("field").isin(*fields)) if fields else keyed
+    return own.groupBy("field", "ocr_norm").agg(F.max_by("correction", "ts").alias("correction"), F.count("*").alias("count"))
 
 
 def payload(records: DataFrame, holder: str = "", surveyor: str = "", firms: dict[str, str] | None = None, as_of: Column | None = None) -> DataFrame:

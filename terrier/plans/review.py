@@ -221,3 +221,24 @@ def parcel_lists(spark, d):
     """C6."""
     raw = _pick(F.col("o_orderkey"), 4, ("12 à 15; AB 7 et 8", " 1 |+ 2 ,", "A B / 12", "12 A,"))
     return table(spark, d, "orders").select("o_orderkey", X.clean_parcels(raw).alias("parcelles"))
+
+
+@query("""SELECT lower(event_type) AS ocr_norm, 'Commune' AS field, arg_max('Corrigé ' || user_id, event_id) AS correction, count(*) AS count FROM events WHERE event_id % 2 = 0 GROUP BY 1""")
+def review_corrections(spark, d):
+    """T4: fields that aren't learned and corrections that change only signs leave nothing."""
+    e = table(spark, d, "events")
+    field = F.when(F.col("event_id") % 2 == 0, "Commune").otherwise("Date")
+    own = e.select(field.alias("field"), F.col("event_type").alias("ocr_value"), F.concat(F.lit("Corrigé "), F.col("user_id").cast("string")).alias("correction"), F.col("event_id").alias("ts"))
+    same = e.select(F.lit("Commune").alias("field"), F.col("event_type").alias("ocr_value"), F.upper("event_type").alias("correction"), (F.col("event_id") + 1000000000).alias("ts"))
+    return R.learn_corrections(own.unionByName(same), R.LEARNED_FIELDS)
+
+
+@query("""SELECT o_orderkey, ['Document d''Arpentage (DMPC)', 'Plan de Bornage', 'Type Inconnu', 'Document d''Arpentage (DMPC)', 'Plan de Division'][CAST(o_orderkey % 5 AS INTEGER) + 1] AS kind, [4, 2, 0, 2, 2][CAST(o_orderkey % 5 AS INTEGER) + 1]::INTEGER AS hits FROM orders""")
+def document_kind(spark, d):
+    """A8 with the points of the order number and the dossier."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", _pick(k, 5, ("Division dmpc", "Bornage amiable", "rien", "reconnaissance", "division en lotissement")).alias("text"), _pick(k, 5, ("677", "Inconnu", "Inconnu", "Inconnu", "Inconnu")).alias("ordre"),
+        _pick(k, 5, ("", "", "", "x DMPC 2", "")).alias("dossier"),
+    )
+    return R.document_class(rows, "text", "ordre", "dossier").select("o_orderkey", "kind", F.col("hits").cast("int").alias("hits"))
