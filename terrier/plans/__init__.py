@@ -31,12 +31,13 @@ def normalize_text(spark, d):
 
 @query(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
 def normalize_label(spark, d):
+    """N6."""
     return table(spark, d, "documents").select("doc_id", X.label_key("text").alias("key"))
 
 
 @query("SELECT doc_id, text AS repaired FROM documents")
 def mojibake_repair(spark, d):
-    """Texts read in the wrong encoding are repaired to what they were."""
+    """Texts read in the wrong encoding are repaired to what they were."""
     damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return table(spark, d, "documents").select("doc_id", X.repair_mojibake(damaged).alias("repaired"))
 
@@ -45,6 +46,7 @@ def mojibake_repair(spark, d):
 u AS (SELECT doc_id, list_filter(list_transform(list_filter(w, lambda x: length(regexp_replace(x, '^0+', '')) <= 9), lambda x: CAST(x AS INTEGER)), lambda n: n BETWEEN 1 AND 9999) AS n FROM t)
 SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), ',') AS numbers FROM u""")
 def numeric_tokens(spark, d):
+    """C7."""
     return table(spark, d, "documents").select("doc_id", F.array_join(X.numeric_tokens("text"), ",").alias("numbers"))
 
 
@@ -58,7 +60,7 @@ def two_digit_year_pivot(spark, d):
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d/%m/%Y') AS compact, year(o_orderdate) % 100 AS year2 FROM orders""")
 def date_formats(spark, d):
-    """Dates written in three ways and read again."""
+    """Dates written in three ways and read again."""
     o = table(spark, d, "orders")
     return o.select("o_orderkey", X.iso_date(F.date_format("o_orderdate", "d.M.yyyy")).alias("iso"), X.compact_date(F.date_format("o_orderdate", "ddMMyyyy")).alias("compact"), X.year_of_date(F.date_format("o_orderdate", "dd/MM/yyyy")).cast("long").alias("year2"))
 
@@ -66,6 +68,7 @@ def date_formats(spark, d):
 @query("""SELECT o_orderkey, lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey < 100 THEN lpad(CAST(o_orderkey AS VARCHAR), 3, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS hb,
 lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || '/' || o_orderkey AS rc, lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') || o_orderkey AS dupuy FROM orders""")
 def reference_build(spark, d):
+    """C13."""
     y = F.year("o_orderdate")
     return table(spark, d, "orders").select("o_orderkey", X.reference_hb(y % 100, "o_orderkey").alias("hb"), X.reference_rc(y, "o_orderkey").alias("rc"), X.reference_dupuy(y, F.concat(F.lit("00"), "o_orderkey")).alias("dupuy"))
 
@@ -75,6 +78,7 @@ _SEGMENTS = {"AUTOMOBILE": "Em", "BUILDING": "Eb", "MACHINERY": "Hb"}
 
 @query("""SELECT c_custkey, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Em' WHEN 'BUILDING' THEN 'Eb' WHEN 'MACHINERY' THEN 'Hb' ELSE '' END AS label FROM customer""")
 def code_map(spark, d):
+    """C12, J24."""
     return R.code_map(table(spark, d, "customer").withColumn("_k", F.lower("c_mktsegment")), "_k", _SEGMENTS).select("c_custkey", "label")
 
 
@@ -82,6 +86,7 @@ def code_map(spark, d):
 pre AS (SELECT probe, min(n) AS n FROM probes JOIN names ON starts_with(n, probe) WHERE length(probe) >= 4 GROUP BY probe HAVING count(*) = 1)
 SELECT p.probe, coalesce(e.n, pre.n) AS matched, CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN pre.n IS NOT NULL THEN 'prefix' END AS method FROM probes p LEFT JOIN names e ON e.n = p.probe LEFT JOIN pre ON pre.probe = p.probe""")
 def exact_prefix_match(spark, d):
+    """J4, the first two steps."""
     part = table(spark, d, "part")
     return R.exact_or_prefix(part.select(F.expr("substr(p_name, 1, cast(6 + p_partkey % 20 as int))").alias("probe")).distinct(), part, "probe", "p_name")
 
@@ -94,7 +99,7 @@ e AS (SELECT o_orderkey, l_linenumber FROM c WHERE n = 1 OR top < 20 OR q = top)
 SELECT o_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CASE WHEN count(*) OVER (PARTITION BY o_orderkey) = 1 THEN 'MATCH_UNIQUE' ELSE 'CANDIDATS' END AS status FROM e
 UNION ALL SELECT o_orderkey, NULL, 'NO_MATCH' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def lookup_cascade(spark, d):
-    """J12 without its fuzzy commune step: filters that are ignored where they would leave nothing, then the best score, then a status."""
+    """The filters of J12, W2: filters that are ignored where they would leave nothing, then the best score, then a status."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     rows = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", (F.col("l_suppkey") % 3 == F.col("o_custkey") % 3).alias("p1"), (F.year("l_shipdate") == F.year("o_orderdate")).alias("p2"), F.col("l_quantity").cast("long").alias("q"))
     found = R.cascade(rows, ["o_orderkey"], [F.col("p1"), F.col("p2")], F.col("q"), 20).select("o_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "status")
@@ -112,12 +117,14 @@ def lookup_range_year(spark, d):
 
 @query("""SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS line, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey) AS x1, max(l_suppkey) AS y1, CAST(floor(avg(l_quantity)) AS BIGINT) AS conf FROM lineitem GROUP BY l_orderkey""")
 def lines_from_words(spark, d):
+    """A1."""
     li = table(spark, d, "lineitem").withColumn("t", F.concat("l_returnflag", "l_linestatus"))
     return R.lines_from_words(li, ["l_orderkey"], "l_linenumber", "t", ("l_partkey", "l_suppkey", "l_partkey", "l_suppkey"), "l_quantity")
 
 
 @query("""SELECT p_name || ' ' || p_size AS form, min(p_brand) AS p_brand FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1""")
 def ambiguous_forms(spark, d):
+    """A2."""
     return R.sole_owners(table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("form"), "p_brand"), "form", "p_brand")
 
 
@@ -128,7 +135,7 @@ t AS (SELECT *, CASE WHEN oy >= 8 AND gx >= 0 AND gx <= 600 THEN 1 WHEN gy >= 0
 r AS (SELECT *, row_number() OVER (PARTITION BY page, label_id ORDER BY tier, CASE tier WHEN 1 THEN gx WHEN 2 THEN gy + 0.5 * s ELSE gy + 2 * s END, block_id) AS k FROM t WHERE tier IS NOT NULL)
 SELECT page, label_id, block_id, tier FROM r WHERE k = 1""")
 def nearest_value(spark, d):
-    """Each label's nearest value block."""
+    """Each label's nearest value block."""
     k = F.col("s_suppkey")
     b = table(spark, d, "supplier").select(F.floor(k / 20).alias("page"), k.alias("block_id"), (k * 37 % 800).cast("double").alias("x0"), (k * 53 % 900).cast("double").alias("y0"))
     b = b.withColumns({"x1": F.col("x0") + 80, "y1": F.col("y0") + 20})
@@ -138,6 +145,7 @@ def nearest_value(spark, d):
 
 @query("""SELECT p_partkey FROM (SELECT p_partkey, (p_partkey * 31 % 1000 + 25) / 1000.0 AS cx, (p_partkey * 17 % 1000 + 10) / 1000.0 AS cy FROM part) WHERE cx BETWEEN 0.1 AND 0.6 AND cy BETWEEN 0.25 AND 0.75""")
 def zone_filter(spark, d):
+    """F2, M12."""
     k = F.col("p_partkey")
     b = table(spark, d, "part").withColumns({"x0": k * 31 % 1000, "y0": k * 17 % 1000}).withColumns({"x1": F.col("x0") + 50, "y1": F.col("y0") + 20})
     return b.filter(R.in_zone("x0", "y0", "x1", "y1", F.lit(1000), F.lit(1000), (0.1, 0.25, 0.6, 0.75))).select("p_partkey")
@@ -214,7 +222,7 @@ def edit_distance_label(spark, d):
 @query("""WITH f AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), first AS (SELECT min(vec_id) AS v FROM embeddings)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, f WHERE vec_id <> (SELECT v FROM first) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10""")
 def cosine_topk(spark, d):
-    """The ten vectors nearest to the first; one row is broadcast."""
+    """The ten vectors nearest to the first; one row is broadcast."""
     e = table(spark, d, "embeddings")
     first = e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("_v"), F.col("embedding").alias("_q"))
     s = e.join(F.broadcast(first), F.col("vec_id") != F.col("_v")).withColumn("s", X.cosine("embedding", "_q"))
@@ -238,14 +246,14 @@ _NUMBER = "CASE WHEN {0} < 1000 THEN lpad(CAST({0} AS VARCHAR), 4, '0') ELSE CAS
 
 @query(f"SELECT '07001' AS insee, 'A' AS section, {_NUMBER.format('parent')} AS parent, {_NUMBER.format('child')} AS child FROM ({_EDGES})")
 def lineage_edges(spark, d):
-    """G1: parsing, and the join of mothers and daughters of an operation."""
+    """Parsing, and the join of mothers and daughters of an operation."""
     return R.lineage_edges(_lines(spark, d)).select("parent.insee", "parent.section", F.col("parent.numero").alias("parent"), F.col("child.numero").alias("child"))
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGES}), w AS (SELECT c_custkey AS seed, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT seed, child, depth + 1 FROM w JOIN e ON node = parent WHERE depth < 10)
 SELECT DISTINCT {_NUMBER.format('seed')} AS seed, {_NUMBER.format('node')} AS leaf FROM w WHERE node NOT IN (SELECT parent FROM e)""")
 def lineage_leaves(spark, d):
-    """The parcels in force that each parcel became."""
+    """The parcels in force that each parcel became."""
     edges = R.lineage_edges(_lines(spark, d))
     seeds = table(spark, d, "customer").select(F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), X.zero_filled(F.col("c_custkey"), 4).alias("numero")).alias("seed"))
     return R.leaves(seeds, edges).select(F.col("seed.numero").alias("seed"), F.col("leaf.numero").alias("leaf"))
@@ -394,4 +402,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from . import communes, documents, fields, registers, review  # noqa: E402, F401  these register their queries
+from . import communes, documents, fields, registers, review, scalars  # noqa: E402, F401  these register their queries
