@@ -153,7 +153,7 @@ def coherence(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plan_rules() -> list[tuple[str, str, Column, list[str]]]:
-    """V1-V8 over the columns date, n_ordre, n_dossier, section, commune, anciens, nouveaux, geometre, echelle, type_plan."""
+    """V1-V8, F9, over the columns date, n_ordre, n_dossier, section, commune, anciens, nouveaux, geometre, echelle, type_plan."""
     t = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     has = lambda c: t(c) != ""
     year = F.regexp_extract(t("date"), r"\b(\d{4})\b", 1)

@@ -47,7 +47,7 @@ def parcel_values(spark, d):
     )
 
 
-@query(f"""SELECT c_custkey AS id, {_list(("Ucel", "Vals", "12"))} AS answer, {_list((True, False, True))}::BOOLEAN AS signatory, 1950 + c_custkey % 50 AS year, {_list(("Département de la Commune", "Section O1", "Echelle 1/1000"))} AS text FROM customer""")
+@query(f"""SELECT c_custkey AS id, {_list(("Ucel", "Vals", "12"))} AS answer, {_list((True, False, True))}::BOOLEAN AS signatory, 1950 + c_custkey % 50 AS year, {_list(("Département de la Commune", "Section OI", "Echelle 1/1000"))} AS text FROM customer""")
 def readings(spark, d):
     """C1, C17, C19, D5."""
     k = F.col("c_custkey")
