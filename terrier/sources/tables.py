@@ -27,9 +27,13 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
 
 
+#: The columns of a word table, in its order.
+WORDS = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
+
+
 def ocr_words(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated, quotes are ordinary signs."""
-    return spark.read.option("sep", "\t").option("header", True).option("quote", "").option("inferSchema", True).csv(path)
+    """Tab-separated words with a header, quotes are ordinary signs; read once, since the columns are known."""
+    return spark.read.schema(WORDS).option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
 def with_sniffed_header(df: DataFrame, wanted: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
@@ -119,6 +123,17 @@ def export_validated(df: DataFrame, columns: list[str], status: str = "Confirmat
     return df.filter(F.col(status) == done).select(*[c for c in columns if c in df.columns])
 
 
+def save_corrections(corrections: DataFrame, path: str) -> None:
+    """Learned corrections (field, ocr_norm, correction, count) are appended; the last of each reading counts."""
+    corrections.select("field", "ocr_norm", "correction", "count", F.current_timestamp().alias("saved")).write.mode("append").parquet(path)
+
+
+def all_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """Of each field and reading the correction that was saved last, and how often one was made."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("field", "ocr_norm").agg(F.max_by("correction", "saved").alias("correction"), F.sum("count").alias("count"))
+
+
 def dictionary(*lists: DataFrame) -> DataFrame:
     """Distinct cleaned names of several one-column tables, in order."""
     names = [df.select(X.match_key(df.columns[0]).alias("value")) for df in lists]

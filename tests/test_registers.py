@@ -208,3 +208,16 @@ def test_sheets_and_files(spark, tmp_path):
     assert tuple(T.words_of_spans(spans).first()) == (4, 1, 1, 1, 1.0, 2.0, 10.0, 5.0, "Ucel", 92)
     T.write_modern(spark.createDataFrame([(["a", "b"], {"commune": [1, 2]})], "l array<string>, bbox map<string,array<int>>"), str(tmp_path / "m"))
     assert T.results(spark, str(tmp_path / "m")).first().asDict() == {"l": "a / b", "Bbox_Champs": '{"commune":[1,2]}'}
+
+
+def test_text_sources(spark, tmp_path):
+    (tmp_path / "dfi.txt").write_text("a;b;c\n070;289;x;D1;x;x;x;x;S1;1;A0001\n")
+    assert [r.value[:3] for r in T.lineage_lines(spark, str(tmp_path / "dfi.txt")).collect()] == ["070"]
+    (tmp_path / "w.tsv").write_text("level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t2\t1\t1\t3\t10\t20\t30\t8\t91.5\t\"Ucel\n")
+    r = T.ocr_words(spark, str(tmp_path / "w.tsv")).first()
+    assert (r.block_num, r.word_num, r.left, r.conf, r.text) == (2, 3, 10, 91.5, '"Ucel')
+    lists = [spark.createDataFrame([(x,) for x in own], "n string") for own in (["Vals-les-Bains", "ucel"], ["Ucel", " "])]
+    assert [r.value for r in T.dictionary(*lists).collect()] == ["UCEL", "VALS LES BAINS"]
+    for c in ("Ucel", "Uzer"):
+        T.save_corrections(spark.createDataFrame([("commune", "ucl", c, 2)], "field string, ocr_norm string, correction string, count int"), str(tmp_path / "corr"))
+    assert [tuple(r) for r in T.all_corrections(spark, str(tmp_path / "corr")).collect()] == [("commune", "ucl", "Uzer", 4)]
