@@ -118,3 +118,34 @@ def cross_entropy(docs, targets, alpha):
             total += n * (math.log(p_b) - math.log(p_t))
         out.append(total / len(w) if w else None)
     return out
+
+
+def sessions(rows, gap, length, late, final_value=60.0):
+    """rows: (id, us, arrived us, client, kind, value). (client, session, start, end, clicks, late, cents, closed by, digest) in any order."""
+    once, out = {}, []
+    for i, us, arrived, client, kind, value in rows:
+        if i is None or us is None or client is None:
+            continue
+        good = value is not None and math.isfinite(value)
+        e = (us, client, arrived is not None and arrived - us > late, kind == "purchase" and good and value >= final_value, math.floor(100 * value + 0.5) if good else 0)
+        once[i] = min(once.get(i, e), e)
+    streams, lates = collections.defaultdict(list), collections.defaultdict(list)
+    for i, (us, client, is_late, final, cents) in once.items():
+        (lates if is_late else streams)[client].append((us, i, final, cents))
+    for client, events in streams.items():
+        found = []
+        for e in sorted(events):
+            last = found[-1][0][-1] if found else None
+            why = None if not found else "end" if last[2] else "gap" if e[0] - last[0] >= gap else "length" if e[0] - found[-1][0][0][0] > length else ""
+            if why == "":
+                found[-1][0].append(e)
+                continue
+            if found:
+                found[-1][1] = why
+            found.append([[e], None])
+        for k, (s, why) in enumerate(found):
+            until = found[k + 1][0][0][0] if k + 1 < len(found) else math.inf
+            n_late = sum(s[0][0] <= x[0] < until for x in lates[client])
+            path = hashlib.sha256(",".join(str(e[1]) for e in s).encode()).hexdigest()
+            out.append((client, s[0][1], s[0][0], s[-1][0], len(s), n_late, sum(e[3] for e in s), why or ("end" if s[-1][2] else "none"), path))
+    return out
