@@ -6,6 +6,7 @@ import math
 import re
 
 import numpy as np
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,3 +150,27 @@ def sessions(rows, gap, length, late, final_value=60.0):
             path = hashlib.sha256(",".join(str(e[1]) for e in s).encode()).hexdigest()
             out.append((client, s[0][1], s[0][0], s[-1][0], len(s), n_late, sum(e[3] for e in s), why or ("end" if s[-1][2] else "none"), path))
     return out
+
+
+def fingerprint(text, width=4):
+    w = WORD.findall((text or "").translate(LOWER))
+    shingles = [" ".join(w[k : k + width]) for k in range(len(w) - width + 1)] if len(w) >= width else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def simhash(fps, distance=4):
+    """fps: (id, fingerprint). {id: smallest id reachable} by links of at most ``distance`` bits."""
+    top = {i: i for i, _ in fps}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    values = np.array([f for _, f in fps], np.uint64)
+    for k, (i, f) in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(values[:k] ^ np.uint64(f)) <= distance).tolist():
+            a, b = find(i), find(fps[j][0])
+            top[max(a, b)] = min(a, b)
+    return {i: find(i) for i in top}
