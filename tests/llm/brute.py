@@ -174,3 +174,28 @@ def simhash(fps, distance=4):
             a, b = find(i), find(fps[j][0])
             top[max(a, b)] = min(a, b)
     return {i: find(i) for i in top}
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, queries, k=50):
+    """docs: [(id, text)], queries: [(id, text)]. [(query, rank, document, score)]."""
+    counts = [(i, collections.Counter(TERM.findall((t or "").translate(LOWER)))) for i, t in docs]
+    counts = [(i, c, sum(c.values())) for i, c in counts if c]
+    n_docs, total = len(counts), sum(n for _, _, n in counts)
+    df = collections.Counter(w for _, c, _ in counts for w in c)
+    asked = collections.defaultdict(set)
+    for q, t in queries:
+        if q is not None:
+            asked[q] |= set(TERM.findall((t or "").translate(LOWER)))
+    out = []
+    for q, words in asked.items():
+        scores = []
+        for i, c, n in counts:
+            m = 100 - 50 + 50 * n * n_docs // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1_000_000_000 * c[w] // (1000 * c[w] + 20 * m)) for w in words if c[w])
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(q, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
