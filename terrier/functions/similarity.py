@@ -9,7 +9,6 @@ plus own words. weighted: the largest of ratio and 0.95 * the token scores; wher
 from __future__ import annotations
 
 import difflib
-import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -95,34 +94,18 @@ def sequence_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def _vectorised(f: Callable[[str, str], float]):
+def _vectorised(name: str, plain: Callable[[str, str], float]):
+    """A column function of two texts, scored batch by batch; ``batch`` names the scorer in ``functions.batch``."""
+
     @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-            if pair not in known:
-                known[pair] = f(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
-
-    score.plain = f
-    return score
-
+        from . import batch
 
-def best_of(score, k: int, least: float) -> Callable:
-    """Of (text, array of names) the k names (score, name) that score most and ``least`` or more, ties by name; ``score`` is one of the functions below."""
-    f = score.plain
+        return pd.Series(batch.of_pairs(name, a.fillna("").tolist(), b.fillna("").tolist()), dtype="float64")
 
-    @F.pandas_udf("array<struct<score:double,name:string>>")
-    def best(texts: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, names, strict=True):
-            scored = ((-f(text, n), n) for n in own)
-            out.append([{"score": -s, "name": n} for s, n in heapq.nsmallest(k, (x for x in scored if -x[0] >= least))])
-        return pd.Series(out, dtype="object")
-
-    return best
+    score.plain, score.batch = plain, name
+    return score
 
 
-ratio_col, partial_col, token_sort_col, token_set_col, weighted_col, alignment_col, sequence_col = map(_vectorised, (ratio, partial_ratio, token_sort, token_set, weighted, alignment, sequence_ratio))
+ratio_col, partial_col, token_sort_col, token_set_col = (_vectorised(n, f) for n, f in (("ratio", ratio), ("partial", partial_ratio), ("token_sort", token_sort), ("token_set", token_set)))
+weighted_col, alignment_col, sequence_col = (_vectorised(n, f) for n, f in (("weighted", weighted), ("alignment", alignment), ("sequence", sequence_ratio)))

@@ -1,8 +1,8 @@
 """Which commune, or which surveyor, a reading means.
 
-Names are a table (officiel, code, pos), ``pos`` being their order, which breaks ties. Every matcher holds each distinct key
-of the readings against each distinct key of the names, block by block (matching.against_blocks), so the rule is the same
-at any number of names; a score is any function of two key columns.
+Names are a table (officiel, code, pos), ``pos`` being their order, which breaks ties. Every matcher holds the distinct keys
+of the readings against those of the names by candidates.near, so the rule is the same at any number of names; a score is a
+function of two key columns that has a batch form.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from . import matching as M
 from . import records as R
+from .candidates import near
 
 Score = Callable[[Column, Column], Column]
 #: Articles and prepositions that short forms leave out.
@@ -54,7 +55,7 @@ def reading_key(c: Column | str) -> Column:
     """N1 of a reading without the marks in front."""
     out = X.col(c)
     for mark in READING_MARKS:
-        out = F.when(out.startswith(mark), F.trim(F.substring(out, F.lit(len(mark) + 1), F.length(out)))).otherwise(out)
+        out = F.regexp_replace(out, rf"(?s)^\Q{mark}\E\s*(.*?)\s*$", "$1")
     return X.match_key(out)
 
 
@@ -69,12 +70,11 @@ def is_noise(key: Column) -> Column:
     return (F.length(key) < 2) | key.isin(*NO_COMMUNE) | (F.length(F.regexp_replace(key, "[^0-9]", "")) >= 0.6 * F.length(key))
 
 
-def ranked(readings: DataFrame, names: DataFrame, reading: Column, name: Column, least: float, score: Score) -> DataFrame:
-    """(_q, _n, _score, officiel, code, _pos): each distinct reading key with the names that score ``least`` or more."""
+def ranked(readings: DataFrame, names: DataFrame, reading: Column, name: Column, least: float, score: Score, k: int | None = None) -> DataFrame:
+    """(_q, _n, _score, officiel, code, _pos): each distinct reading key with the names that score ``least`` or more; with k, with the k best at least."""
     q = readings.select(reading.alias("_q")).filter("_q <> ''").distinct()
     n = names.select(name.alias("_n"), "officiel", "code", F.col("pos").alias("_pos")).filter("_n <> ''")
-    pairs = M.against_blocks(q, n.select("_n"), "_q").select("_q", F.explode("_all").alias("_n"))
-    return pairs.withColumn("_score", score(F.col("_q"), F.col("_n"))).filter(F.col("_score") >= least).join(R.small(n), "_n")
+    return near(q, n, "_q", "_n", score, least, k).join(R.small(n), "_n")
 
 
 def _best(pairs: DataFrame, *order: Column) -> DataFrame:
@@ -98,7 +98,7 @@ def match_name(readings: DataFrame, names: DataFrame, text: str = "text", score:
     out = own.join(R.small(first("code").withColumnsRenamed({"code": "_c", "_name": "_by_code"})), F.col("_code") == F.col("_c"), "left")
     out = out.join(R.small(first("_key").withColumnsRenamed({"_key": "_e", "_name": "_exact"})), F.col("_q") == F.col("_e"), "left")
     todo = out.filter("_code is null and _exact is null and length(_q) >= 4")
-    pairs = ranked(todo, names, F.col("_q"), X.loose_key("officiel"), 80, score)
+    pairs = ranked(todo, names, F.col("_q"), X.loose_key("officiel"), 80, score, 1)
     top = pairs.withColumn("_top", F.max("_score").over(W.partitionBy("_q"))).filter((F.col("_score") == F.col("_top")) & ((F.length("_q") >= 6) | (F.col("_top") >= 90)))
     fuzzy = _best(top.withColumn("_tie", tie(F.col("_q"), F.col("_n"))), F.desc("_tie"), F.col("_pos")).select(F.col("_q").alias("_f"), F.col("officiel").alias("_fuzzy"))
     out = out.join(fuzzy, F.col("_q") == F.col("_f"), "left")
@@ -110,7 +110,7 @@ def score_name(readings: DataFrame, names: DataFrame, text: str = "text", least:
     """Readings with ``matched``, ``score`` and ``known``: the equal name but for case (100), else the best score; below ``least`` the reading itself, not known."""
     n = names.groupBy(F.lower("officiel").alias("_l")).agg(F.min_by("officiel", "pos").alias("_exact"))
     out = readings.withColumn("_q", X.loose_key(text)).join(R.small(n), F.lower(text) == F.col("_l"), "left")
-    pairs = ranked(out.filter("_exact is null"), names, F.col("_q"), X.loose_key("officiel"), 0, score)
+    pairs = ranked(out.filter("_exact is null"), names, F.col("_q"), X.loose_key("officiel"), 0, score, 1)
     best = _best(pairs, F.desc("_score"), F.col("_pos")).select(F.col("_q").alias("_f"), F.col("officiel").alias("_fuzzy"), F.col("_score").alias("_s"))
     out = out.join(best, F.col("_q") == F.col("_f"), "left")
     exact, near = F.col("_exact").isNotNull(), F.coalesce(F.col("_s") >= least, F.lit(False))
@@ -127,7 +127,7 @@ def with_code(readings: DataFrame, names: DataFrame, text: str = "text", short_c
     out = readings.withColumns({"_code": _by_code(readings, names, text, pattern), "_q": key(text)})
     codes = names.groupBy(F.col("code").alias("_c")).agg(F.min_by("officiel", "pos").alias("_by_code"))
     out = out.join(R.small(codes), F.col("_code") == F.col("_c"), "left")
-    pairs = ranked(out.filter("_by_code is null"), names, F.col("_q"), key("officiel"), 80, score)
+    pairs = ranked(out.filter("_by_code is null"), names, F.col("_q"), key("officiel"), 80, score, 5)
     five = pairs.withColumn("_rank", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter("_rank <= 5")
     best = _best(five, F.abs(F.length("_n") - F.length("_q")), F.col("_rank")).select(F.col("_q").alias("_f"), F.col("officiel").alias("_fuzzy"), F.col("_score").alias("_s"), F.col("code").alias("_fc"))
     out = out.join(best, F.col("_q") == F.col("_f"), "left")
@@ -143,7 +143,7 @@ def scan_blocks(blocks: DataFrame, names: DataFrame, page: list[str], order: str
     letters = F.trim(F.regexp_replace(text, r"[^A-Za-zÀ-ÿ\s\-]", " "))
     key = F.trim(F.regexp_replace(F.upper(letters), "[^A-Z0-9 ]", " "))
     own = blocks.withColumn("_q", F.when((F.length(letters) >= 4) & ~F.arrays_overlap(F.split(key, " "), F.array(*map(F.lit, NO_NAME))), key)).filter("_q <> ''")
-    best = _best(ranked(own, names, F.col("_q"), X.match_key("officiel"), least, score), F.desc("_score"), F.col("_pos")).select("_q", "officiel")
+    best = _best(ranked(own, names, F.col("_q"), X.match_key("officiel"), least, score, 1), F.desc("_score"), F.col("_pos")).select("_q", "officiel")
     return own.join(best, "_q").groupBy(*page).agg(F.min_by(F.struct(F.col(order), "officiel"), order).alias("b")).select(*page, f"b.{order}", "b.officiel")
 
 
@@ -162,7 +162,7 @@ def corrected_commune(readings: DataFrame, names: DataFrame, text: str = "text",
     begun = todo.filter(F.length("_q") >= 4).withColumn("_head", F.substring("_q", 1, 4)).join(R.small(n.withColumn("_head", F.substring("_n", 1, 4))), "_head").filter(F.col("_n").startswith(F.col("_q")))
     only = begun.groupBy(F.col("_q").alias("_p")).agg(F.min(F.struct("officiel", "code")).alias("_prefix"), F.count("*").alias("_hits")).filter("_hits = 1").drop("_hits")
     out = out.join(only, F.col("_q") == F.col("_p"), "left")
-    pairs = ranked(out.filter("_exact is null and _prefix is null"), names, F.col("_q"), X.match_key("officiel"), 0, score)
+    pairs = ranked(out.filter("_exact is null and _prefix is null"), names, F.col("_q"), X.match_key("officiel"), 0, score, 5)
     five = pairs.withColumn("_rank", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter("_rank <= 5")
     n_q, n_n = (F.length(F.regexp_replace(c, r"\P{L}", "")) for c in ("_q", "_n"))
     sigma = F.when((n_q > 0) & (n_n > n_q), 1.3).otherwise(0.45)
@@ -239,7 +239,10 @@ def resolve_unknown(readings: DataFrame, names: DataFrame, corrections: DataFram
     some = begun.withColumn("_fits", (F.col("_hits") > 1) & fits).withColumn("_any", F.max("_fits").over(W.partitionBy("_q"))).filter(F.col("_fits") | ~F.col("_any"))
     near = rest.join(some.select("_q", "_n", "officiel", "code", "_pos"), "_q").withColumn("_m", F.lit("sw_prefixe"))
     others = rest.join(begun.select("_q").distinct(), "_q", "left_anti")
-    wide = M.against_blocks(others, n.select("_n"), "_q").select("_q", F.explode("_all").alias("_n")).filter(letters(F.col("_n")) >= F.floor(0.4 * letters(F.col("_q")))).join(R.small(n), "_n")
+    # 100 times M4 is under 40 where a name has under 0.53 or over 3.2 times the reading's letters, so only lengths between are looked up
+    n_q, n_n = (F.length(F.regexp_replace(c, r"\P{L}", "")) for c in ("_q", "_n"))
+    spread = others.withColumn("_size", F.explode(F.sequence(F.floor(0.53 * n_q).cast("int"), F.ceil(3.2 * n_q).cast("int") + 1)))
+    wide = spread.join(R.small(n.withColumn("_size", n_n)), "_size").drop("_size").filter(letters(F.col("_n")) >= F.floor(0.4 * letters(F.col("_q"))))
     both = near.unionByName(wide.withColumn("_m", F.lit("sw_longueur")))
     a, b = F.col("_q"), F.col("_n")
     both = both.withColumn("_raw", F.least(F.lit(100.0), F.greatest(align(a, b), (sets(a, b) + partial(a, b)) / 2)))
@@ -275,9 +278,9 @@ def letter_adjusted(score: Column, seen: Column, official: Column, confirmed: Co
 
 
 def single_reading(readings: DataFrame, names: DataFrame, text: str = "text", name: str = "officiel") -> DataFrame:
-    """K1: J2 for readings of one hypothesis each, of probability 1: id, official, score."""
+    """K1: J2 for readings of one hypothesis each, of probability 1: id, official, score, methode."""
     own = readings.select(F.col("id").alias("cell_id"), F.col(text).alias("text"), F.lit(1.0).alias("prob"))
-    return M.match_hypotheses(own, names.select(F.col(name).alias("name"))).select(F.col("cell_id").alias("id"), "official", "score")
+    return M.match_hypotheses(own, names.select(F.col(name).alias("name"))).select(F.col("cell_id").alias("id"), "official", "score", "methode")
 
 
 def name_list(names: DataFrame, name: str = "officiel") -> DataFrame:

@@ -138,7 +138,7 @@ def joined_text(blocks: DataFrame, page: list[str], order: str = "block_id", tex
 
 def indication(pages: DataFrame, page: list[str], text: str = "full_text", least: float = 75.0) -> DataFrame:
     """Of the three sentences the one that the page's text holds best, by partial ratio from ``least`` on; the first of equals."""
-    score = S._vectorised(S.partial_ratio)
+    score = S.partial_col
     each = [F.struct(score(F.lit(s), F.lower(text)).alias("s"), F.lit(-i).alias("i"), F.lit(s).alias("v")) for i, s in enumerate(INDICATIONS.values())]
     best = pages.select(*page, F.array_max(F.array(*each)).alias("b")).filter(F.col("b.s") >= least)
     return best.select(*page, F.col("b.v").alias("valeur"), F.least(F.lit(0.95), F.col("b.s") / 100).alias("confidence"))
@@ -312,7 +312,7 @@ def text_scan(pages: DataFrame, names: DataFrame, page: list[str], text: str, na
     """Per page the name of more than ``longer`` signs that its text holds best, by partial ratio above a line; ties by name."""
     own = pages.select(*page, X.match_key(text).alias("_t"))
     ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("found")).filter(F.length("_n") > longer)
-    best = M.top_k(own, ref, "_t", "_n", 1, S._vectorised(S.partial_ratio)).filter(F.col("score") > above).select("_t", "_n", "score")
+    best = M.top_k(own, ref, "_t", "_n", 1, S.partial_col).filter(F.col("score") > above).select("_t", "_n", "score")
     return own.join(best.join(ref, "_n"), "_t").select(*page, "found", "score")
 
 
@@ -336,7 +336,7 @@ def model_answers(cells: DataFrame, names: DataFrame, cell: str = "cell_id", nam
     """
     own = cells.select(cell, *[X.match_key(c).alias(f"_{c}") for c in ("answer", "hint", "second")], F.upper("second").alias("_raw"), F.coalesce("letters", F.lit(0)).alias("_len"))
     ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("official"))
-    ways = [("_answer", S.weighted_col, 15, 1.0), ("_answer", S._vectorised(S.ratio), 10, 0.95), ("_hint", S.weighted_col, 10, 0.9)]
+    ways = [("_answer", S.weighted_col, 15, 1.0), ("_answer", S.ratio_col, 10, 0.95), ("_hint", S.weighted_col, 10, 0.9)]
     scored = None
     for probe, score, k, share in ways:
         some = own.filter(F.col(probe) != "")

@@ -1,68 +1,99 @@
-"""Fuzzy matching of names against a reference table: every name is held against every probe, block by block, scored by Arrow UDFs."""
+"""Fuzzy matching of names against a reference table, over the candidate index of ``candidates``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from .records import BROADCAST_ROWS, small
-
-#: Names of a block: each probe meets the blocks one by one.
-BLOCK_NAMES = 2_000
-#: Where the names are too many to broadcast, each block is held in so many copies, and a probe meets one of each.
-COPIES = 64
-
-
-def against_blocks(probes: DataFrame, names: DataFrame, probe: str) -> DataFrame:
-    """(probe, _all): each distinct probe with every block of the distinct names, at any number of names."""
-    p = probes.select(probe).filter(F.col(probe).isNotNull()).distinct()
-    n = names.toDF("_name").filter("_name is not null").distinct()
-    count = n.count()
-    blocks = max(1, -(-count // BLOCK_NAMES))
-    held = n.groupBy(F.pmod(F.xxhash64("_name"), F.lit(blocks)).alias("_block")).agg(F.collect_list("_name").alias("_all"))
-    wide = p.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("_copy", F.pmod(F.xxhash64(probe, "_block"), F.lit(COPIES)))
-    if count <= BROADCAST_ROWS:
-        parts = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return wide.repartition(parts, probe, "_block").join(F.broadcast(held), "_block").select(probe, "_all")
-    copies = held.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
-    return wide.join(copies, ["_block", "_copy"]).select(probe, "_all")
-
-
-def top_k(probes: DataFrame, names: DataFrame, probe: str, name: str, k: int = 5, score=S.weighted_col, least: float = 0.0) -> DataFrame:
-    """Each distinct probe's k best names, ties by name: of each block, then of all blocks."""
-    blocks = against_blocks(probes, names.select(name), probe)
-    scored = blocks.select(probe, F.explode(S.best_of(score, k, least)(F.col(probe), F.col("_all"))).alias("_s")).select(probe, F.col("_s.name").alias(name), F.col("_s.score").alias("score"))
-    order = W.partitionBy(probe).orderBy(F.desc("score"), name)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def match_hypotheses(hypotheses: DataFrame, names: DataFrame, cell: str = "cell_id", text: str = "text", prob: str = "prob", name: str = "name") -> DataFrame:
-    """Per cell the best (hypothesis, name): shortlist by the weighted score (15) and sorted words (10), then
-    alignment (+10 for a prefix, +20 for an equal short text), 0.7 * that + 30 * prob, times informativeness and length
-    coherence; none below 45.
+from .candidates import near
+from .records import small
+
+Score = Callable[[Column, Column], Column]
+#: What the reference calls a cell that names nothing.
+UNKNOWN = "Non identifiée"
+
+
+def top_k(probes: DataFrame, names: DataFrame, probe: str, name: str, k: int = 5, score: Score = S.weighted_col, least: float = 0.0, pos: str | None = None) -> DataFrame:
+    """Each distinct probe's k best names with ``score`` and ``rank``, ties by ``pos``, or by name where there is none."""
+    place = F.col(pos).alias("_pos") if pos else F.lit(0).alias("_pos")
+    order = names.filter(F.col(name).isNotNull()).select(F.col(name).alias("_name"), place).groupBy("_name").agg(F.min("_pos").alias("_pos"))
+    found = near(probes, order, probe, "_name", score, least, k).join(small(order), "_name")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy(probe).orderBy(F.desc("_score"), "_pos", "_name")))
+    return ranked.filter(F.col("rank") <= k).select(probe, F.col("_name").alias(name), F.col("_score").alias("score"), "rank")
+
+
+def _shortlist(keys: DataFrame, ref: DataFrame, weighted: Score, sort: Score) -> DataFrame:
+    """(_q, _n, _pos, ..., _at): the 15 names of the best weighted score, in order, then those of the 10 best of sorted words; ties by the names' order.
+    Names that share a key are candidates of their own.
+    """
+    first = lambda score, k: near(keys, ref, "_q", "_n", score, 0.0, k).join(small(ref), "_n").withColumn("_at", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter(F.col("_at") <= k).drop("_score")
+    both = first(weighted, 15).unionByName(first(sort, 10).withColumn("_at", F.col("_at") + 15))
+    return both.groupBy("_q", "_n", "_pos", "official", "code").agg(F.min("_at").alias("_at"))
+
+
+def match_hypotheses(
+    hypotheses: DataFrame, names: DataFrame, cell: str = "cell_id", text: str = "text", prob: str = "prob", name: str = "name", code: str | None = None, pos: str | None = None, name_pos: str | None = None,
+    weighted: Score = S.weighted_col, sort: Score = S.token_sort_col, align: Score = S.alignment_col,
+) -> DataFrame:
+    """One row a cell: official, code, score (int), methode, brut, hypotheses (a line on each reading that was scored).
+
+    A cell's first reading that is a name's short form (J1) gives 100, "abreviation". Else readings that are noise (F5) are passed over; of
+    the shortlist of each other one the best alignment (+10, "prefixe", for a name that begins with a reading of four signs or more; +20 for
+    an equal reading of five or fewer), ties by the shortlist's order, then 0.7 of it and 30 times the reading's probability, times informativeness
+    and length coherence (M4). The first best reading from 45 wins; without one the cell is "Non identifiée" with score 0. ``pos`` orders a
+    cell's readings, ``name_pos`` the names; without them texts and names do.
     """
-    own = hypotheses.withColumn("_q", X.match_key(text)).filter(F.length("_q") >= 2)
-    ref = names.select(X.match_key(name).alias("_n"), F.col(name).alias("official"))
-    short = top_k(own, ref, "_q", "_n", 15).select("_q", "_n").union(top_k(own, ref, "_q", "_n", 10, S.token_sort_col).select("_q", "_n")).distinct()
-    raw = S.alignment_col(F.col("_q"), F.col("_n")) + F.when(F.col("_q") == F.col("_n"), 20.0).when(F.col("_n").startswith(F.col("_q")), 10.0).otherwise(0.0)
-    scored = short.withColumn("_sw", F.least(F.lit(100.0), raw))
-    full = own.join(scored, "_q").join(small(ref.distinct()), "_n")
-    final = (0.7 * F.col("_sw") + 30.0 * F.col(prob)) * X.informativeness("_q") * X.length_coherence("_q", "_n")
-    best = full.withColumn("score", final).groupBy(cell).agg(F.max_by(F.struct("official", "score", text), F.struct("score", "_sw")).alias("b"))
-    return best.filter("b.score >= 45").select(cell, "b.official", "b.score", F.col(f"b.{text}").alias("hypothesis"))
+    from . import communes as C
+
+    ref = names.select(X.match_key(name).alias("_n"), F.col(name).alias("official"), (F.col(code) if code else F.lit("")).cast("string").alias("code"), (F.col(name_pos) if name_pos else F.col(name)).alias("_pos")).filter(F.col("official").isNotNull())
+    own = hypotheses.select(F.col(cell).alias("_cell"), F.col(text).alias("brut"), F.col(prob).cast("double").alias("_prob"), F.struct((F.col(pos) if pos else -F.col(prob)).alias("p"), F.col(text).alias("t")).alias("_o"), C.reading_key(text).alias("_q"))
+    forms = C.short_forms(names.select(F.col(name).alias("officiel")), "officiel").withColumnRenamed("officiel", "official")
+    codes = ref.groupBy("official").agg(F.min_by("code", "_pos").alias("code"))
+    short = own.join(small(forms), F.col("_q") == F.col("forme")).groupBy("_cell").agg(F.min_by(F.struct("official", "brut"), "_o").alias("b"))
+    short = short.select("_cell", "b.official", F.lit(100).alias("score"), F.lit("abreviation").alias("methode"), "b.brut", F.concat(F.lit("abbrev:'"), "b.brut", F.lit("'->'"), "b.official", F.lit("'")).alias("hypotheses"))
+    short = short.join(small(codes), "official")
+
+    todo = own.join(short.select("_cell"), "_cell", "left_anti")
+    clear = todo.filter(F.col("_q").isNotNull() & ~C.is_noise(F.col("_q")))
+    q, n = F.col("_q"), F.col("_n")
+    listed = _shortlist(clear.select("_q").distinct(), ref.filter("_n <> ''"), weighted, sort)
+    begins, equal = (F.length(q) >= 4) & n.startswith(q), (F.length(q) <= 5) & (q == n)
+    raised = lambda on, by, s: F.when(on, F.least(F.lit(100.0), s + by)).otherwise(s)
+    listed = listed.withColumn("_sw", align(q, n)).withColumn("_sw", raised(equal, 20.0, raised(begins, 10.0, F.col("_sw"))))
+    listed = listed.withColumn("_k", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_sw"), "_at"))).filter("_k = 1")
+    chosen = listed.select("_q", "_n", "official", "code", "_sw", F.when((begins | equal) & (F.col("_sw") > 0), "prefixe").otherwise("fuzzy").alias("methode"))
+    scored = clear.join(chosen, "_q").withColumn("_s", (0.7 * F.col("_sw") + 30.0 * F.col("_prob")) * X.informativeness("_q") * X.length_coherence("_q", "_n"))
+    line = F.format_string("'%s'(%.2f)->%s(%.0f%% %s)", "brut", "_prob", "_n", "_s", "methode")
+    each = scored.groupBy("_cell").agg(
+        F.min_by(F.struct("official", "code", "_s", "methode", "brut"), F.struct((-F.col("_s")).alias("s"), "_o")).alias("b"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", line.alias("l")))), lambda x: x["l"]), " | ").alias("hypotheses"),
+    )
+    first = todo.groupBy("_cell").agg(F.min_by("brut", "_o").alias("_first"))
+    sure = F.coalesce(F.col("b._s") >= 45, F.lit(False))
+    rest = first.join(each, "_cell", "left").select(
+        "_cell", F.when(sure, F.col("b.official")).otherwise(UNKNOWN).alias("official"), F.when(sure, F.col("b._s").cast("int")).otherwise(0).alias("score"), F.when(sure, F.col("b.methode")).otherwise("aucun").alias("methode"),
+        F.when(sure, F.col("b.brut")).otherwise(F.col("_first")).alias("brut"), F.coalesce("hypotheses", F.lit("")).alias("hypotheses"), F.when(sure, F.col("b.code")).otherwise("").alias("code"),
+    )
+    return short.unionByName(rest).select(F.col("_cell").alias(cell), "official", "code", "score", "methode", "brut", "hypotheses")
+
+
+def label_score(block: Column, label: Column) -> Column:
+    """X3 of two columns: 1 if the block's key contains the label, else M7 for labels of six signs or more."""
+    return F.when(block.contains(label), 1.0).when(F.length(label) >= 6, S.sequence_col(block, label)).otherwise(0.0)
+
+
+label_score.batch = "label"
 
 
 def label_matches(blocks: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", least: float = 0.82) -> DataFrame:
     """Per block the longest label that its key contains, or that it resembles (labels of six signs or more)."""
     own = blocks.withColumn("_b", X.label_key(text))
-    pairs = against_blocks(own, labels.select(X.label_key(label)), "_b").select("_b", F.explode("_all").alias("_l"))
-    both = F.length("_b") + F.length("_l")
-    inside, could = F.col("_b").contains(F.col("_l")), (F.length("_l") >= 6) & (2.0 * F.least(F.length("_b"), F.length("_l")) / both >= least)  # the most that the ratio can be
-    near = S.sequence_col(F.col("_b"), F.col("_l")) >= least
-    hit = pairs.filter(inside | could).filter(inside | ((F.length("_l") >= 6) & near))
+    hit = near(own, labels.select(X.label_key(label).alias("_l")), "_b", "_l", label_score, least)
     best = hit.groupBy("_b").agg(F.max_by("_l", F.struct(F.length("_l"), "_l")).alias("found"))
     return own.join(best, "_b").drop("_b")
 

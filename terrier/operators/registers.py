@@ -3,7 +3,7 @@
 Queries have a query_id and a commune; registers have a commune and ``pos``, the row's place. Each lookup returns one row a
 query: query_id, status, nb (candidates), candidats (array of structs in the register's order, or best first), one struct
 for unique matches and candidates alike. A null or empty commune finds nothing. Names are compared as distinct keys, so a
-commune that many queries share is scored once; a score is any function of two key columns.
+commune that many queries share is scored once; a score is a function of two key columns that has a batch form.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import similarity as S
 from ..functions import text as X
-from . import matching as M
 from . import records as R
+from .candidates import near
 
 Score = Callable[[Column, Column], Column]
 
@@ -28,12 +28,14 @@ def edit_score(a: Column, b: Column) -> Column:
     return 100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
+edit_score.batch = "edits"
+
+
 def commune_rows(queries: DataFrame, register: DataFrame, least: float, score: Score = S.token_set_col) -> DataFrame:
     """Each query with the register's rows whose commune scores ``least`` or more: the query's columns as q_*, the register's, _score."""
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], X.register_key("commune").alias("_q")).filter("_q <> ''")
     r = register.withColumn("_r", X.register_key("commune")).filter("_r <> ''")
-    pairs = M.against_blocks(q, r.select("_r"), "_q").select("_q", F.explode("_all").alias("_r"))
-    pairs = pairs.withColumn("_score", score(F.col("_q"), F.col("_r"))).filter(F.col("_score") >= least)
+    pairs = near(q, r, "_q", "_r", score, least)
     return q.join(pairs, "_q").join(r, "_r").drop("_q", "_r")
 
 

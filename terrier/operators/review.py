@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import small
 from ..functions import text as X
-from . import matching as M
 from . import records as R
+from .candidates import near
 
 Score = Callable[[Column, Column], Column]
 #: Names of places that are no surveyor.
@@ -69,7 +69,7 @@ def with_knowledge(docs: DataFrame, kb: DataFrame, score: Score = S.weighted_col
     entries = kb.withColumn("_n", X.loose_key("commune")).groupBy("_n").agg(F.min(F.struct("commune", "sections_connues", "prefixes_dossier", "types_plans_frequents")).alias("kb"))
     exact = own.join(R.small(entries), F.col("_q") == F.col("_n"), "left").drop("_n")
     todo = exact.filter("kb is null and _q <> ''").select("_q").distinct()
-    pairs = M.against_blocks(todo, entries.select("_n"), "_q").select("_q", F.explode("_all").alias("_n")).withColumn("_s", score(F.col("_q"), F.col("_n"))).filter(F.col("_s") >= least)
+    pairs = near(todo, entries, "_q", "_n", score, least, 1).withColumnRenamed("_score", "_s")
     best = pairs.groupBy("_q").agg(F.min(F.struct((-F.col("_s")).alias("s"), "_n"))["_n"].alias("_n")).join(R.small(entries), "_n").select(F.col("_q").alias("_f"), F.col("kb").alias("_near"))
     return exact.join(best, F.col("_q") == F.col("_f"), "left").withColumn("kb", F.coalesce("kb", "_near")).select(*docs.columns, "kb")
 

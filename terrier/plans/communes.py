@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import communes as C
+from ..operators import matching as M
 from ..operators.registers import edit_score
 from .base import query, table
 
@@ -152,6 +153,27 @@ def first_letter_bonus(spark, d):
     return table(spark, d, "customer").select(k.alias("id"), F.round(out.cast("double"), 6).alias("score"))
 
 
+_LETTERS = "regexp_replace(lower(q), '[^a-z]', '', 'g')"
+
+
+@query(f"""WITH {_N}, {_T}, h AS (SELECT id // 3 AS cell_id, id AS pos, text, 0.4 + (id % 6) / 10 AS prob, {_SQUEEZED.format('text')} AS q FROM t),
+j AS (SELECT cell_id, arg_min(officiel, h.pos) AS official, arg_min(code, h.pos) AS code, arg_min(text, h.pos) AS brut FROM h JOIN n ON q = k GROUP BY 1), c AS (SELECT * FROM h WHERE cell_id NOT IN (SELECT cell_id FROM j)),
+f AS (SELECT DISTINCT q FROM c WHERE length(q) >= 2 AND length(regexp_replace(q, '[^0-9]', '', 'g')) < 0.6 * length(q)),
+s AS (SELECT q, k, officiel, code, {_SCORE.format('q', 'k')} AS s, row_number() OVER (PARTITION BY q ORDER BY {_SCORE.format('q', 'k')} DESC, pos) AS place FROM f JOIN n ON true QUALIFY place <= 15),
+b AS (SELECT *, CASE WHEN length(q) >= 4 AND starts_with(k, q) THEN least(100, s + 10) ELSE s END AS sw, CASE WHEN length(q) >= 4 AND starts_with(k, q) THEN 'prefixe' ELSE 'fuzzy' END AS methode FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY sw DESC, place) = 1),
+l AS (SELECT q, {_LETTERS} AS l, list_transform(list_distinct(string_split({_LETTERS}, '')), lambda x: (length({_LETTERS}) - length(replace({_LETTERS}, x, ''))) / length({_LETTERS})) AS p FROM f),
+m AS (SELECT q, length(l) AS nq, 0.4 * least(1, length(l) / 5) + 0.6 * CASE WHEN len(p) > 1 THEN -list_sum(list_transform(p, lambda x: x * log2(x))) / log2(len(p)) ELSE 0 END AS info FROM l),
+e AS (SELECT c.*, officiel, code, methode, (0.7 * sw + 30 * prob) * info * greatest(0.05, exp(-0.5 * pow((ln(length(regexp_replace(k, '[^A-Z]', '', 'g')) / nq) - ln(1.3)) / 0.65, 2))) AS s FROM c JOIN b USING (q) JOIN m USING (q)),
+g AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY s DESC, pos) = 1), o AS (SELECT cell_id, arg_min(text, pos) AS brut FROM c GROUP BY 1)
+SELECT cell_id, official, code, 100 AS score, 'abreviation' AS methode, brut FROM j UNION ALL
+SELECT o.cell_id, CASE WHEN s >= 45 THEN officiel ELSE 'Non identifiée' END, CASE WHEN s >= 45 THEN code ELSE '' END, CASE WHEN s >= 45 THEN floor(s)::INT ELSE 0 END, CASE WHEN s >= 45 THEN methode ELSE 'aucun' END, CASE WHEN s >= 45 THEN text ELSE o.brut END FROM o LEFT JOIN g USING (cell_id)""")
+def commune_hypotheses(spark, d):
+    """Three readings are a cell's hypotheses."""
+    own = _readings(spark, d).select(F.floor(F.col("id") / 3).alias("cell_id"), F.col("id").alias("pos"), "text", (0.4 + F.col("id") % 6 / 10).alias("prob"))
+    out = M.match_hypotheses(own, _names(spark, d), name="officiel", code="code", pos="pos", name_pos="pos", weighted=edit_score, sort=edit_score, align=edit_score)
+    return out.drop("hypotheses")
+
+
 @query()
 def unknown_commune(spark, d):
     """J3, M4. No SQL: informativeness and alignment are our own."""

@@ -129,27 +129,6 @@ def test_nearest_value(spark):
     assert pick(far) == []
 
 
-def test_match_hypotheses(spark):
-    cells = spark.createDataFrame([(1, "AUBENAS", 1.0), (1, "XX", 0.4), (2, "QQQQ", 0.5)], "cell_id int, text string, prob double")
-    names = spark.createDataFrame([("Aubenas",), ("Privas",), ("Vals-les-Bains",)], "name string")
-    assert [(r.cell_id, r.official) for r in M.match_hypotheses(cells, names).collect()] == [(1, "Aubenas")]
-
-
-@pytest.mark.parametrize("rows", [M.BROADCAST_ROWS, 0])
-def test_many_names_are_all_scored(spark, monkeypatch, rows):
-    """Over 2,000 names, with names that share no letter pair with the probe; blocks by broadcast and by shuffle."""
-    monkeypatch.setattr(M, "BROADCAST_ROWS", rows)
-    names = sorted({"".join(chr(65 + i * p % 26) for p in (1, 7, 11, 17, 23)) + chr(65 + i // 26 % 26) + chr(65 + i // 676) for i in range(2600)} | {"AIX", "Z"})
-    assert len(names) > 2001
-    ref = spark.createDataFrame([(n,) for n in names], "name string")
-    probes = spark.createDataFrame([("A1X",), ("Z",), ("BHLRX",), ("!",)], "probe string")
-    for f, score in ((S.weighted, S.weighted_col), (S.token_sort, S.token_sort_col)):
-        got = {(r.probe, r["rank"]): (r.name, r.score) for r in M.top_k(probes, ref, "probe", "name", 3, score).collect()}
-        assert got == {(p, i + 1): (n, -s) for p in ("A1X", "Z", "BHLRX", "!") for i, (s, n) in enumerate(sorted((-f(p, n), n) for n in names)[:3])}
-    cells = spark.createDataFrame([(1, "A1X", 1.0)], "cell_id int, text string, prob double")
-    assert [r.official for r in M.match_hypotheses(cells, ref).collect()] == ["AIX"]
-
-
 def test_a_label_of_one_letter_among_many(spark):
     labels = spark.createDataFrame([("q",)] + [(f"w{i}x",) for i in range(2100)] + [("commune",)], "label string")
     blocks = spark.createDataFrame([(1, "abqcd"), (2, "comnune"), (3, "zzz")], "id int, text string")
