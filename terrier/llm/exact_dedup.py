@@ -6,8 +6,8 @@ counted there instead. Runs of a level merge into one of the next level, keeping
 runs are then compacted over all tasks by digest, and every row whose digest repeats is held against the bytes of the
 row that stays.
 
-Cases: null and empty texts are equal to each other; a null or repeated id is a row like any other (of rows with the
-same text and id, each is kept if the id is); an empty table gives no rows; other columns are left out.
+Cases: null and empty texts are equal to each other; a null id stays only where all rows of its text have none,
+whichever end is kept; a repeated id is a row like any other (of rows with the same text and id, each is kept if the id is); an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ MEMTABLE_ROWS = 65_536
 FANOUT = 4
 FILTER_BITS = 12
 PROBES = 5
+#: The order key of a null id, behind all others.
+NO_KEY = (1 << 63) - 1
 RUN_SCHEMA = "digest binary, best long, n long, level int"
 
 
@@ -138,12 +140,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text: Column = normalise(text) if normalise else text
-    sign = -1 if keep == "max" else 1
+    ordered = F.bitwise_not if keep == "max" else lambda c: F.col(c)  # x -> -x - 1 turns the order round without an overflow
     base = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).withColumn("_sha", F.sha2("_text", 256))
     full = F.unhex("_sha")
     narrow = digest_bits // 8
     base = base.withColumn("_digest", full if narrow >= 32 else F.concat(F.substring(full, 1, narrow), F.lit(bytes(32 - narrow))))
-    base = base.withColumn("_key", F.coalesce(F.col("_id"), F.lit((1 << 63) - 2)) * sign)
+    base = base.withColumn("_key", F.coalesce(ordered("_id"), F.lit(NO_KEY)))
     index = io.stored(build_index(base, "_digest", "_key", memtable_rows=memtable_rows), "index")
     repeated = index.withColumnRenamed("digest", "_digest").filter("n > 1")
     total = docs.count()
@@ -159,8 +161,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bad = differ.select("_digest").distinct()
         texts = base.join(bad, "_digest", "left_semi").groupBy("_digest", "_sha", "_text").agg(F.min("_key").alias("_best2"), F.count("*").alias("_n2"))
         out = out.join(texts.drop("_text"), ["_digest", "_sha"], "left").withColumns({"best": F.coalesce("_best2", "best"), "n": F.coalesce("_n2", "n")})
-    keep_id = F.when(F.col("n") > 1, F.col("best") * sign).otherwise(F.col("_id"))
-    keep_id = F.when(F.abs(keep_id) == (1 << 63) - 2, F.lit(None)).otherwise(keep_id)
+    keep_id = F.when(F.col("n") == 1, F.col("_id")).when(F.col("best") != NO_KEY, ordered("best"))
     out = io.stored(out.select("_id", keep_id.alias("keep_id"), F.col("n").alias("group_size"), keep_id.eqNullSafe(F.col("_id")).alias("kept"), F.col("_sha").alias("text_sha256")), "rows")
     io.discard(index, differ)
     return out.withColumnRenamed("_id", id_col)
