@@ -12,7 +12,8 @@ measured and left out: of 64 lists on the test vectors (64 dimensions, near to r
 
 Cases: vectors that are null, of no or another than the most common length, zero, or hold null or non-finite components
 take no part, nor do rows with a null id; fewer candidates than asked for give fewer rows; repeated ids are candidates
-each, but never of a query with that id; an empty table gives no rows; other columns are left out.
+each, but never of a query with that id; of query rows with one id, those of different vectors are queries of their own, each with its
+own ranks, and equal rows are one query; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _query_blocks(dim: int):
         for batch in batches:
             for low in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(low, QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([_matrix(part.column(1), dim).tobytes()])], ["q_ids", "q_vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([_matrix(part.column(1), dim).tobytes()]), pa.array([part.column(2).to_numpy().tobytes()])], ["q_ids", "q_vectors", "q_tags"])
 
     return work
 
@@ -149,13 +150,13 @@ def search_block(books: np.ndarray, q: np.ndarray, q_ids: np.ndarray, ids: np.nd
 def _searched(shared, dim: int, k: int, metric: str, rerank: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, ids, v, codes, norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+            for q_ids, q, tags, ids, v, codes, norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_ids, tags, ids = (np.frombuffer(x, np.int64) for x in (q_ids, tags, ids))
                 q, v = np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(v, np.float64).reshape(-1, dim)
                 for low in range(0, len(q), 64):
                     s = slice(low, low + 64)
                     row, found, score = search_block(shared.value, q[s], q_ids[s], ids, v, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(norms, np.float32), k, metric, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s][row]), pa.array(found), pa.array(score)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[s][row]), pa.array(tags[s][row]), pa.array(found), pa.array(score)], ["query_id", "tag", "vec_id", "score"])
 
     return work
 
@@ -176,10 +177,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     groups = int(max(1, min(-(-n // BLOCK), 4096)))
     coded = io.stored(rows.mapInArrow(blocks.tidy(_coded(shared, dim, groups)), "grp int, ids binary, vectors binary, codes binary, norms binary"), "coded")
     queries = rows.join(_query_ids(vectors, is_query, id_col), "id", "left_semi") if not isinstance(is_query, str) else rows.filter(is_query)
-    asked = queries.mapInArrow(blocks.tidy(_query_blocks(dim)), "q_ids binary, q_vectors binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cells = asked.repartition(groups, "grp").join(coded, "grp").select("q_ids", "q_vectors", "ids", "vectors", "codes", "norms")
-    found = cells.mapInArrow(blocks.tidy(_searched(shared, dim, k, metric, rerank)), "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    queries = queries.dropDuplicates(["id", "v"]).withColumn("tag", F.xxhash64("v"))
+    asked = queries.mapInArrow(blocks.tidy(_query_blocks(dim)), "q_ids binary, q_vectors binary, q_tags binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cells = asked.repartition(groups, "grp").join(coded, "grp").select("q_ids", "q_vectors", "q_tags", "ids", "vectors", "codes", "norms")
+    found = cells.mapInArrow(blocks.tidy(_searched(shared, dim, k, metric, rerank)), "query_id long, tag long, vec_id long, score double")
+    order = W.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     best = io.stored(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
     io.discard(coded)
     return best

@@ -461,3 +461,41 @@ def test_neutral_mentions_are_not_toxic(spark):
 
 def test_all_are_registered():
     assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+
+
+@pytest.mark.parametrize(("keep", "stays"), [("max", 7), ("min", 5)])
+def test_exact_dedup_with_null_ids(spark, keep, stays):
+    """A null id never stays beside another one, whichever end is kept; alone it does."""
+    rows = [(None, "a"), (5, "a"), (7, "a"), (None, "b"), (None, "b"), (-(1 << 63), "c"), (0, "c"), (9, "d")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep).collect()
+    low = -(1 << 63) if keep == "min" else 0
+    want = [(None, stays, 3, False), (5, stays, 3, stays == 5), (7, stays, 3, stays == 7), (None, None, 2, True), (None, None, 2, True), (-(1 << 63), low, 2, low < 0), (0, low, 2, low == 0), (9, 9, 1, True)]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_nearest_with_repeated_and_null_query_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(30, 8))
+    rows = [(i + 1, v[i].tolist()) for i in range(28)] + [(0, v[28].tolist()), (0, v[29].tolist()), (0, v[29].tolist()), (None, v[3].tolist())]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 40 = 0", 3).collect()
+    want = []
+    for q in (28, 29):
+        score = v[:28] @ v[q]
+        want += [(0, r + 1, int(i) + 1, round(float(score[i]), 9)) for r, i in enumerate(np.argsort(-score)[:3])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_recall_on_several_blocks_of_embeddings(spark):
+    """2,000 vectors in eight blocks, of each of which 20 are scored exactly."""
+    table = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet").repartition(8)
+    got = nearest.nearest(table, "id % 20 = 0", 20, rerank=20).toPandas()
+    ids, v = zip(*((r.vec_id, r.embedding) for r in table.collect() if r.embedding is not None and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)), strict=True)
+    ids, v = np.array(ids), np.array(v, float)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = v @ v[q]
+        score[q] = -np.inf
+        want = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit += len(want & set(got.vec_id[got.query_id == ids[q]]))
+        total += 20
+    assert hit >= 0.9 * total
