@@ -139,7 +139,7 @@ def joined_text(blocks: DataFrame, page: list[str], order: str = "block_id", tex
 def indication(pages: DataFrame, page: list[str], text: str = "full_text", least: float = 75.0) -> DataFrame:
     """Of the three sentences the one that the page's text holds best, by partial ratio from ``least`` on; the first of equals."""
     score = S.partial_col
-    each = [F.struct(score(F.lit(s), F.lower(text)).alias("s"), F.lit(-i).alias("i"), F.lit(s).alias("v")) for i, s in enumerate(INDICATIONS.values())]
+    each = [F.struct(score(F.lit(s), F.trim(F.lower(text))).alias("s"), F.lit(-i).alias("i"), F.lit(s).alias("v")) for i, s in enumerate(INDICATIONS.values())]
     best = pages.select(*page, F.array_max(F.array(*each)).alias("b")).filter(F.col("b.s") >= least)
     return best.select(*page, F.col("b.v").alias("valeur"), F.least(F.lit(0.95), F.col("b.s") / 100).alias("confidence"))
 

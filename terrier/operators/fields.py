@@ -120,31 +120,35 @@ def without_residue(value: Column, label: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(cut, r"^[a-zà-ÿ]{1,3}\s+", "")), r"^[\s:,'\-–—]+", "")
 
 
+def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column) -> DataFrame:
+    """X7 before any check: page, field, label, label_id, place, methode, valeur, confidence: of each label of X3 (page, label_id, field, label) the text behind it in its own
+    block (place 0, 0.92), and its value block (1, 0.88), which must be no label's.
+    """
+    own = blocks.filter(F.trim("text") != "").select(*page, "block_id", "x0", "y0", "x1", "y1", F.trim("text").alias("text"))
+    marked = own.join(labels.select(*page, F.col("label_id").alias("block_id"), "field", "label"), [*page, "block_id"], "left")
+    tagged = marked.filter("field is not null").withColumnRenamed("block_id", "label_id")
+    boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label")
+    beside = R.nearest_values(boxes, marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
+    near = beside.filter(~F.col("b._marked")).select(*page, "field", "label", "label_id", F.lit(1).alias("place"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, "")).alias("_raw"))
+    inline = tagged.select(*page, "field", "label", "label_id", F.lit(0).alias("place"), inline_value(F.col("text"), F.col("label")).alias("_raw"))
+    both = inline.unionByName(near).filter("_raw is not null").withColumn("valeur", without_residue(F.col("_raw"), F.col("label"))).filter("(place = 0 and valeur <> '') or length(valeur) >= 3")
+    first = F.col("place") == 0
+    return both.select(*page, "field", "label", "label_id", "place", F.when(first, "graph_inline").otherwise("graph_neighbor").alias("methode"), "valeur", F.when(first, 0.92).otherwise(0.88).alias("confidence"))
+
+
 def page_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column, check: Callable[[str, Column], Column] | None = None) -> DataFrame:
-    """One value a page and field: page, field, valeur, methode, confidence, label. ``labels``: page, label_id, field, label (of X3). The
-    longest label first, then the smaller block: its own text behind the label (0.92), else its value block (0.88), which must be no
-    label's. ``check`` is C18 or None.
+    """One value a page and field: page, field, valeur, methode, confidence, label: of label_values() that pass the check (C18, or None) the longest
+    label's, then the smaller block's, its own text before its neighbour's.
     """
-    own = blocks.filter(F.trim("text") != "")
-    tagged = labels.join(own.withColumnRenamed("block_id", "label_id"), [*page, "label_id"])
-    inline = without_residue(inline_value(F.col("text"), F.col("label")), F.col("label"))
-    boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = R.nearest_values(boxes, own, page, width, height).join(labels.select(*page, F.col("label_id").alias("block_id")).distinct(), [*page, "block_id"], "left_anti")
-    near = near.join(own.select(*page, "block_id", F.trim(F.regexp_replace(F.trim("text"), _SEPARATORS, "")).alias("_beside")), [*page, "block_id"]).select(*page, "label_id", "_beside")
-    both = tagged.withColumn("_inline", inline).join(near, [*page, "label_id"], "left")
-    beside = without_residue(F.col("_beside"), F.col("label"))
-    both = both.withColumn("_beside", F.when(F.length(beside) >= 3, beside))
+    found = label_values(blocks, labels, page, width, height)
     if check is not None:
         names = [r[0] for r in labels.select("field").distinct().collect()]  # a row a field of the keyword table
-        for c in ("_inline", "_beside"):
-            value = F.col(c)
-            for name in names:
-                value = F.when(F.col("field") == name, check(name, F.col(c))).otherwise(value)
-            both = both.withColumn(c, value)
-    both = both.withColumns({"_inline": F.when(F.col("_inline") != "", F.col("_inline")), "valeur": F.coalesce(F.when(F.col("_inline") != "", F.col("_inline")), F.col("_beside"))}).filter("valeur is not null")
-    is_inline = F.col("_inline").isNotNull()
-    row = F.struct((-F.length("label")).alias("k"), "label_id", "valeur", F.when(is_inline, "graph_inline").otherwise("graph_neighbor").alias("methode"), F.when(is_inline, 0.92).otherwise(0.88).alias("confidence"), "label")
-    return both.groupBy(*page, "field").agg(F.min(row).alias("_b")).select(*page, "field", "_b.valeur", "_b.methode", "_b.confidence", "_b.label")
+        parts = [found.filter(F.col("field") == name).withColumn("valeur", check(name, F.col("valeur"))) for name in names]
+        found = parts[0].filter("valeur <> ''") if parts else found
+        for part in parts[1:]:
+            found = found.unionByName(part.filter("valeur <> ''"))
+    row = F.struct((-F.length("label")).alias("k"), "label_id", "place", "valeur", "methode", "confidence", "label")
+    return found.groupBy(*page, "field").agg(F.min(row).alias("_b")).select(*page, "field", "_b.valeur", "_b.methode", "_b.confidence", "_b.label")
 
 
 def line_pairs(lines: DataFrame, page: list[str], keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:
@@ -187,48 +191,62 @@ def zone_text(blocks: DataFrame, page: list[str], order: list[str], text: str =
     return blocks.groupBy(*page).agg(F.array_join(F.transform(rows, lambda r: r["_t"]), "\n").alias("zone_text"))
 
 
+def _pattern_value(text: Column | str, pattern: str) -> Column:
+    p = "(?iu)" + pattern
+    raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " "), r"^[ ,;:\-]+|[ ,;:\-]+$", "")
+    return F.when(raw != "", raw)  # empty, too, where the pattern isn't found
+
+
 def contextual(pages: DataFrame, patterns: dict[str, tuple[str, ...]], check: Callable[[str, Column], Column] = V.validated, text: str = "zone_text") -> DataFrame:
     """Pages with a column for each field: the first group of the first pattern that gives a value which passes the check."""
-    found = {}
-    for field, own in patterns.items():
-        values = []
-        for pattern in own:
-            p = "(?iu)" + pattern
-            raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " "), r"^[ ,;:\-]+|[ ,;:\-]+$", "")
-            values.append(F.when(F.col(text).rlike(p) & (raw != ""), check(field, raw)))
-        found[field] = F.coalesce(*values)
-    return pages.withColumns(found)
+    return pages.withColumns({field: F.coalesce(*[check(field, _pattern_value(text, p)) for p in own]) for field, own in patterns.items()})
 
 
-def keyword_value(blocks: DataFrame, field: str, keywords: dict[str, tuple[str, ...]], page: list[str], order: str, check: Callable[[str, Column], Column] = V.validated) -> DataFrame:
-    """Page, valeur, methode: of the longest keyword that a block of the page holds the first block: its text behind a separator or the keyword, up to
-    another label, else one of the next four blocks (50 above to 150 below), before the first that holds a label; each must pass the check.
+def contextual_options(pages: DataFrame, patterns: dict[str, tuple[str, ...]], page: list[str], text: str = "zone_text") -> DataFrame:
+    """X14 before any check: page, field, place (of the pattern), valeur."""
+    each = [F.struct(F.lit(f).alias("field"), F.lit(i).alias("place"), _pattern_value(text, p).alias("valeur")) for f, own in patterns.items() for i, p in enumerate(own)]
+    return pages.select(*page, F.explode(F.array(*each)).alias("x")).filter("x.valeur is not null").select(*page, "x.*")
+
+
+def keyword_options(blocks: DataFrame, keywords: dict[str, tuple[str, ...]], page: list[str], order: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """X15 before any check: page, field, place, methode, valeur: of the field's longest keyword that a block of the page holds the first block: its text behind a
+    separator or the keyword, up to another label (place 0), and the next four blocks (50 above to 150 below), before the first that holds a label.
     """
-    words = sorted(keywords[field], key=len, reverse=True)
     everything = sorted({_key(k) for ws in keywords.values() for k in ws if _key(k)}, key=len, reverse=True)
-    stops = "|".join(_quoted(k) for ws in keywords.values() for k in ws if k not in words)
     w = W.partitionBy(*page).orderBy(order)
-    key, raw = X.label_key("text"), F.col("text")
-    which = F.lit(None).cast("int")
-    for i, word in reversed(list(enumerate(words))):
-        which = F.when(key.contains(_key(word)), i).otherwise(which)
-    own = blocks.withColumns({"_w": which, "_is_label": key.rlike(r"\b(?:" + "|".join(everything) + r")\b")})
+    raw = F.col("text")
+    own = blocks.withColumns({"_k": X.label_key("text")}).withColumn("_is_label", F.col("_k").rlike(r"\b(?:" + "|".join(everything) + r")\b"))
     for i in range(1, 5):
         own = own.withColumns({f"_t{i}": F.lead("text", i).over(w), f"_y{i}": F.lead("y0", i).over(w), f"_l{i}": F.lead("_is_label", i).over(w)})
-    parted = F.trim(F.regexp_extract(raw, r"^[^:–\-;,.]*[:–\-;,.](.*)$", 1))
-    rests = [F.regexp_replace(F.trim(F.regexp_extract(raw, "(?iu)" + _quoted(word) + r"(.*)$", 1)), r"^[:–\-\s.]+", "") for word in words]
-    behind = F.coalesce(F.when(parted != "", parted), *[F.when(raw.rlike("(?iu)" + _quoted(word)), rest) for word, rest in zip(words, rests, strict=True)], F.lit(""))
-    if stops:
-        behind = F.trim(F.regexp_replace(behind, r"(?isu)\b(?:" + stops + r")\b.*$", ""))
-    value, method = check(field, F.when(behind != "", behind)), F.lit("ligne")
-    values, open_ = [value], F.lit(True)
+    open_, after = F.lit(True), []
     for i in range(1, 5):
         near = (F.col(f"_y{i}") - F.col("y1")).between(-50, 150) & ~F.coalesce(F.col(f"_l{i}"), F.lit(True))
         open_ = open_ & F.coalesce(near, F.lit(False))
-        values.append(F.when(open_, check(field, F.trim(f"_t{i}"))))
-    own = own.filter("_w is not null").withColumns({"_v": F.coalesce(*values), "_m": F.when(value.isNotNull(), method).otherwise("suivant")})
-    first = own.groupBy(*page).agg(F.min_by(F.struct(F.col("_v").alias("valeur"), F.col("_m").alias("methode")), F.struct("_w", order)).alias("_b"))
-    return first.select(*page, "_b.valeur", "_b.methode").filter("valeur is not null")
+        after.append(F.when(open_, F.struct(F.lit(i).alias("place"), F.lit("suivant").alias("methode"), F.trim(f"_t{i}").alias("valeur"))))
+    own = own.withColumn("_after", F.array(*after)).withColumn("_parted", F.trim(F.regexp_extract(raw, r"^[^:–\-;,.]*[:–\-;,.](.*)$", 1)))
+    each = []
+    for field in fields or tuple(keywords):
+        words = sorted(keywords[field], key=len, reverse=True)
+        stops = "|".join(_quoted(k) for ws in keywords.values() for k in ws if k not in words)
+        which = F.lit(None).cast("int")
+        for i, word in reversed(list(enumerate(words))):
+            which = F.when(F.col("_k").contains(_key(word)), i).otherwise(which)
+        rests = [F.regexp_replace(F.trim(F.regexp_extract(raw, "(?iu)" + _quoted(word) + r"(.*)$", 1)), r"^[:–\-\s.]+", "") for word in words]
+        behind = F.coalesce(F.when(F.col("_parted") != "", F.col("_parted")), *[F.when(raw.rlike("(?iu)" + _quoted(word)), rest) for word, rest in zip(words, rests, strict=True)], F.lit(""))
+        if stops:
+            behind = F.trim(F.regexp_replace(behind, r"(?isu)\b(?:" + stops + r")\b.*$", ""))
+        each.append(F.struct(F.lit(field).alias("field"), which.alias("w"), behind.alias("behind")))
+    found = own.select(*page, order, "_after", F.explode(F.array(*each)).alias("x")).filter("x.w is not null")
+    line = F.when(F.col("x.behind") != "", F.struct(F.lit(0).alias("place"), F.lit("ligne").alias("methode"), F.col("x.behind").alias("valeur")))
+    options = F.filter(F.concat(F.array(line), "_after"), lambda o: o.isNotNull())
+    first = found.select(*page, order, "x.field", "x.w", options.alias("_o")).groupBy(*page, "field").agg(F.min_by("_o", F.struct("w", order)).alias("_o"))
+    return first.select(*page, "field", F.explode("_o").alias("o")).select(*page, "field", "o.*")
+
+
+def keyword_value(blocks: DataFrame, field: str, keywords: dict[str, tuple[str, ...]], page: list[str], order: str, check: Callable[[str, Column], Column] = V.validated) -> DataFrame:
+    """Page, valeur, methode: the first of keyword_options() that passes the check."""
+    own = keyword_options(blocks, keywords, page, order, (field,)).withColumn("valeur", check(field, F.col("valeur"))).filter("valeur is not null")
+    return own.groupBy(*page).agg(F.min(F.struct("place", "valeur", "methode")).alias("_b")).select(*page, "_b.valeur", "_b.methode")
 
 
 def analyzed(lines: DataFrame, page: list[str], order: str, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> DataFrame:

@@ -224,10 +224,11 @@ def with_places(rows: DataFrame, order: list[Column], place: str = "place") -> D
 # -- spatial ---------------------------------------------------------------------------------------------------------
 
 
-def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width: Column, height: Column) -> DataFrame:
+def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width: Column, height: Column, own: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
     """Each label's value block on its page: on the same line to the right (overlap 40 %, gap up to 60 % of the width,
     smallest gap); else below with 30 % overlap (gap up to 15 % of the height, gap + half the shift); else below anywhere (gap + twice
-    the shift). Ties go to the smaller block id. Boxes are l_x0.. and x0..; ids label_id and block_id.
+    the shift). Ties go to the smaller block id. Boxes are l_x0.. and x0..; ids label_id and block_id. ``own``: further keys of a label;
+    ``carried``: columns of the value block that come along, in the struct b.
     """
     pairs = labels.join(blocks, page).filter(F.col("block_id") != F.col("label_block"))
     overlap = lambda a0, a1, b0, b1: F.greatest(F.lit(0.0), F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0)))
@@ -238,8 +239,9 @@ def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width:
     under = overlap("l_x0", "l_x1", "x0", "x1") >= 0.3 * F.least(F.col("l_x1") - F.col("l_x0"), F.col("x1") - F.col("x0"))
     tier = F.when(same & (gap_x >= 0) & (gap_x <= 0.6 * width), 1).when(near & under, 2).when(near, 3)
     score = F.when(tier == 1, gap_x).when(tier == 2, gap_y + 0.5 * shift).otherwise(gap_y + 2 * shift)
-    order = F.struct(tier.alias("tier"), score.alias("score"), "block_id")
-    return pairs.filter(tier.isNotNull()).groupBy(*page, "label_id").agg(F.min(order).alias("b")).select(*page, "label_id", "b.block_id", "b.tier")
+    order = F.struct(tier.alias("tier"), score.alias("score"), "block_id", *(carried or []))
+    best = pairs.filter(tier.isNotNull()).groupBy(*page, "label_id", *(own or [])).agg(F.min(order).alias("b"))
+    return best if carried else best.select(*page, "label_id", *(own or []), "b.block_id", "b.tier")
 
 
 def in_zone(x0: str, y0: str, x1: str, y1: str, width: Column, height: Column, zone: tuple[float, float, float, float]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import composed as P
 from ..operators import documents as D
 from ..operators.registers import edit_score
 from .base import query, table
@@ -68,3 +70,32 @@ def suspect_values(spark, d):
     field = _pick(k, ("commune", "commune", "indication", "indication", "geometre", "geometre", "geometre", "date"))
     value = _pick(k, ("Ucel", "", "d'après un plan", "vente", "RACAT", "EXPERTS BP", "le présent soussigné Jean", "1/2/1990"))
     return table(spark, d, "orders").select("o_orderkey", D.is_suspect(field, value, F.when(k % 8 == 7, 0.5).otherwise(0.9)).alias("suspect"))
+
+
+_PLACE = "'Saint-' || translate(lpad(CAST({0} AS VARCHAR), 2, '0'), '0123456789', 'ABEFLMNORT') || ' le Haut'"
+
+
+@query(f"""WITH d AS (SELECT c_custkey AS k, {_PLACE.format('c_nationkey')} AS place, 2000 + c_custkey % 20 AS year, c_custkey % 20 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS filed FROM customer)
+SELECT k AS doc_id, 'CROQUIS' AS kind, CASE WHEN k % 3 = 2 THEN 'Zzyx Wvut' ELSE place END AS commune, 'A' || lpad(CAST(filed AS VARCHAR), 2, '0') || '-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS n_dossier, 'B' || chr(CAST(65 + k % 26 AS INTEGER)) AS section,
+CAST(1 + k % 90 AS VARCHAR) AS feuille, place || ', le ' || lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0') || '/' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || '/' || year AS date, '1/' || (500 * (1 + k % 4)) AS echelle, CASE WHEN k % 2 = 0 THEN 'RACAT' ELSE 'BARRIAL' END AS geometre,
+CASE WHEN k % 4 = 1 THEN 'bornage contradictoire ' || k END AS indication, CASE WHEN k % 4 = 1 THEN 'BORNAGE' ELSE '' END AS nature, CASE WHEN k % 5 = 0 THEN 0.75 ELSE 1.0 END::DOUBLE AS score, CASE WHEN k % 5 = 0 THEN 'REJET' ELSE 'CONFORME' END AS coherence FROM d""")
+def document_run(spark, d):
+    """X27, X12 with X26, X23, A12, X3, X7, X14, X15, X17, X18, C18, J5, J6, F8, X24, X25, W8, A6: customers are documents of two pages, every value on them made of the row. A third
+    names an unknown commune, which stays unsure; the closing words of the second page give the place and the date.
+    """
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    place = lambda c: F.concat(F.lit("Saint-"), F.translate(X.zero_filled(c, 2), "0123456789", "ABEFLMNORT"), F.lit(" le Haut"))
+    filed = k % 20 + F.when(k % 5 == 0, 1).otherwise(0)
+    day = F.concat_ws("/", X.zero_filled(1 + k % 28, 2), X.zero_filled(1 + k % 12, 2), text(2000 + k % 20))
+    line = lambda page, at, t: F.struct(F.lit(page).alias("page"), F.lit(at).alias("block_id"), t.alias("text"))
+    lines = [
+        line(1, 1, F.concat(F.lit("Commune : "), F.when(k % 3 == 2, "Zzyx Wvut").otherwise(place(F.col("c_nationkey"))))), line(1, 2, F.concat(F.lit("Section : B"), F.call_function("chr", 65 + k % 26))), line(1, 3, F.concat(F.lit("Feuille : "), text(1 + k % 90))),
+        line(1, 4, F.concat(F.lit("Echelle : 1/"), text(500 * (1 + k % 4)))), line(1, 5, F.concat(F.lit("N° de dossier : A"), X.zero_filled(filed, 2), F.lit("-"), X.zero_filled(k % 10000, 4))),
+        line(1, 6, F.when(k % 4 == 1, F.concat(F.lit("Objet : bornage contradictoire "), text(k))).otherwise("(x)")), line(2, 1, F.when(k % 2 == 0, "Géomètre : RACAT").otherwise("Cabinet BARRIAL")), line(2, 2, F.concat(F.lit("Fait à "), place(F.col("c_nationkey")), F.lit(", le "), day)),
+    ]
+    blocks = table(spark, d, "customer").select(k.alias("doc_id"), F.explode(F.array(*lines)).alias("b")).select("doc_id", "b.*")
+    blocks = blocks.select("doc_id", "page", "block_id", "text", F.lit(50.0).alias("x0"), F.lit(250.0).alias("x1"), (F.col("block_id") * 40.0).alias("y0"), (F.col("block_id") * 40.0 + 15).alias("y1"), F.lit(0.9).alias("prob"))
+    names = table(spark, d, "nation").select(place(F.col("n_nationkey")).alias("officiel"), F.concat(F.lit("07"), X.zero_filled("n_nationkey", 3)).alias("code"), F.col("n_nationkey").alias("pos"))
+    out = P.document_fields(blocks, names, F.lit(1000.0), F.lit(1400.0), score=edit_score, surveyor=edit_score)
+    return out.select("doc_id", "kind", "commune", "n_dossier", "section", "feuille", "date", "echelle", "geometre", "indication", "nature", F.col("score").cast("double").alias("score"), "coherence")
