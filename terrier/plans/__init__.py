@@ -12,6 +12,7 @@ from ..operators import extraction as E
 from ..operators import matching as M
 from ..operators import records as R
 from ..operators import review as V
+from ..operators.shared import shared_folder
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -286,6 +287,23 @@ def learned_corrections(spark, d):
     return R.learn_corrections(log)
 
 
+@query("""SELECT 'type' AS field, lower(event_type) AS ocr_norm, arg_max(CAST(user_id AS VARCHAR), event_id) AS correction, count(*) AS count FROM events GROUP BY 2""")
+def learned_stream(spark, d):
+    """T3 as a stream with state: the events are read as a stream of corrections until none is left."""
+    from ..streaming import corrections as L
+
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")  # a pattern, as a stream takes no single file
+    log = source.select(F.lit("type").alias("field"), F.col("event_type").alias("ocr_value"), F.col("user_id").cast("string").alias("correction"), F.col("event_id").alias("ts"))
+    folder = shared_folder(spark)
+
+    def put(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/learned")
+
+    L.learned(log).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/learned").groupBy("field", "ocr_norm").agg(F.max_by(F.struct("correction", "count"), "batch").alias("b"))
+    return found.select("field", "ocr_norm", "b.correction", "b.count")
+
+
 def _statut():
     return F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "OK (sans document)").otherwise("ECHEC")
 

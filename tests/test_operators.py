@@ -14,7 +14,6 @@ from terrier.operators import matching as M
 from terrier.operators import records as R
 from terrier.plans import ORACLES, QUERIES
 from terrier.sources import tables as T
-from terrier.streaming import publish
 
 DATA = "/root/testdata/sf0.001"
 
@@ -146,19 +145,6 @@ def test_sources(spark, tmp_path):
     assert T.results(spark, str(tmp_path / "out")).first().asDict() == {"a": "Communauté", "b": "1, 2"}
 
 
-def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps([{"doc_id": "d1", "commune": "Ucel"}, {"doc_id": "d2", "commune": "Vals"}]))
-
-    def answer(batch):
-        return batch.select("doc_id", F.when(F.col("doc_id") == "d1", "g1").alias("id_geofoncier"), F.lit(True).alias("has_document"), F.when(F.col("doc_id") == "d2", "x" * 100).alias("error"))
-
-    for _ in range(2):  # the second run finds nothing new
-        publish.run(spark, str(tmp_path / "in"), str(tmp_path / "reg"), str(tmp_path / "ck"), answer, every=None).awaitTermination(60)
-    got = {r.doc_id: r.statut for r in spark.read.parquet(str(tmp_path / "reg")).collect()}
-    assert got == {"d1": "OK", "d2": "ECHEC - " + "x" * 80}
-
-
 def test_readme_names_what_is_not_built():
     """The ids that the README lists as not built are claimed by no docstring, and each has a line in the survey."""
     root = Path(__file__).parents[1]
