@@ -287,7 +287,6 @@ def document_fields(blocks: DataFrame, names: DataFrame, width: Column, height:
     wide = merged.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("valeur"))).alias(f) for f in FIELDS])
     row = docs.join(wide, "doc_id", "left").withColumn("nature", nature("indication"))
     known = {"anciens": "proprietaires_anciens", "nouveaux": "proprietaires_nouveaux", "type_plan": "kind"}
-    checked = stored(row.withColumns({k: F.col(v) for k, v in known.items()}), "documents")
-    issues = R.issues(checked, ["doc_id"], R.plan_rules())
-    scored = R.coherence(checked, issues, ["doc_id"]).select("doc_id", "score", F.col("status").alias("coherence"))
-    return checked.drop(*known).join(scored, "doc_id")
+    own = [c for c in row.columns if c != "doc_id"]
+    scored = R.scored(row.withColumns({k: F.col(v) for k, v in known.items()}), ["doc_id", *own], R.plan_rules())
+    return scored.select("doc_id", *own, "score", F.col("status").alias("coherence"))

@@ -135,21 +135,44 @@ def append_missing(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
 # -- rules -----------------------------------------------------------------------------------------------------------
 
 
-def issues(df: DataFrame, keys: list[str], rules: list[tuple[str, str, Column, list[str]]]) -> DataFrame:
-    """A5: one row per rule (name, level, condition, fields) that holds; of equal rule and fields the first."""
-    made = [F.when(c, F.struct(F.lit(i).alias("place"), F.lit(name).alias("rule"), F.lit(level).alias("level"), F.array(*map(F.lit, sorted(fields))).alias("fields"))) for i, (name, level, c, fields) in enumerate(rules)]
-    found = df.select(*keys, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("_i"))
-    first = found.groupBy(*keys, F.col("_i.rule").alias("rule"), F.concat_ws(",", "_i.fields").alias("fields")).agg(F.min_by("_i.level", "_i.place").alias("level"))
-    return first.select(*keys, "rule", "level", "fields")
+Rules = list[tuple[str, str, Column, list[str]]]
+
+
+def _held(rules: Rules) -> Column:
+    """The rules (rule, level, fields) of a row that hold, in order; of equal rule and fields the first, which is known before any row is read."""
+    made, earlier = [], {}
+    for name, level, condition, fields in rules:
+        key, holds = (name, ",".join(sorted(fields))), F.coalesce(condition, F.lit(False))
+        first = holds
+        for other in earlier.get(key, []):
+            first = first & ~other
+        earlier.setdefault(key, []).append(holds)
+        made.append(F.when(first, F.struct(F.lit(name).alias("rule"), F.lit(key[1]).alias("fields"), F.lit(level).alias("level"))))
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def issues(df: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """A5: one row per row of df and rule (name, level, condition, fields) that holds; of equal rule and fields the first. No exchange."""
+    return df.select(*keys, F.explode(_held(rules)).alias("_i")).select(*keys, "_i.rule", "_i.fields", "_i.level").select(*keys, "rule", "level", "fields")
+
+
+def _scored(counted: DataFrame) -> DataFrame:
+    score = F.bround(F.greatest(F.lit(0.0), 1.0 - 0.25 * F.col("errors") - 0.08 * F.col("alerts")), 2)
+    return counted.withColumns({"score": score, "status": F.when(F.col("errors") > 0, "REJET").when(F.col("alerts") > 0, "ALERTE").otherwise("CONFORME")})
+
+
+def scored(df: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
+    """A5 and A6 of documents of a row each, counted within the row: keys, errors, alerts, infos, score, status."""
+    own = df.select(*keys, _held(rules).alias("_i"))
+    n = lambda level: F.size(F.filter("_i", lambda x: x["level"] == level)).cast("long")
+    return _scored(own.select(*keys, n("ERREUR").alias("errors"), n("ALERTE").alias("alerts"), n("INFO").alias("infos")))
 
 
 def coherence(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by level, score 1 - 0.25 errors - 0.08 alerts (0 at least, two decimals), status."""
+    """A6 of issues that come from elsewhere: counts by level, score 1 - 0.25 errors - 0.08 alerts (0 at least, two decimals), status."""
     n = lambda level: F.count(F.when(F.col("level") == level, 1))
     counts = found.groupBy(*keys).agg(n("ERREUR").alias("errors"), n("ALERTE").alias("alerts"), n("INFO").alias("infos"))
-    out = docs.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["errors", "alerts", "infos"])
-    score = F.bround(F.greatest(F.lit(0.0), 1.0 - 0.25 * F.col("errors") - 0.08 * F.col("alerts")), 2)
-    return out.withColumns({"score": score, "status": F.when(F.col("errors") > 0, "REJET").when(F.col("alerts") > 0, "ALERTE").otherwise("CONFORME")})
+    return _scored(docs.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["errors", "alerts", "infos"]))
 
 
 def plan_rules() -> list[tuple[str, str, Column, list[str]]]:

@@ -195,7 +195,7 @@ SELECT *, round(greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.25::DOUBLE * errors - 0.08
 def coherence_score(spark, d):
     """A6."""
     o = table(spark, d, "orders")
-    return R.coherence(o, R.issues(o, ["o_orderkey"], _order_rules()), ["o_orderkey"])
+    return R.scored(o, ["o_orderkey"], _order_rules())
 
 
 @query("""SELECT level, fields, count(*) AS n FROM (SELECT level, unnest(string_split(fields, ',')) AS fields FROM (""" + _ISSUES + """)) GROUP BY ALL""")
