@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from . import matching as M
+from .candidates import held
 from .records import issues, small
 
 # -- corrections -----------------------------------------------------------------------------------------------------
@@ -312,8 +313,9 @@ def text_scan(pages: DataFrame, names: DataFrame, page: list[str], text: str, na
     """Per page the name of more than ``longer`` signs that its text holds best, by partial ratio above a line; ties by name."""
     own = pages.select(*page, X.match_key(text).alias("_t"))
     ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("found")).filter(F.length("_n") > longer)
-    best = M.top_k(own, ref, "_t", "_n", 1, S.partial_col).filter(F.col("score") > above).select("_t", "_n", "score")
-    return own.join(best.join(ref, "_n"), "_t").select(*page, "found", "score")
+    hits = held(own, ref, "_t", "_n", above)
+    best = hits.groupBy("_t").agg(F.min(F.struct((-F.col("_score")).alias("s"), "_n")).alias("b")).select("_t", "b._n", (-F.col("b.s")).alias("score"))
+    return own.join(best.join(small(ref), "_n"), "_t").select(*page, "found", "score")
 
 
 def manual_references(matches: DataFrame, manual: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import small
 from ..functions import text as X
 from ..functions import validators as V
+from ..operators import extraction as T
 from ..operators import fields as E
 from ..operators.registers import edit_score
 from .base import query, table
@@ -303,3 +304,19 @@ def understood_pages(spark, d):
     """K11."""
     out = E.understood(_lines(spark, d), ["page"], "line_id")
     return out.select("page", "commune", "echelle", "date", F.array_join("alerts", ",").alias("alerts"))
+
+
+_PLANTED = "'ZQXWVKJY' || repeat(translate(lpad(CAST({0} AS VARCHAR), 2, '0'), '0123456789', 'ABEFLMNORT'), 2)"
+
+
+@query(f"""SELECT doc_id, {_PLANTED.format('doc_id % 25')} AS found, CASE doc_id % 3 WHEN 0 THEN 100.0 ELSE round(2200 / 24.0, 6) END::DOUBLE AS score FROM documents WHERE doc_id % 3 < 2""")
+def names_in_text(spark, d):
+    """Names that stand in whole documents, in a third of them as they are, in a third with a letter misread."""
+    name = lambda k: F.concat(F.lit("ZQXWVKJY"), F.call_function("repeat", F.translate(X.zero_filled(k, 2), "0123456789", "ABEFLMNORT"), F.lit(2)))
+    k = F.col("doc_id") % 25
+    planted = F.when(F.col("doc_id") % 3 == 0, name(k)).when(F.col("doc_id") % 3 == 1, F.replace(name(k), F.lit("WVK"), F.lit("W1K"))).otherwise("")
+    text = F.coalesce("text", F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+    pages = table(spark, d, "documents").select("doc_id", F.concat(F.substring(text, F.lit(1), half), F.lit(" "), planted, F.lit(" "), F.substring(text, half + 1, F.length(text))).alias("text"))
+    names = table(spark, d, "nation").select(name(F.col("n_nationkey")).alias("name"))
+    return T.text_scan(pages, names, ["doc_id"], "text", "name").select("doc_id", "found", F.round("score", 6).alias("score"))

@@ -8,6 +8,7 @@ from ..functions import small
 from ..functions import text as X
 from ..operators import records as R
 from ..operators import review as V
+from ..operators import search as P3
 from ..operators.registers import edit_score
 from .base import query, table
 
@@ -242,3 +243,15 @@ def document_kind(spark, d):
         _pick(k, 5, ("", "", "", "x DMPC 2", "")).alias("dossier"),
     )
     return R.document_class(rows, "text", "ordre", "dossier").select("o_orderkey", "kind", F.col("hits").cast("int").alias("hits"))
+
+
+@query("""SELECT o_orderkey, o_orderstatus AS enr_statut FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= DATE '1993-03-01' AND o_orderdate <= DATE '1997-06-30' AND o_totalprice > 50000 AND o_orderkey % 3 <> 0 AND o_orderkey % 4 > 0 AND lower(o_orderpriority) = '1-urgent'""")
+def filtered_records(spark, d):
+    """States, days of both forms, a flag, a filled column, a list and a field of the further information; every match."""
+    k = F.col("o_orderkey")
+    records = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("enr_statut"), F.col("o_orderdate").cast("date").alias("enr_date_dossier"), (F.col("o_totalprice") > 50000).alias("enr_visible"), F.when(k % 3 != 0, "memo").alias("enr_memo"),
+        F.when(k % 4 > 0, F.array_repeat(F.lit("x"), (k % 4).cast("int"))).otherwise(F.array().cast("array<string>")).alias("dmpc"), F.create_map(F.lit("priorite"), F.col("o_orderpriority")).alias("enr_extra"),
+    )
+    params = {"enr_statut": ["F", "O"], "enr_date_min": "1993-03-01", "enr_date_max": "30-06-1997", "enr_visible": "true", "enr_memo": True, "dmpc": "true", "enr_extra": "priorite:1-URGENT"}
+    return P3.matching(records, params).select("o_orderkey", "enr_statut")

@@ -153,3 +153,27 @@ def test_match_hypotheses(spark):
     got = {r.cell_id: (r.official, r.code, r.score, r.methode, r.brut) for r in out.collect()}
     assert got == {c: _plain_match(own, names, key, forms) for c, own in enumerate(cells)}
     assert got[0][3] == "aucun" and got[1][2] == 100 and {g[3] for g in got.values()} >= {"fuzzy", "abreviation", "aucun"}
+
+
+@pytest.mark.parametrize("above", [88.0, 75.0])
+def test_seeds_find_what_a_full_scan_finds(above):
+    rng = random.Random(above)
+    names = sorted({name(rng) for _ in range(60)} | {"AIXENA", "Z"})
+    texts = ["", "A", "AIXEN"] + [" ".join(misread(rng, rng.choice(names)) if rng.random() < 0.2 else word(rng, 2, 8) for _ in range(12)) for _ in range(25)]
+    index = candidates.Seeds(names, above)
+    for text in texts:
+        best = {names[i]: s for i in index.longer(text) if (s := S.partial_ratio(names[i], text)) > above}
+        for i, window in index.windows(text):
+            s = S.ratio(names[i], window)
+            if s > above:
+                best[names[i]] = max(best.get(names[i], 0.0), s)
+        want = {n: s for n in names if (s := S.partial_ratio(n, text)) > above}
+        assert best.keys() == want.keys() and all(math.isclose(best[n], want[n], abs_tol=1e-9) for n in want)
+
+
+def test_held_in_blocks(spark):
+    texts = spark.createDataFrame([("xx ZQXWVKJY1 yy",), ("nothing",), (None,), ("",)], "t string")
+    names = spark.createDataFrame([(f"ZQXWVKJY{i}",) for i in range(40)], "n string")
+    got = {(r.n, round(r.s, 6)) for r in candidates.held(texts, names, "t", "n", 85.0, 7).toDF("t", "n", "s").collect()}
+    want = {(n, round(S.partial_ratio(n, "xx ZQXWVKJY1 yy"), 6)) for n in (f"ZQXWVKJY{i}" for i in range(40))}
+    assert got == {(n, s) for n, s in want if s > 85} and len(got) > 1
