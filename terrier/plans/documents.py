@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import composed as P
 from ..operators import documents as D
+from ..operators import layout as Y
 from ..operators.registers import edit_score
 from .base import query, table
 
@@ -99,3 +100,24 @@ def document_run(spark, d):
     names = table(spark, d, "nation").select(place(F.col("n_nationkey")).alias("officiel"), F.concat(F.lit("07"), X.zero_filled("n_nationkey", 3)).alias("code"), F.col("n_nationkey").alias("pos"))
     out = P.document_fields(blocks, names, F.lit(1000.0), F.lit(1400.0), score=edit_score, surveyor=edit_score)
     return out.select("doc_id", "kind", "commune", "n_dossier", "section", "feuille", "date", "echelle", "geometre", "indication", "nature", F.col("score").cast("double").alias("score"), "coherence")
+
+
+@query(f"""WITH d AS (SELECT c_custkey AS k, {_PLACE.format('c_nationkey')} AS place FROM customer)
+SELECT k AS doc_id, place AS commune, 100 AS commune_score, CASE WHEN k % 2 = 0 THEN 'RACAT ' || k ELSE 'Inconnu' END AS geometre, 'A' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS n_dossier,
+CASE WHEN k % 4 = 0 THEN '1/' || (500 * (1 + k % 5)) ELSE '1/2500' END AS echelle, CASE WHEN k % 5 = 0 THEN 'B' || chr(CAST(65 + k % 26 AS INTEGER)) ELSE 'Inconnu' END AS cadastre_section FROM d""")
+def layout_fields(spark, d):
+    """Customers are documents; the commune behind its word, below it or on a line of its own, other fields behind '|', to the right, below, on the next line or by their shape in the text."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    place = F.concat(F.lit("Saint-"), F.translate(X.zero_filled(F.col("c_nationkey"), 2), "0123456789", "ABEFLMNORT"), F.lit(" le Haut"))
+    line = lambda at, t, x, y: F.struct(F.lit(at).alias("line_id"), t.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"))
+    lines = [
+        line(1, F.when(k % 3 == 0, F.concat(F.lit("Commune de "), place)).when(k % 3 == 1, "Commune :").otherwise("xx"), 50, 100), line(2, F.when(k % 3 == 0, "(xx)").otherwise(place), 60, 140),
+        line(3, F.when(k % 2 == 0, F.concat(F.lit("Cabinet | RACAT "), text(k))).otherwise("zz"), 600, 400), line(4, F.lit("Dossier n°"), 50, 800), line(5, F.concat(F.lit("A"), X.zero_filled(k % 100, 2)), 300, 802),
+        line(6, F.when(k % 4 == 0, F.concat(F.lit("Echelle : 1/"), text(500 * (1 + k % 5)))).otherwise("plan au 1 / 2500 du lieu"), 700, 1200), line(7, F.when(k % 5 == 0, F.concat(F.lit("Section | B"), F.call_function("chr", 65 + k % 26))).otherwise("--"), 50, 1600),
+        line(8, F.lit("fin"), 50, 2400),
+    ]
+    own = table(spark, d, "customer").select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*lines)).alias("l")).select("doc_id", "page", "l.*").withColumns({"x1": F.col("x0") + 150, "y1": F.col("y0") + 20})
+    names = table(spark, d, "nation").select(F.concat(F.lit("Saint-"), F.translate(X.zero_filled(F.col("n_nationkey"), 2), "0123456789", "ABEFLMNORT"), F.lit(" le Haut")).alias("officiel"), F.concat(F.lit("07"), X.zero_filled("n_nationkey", 3)).alias("code"), F.col("n_nationkey").alias("pos"))
+    out = Y.layout_values(own, names, edit_score, edit_score, edit_score)
+    return out.select("doc_id", "commune", "commune_score", "geometre", "n_dossier", "echelle", "cadastre_section")

@@ -150,7 +150,7 @@ def test_readme_names_what_is_not_built():
     root = Path(__file__).parents[1]
     text = (root / "README.md").read_text()
     listed = re.findall(r"\b(?:[SNCDMFJAWXGVTPK]\d{1,2})\b", re.search(r"Not built: ([^.]*)\.", text).group(1))
-    assert len(listed) >= 4
+    assert len(listed) >= 3
     code = "".join(p.read_text() for folder in ("functions", "operators", "sources", "streaming") for p in (root / "terrier" / folder).glob("*.py"))
     claimed = {m for line in re.findall(r'"""([A-Z]\d{1,2}[^:."]*)', code) for m in re.findall(r"\b[A-Z]\d{1,2}\b", line)}
     assert not claimed & set(listed)
