@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as X
-from .shared import stored
+from .shared import remove, stored
 
 #: Reference tables are broadcast up to so many rows (counted).
 BROADCAST_ROWS = 50_000
@@ -215,19 +215,26 @@ def lineage_edges(lines: DataFrame) -> DataFrame:
 
 def leaves(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(seed, leaf): the parcels without children that each seed reaches in at most ``depth`` steps; an unknown seed is
-    its own leaf, and a cycle has none. Breadth first, so a parcel counts at its smallest depth. Edges and levels are tables in the
-    shared folder, each computed once; the leaves are picked from all levels in one join.
+    its own leaf, and a cycle has none. Walked from the leaves up, so that a parcel is paired with its leaves and not with all that lies between;
+    breadth first, so a pair is met at its smallest depth, and only new pairs go on. Levels are tables in the shared folder, deleted at the end.
     """
     edges = stored(edges.select(F.col("parent").alias("node"), "child"), "edges")
-    level = stored(seeds.select("seed", F.col("seed").alias("node")).distinct(), "level")
-    seen = level
+    parents = edges.select("node").distinct()
+    level = stored(edges.select(F.col("child").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.col("node").alias("leaf")), "level")
+    seen, levels = level, [level]
     for _ in range(depth):
-        below = level.join(edges, "node").select("seed", F.col("child").alias("node")).distinct()
-        level = stored(below.join(seen, ["seed", "node"], "left_anti"), "level")
+        up = edges.join(level.withColumnRenamed("node", "child"), "child").select("node", "leaf").distinct()
+        level = stored(up.join(seen, ["node", "leaf"], "left_anti"), "level")
+        levels.append(level)
         if not level.take(1):
             break
         seen = seen.unionByName(level)
-    return seen.join(edges.select("node").distinct(), "node", "left_anti").select("seed", F.col("node").alias("leaf"))
+    own = seeds.select(F.col("seed").alias("node")).distinct()
+    known, alone = own.join(parents, "node", "left_semi"), own.join(parents, "node", "left_anti")
+    found = known.join(seen, "node").unionByName(alone.select("node", F.col("node").alias("leaf")))
+    out = stored(found.select(F.col("node").alias("seed"), "leaf"), "leaves")
+    remove(edges, *levels)
+    return out
 
 
 # -- order ----------------------------------------------------------------------------------------------------------
