@@ -153,6 +153,16 @@ def first_letter_bonus(spark, d):
     return table(spark, d, "customer").select(k.alias("id"), F.round(out.cast("double"), 6).alias("score"))
 
 
+@query(f"""WITH n AS (SELECT upper(p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY 1), q AS (SELECT DISTINCT translate(upper(p_name), 'AEO', '4E0') AS probe FROM part)
+SELECT probe, name, round({_SCORE.format('probe', 'name')}, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY probe ORDER BY {_SCORE.format('probe', 'name')} DESC, pos) AS rank FROM q JOIN n ON true QUALIFY rank <= 3""")
+def edits_topk(spark, d):
+    """Misread names against all names, the three of the best score, ties by the names' order."""
+    p = table(spark, d, "part").select(F.upper("p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    probes = p.select(F.translate("name", "AEO", "4E0").alias("probe"))
+    out = M.top_k(probes, p, "probe", "name", 3, edit_score, pos="pos")
+    return out.select("probe", "name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _LETTERS = "regexp_replace(lower(q), '[^a-z]', '', 'g')"
 
 
