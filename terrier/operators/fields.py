@@ -120,6 +120,11 @@ def without_residue(value: Column, label: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(cut, r"^[a-zà-ÿ]{1,3}\s+", "")), r"^[\s:,'\-–—]+", "")
 
 
+def _once(df: DataFrame, columns: dict[str, Column], keep: Column) -> DataFrame:
+    """df with the columns, of the rows to keep. The columns are computed once: no predicate is pushed below a projection that numbers its rows."""
+    return df.withColumns(columns | {"_row": F.monotonically_increasing_id()}).filter((F.col("_row") >= 0) & keep).drop("_row")
+
+
 def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column) -> DataFrame:
     """X7 before any check: page, field, label, label_id, place, methode, valeur, confidence: of each label of X3 (page, label_id, field, label) the text behind it in its own
     block (place 0, 0.92), and its value block (1, 0.88), which must be no label's.
@@ -130,8 +135,9 @@ def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: C
     boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label")
     beside = R.nearest_values(boxes, marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
     near = beside.filter(~F.col("b._marked")).select(*page, "field", "label", "label_id", F.lit(1).alias("place"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, "")).alias("_raw"))
-    inline = tagged.select(*page, "field", "label", "label_id", F.lit(0).alias("place"), inline_value(F.col("text"), F.col("label")).alias("_raw"))
-    both = inline.unionByName(near).filter("_raw is not null").withColumn("valeur", without_residue(F.col("_raw"), F.col("label"))).filter("(place = 0 and valeur <> '') or length(valeur) >= 3")
+    inside = _once(tagged, {"_raw": inline_value(F.col("text"), F.col("label"))}, F.col("_raw").isNotNull()).select(*page, "field", "label", "label_id", F.lit(0).alias("place"), "_raw")
+    kept = ((F.col("place") == 0) & (F.col("valeur") != "")) | (F.length("valeur") >= 3)
+    both = _once(inside.unionByName(near), {"valeur": without_residue(F.col("_raw"), F.col("label"))}, kept)
     first = F.col("place") == 0
     return both.select(*page, "field", "label", "label_id", "place", F.when(first, "graph_inline").otherwise("graph_neighbor").alias("methode"), "valeur", F.when(first, 0.92).otherwise(0.88).alias("confidence"))
 
