@@ -263,10 +263,10 @@ def analyzed(lines: DataFrame, page: list[str], order: str, keywords: dict[str,
     own = lines.withColumns({"text": F.trim("text")}).filter("text <> ''").withColumn("field", field_of("text", keywords))
     own = own.withColumns({"_next": F.lead("text").over(w), "_next_field": F.lead("field").over(w)}).filter("field is not null")
     below = F.when(F.col("_next_field").isNull() & (F.length("_next") > 1), F.col("_next"))
-    own = own.withColumn("raw", F.coalesce(without_label("text", F.col("field"), keywords), below)).filter("raw is not null")
+    own = _once(own, {"raw": F.coalesce(without_label("text", F.col("field"), keywords), below)}, F.col("raw").isNotNull())
     result = V.corrected("libre", "raw")
-    for name in ("echelle", "section", "date", "dossier"):
-        result = F.when(F.col("field") == name, V.corrected(name, "raw")).otherwise(result)
+    for name in ("echelle", "section", "date", "dossier"):  # bound, so that the rules of all fields are no one piece of compiled code
+        result = F.when(F.col("field") == name, X.bound(F.col("raw"), lambda raw, name=name: V.corrected(name, raw))).otherwise(result)
     own = own.withColumn("_r", result)
     best = own.groupBy(*page, "field").agg(F.min(F.struct((-F.col("_r.confiance")).alias("c"), F.col(order).alias("o"), "raw", "_r")).alias("b"))
     return best.select(*page, "field", "b.raw", "b._r.valeur", "b._r.confiance", "b._r.methode", "b._r.valide")
