@@ -107,17 +107,18 @@ def filter_if_any(rows: DataFrame, query: list[str], predicate: Column) -> DataF
     return own.withColumn("_any", F.max("_p").over(W.partitionBy(*query))).filter(F.col("_p") | ~F.col("_any")).drop("_p", "_any")
 
 
-def cascade(rows: DataFrame, query: list[str], steps: list[Column], score: Column | None = None, least: float = 60.0, unique: bool = True) -> DataFrame:
+def cascade(rows: DataFrame, query: list[str], steps: list[Column], score: Column | None = None, least: float = 60.0, unique: bool = True, count: str | None = None) -> DataFrame:
     """Filter, score and status steps of J12-J15, on pairs already joined (their fuzzy commune step is not built): filters one after the other, each ignored where it would leave nothing; then, where several rows are left,
-    those at the largest score if that reaches ``least``; each row gets its query's status.
+    those at the largest score if that reaches ``least``; each row gets its query's status. ``count``: a row stands for so many.
     """
     for step in steps:
         rows = filter_if_any(rows, query, step)
     w = W.partitionBy(*query)
+    size = F.sum(count) if count else F.count("*")
     if score is not None:
-        rows = rows.withColumns({"_s": score, "_n": F.count("*").over(w)}).withColumn("_top", F.max("_s").over(w))
+        rows = rows.withColumns({"_s": score, "_n": size.over(w)}).withColumn("_top", F.max("_s").over(w))
         rows = rows.filter((F.col("_n") == 1) | F.col("_top").isNull() | (F.col("_top") < least) | (F.col("_s") == F.col("_top"))).drop("_s", "_n", "_top")
-    n = F.count("*").over(w)
+    n = size.over(w)
     return rows.withColumn("status", F.when((n == 1) & F.lit(unique), "MATCH_UNIQUE").otherwise("CANDIDATS"))
 
 

@@ -54,7 +54,7 @@ def _register(spark, d):
 
 
 def _picked(found):
-    return found.select("query_id", "status", "nb", F.coalesce(F.array_join(F.transform("candidats", lambda c: c["ref_dossier"]), ","), F.lit("")).alias("refs"))
+    return found.select("query_id", "status", "nb", F.coalesce("candidats", F.lit("")).alias("refs"))
 
 
 @query(_cascade(75, ["list_contains(list_filter(parcels, lambda x: x >= 1), parcelle)", "rk = k"], True) + _PICK.format(status=_ONE, ref="lpad(CAST(90 + rk AS VARCHAR), 2, '0') || CASE WHEN pos < 1000 THEN lpad(CAST(pos AS VARCHAR), 3, '0') ELSE CAST(pos AS VARCHAR) END", order="pos"))
@@ -62,7 +62,7 @@ def register_hb(spark, d):
     """J12, K6, C7, C12, C13."""
     q = _plans(spark, d).withColumn("annee_2ch", F.col("k") + 90)
     r = _register(spark, d).withColumns({"annee": F.col("k") + 1990, "n_seq": F.col("pos"), "op_code": F.lit("DA"), "prop_anciens": F.col("s_name"), "prop_nouveaux": F.col("s_name")})
-    return _picked(G.find_hb(q, r, G.edit_score, G.edit_score))
+    return _picked(G.find_hb(q, r, G.edit_score, G.edit_score, "ref_dossier"))
 
 
 _RC = _PICK.format(status=_ONE, ref="CAST(50 + rk AS VARCHAR) || '/' || pos", order="pos").replace("coalesce(g.status, 'NO_MATCH') AS status", "CASE WHEN k = 8 THEN 'HORS_REPERTOIRE' ELSE coalesce(g.status, 'NO_MATCH') END AS status").replace("FROM e GROUP", "FROM e WHERE k < 8 GROUP")
@@ -78,7 +78,7 @@ def register_rc(spark, d):
         "annee": F.col("k") + 1950, "n_registre": F.col("pos"), "date_cadastre": F.lit(None).cast("string"), "parc_acq": F.array(p, p + 1), "parc_orig": F.array(p + 2), "parc_vend": F.array(p + 3),
         "vendeur": F.col("s_name"), "acquereur": F.col("s_name"), "notaire": F.lit(""),
     })
-    return _picked(G.find_rc(q, r, G.edit_score, G.edit_score))
+    return _picked(G.find_rc(q, r, G.edit_score, G.edit_score, "ref_dossier"))
 
 
 _NAMES = "trim(regexp_replace(upper(s_name || ' ' || s_name), '[^A-Z0-9]+', ' ', 'g'))"
@@ -90,7 +90,7 @@ def register_d(spark, d):
     """J14, K8."""
     q = _plans(spark, d).withColumns({"annee": F.col("k") + 1970, "hint_anciens": F.concat(F.lit("Supplier#00000000"), (F.col("key") % 10).cast("string")), "hint_nouveaux": F.lit("")})
     r = _register(spark, d).withColumns({"annee": F.col("k") + 1970, "n_dossier": F.concat(F.lit("00"), "pos"), "prop_anciens": F.col("s_name"), "prop_nouveaux": F.col("s_name"), "notes": F.lit("")})
-    return _picked(G.find_d(q, r, G.edit_score, G.edit_score))
+    return _picked(G.find_d(q, r, G.edit_score, G.edit_score, "ref_dossier"))
 
 
 @query(_cascade(65, ["abs(rk - k - 8) <= 2", "rk = k + 8"], False) + _PICK.format(status="'CANDIDATS'", ref="s_name", order="CAST(floor(score) AS INTEGER) DESC, pos"))
@@ -98,7 +98,7 @@ def register_s(spark, d):
     """The plan's year is eight years on, so that some plans find it, some two years around it, and most neither."""
     q = _plans(spark, d).withColumns({"annee": F.col("k") + 1978, "hint_affaire": F.lit(""), "hint_client": F.lit(None).cast("string")})
     r = _register(spark, d).withColumns({"annee": F.col("k") + 1970, "n_dossier": F.col("s_name"), "date": F.lit("30/7/89"), "affaire": F.lit("x"), "client": F.col("s_name"), "notes": F.lit("")})
-    return _picked(G.find_s(q, r, G.edit_score, G.edit_score))
+    return _picked(G.find_s(q, r, G.edit_score, G.edit_score, "ref_dossier"))
 
 
 @query("""SELECT c_custkey AS doc_id, CASE g WHEN 0 THEN 'HB' WHEN 1 THEN 'RC' WHEN 2 THEN 'D' WHEN 3 THEN 'S' ELSE 'MANUEL' END AS register, 'R' || c_custkey AS ref_dossier, CASE WHEN g < 2 THEN 'B' ELSE 'AU' END AS section,

@@ -67,6 +67,34 @@ def test_d_and_s_lookup(spark):
     assert found == {1: ["89/1"], 2: ["91/2", "89/1"], 3: ["89/1", "91/2", "70/3"]}
 
 
+def test_lookups_do_not_pair_queries_with_rows(spark):
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        it, total = sc.statusStore().executorList(True).iterator(), 0
+        while it.hasNext():
+            total += it.next().totalShuffleWrite()
+        return total
+
+    k = F.col("id")
+    q = spark.range(5000).select(k.alias("query_id"), F.lit("Aubenas").alias("commune"), F.lit("B").alias("section"), F.concat(F.lit("x "), (k % 50).cast("string")).alias("parcelles"), (k % 9).cast("int").alias("annee_2ch"))
+    r = spark.range(1000).select(k.alias("pos"), (k % 9 + 2000).cast("int").alias("annee"), k.alias("n_seq"), F.lit("AUBENAS").alias("commune"), F.when(k % 2 == 0, "B").alias("section"), (k % 50).cast("int").alias("parcelle"), *[F.lit("o").alias(c) for c in ("prop_anciens", "prop_nouveaux", "op_code")])
+    before = written()
+    found = {x.query_id: x for x in G.find_hb(q, r, G.edit_score, G.edit_score, "ref_dossier").collect()}
+    assert written() - before < 2_000_000
+
+    def plain(i):
+        rows = list(range(1000))
+        for meets in (lambda p: i % 50 >= 1 and p % 50 == i % 50, lambda p: p % 9 == i % 9):
+            rows = [p for p in rows if meets(p)] or rows
+        top = max(100 * (p % 2 == 0) for p in rows)
+        return [p for p in rows if len(rows) == 1 or top < 60 or p % 2 == 0]
+
+    for i in (0, 1, 49, 50, 777, 4999):
+        want = plain(i)
+        assert found[i].nb == len(want) and found[i].candidats == ",".join(f"{p % 9:02d}{p:03d}" for p in want) and found[i].status == ("MATCH_UNIQUE" if len(want) == 1 else "CANDIDATS")
+
+
 def test_keys_dates_parcels(spark):
     r = one(
         spark, n1=X.match_key(F.lit("La Voulte/Rhône")), n1s=X.match_key(F.lit("St.Martin/Ardèche")), n1c=X.match_key(F.lit("C.N.E. de Ste. Foy")), n2=X.register_key(F.lit("St.Martin/Ardèche")), n3=X.corrector_key(F.lit("St-Martin/Ardèche")),
