@@ -184,16 +184,22 @@ def parcel_key(insee: Column, section: Column, number: Column) -> Column:
     return F.struct(insee.alias("insee"), small.section_key(section).alias("section"), small.number_key(number).alias("numero"))
 
 
+def in_order(parcels: Column) -> Column:
+    """Parcels by commune, section and number: a number of more digits comes later, whatever it begins with."""
+    keyed = F.transform(parcels, lambda x: F.struct(x["insee"].alias("insee"), x["section"].alias("section"), F.length(x["numero"]).alias("digits"), x["numero"].alias("numero"), x.alias("parcel")))
+    return F.transform(F.array_sort(keyed), lambda x: x["parcel"])
+
+
 def direct_children(parcels: DataFrame, edges: DataFrame) -> DataFrame:
     """Parcels (query_id, insee, section, numero) with ``children``, those of one operation, in order; none for an unknown parcel."""
     own = parcels.withColumn("parent", parcel_key(F.col("insee"), F.col("section"), F.col("numero")))
-    kids = own.select("query_id", "parent").join(edges, "parent").groupBy("query_id").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    kids = own.select("query_id", "parent").join(edges, "parent").groupBy("query_id").agg(in_order(F.collect_set("child")).alias("children"))
     return parcels.join(kids, "query_id", "left")
 
 
 def replacement(leaves: DataFrame, key: str = "query_id") -> DataFrame:
     """Of each query's leaves in order: the first one's section, and the numbers of its leaves in that section, joined."""
-    listed = leaves.groupBy(key).agg(F.array_sort(F.collect_set("leaf")).alias("_l")).withColumn("section", F.col("_l")[0]["section"])
+    listed = leaves.groupBy(key).agg(in_order(F.collect_set("leaf")).alias("_l")).withColumn("section", F.col("_l")[0]["section"])
     same = F.filter("_l", lambda x: x["section"] == F.col("section"))
     return listed.select(key, "section", F.array_join(F.transform(same, lambda x: x["numero"]), ", ").alias("parcelles"))
 

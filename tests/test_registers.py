@@ -95,6 +95,14 @@ def test_lookups_do_not_pair_queries_with_rows(spark):
         assert found[i].nb == len(want) and found[i].candidats == ",".join(f"{p % 9:02d}{p:03d}" for p in want) and found[i].status == ("MATCH_UNIQUE" if len(want) == 1 else "CANDIDATS")
 
 
+def test_daughters_are_in_the_order_of_numbers(spark):
+    parcel = lambda n: F.struct(F.lit("07001").alias("insee"), F.lit("A").alias("section"), F.lit(n).alias("numero"))
+    edges = spark.range(1).select(parcel("3333").alias("parent"), F.explode(F.array(parcel("10000"), parcel("9999"), parcel("0002"))).alias("child"))
+    asked = spark.createDataFrame([(1, "07001", "0A", "3333")], "query_id int, insee string, section string, numero string")
+    assert [c.numero for c in W.direct_children(asked, edges).first().children] == ["0002", "9999", "10000"]
+    assert W.replacement(edges.select(F.lit(1).alias("query_id"), F.col("child").alias("leaf"))).first().parcelles == "0002, 9999, 10000"
+
+
 def test_keys_dates_parcels(spark):
     r = one(
         spark, n1=X.match_key(F.lit("La Voulte/Rhône")), n1s=X.match_key(F.lit("St.Martin/Ardèche")), n1c=X.match_key(F.lit("C.N.E. de Ste. Foy")), n2=X.register_key(F.lit("St.Martin/Ardèche")), n3=X.corrector_key(F.lit("St-Martin/Ardèche")),
