@@ -310,10 +310,14 @@ def search(records: DataFrame, equal: dict[str, object], date: str, first: str |
 
 
 def text_scan(pages: DataFrame, names: DataFrame, page: list[str], text: str, name: str, above: float = 88.0, longer: int = 5) -> DataFrame:
-    """Per page the name of more than ``longer`` signs that its text holds best, by partial ratio above a line; ties by name."""
+    """Per page the name of more than ``longer`` signs that its text holds best, by partial ratio above a line; ties by name. A text that is shorter than
+    a name can't hold it and is held against the whole of it: else a page of one letter would match every name with that letter.
+    """
     own = pages.select(*page, X.match_key(text).alias("_t"))
     ref = names.groupBy(X.match_key(name).alias("_n")).agg(F.min(name).alias("found")).filter(F.length("_n") > longer)
     hits = held(own, ref, "_t", "_n", above)
+    short = F.length("_t") < F.length("_n")
+    hits = hits.withColumn("_whole", S.ratio_col(F.when(short, F.col("_t")), F.when(short, F.col("_n")))).withColumn("_score", F.when(short, F.col("_whole")).otherwise(F.col("_score"))).filter(F.col("_score") > above)
     best = hits.groupBy("_t").agg(F.min(F.struct((-F.col("_score")).alias("s"), "_n")).alias("b")).select("_t", "b._n", (-F.col("b.s")).alias("score"))
     return own.join(best.join(small(ref), "_n"), "_t").select(*page, "found", "score")
 

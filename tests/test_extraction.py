@@ -113,6 +113,13 @@ def test_text_scan(spark):
     assert [(r.page, r.found, r.score) for r in E.text_scan(pages, names, ["page"], "text", "name").collect()] == [(1, "Aubenas", 100.0)]
 
 
+def test_text_scan_of_texts_shorter_than_the_names(spark):
+    pages = spark.createDataFrame([(1, "A."), (2, "AUBENA"), (3, "Fait a Aubenas"), (4, "PRI")], "page int, text string")
+    names = spark.createDataFrame([("Aubenas",), ("Privas",)], "name string")
+    got = {r.page: (r.found, round(r.score, 3)) for r in E.text_scan(pages, names, ["page"], "text", "name").collect()}
+    assert got == {2: ("Aubenas", round(1200 / 13, 3)), 3: ("Aubenas", 100.0)}
+
+
 def test_manual_references(spark):
     found = spark.createDataFrame([(1, "NO_MATCH", None, None), (2, "MATCH_UNIQUE", "97050", "Em"), (3, None, None, None), (4, "NO_MATCH", None, None)], "id int, status string, reference string, op_code string")
     typed = spark.createDataFrame([(1, " 97051 ", "Da"), (2, "1", "Da"), (3, "98001", ""), (4, " ", "Da")], "id int, reference string, op_code string")
