@@ -98,26 +98,32 @@ def inline_value(text: Column, label: Column) -> Column:
     """X4, first form: what follows the label (a key of the text, in its first 70 %); three signs or more, not all lower case without a digit.
     Keys and texts differ in length only by signs that keys drop, so the label is found in the text by its words.
     """
-    key = X.spatial_key(text)
-    place = F.locate(label, key) if isinstance(label, str) else F.expr("0")
-    if not isinstance(label, str):
-        place = F.call_function("position", label, key)
     pattern = F.concat(F.lit("(?iu)^.*?"), F.replace(F.replace(label, F.lit("."), F.lit("\\.")), F.lit(" "), F.lit("[^a-z0-9]+")))
-    rest = F.call_function("regexp_replace", F.when(text.rlike("[^\\x00-\\x7F]"), X.strip_accents(text)).otherwise(text), pattern, F.lit(""))
-    size = F.length(F.when(text.rlike("[^\\x00-\\x7F]"), X.strip_accents(text)).otherwise(text)) - F.length(rest)
-    own = F.trim(F.regexp_replace(F.substring(text, size + 1, F.length(text)), _SEPARATORS, ""))
-    lower = (own == F.lower(own)) & own.rlike(r"\p{L}") & ~own.rlike(r"\d")
-    return F.when((place > 0) & (place - 1 <= 0.7 * F.length(key)) & (size > 0) & (F.length(own) >= 3) & ~lower, own)
+    plain = F.when(text.rlike("[^\\x00-\\x7F]"), X.strip_accents(text)).otherwise(text)
+    size = X.bound(plain, lambda p: F.length(p) - F.length(F.call_function("regexp_replace", p, pattern, F.lit(""))))
+
+    def behind(at: Column) -> Column:
+        place = at["key"]["place"]
+        early = (place > 0) & (place - 1 <= 0.7 * at["key"]["length"]) & (at["size"] > 0)
+        own = F.trim(F.regexp_replace(F.substring(text, at["size"] + 1, F.length(text)), _SEPARATORS, ""))
+        lower = lambda o: (o == F.lower(o)) & o.rlike(r"\p{L}") & ~o.rlike(r"\d")
+        return F.when(early, X.bound(own, lambda o: F.when((F.length(o) >= 3) & ~lower(o), o)))
+
+    key = X.bound(X.spatial_key(text), lambda k: F.struct(F.call_function("position", label, k).alias("place"), F.length(k).alias("length")))
+    return X.bound(F.struct(key.alias("key"), size.alias("size")), behind)
 
 
 def without_residue(value: Column, label: Column) -> Column:
     """The last words of the label that the value begins with are cut, the most words first; then a lone short word in small letters and separators."""
     words = F.split(label, " ")
     tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-    own = F.trim(value)
-    hit = F.get(F.filter(tails, lambda t: F.startswith(X.spatial_key(own), t)), F.lit(0))
-    cut = F.when(hit.isNotNull(), F.trim(F.regexp_replace(F.trim(F.substring(own, F.length(hit) + 1, F.length(own))), _SEPARATORS, ""))).otherwise(own)
-    return F.regexp_replace(F.trim(F.regexp_replace(cut, r"^[a-zà-ÿ]{1,3}\s+", "")), r"^[\s:,'\-–—]+", "")
+
+    def cut(own: Column, hit: Column) -> Column:
+        rest = F.when(hit.isNotNull(), F.trim(F.regexp_replace(F.trim(F.substring(own, F.length(hit) + 1, F.length(own))), _SEPARATORS, ""))).otherwise(own)
+        return F.regexp_replace(F.trim(F.regexp_replace(rest, r"^[a-zà-ÿ]{1,3}\s+", "")), r"^[\s:,'\-–—]+", "")
+
+    hit = lambda own: X.bound(X.spatial_key(own), lambda key: F.get(F.filter(tails, lambda t: F.startswith(key, t)), F.lit(0)))
+    return X.bound(F.trim(value), lambda own: X.bound(hit(own), lambda h: cut(own, h)))
 
 
 def _once(df: DataFrame, columns: dict[str, Column], keep: Column) -> DataFrame:

@@ -103,6 +103,11 @@ def test_daughters_are_in_the_order_of_numbers(spark):
     assert W.replacement(edges.select(F.lit(1).alias("query_id"), F.col("child").alias("leaf"))).first().parcelles == "0002, 9999, 10000"
 
 
+def test_label_residue_names_its_input_a_bounded_number_of_times(spark):
+    plan = spark.createDataFrame([("Commune : Vals", "commune")], "t string, l string").select(E.without_residue(E.inline_value(F.col("t"), F.col("l")), F.col("l")).alias("v"))
+    assert plan.first().v == "Vals" and plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 60
+
+
 def test_keys_dates_parcels(spark):
     r = one(
         spark, n1=X.match_key(F.lit("La Voulte/Rhône")), n1s=X.match_key(F.lit("St.Martin/Ardèche")), n1c=X.match_key(F.lit("C.N.E. de Ste. Foy")), n2=X.register_key(F.lit("St.Martin/Ardèche")), n3=X.corrector_key(F.lit("St-Martin/Ardèche")),
