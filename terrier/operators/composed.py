@@ -23,7 +23,7 @@ from . import extraction as E
 from . import fields as L
 from . import matching as M
 from . import records as R
-from .shared import remove, stored
+from .shared import remove, stored, unbroadcast
 
 Score = Callable[[Column, Column], Column]
 FIELDS = ("commune", "n_ordre", "n_dossier", "section", "feuille", "date", "echelle", "geometre", "proprietaires_anciens", "proprietaires_nouveaux", "indication")
@@ -106,7 +106,7 @@ def page_table(blocks: DataFrame, documents: DataFrame | None = None, score: Sco
     first = own.filter(F.col("page") == F.col("_first")).join(native, "doc_id", "left").withColumn("_initial", F.coalesce("_initial", F.lit("GENERIC")))
     first = first.select("doc_id", "page", "_initial", D.kind_of_reading(F.col("_initial"), F.replace("full_text", F.lit("\n"), F.lit(" ")), "_sure", score).alias("_kind"))
     dense = L.plan_density(blocks.join(first.select("doc_id", "page", "_initial"), PAGE).withColumn("prob", F.coalesce("prob", F.lit(1.0))), PAGE, F.col("_initial")).select(*PAGE, F.col("kind").alias("_dense"))
-    kinds = first.join(dense, PAGE, "left").select("doc_id", F.coalesce("_kind", "_dense", "_initial").alias("kind"))
+    kinds = first.join(unbroadcast(dense), PAGE, "left").select("doc_id", F.coalesce("_kind", "_dense", "_initial").alias("kind"))
     return own.join(kinds, "doc_id").select(*PAGE, "full_text", role.alias("role"), "kind")
 
 
@@ -134,21 +134,21 @@ def candidates(blocks: DataFrame, pages: DataFrame, width: Column, height: Colum
     """(page, field, methode, valeur, confidence): of each page and field one checked value of each strategy: the graph of labels and neighbours (X7; before it
     a boundary record's sentences, X18, and a form's certification, X17), patterns in the text (X14), keywords (X15).
     """
-    tagged = stored(label_table(blocks, labels), "labels")
+    tagged = unbroadcast(stored(label_table(blocks, labels), "labels"))
     order = lambda a, b, c: F.struct(a.cast("int").alias("a"), b.cast("long").alias("b"), c.cast("int").alias("c")).alias("o")
     graph = L.label_values(blocks, tagged, PAGE, width, height).select(*PAGE, "field", F.lit("graphe").alias("methode"), order(-F.length("label"), F.col("label_id"), F.col("place")), "valeur", "confidence")
     zones = L.zone_text(blocks, PAGE, ["block_id"])
     zero = F.lit(0)
     texts = L.contextual_options(zones, patterns, PAGE).select(*PAGE, "field", F.lit("contextuel").alias("methode"), order(F.col("place"), zero, zero), "valeur", F.lit(VOTE_CONFIDENCE["contextuel"]).alias("confidence"))
     words = L.keyword_options(blocks, keywords, PAGE, "block_id").select(*PAGE, "field", F.lit("mots_cles").alias("methode"), order(F.col("place"), zero, zero), "valeur", F.lit(VOTE_CONFIDENCE["mots_cles"]).alias("confidence"))
-    raw = stored(graph.unionByName(texts).unionByName(words), "raw")
+    raw = unbroadcast(stored(graph.unionByName(texts).unionByName(words), "raw"))
     own = _checked(raw, "valeur", score).groupBy(*PAGE, "field", "methode").agg(F.min(F.struct("o", "valeur", "confidence")).alias("b")).select(*PAGE, "field", "methode", "b.valeur", "b.confidence")
     record = D.textual_fields(pages.filter("kind = 'PVa'")).select(*PAGE, *[F.struct(F.lit(f).alias("field"), F.col(f).alias("valeur")).alias(f"_{f}") for f in ("commune", "date", "section")])
     record = record.select(*PAGE, F.explode(F.array("_commune", "_date", "_section")).alias("x")).filter("x.valeur is not null").select(*PAGE, "x.field", "x.valeur", F.lit(0.95).alias("confidence"))
     form = E.indication(pages.filter("kind = 'DMPC'"), PAGE).select(*PAGE, F.lit("indication").alias("field"), "valeur", "confidence")
     first = record.unionByName(form).withColumn("methode", F.lit("graphe"))
-    out = own.join(first.select(*PAGE, "field", "methode"), [*PAGE, "field", "methode"], "left_anti").unionByName(first.select(*own.columns))
-    done = stored(out, "candidates")
+    out = own.join(unbroadcast(first.select(*PAGE, "field", "methode")), [*PAGE, "field", "methode"], "left_anti").unionByName(first.select(*own.columns))
+    done = unbroadcast(stored(out, "candidates"))
     remove(tagged, raw)
     return done
 
@@ -270,11 +270,12 @@ def decided(rows: DataFrame) -> DataFrame:
 
 def page_fields(blocks: DataFrame, names: DataFrame, width: Column, height: Column, documents: DataFrame | None = None, score: Score = S.token_set_col, surveyor: Score = S.weighted_col, signal: Score = S.partial_col, **tables: dict) -> DataFrame:
     """(doc_id, page, kind, field, valeur, confidence, status) of every page and field that its role is read for."""
-    pages = stored(page_table(blocks, documents, signal), "pages")
+    blocks = unbroadcast(blocks)
+    pages = unbroadcast(stored(page_table(blocks, documents, signal), "pages"))
     found = candidates(blocks, pages, width, height, score=surveyor, **tables)
-    named = stored(with_names(found, names, score), "named")
+    named = unbroadcast(stored(with_names(found, names, score), "named"))
     rows = stored(cells(pages, named, names, score), "cells")
-    out = stored(decided(rows), "page_fields")
+    out = unbroadcast(stored(decided(rows), "page_fields"))
     remove(pages, found, named, rows)
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import validators as V
 from . import records as R
+from .shared import unbroadcast
 
 #: The keywords of each field, in order.
 KEYWORDS = {
@@ -139,7 +140,7 @@ def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: C
     marked = own.join(labels.select(*page, F.col("label_id").alias("block_id"), "field", "label"), [*page, "block_id"], "left")
     tagged = marked.filter("field is not null").withColumnRenamed("block_id", "label_id")
     boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label")
-    beside = R.nearest_values(boxes, marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
+    beside = R.nearest_values(unbroadcast(boxes), marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
     near = beside.filter(~F.col("b._marked")).select(*page, "field", "label", "label_id", F.lit(1).alias("place"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, "")).alias("_raw"))
     inside = _once(tagged, {"_raw": inline_value(F.col("text"), F.col("label"))}, F.col("_raw").isNotNull()).select(*page, "field", "label", "label_id", F.lit(0).alias("place"), "_raw")
     kept = ((F.col("place") == 0) & (F.col("valeur") != "")) | (F.length("valeur") >= 3)

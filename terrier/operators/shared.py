@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """df for joins that shuffle both sides, unless the other one has a broadcast hint. Else the planner broadcasts through the driver what is small as a file,
+    however many rows are exploded from it and however much they weigh in memory.
+    """
+    out = df.hint("merge")
+    if hasattr(df, "_path"):
+        out._path = df._path
+    return out
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote and nothing will read again."""
     for df in tables:
