@@ -400,7 +400,10 @@ def best(name: str, probes: Texts, names: Texts, least: float, k: int | None, fi
     """
     scorer = SCORERS[name]
     rows, cols, later = [], [], []
-    for row in range(len(probes.values)):
+    every = least <= 0 and len(names.values) <= (max(first, 2 * k) if k is not None else 0)  # so few that no bound leaves one out
+    if every:
+        rows, cols = [np.repeat(np.arange(len(probes.values)), len(names.values))], [np.tile(np.arange(len(names.values)), len(probes.values))]
+    for row in range(0 if every else len(probes.values)):
         bound = scorer.bounds(probes, row, names)
         able = np.flatnonzero(bound >= least)
         if k is not None and len(able) > max(first, 2 * k):

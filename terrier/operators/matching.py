@@ -12,6 +12,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from .candidates import near
 from .records import small
+from .shared import remove, stored
 
 Score = Callable[[Column, Column], Column]
 #: What the reference calls a cell that names nothing.
@@ -29,13 +30,39 @@ def top_k(probes: DataFrame, names: DataFrame, probe: str, name: str, k: int = 5
 
 def _shortlist(keys: DataFrame, ref: DataFrame, weighted: Score, sort: Score) -> DataFrame:
     """(_q, _n, _pos, ..., _at): the 15 names of the best weighted score, in order, then those of the 10 best of sorted words; ties by the names' order.
-    Names that share a key are candidates of their own.
+    Names that share a key are candidates of their own. Where both scores are one, the 10 are among the 15.
     """
     first = lambda score, k: near(keys, ref, "_q", "_n", score, 0.0, k).join(small(ref), "_n").withColumn("_at", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter(F.col("_at") <= k).drop("_score")
+    if weighted is sort:
+        return first(weighted, 15)
     both = first(weighted, 15).unionByName(first(sort, 10).withColumn("_at", F.col("_at") + 15))
     return both.groupBy("_q", "_n", "_pos", "official", "code").agg(F.min("_at").alias("_at"))
 
 
+def _text_matches(texts: DataFrame, names: DataFrame, name: str, code: str | None, name_pos: str | None, weighted: Score, sort: Score, align: Score) -> DataFrame:
+    """Each distinct text (brut) with what its matching needs, whatever cell it stands in, as a stored table: short and short_code of a short form (J1); else, unless it is noise,
+    the best name (_n, official, code, methode) with its score _sw and the text's informativeness and coherence of lengths (M4).
+    """
+    from . import communes as C
+
+    ref = names.select(X.match_key(name).alias("_n"), F.col(name).alias("official"), (F.col(code) if code else F.lit("")).cast("string").alias("code"), (F.col(name_pos) if name_pos else F.col(name)).alias("_pos")).filter(F.col("official").isNotNull())
+    forms = C.short_forms(names.select(F.col(name).alias("officiel")), "officiel").select("forme", F.col("officiel").alias("short"))
+    codes = ref.groupBy(F.col("official").alias("short")).agg(F.min_by("code", "_pos").alias("short_code"))
+    keys = stored(texts.distinct().withColumn("_q", C.reading_key("brut")), "keys")
+    told = stored(keys.join(small(forms), F.col("_q") == F.col("forme"), "left").join(small(codes), "short", "left").select("brut", "_q", "short", "short_code"), "told")
+    clear = told.filter(F.col("short").isNull() & F.col("_q").isNotNull() & ~C.is_noise(F.col("_q")))
+    q, n = F.col("_q"), F.col("_n")
+    listed = _shortlist(clear.select("_q").distinct(), ref.filter("_n <> ''"), weighted, sort)
+    begins, equal = (F.length(q) >= 4) & n.startswith(q), (F.length(q) <= 5) & (q == n)
+    raised = lambda on, by, s: F.when(on, F.least(F.lit(100.0), s + by)).otherwise(s)
+    listed = listed.withColumn("_sw", align(q, n)).withColumn("_sw", raised(equal, 20.0, raised(begins, 10.0, F.col("_sw"))))
+    listed = listed.withColumn("_k", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_sw"), "_at"))).filter("_k = 1")
+    chosen = listed.select("_q", "_n", "official", "code", "_sw", F.when((begins | equal) & (F.col("_sw") > 0), "prefixe").otherwise("fuzzy").alias("methode"), X.informativeness("_q").alias("_info"), X.length_coherence("_q", "_n").alias("_even"))
+    out = stored(told.join(chosen, "_q", "left").drop("_q"), "matches")
+    remove(keys, told)
+    return out
+
+
 def match_hypotheses(
     hypotheses: DataFrame, names: DataFrame, cell: str = "cell_id", text: str = "text", prob: str = "prob", name: str = "name", code: str | None = None, pos: str | None = None, name_pos: str | None = None,
     weighted: Score = S.weighted_col, sort: Score = S.token_sort_col, align: Score = S.alignment_col,
@@ -46,40 +73,26 @@ def match_hypotheses(
     the shortlist of each other one the best alignment (+10, "prefixe", for a name that begins with a reading of four signs or more; +20 for
     an equal reading of five or fewer), ties by the shortlist's order, then 0.7 of it and 30 times the reading's probability, times informativeness
     and length coherence (M4). The first best reading from 45 wins; without one the cell is "Non identifiée" with score 0. ``pos`` orders a
-    cell's readings, ``name_pos`` the names; without them texts and names do.
+    cell's readings, ``name_pos`` the names; without them texts and names do. All that a text alone decides is made once a distinct text and
+    stored; the readings meet it in one join and are gathered by cell once.
     """
-    from . import communes as C
-
-    ref = names.select(X.match_key(name).alias("_n"), F.col(name).alias("official"), (F.col(code) if code else F.lit("")).cast("string").alias("code"), (F.col(name_pos) if name_pos else F.col(name)).alias("_pos")).filter(F.col("official").isNotNull())
-    own = hypotheses.select(F.col(cell).alias("_cell"), F.col(text).alias("brut"), F.col(prob).cast("double").alias("_prob"), F.struct((F.col(pos) if pos else -F.col(prob)).alias("p"), F.col(text).alias("t")).alias("_o"), C.reading_key(text).alias("_q"))
-    forms = C.short_forms(names.select(F.col(name).alias("officiel")), "officiel").withColumnRenamed("officiel", "official")
-    codes = ref.groupBy("official").agg(F.min_by("code", "_pos").alias("code"))
-    short = own.join(small(forms), F.col("_q") == F.col("forme")).groupBy("_cell").agg(F.min_by(F.struct("official", "brut"), "_o").alias("b"))
-    short = short.select("_cell", "b.official", F.lit(100).alias("score"), F.lit("abreviation").alias("methode"), "b.brut", F.concat(F.lit("abbrev:'"), "b.brut", F.lit("'->'"), "b.official", F.lit("'")).alias("hypotheses"))
-    short = short.join(small(codes), "official")
-
-    todo = own.join(short.select("_cell"), "_cell", "left_anti")
-    clear = todo.filter(F.col("_q").isNotNull() & ~C.is_noise(F.col("_q")))
-    q, n = F.col("_q"), F.col("_n")
-    listed = _shortlist(clear.select("_q").distinct(), ref.filter("_n <> ''"), weighted, sort)
-    begins, equal = (F.length(q) >= 4) & n.startswith(q), (F.length(q) <= 5) & (q == n)
-    raised = lambda on, by, s: F.when(on, F.least(F.lit(100.0), s + by)).otherwise(s)
-    listed = listed.withColumn("_sw", align(q, n)).withColumn("_sw", raised(equal, 20.0, raised(begins, 10.0, F.col("_sw"))))
-    listed = listed.withColumn("_k", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_sw"), "_at"))).filter("_k = 1")
-    chosen = listed.select("_q", "_n", "official", "code", "_sw", F.when((begins | equal) & (F.col("_sw") > 0), "prefixe").otherwise("fuzzy").alias("methode"))
-    scored = clear.join(chosen, "_q").withColumn("_s", (0.7 * F.col("_sw") + 30.0 * F.col("_prob")) * X.informativeness("_q") * X.length_coherence("_q", "_n"))
+    own = hypotheses.select(F.col(cell).alias("_cell"), F.col(text).alias("brut"), F.col(prob).cast("double").alias("_prob"), F.struct((F.col(pos) if pos else -F.col(prob)).alias("p"), F.col(text).alias("t")).alias("_o"))
+    rows = own.join(small(_text_matches(own.select("brut"), names, name, code, name_pos, weighted, sort, align)), "brut", "left")
+    rows = rows.withColumn("_s", (0.7 * F.col("_sw") + 30.0 * F.col("_prob")) * F.col("_info") * F.col("_even"))
     line = F.format_string("'%s'(%.2f)->%s(%.0f%% %s)", "brut", "_prob", "_n", "_s", "methode")
-    each = scored.groupBy("_cell").agg(
-        F.min_by(F.struct("official", "code", "_s", "methode", "brut"), F.struct((-F.col("_s")).alias("s"), "_o")).alias("b"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", line.alias("l")))), lambda x: x["l"]), " | ").alias("hypotheses"),
+    best = rows.groupBy("_cell").agg(
+        F.min(F.struct("_o", "brut"))["brut"].alias("_first"),
+        F.min(F.when(F.col("short").isNotNull(), F.struct("_o", F.struct("short", "short_code", "brut").alias("b"))))["b"].alias("a"),
+        F.min(F.when(F.col("_sw").isNotNull(), F.struct((-F.col("_s")).alias("s"), "_o", F.struct("official", "code", "_s", "methode", "brut").alias("b"))))["b"].alias("b"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_sw").isNotNull(), F.struct("_o", line.alias("l"))))), lambda x: x["l"]), " | ").alias("_lines"),
     )
-    first = todo.groupBy("_cell").agg(F.min_by("brut", "_o").alias("_first"))
-    sure = F.coalesce(F.col("b._s") >= 45, F.lit(False))
-    rest = first.join(each, "_cell", "left").select(
-        "_cell", F.when(sure, F.col("b.official")).otherwise(UNKNOWN).alias("official"), F.when(sure, F.col("b._s").cast("int")).otherwise(0).alias("score"), F.when(sure, F.col("b.methode")).otherwise("aucun").alias("methode"),
-        F.when(sure, F.col("b.brut")).otherwise(F.col("_first")).alias("brut"), F.coalesce("hypotheses", F.lit("")).alias("hypotheses"), F.when(sure, F.col("b.code")).otherwise("").alias("code"),
+    short, sure = F.col("a").isNotNull(), F.coalesce(F.col("b._s") >= 45, F.lit(False))
+    pick = lambda a, b, c: F.when(short, a).when(sure, b).otherwise(c)
+    return best.select(
+        F.col("_cell").alias(cell), pick(F.col("a.short"), F.col("b.official"), UNKNOWN).alias("official"), pick(F.col("a.short_code"), F.col("b.code"), "").alias("code"), pick(100, F.col("b._s").cast("int"), 0).alias("score"),
+        pick("abreviation", F.col("b.methode"), "aucun").alias("methode"), pick(F.col("a.brut"), F.col("b.brut"), F.col("_first")).alias("brut"),
+        F.when(short, F.concat(F.lit("abbrev:'"), "a.brut", F.lit("'->'"), "a.short", F.lit("'"))).otherwise(F.coalesce("_lines", F.lit(""))).alias("hypotheses"),
     )
-    return short.unionByName(rest).select(F.col("_cell").alias(cell), "official", "code", "score", "methode", "brut", "hypotheses")
 
 
 def label_score(block: Column, label: Column) -> Column:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrier.functions import batch as B
 from terrier.functions import similarity as S
@@ -155,6 +156,17 @@ def test_match_hypotheses(spark):
     assert got[0][3] == "aucun" and got[1][2] == 100 and {g[3] for g in got.values()} >= {"fuzzy", "abreviation", "aucun"}
 
 
+def test_match_hypotheses_reads_its_rows_twice(spark):
+    """Once for the distinct texts, once for the cells: what a text decides is not made again for each of its rows."""
+    made = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda k: made.add(1) or ("abc", "Aubenos", "AUBENAS", None, "12345")[k % 5], "string")
+    rows = spark.range(0, 400, 1, 2).select(F.floor(F.col("id") / 3).alias("cell_id"), F.col("id").alias("pos"), text("id").alias("text"), F.lit(0.9).alias("prob"))
+    ref = spark.createDataFrame([("Aubenas", "07019", 0), ("Privas", "07186", 1)], "name string, insee string, at int")
+    got = matching.match_hypotheses(rows, ref, pos="pos", code="insee", name_pos="at").collect()
+    assert len(got) == 134 and made.value <= 800
+    assert {r.official for r in got} == {"Aubenas", matching.UNKNOWN} and {r.methode for r in got} == {"abreviation", "fuzzy", "aucun"}
+
+
 @pytest.mark.parametrize("above", [88.0, 75.0])
 def test_seeds_find_what_a_full_scan_finds(above):
     rng = random.Random(above)
