@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import validators as V
 from . import records as R
-from .shared import unbroadcast
+from .shared import once, unbroadcast
 
 #: The keywords of each field, in order.
 KEYWORDS = {
@@ -127,11 +127,6 @@ def without_residue(value: Column, label: Column) -> Column:
     return X.bound(F.trim(value), lambda own: X.bound(hit(own), lambda h: cut(own, h)))
 
 
-def _once(df: DataFrame, columns: dict[str, Column], keep: Column) -> DataFrame:
-    """df with the columns, of the rows to keep. The columns are computed once: no predicate is pushed below a projection that numbers its rows."""
-    return df.withColumns(columns | {"_row": F.monotonically_increasing_id()}).filter((F.col("_row") >= 0) & keep).drop("_row")
-
-
 def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column) -> DataFrame:
     """X7 before any check: page, field, label, label_id, place, methode, valeur, confidence: of each label of X3 (page, label_id, field, label) the text behind it in its own
     block (place 0, 0.92), and its value block (1, 0.88), which must be no label's.
@@ -142,9 +137,9 @@ def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: C
     boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label")
     beside = R.nearest_values(unbroadcast(boxes), marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
     near = beside.filter(~F.col("b._marked")).select(*page, "field", "label", "label_id", F.lit(1).alias("place"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, "")).alias("_raw"))
-    inside = _once(tagged, {"_raw": inline_value(F.col("text"), F.col("label"))}, F.col("_raw").isNotNull()).select(*page, "field", "label", "label_id", F.lit(0).alias("place"), "_raw")
+    inside = once(tagged, {"_raw": inline_value(F.col("text"), F.col("label"))}, F.col("_raw").isNotNull()).select(*page, "field", "label", "label_id", F.lit(0).alias("place"), "_raw")
     kept = ((F.col("place") == 0) & (F.col("valeur") != "")) | (F.length("valeur") >= 3)
-    both = _once(inside.unionByName(near), {"valeur": without_residue(F.col("_raw"), F.col("label"))}, kept)
+    both = once(inside.unionByName(near), {"valeur": without_residue(F.col("_raw"), F.col("label"))}, kept)
     first = F.col("place") == 0
     return both.select(*page, "field", "label", "label_id", "place", F.when(first, "graph_inline").otherwise("graph_neighbor").alias("methode"), "valeur", F.when(first, 0.92).otherwise(0.88).alias("confidence"))
 
@@ -270,7 +265,7 @@ def analyzed(lines: DataFrame, page: list[str], order: str, keywords: dict[str,
     own = lines.withColumns({"text": F.trim("text")}).filter("text <> ''").withColumn("field", field_of("text", keywords))
     own = own.withColumns({"_next": F.lead("text").over(w), "_next_field": F.lead("field").over(w)}).filter("field is not null")
     below = F.when(F.col("_next_field").isNull() & (F.length("_next") > 1), F.col("_next"))
-    own = _once(own, {"raw": F.coalesce(without_label("text", F.col("field"), keywords), below)}, F.col("raw").isNotNull())
+    own = once(own, {"raw": F.coalesce(without_label("text", F.col("field"), keywords), below)}, F.col("raw").isNotNull())
     result = V.corrected("libre", "raw")
     for name in ("echelle", "section", "date", "dossier"):  # bound, so that the rules of all fields are no one piece of compiled code
         result = F.when(F.col("field") == name, X.bound(F.col("raw"), lambda raw, name=name: V.corrected(name, raw))).otherwise(result)

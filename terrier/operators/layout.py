@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from . import matching as M
-from .shared import remove, stored
+from .shared import once, remove, stored
 
 Score = Callable[[Column, Column], Column]
 #: The pivot words of each field, in order, and phrases that no value holds.
@@ -79,14 +79,11 @@ def pivot_values(lines: DataFrame) -> DataFrame:
     found = both.withColumn("_p", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())))
     parts = F.split("text", r"\|")
     word = F.col("_p.word")
-    value = lambda part, at: F.when(at + 1 < F.size(parts), F.when(F.length(_trimmed(F.get(parts, at + 1))) > 1, _trimmed(F.get(parts, at + 1)))).otherwise(
-        F.when(F.length(_rest(part, word)) > 2, _rest(part, word))
-    )
-    same = F.filter(F.transform(parts, lambda part, at: F.when(F.contains(F.lower(part), word), value(part, at))), lambda x: x.isNotNull())
+    value = lambda part, at, w: F.when(at + 1 < F.size(parts), X.bound(_trimmed(F.get(parts, at + 1)), lambda t: F.when(F.length(t) > 1, t))).otherwise(X.bound(_rest(part, w), lambda t: F.when(F.length(t) > 2, t)))
     beyond = F.coalesce(F.when(F.col("_below") != "", F.col("_below")), F.when(F.length("_right") > 1, F.col("_right")), F.when(~F.coalesce("_next_pivot", F.lit(True)), _trimmed(F.col("_next"))))
-    out = found.withColumn("valeur", F.coalesce(F.get(same, F.lit(0)), beyond)).filter("valeur <> '' and length(valeur) <= 100")
-    for phrase in NO_VALUE:
-        out = out.filter(~F.lower("valeur").contains(phrase))
+    good = lambda v: (v != "") & (F.length(v) <= 100) & ~F.lower(v).rlike("|".join(NO_VALUE))
+    own_part = X.bound(word, lambda w: F.get(F.filter(F.transform(F.split("text", r"\|"), lambda part, at: F.when(F.contains(F.lower(part), w), value(part, at, w))), lambda x: x.isNotNull()), F.lit(0)))
+    out = once(found, {"valeur": X.bound(F.coalesce(own_part, beyond), lambda v: F.when(good(v), v))}, F.col("valeur").isNotNull())
     return out.select("doc_id", "_p.field", F.struct("_at", "_p.n").alias("place"), "valeur")
 
 
@@ -96,20 +93,32 @@ def _rest(part: Column, word: Column) -> Column:
     return _trimmed(F.regexp_replace(_trimmed(F.substring(part, at + F.length(word), F.length(part))), "^:+", ""))
 
 
-def _readings(lines: DataFrame) -> DataFrame:
-    """(doc_id, rank, place, valeur): texts that may name the commune beyond the pivots: the lines of the first page's upper quarter, then each line, its words and its pairs of words."""
+def _lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, _at, _t, _head) of lines that are not empty: their order, their text and whether they stand in the first page's upper quarter with 4 to 59 signs."""
     order = W.partitionBy("doc_id").orderBy("page", "y0", "line_id")
     first = F.min("page").over(W.partitionBy("doc_id"))
     own = lines.withColumns({"_at": F.row_number().over(order), "_t": _trimmed(F.col("text")), "_first": F.col("page") == first})
     own = own.withColumn("_bottom", F.max(F.when(F.col("_first"), F.col("y1"))).over(W.partitionBy("doc_id")))
-    head = own.filter(F.col("_first") & ((F.col("y0") + F.col("y1")) / 2 <= F.col("_bottom") / 4) & (F.length("_t") > 3) & (F.length("_t") < 60)).select("doc_id", F.lit(1).alias("rank"), F.struct("_at", F.lit(0).alias("n")).alias("place"), F.col("_t").alias("valeur"))
+    head = F.col("_first") & ((F.col("y0") + F.col("y1")) / 2 <= F.col("_bottom") / 4) & (F.length("_t") > 3) & (F.length("_t") < 60)
+    return own.select("doc_id", "_at", "_t", F.coalesce(head, F.lit(False)).alias("_head")).filter("_t <> ''")
+
+
+def _readings(texts: DataFrame) -> DataFrame:
+    """(_t, rank, n, valeur) of distinct texts of lines (_t, _head: whether one stands in an upper quarter): what may name the commune beyond the pivots: as rank 1 the
+    text of such a line, as rank 2 each text, its words and its pairs of words.
+    """
+    head = texts.filter("_head").select("_t", F.lit(1).alias("rank"), F.lit(0).alias("n"), F.col("_t").alias("valeur"))
     words = F.filter(F.split("_t", r"\s+"), lambda w: w != "")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 1, F.lit(1))), lambda k: F.when(k < F.size("_w"), F.concat_ws(" ", F.get("_w", k - 1), F.get("_w", k))))
     kinds = F.concat(F.array(F.struct(F.lit("line").alias("kind"), F.col("_t").alias("t"))), F.transform("_w", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("t"))), F.transform(pairs, lambda w: F.struct(F.lit("pair").alias("kind"), w.alias("t"))))
-    each = own.withColumn("_w", words).select("doc_id", "_at", F.posexplode(kinds).alias("n", "x")).filter("x.t is not null").select("doc_id", "_at", "n", "x.kind", "x.t", X.match_key("x.t").alias("_k"))
-    size = F.length("_k")
-    fits = ((F.col("kind") == "line") & size.between(4, 45)) | ((F.col("kind") == "word") & (size >= 4)) | ((F.col("kind") == "pair") & (size >= 5))
-    return head.unionByName(each.filter(fits & ~F.col("_k").isin(*COMMON)).select("doc_id", F.lit(2).alias("rank"), F.struct("_at", F.col("n")).alias("place"), F.col("t").alias("valeur")))
+    each = texts.select("_t", words.alias("_w")).select("_t", F.posexplode(kinds).alias("n", "x"))
+
+    def fits(key: Column) -> Column:
+        kind, size = F.col("x.kind"), F.length(key)
+        return (((kind == "line") & size.between(4, 45)) | ((kind == "word") & (size >= 4)) | ((kind == "pair") & (size >= 5))) & ~key.isin(*COMMON)
+
+    each = once(each, {"_fits": X.bound(X.match_key("x.t"), fits)}, F.col("x.t").isNotNull() & F.col("_fits"))
+    return head.unionByName(each.select("_t", F.lit(2).alias("rank"), "n", F.col("x.t").alias("valeur")))
 
 
 def layout_values(lines: DataFrame, names: DataFrame, weighted: Score = S.weighted_col, sort: Score = S.token_sort_col, align: Score = S.alignment_col) -> DataFrame:
@@ -119,19 +128,33 @@ def layout_values(lines: DataFrame, names: DataFrame, weighted: Score = S.weight
     quarter's lines, and of all lines, words and pairs of words; of equal scores the first. Where no pivot gave one and nothing matched, all lines of 3 to 59 signs
     are matched as one text. names: officiel, code, pos.
     """
+    def matched(asked: DataFrame) -> DataFrame:
+        cells = asked.select(F.col("valeur").alias("cell_id"), F.col("valeur").alias("text"), F.lit(1.0).alias("prob")).distinct()
+        found = M.match_hypotheses(cells, names, name="officiel", code="code", name_pos="pos", weighted=weighted, sort=sort, align=align)
+        return found.select(F.col("cell_id").alias("valeur"), "score", F.struct(F.col("official").alias("commune"), F.col("code").alias("commune_code"), F.col("score").alias("commune_score")).alias("_r"))
+
+    place = lambda at, n: F.struct(at.alias("_at"), n.alias("n")).alias("place")
     values = stored(pivot_values(lines), "pivots")
+    own = stored(_lines(lines), "lines")
+    readings = stored(_readings(own.groupBy("_t").agg(F.max("_head").alias("_head"))), "readings")
+    pivots = values.filter("field = 'commune'").select("doc_id", F.lit(0).alias("rank"), place(F.col("place._at"), F.col("place.n")), "valeur")
+    known = stored(matched(pivots.select("valeur").unionByName(readings.select("valeur"))), "matched")
+    # of a text's readings of one rank the best and of equal scores the first is the best of each of its lines
+    best = lambda rank: F.min(F.when(F.col("rank") == rank, F.struct((-F.col("score")).alias("s"), "n", "_r"))).alias(f"_{rank}")
+    texts = readings.join(known.filter("score > 0"), "valeur").groupBy("_t").agg(best(1), best(2))
+    of = lambda rank: F.when(F.col(f"_{rank}").isNotNull(), F.struct(F.col(f"_{rank}.s").alias("s"), F.lit(rank).alias("rank"), place(F.col("_at"), F.col(f"_{rank}.n")), F.col(f"_{rank}._r").alias("_r")))
+    lined = own.join(texts, "_t").select("doc_id", F.least(of(2), F.when(F.col("_head"), of(1))).alias("_c"))
+    pivoted = pivots.join(known, "valeur").select("doc_id", F.struct((-F.col("score")).alias("s"), "rank", "place", "_r").alias("_c"))
+    given = stored(lined.unionByName(pivoted).filter("_c is not null").groupBy("doc_id").agg(F.min("_c")["_r"].alias("_r")), "given")
     full = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "line_id", _trimmed(F.col("text")).alias("t")))), lambda x: x["t"]).alias("_all"))
-    texts = full.select("doc_id", F.array_join("_all", " ").alias("_text"), F.array_join(F.filter("_all", lambda t: (F.length(t) > 2) & (F.length(t) < 60)), " ").alias("_lines"))
-    pivots = values.filter("field = 'commune'").select("doc_id", F.lit(0).alias("rank"), F.struct(F.col("place._at").alias("_at"), F.col("place.n").alias("n")).alias("place"), "valeur")
-    asked = stored(pivots.unionByName(_readings(lines)).unionByName(texts.filter("_lines <> ''").select("doc_id", F.lit(3).alias("rank"), F.struct(F.lit(0).alias("_at"), F.lit(0).alias("n")).alias("place"), F.col("_lines").alias("valeur"))), "asked")
-    cells = asked.select(F.col("valeur").alias("cell_id"), F.col("valeur").alias("text"), F.lit(1.0).alias("prob")).distinct()
-    matched = M.match_hypotheses(cells, names, name="officiel", code="code", name_pos="pos", weighted=weighted, sort=sort, align=align).select(F.col("cell_id").alias("valeur"), "official", "code", "score")
-    scored = asked.join(matched, "valeur").withColumn("_r", F.struct(F.col("official").alias("commune"), F.col("code").alias("commune_code"), F.col("score").alias("commune_score")))
-    best = scored.groupBy("doc_id").agg(
-        F.min(F.when((F.col("rank") < 3) & ((F.col("score") > 0) | (F.col("rank") == 0)), F.struct((-F.col("score")).alias("s"), "rank", "place", "_r")))["_r"].alias("_known"), F.min(F.when(F.col("rank") == 3, F.struct("place", "_r")))["_r"].alias("_whole"),
-    )
-    pick = F.coalesce("_known", "_whole")
-    best = best.select("doc_id", *[pick[c].alias(c) for c in ("commune", "commune_score", "commune_code")])
+    whole = stored(full.select("doc_id", F.array_join("_all", " ").alias("_text"), F.array_join(F.filter("_all", lambda t: (F.length(t) > 2) & (F.length(t) < 60)), " ").alias("_lines")), "whole")
+    left = stored(whole.filter("_lines <> ''").join(given, "doc_id", "left_anti").select("doc_id", F.col("_lines").alias("valeur")), "left")
+    if left.take(1):  # only what no reading gave is matched as a whole
+        best = given.unionByName(left.join(matched(left), "valeur").select("doc_id", "_r"))
+    else:
+        best = given
+    best = best.select("doc_id", "_r.*")
+    texts = whole.select("doc_id", "_text")
     others = [f for f in PIVOTS if f != "commune"]
     first = values.groupBy("doc_id").agg(*[F.min(F.when(F.col("field") == f, F.struct("place", "valeur")))["valeur"].alias(f) for f in others])
     out = texts.join(best, "doc_id", "left").join(first, "doc_id", "left")
@@ -141,5 +164,5 @@ def layout_values(lines: DataFrame, names: DataFrame, weighted: Score = S.weight
         out = out.withColumn(f, F.coalesce(f, F.upper(value) if f == "cadastre_section" else F.regexp_replace(value, r"\s+", "") if f == "echelle" else value))
     found = {"commune": F.coalesce("commune", F.lit("Commune non identifiée")), "commune_score": F.coalesce("commune_score", F.lit(0)), "commune_code": F.coalesce("commune_code", F.lit(""))} | {f: F.coalesce(f, F.lit(UNKNOWN)) for f in others}
     out = stored(out.withColumns(found).select("doc_id", "commune", "commune_score", "commune_code", *others), "layout")
-    remove(values, asked)
+    remove(values, own, readings, known, given, whole, left)
     return out

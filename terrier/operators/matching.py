@@ -32,10 +32,10 @@ def _shortlist(keys: DataFrame, ref: DataFrame, weighted: Score, sort: Score) ->
     """(_q, _n, _pos, ..., _at): the 15 names of the best weighted score, in order, then those of the 10 best of sorted words; ties by the names' order.
     Names that share a key are candidates of their own. Where both scores are one, the 10 are among the 15.
     """
-    first = lambda score, k: near(keys, ref, "_q", "_n", score, 0.0, k).join(small(ref), "_n").withColumn("_at", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter(F.col("_at") <= k).drop("_score")
+    first = lambda score, k: near(keys, ref, "_q", "_n", score, 0.0, k).join(small(ref), "_n").withColumn("_at", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_pos"))).filter(F.col("_at") <= k)
     if weighted is sort:
         return first(weighted, 15)
-    both = first(weighted, 15).unionByName(first(sort, 10).withColumn("_at", F.col("_at") + 15))
+    both = first(weighted, 15).unionByName(first(sort, 10).withColumn("_at", F.col("_at") + 15)).drop("_score")
     return both.groupBy("_q", "_n", "_pos", "official", "code").agg(F.min("_at").alias("_at"))
 
 
@@ -55,7 +55,8 @@ def _text_matches(texts: DataFrame, names: DataFrame, name: str, code: str | Non
     listed = _shortlist(clear.select("_q").distinct(), ref.filter("_n <> ''"), weighted, sort)
     begins, equal = (F.length(q) >= 4) & n.startswith(q), (F.length(q) <= 5) & (q == n)
     raised = lambda on, by, s: F.when(on, F.least(F.lit(100.0), s + by)).otherwise(s)
-    listed = listed.withColumn("_sw", align(q, n)).withColumn("_sw", raised(equal, 20.0, raised(begins, 10.0, F.col("_sw"))))
+    aligned = F.col("_score") if align is weighted and weighted is sort else align(q, n)
+    listed = listed.withColumn("_sw", aligned).withColumn("_sw", X.bound(X.bound(F.col("_sw"), lambda s: raised(begins, 10.0, s)), lambda s: raised(equal, 20.0, s)))
     listed = listed.withColumn("_k", F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_sw"), "_at"))).filter("_k = 1")
     chosen = listed.select("_q", "_n", "official", "code", "_sw", F.when((begins | equal) & (F.col("_sw") > 0), "prefixe").otherwise("fuzzy").alias("methode"), X.informativeness("_q").alias("_info"), X.length_coherence("_q", "_n").alias("_even"))
     out = stored(told.join(chosen, "_q", "left").drop("_q"), "matches")

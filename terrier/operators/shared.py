@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -43,6 +44,19 @@ def unbroadcast(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 100_000) -> DataFrame:
+    """df dealt (by the keys, if any) into parts of about so many of its counted rows, at least spark.sql.shuffle.partitions. For work that is heavy for what its rows weigh in a file,
+    which else falls to one task, and for memory that else grows with the share of a fixed number of tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // rows)), *keys)
+
+
+def once(df: DataFrame, columns: dict[str, Column], keep: Column) -> DataFrame:
+    """df with the columns, of the rows to keep. The columns are computed once: no predicate is pushed below a projection that numbers its rows."""
+    return df.withColumns(columns | {"_row": F.monotonically_increasing_id()}).filter((F.col("_row") >= 0) & keep).drop("_row")
+
+
 def remove(*tables: DataFrame) -> None:
     """Deletes tables that stored() wrote and nothing will read again."""
     for df in tables:

@@ -9,6 +9,7 @@ from ..operators import composed as P
 from ..operators import documents as D
 from ..operators import layout as Y
 from ..operators.registers import edit_score
+from ..operators.shared import spread
 from .base import query, table
 
 
@@ -117,7 +118,7 @@ def layout_fields(spark, d):
         line(6, F.when(k % 4 == 0, F.concat(F.lit("Echelle : 1/"), text(500 * (1 + k % 5)))).otherwise("plan au 1 / 2500 du lieu"), 700, 1200), line(7, F.when(k % 5 == 0, F.concat(F.lit("Section | B"), F.call_function("chr", 65 + k % 26))).otherwise("--"), 50, 1600),
         line(8, F.lit("fin"), 50, 2400),
     ]
-    own = table(spark, d, "customer").select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*lines)).alias("l")).select("doc_id", "page", "l.*").withColumns({"x1": F.col("x0") + 150, "y1": F.col("y0") + 20})
+    own = spread(table(spark, d, "customer"), "c_custkey").select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array(*lines)).alias("l")).select("doc_id", "page", "l.*").withColumns({"x1": F.col("x0") + 150, "y1": F.col("y0") + 20})
     names = table(spark, d, "nation").select(F.concat(F.lit("Saint-"), F.translate(X.zero_filled(F.col("n_nationkey"), 2), "0123456789", "ABEFLMNORT"), F.lit(" le Haut")).alias("officiel"), F.concat(F.lit("07"), X.zero_filled("n_nationkey", 3)).alias("code"), F.col("n_nationkey").alias("pos"))
     out = Y.layout_values(own, names, edit_score, edit_score, edit_score)
     return out.select("doc_id", "commune", "commune_score", "geometre", "n_dossier", "echelle", "cadastre_section")
