@@ -101,7 +101,7 @@ def loose_key(c: Column | str) -> Column:
 
 def label_key(c: Column | str) -> Column:
     """Lower case, other signs to single spaces."""
-    return squeeze(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", " "))
 
 
 def spatial_key(c: Column | str) -> Column:

@@ -164,27 +164,32 @@ def line_pairs(lines: DataFrame, page: list[str], keywords: dict[str, tuple[str,
     lines to the right (within 150, y between -15 and 20) the nearest, else of those below (within 150, aligned) the nearest; that line must
     be no label; values of commune need three letters, those of n_ordre a digit, no month and 20 signs at most.
     """
-    own = lines.withColumn("field", field_of("text", keywords))
-    value = after_label("text", F.col("field"), keywords)
-    tagged = own.filter("field is not null").withColumn("valeur", F.when((F.col("field") != "n_ordre") | value.rlike(r"\d"), value))
-    inline = tagged.filter("valeur is not null").select(*page, "field", "valeur", "line_id", F.lit("meme_ligne").alias("methode"))
-    left = tagged.filter("valeur is null").select(*page, F.col("field").alias("_field"), F.col("line_id").alias("_label"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
-    pairs = left.join(own, page).filter(F.col("line_id") != F.col("_label"))
+    tagged = once(lines, {"field": field_of("text", keywords)}, F.col("field").isNotNull())
+    tagged = once(tagged, {"valeur": X.bound(after_label("text", F.col("field"), keywords), lambda v: F.when((F.col("field") != "n_ordre") | v.rlike(r"\d"), v))}, F.lit(True))
+    left = tagged.select(*page, F.col("field").alias("_field"), F.col("valeur").alias("_own"), F.col("line_id").alias("_label"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")])
+    others = lines.select(*[F.col(c).alias(f"_p_{c}") for c in page], "line_id", "text", "x0", "y0", "x1", "y1")
     dy, dx = F.col("y0") - F.col("l_y0"), F.col("x0") - F.col("l_x1")
     overlap = F.least("l_x1", "x1") - F.greatest("l_x0", "x0")
     aligned = (overlap > -50) | (F.abs(F.col("l_x0") - F.col("x0")) < 100) | (F.abs((F.col("l_x0") + F.col("l_x1")) / 2 - (F.col("x0") + F.col("x1")) / 2) < 100)
     right, below = (dy > -15) & (dy < 20) & (dx > 0) & (dx < 150), (dy > 0) & (dy < 150) & aligned
-    tier = F.when(right, 1).when(below, 2)
-    best = pairs.withColumn("_t", tier).filter("_t is not null").groupBy(*page, "_label", "_field").agg(
-        F.min(F.struct("_t", F.when(right, dx).otherwise(2 * dy).cast("double").alias("s"), "line_id", "text", "field")).alias("b")
-    )
-    text = F.trim(F.regexp_replace(F.col("b.text"), r"^[:\-]", ""))
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    fits = F.when(F.col("_field") == "commune", (letters >= 3) & (F.length(F.trim(text)) >= 3)).when(
-        F.col("_field") == "n_ordre", text.rlike(r"\d") & (F.length(text) <= 20) & ~F.lower(text).rlike("avril|mars")
-    ).otherwise(True)
-    beside = best.filter(F.col("b.field").isNull() & fits).select(*page, F.col("_field").alias("field"), text.alias("valeur"), F.col("b.line_id").alias("line_id"), F.lit("voisin").alias("methode"))
-    return distinct_values(inline.unionByName(beside), [*page, "field"], "valeur", "line_id")
+    on = F.col("_own").isNull() & (F.col("line_id") != F.col("_label")) & (right | below)
+    for c in page:
+        on = on & (F.col(c) == F.col(f"_p_{c}"))
+    # a label with a value of its own meets no line and comes through once, so that labels and values are made in one pass
+    near = F.struct(F.when(right, 1).otherwise(2).alias("_t"), F.when(right, dx).otherwise(2 * dy).cast("double").alias("s"), "line_id", "text")
+    best = left.join(others, on, "left").groupBy(*page, "_label", "_field", "_own").agg(F.min(F.when(F.col("line_id").isNotNull(), near)).alias("b"))
+
+    def fits(text: Column) -> Column:
+        letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
+        return F.when(F.col("_field") == "commune", (letters >= 3) & (F.length(F.trim(text)) >= 3)).when(
+            F.col("_field") == "n_ordre", text.rlike(r"\d") & (F.length(text) <= 20) & ~F.lower(text).rlike("avril|mars")
+        ).otherwise(True)
+
+    inline = F.col("_own").isNotNull()
+    beside = F.when(field_of("b.text", keywords).isNull(), X.bound(F.trim(F.regexp_replace(F.col("b.text"), r"^[:\-]", "")), lambda t: F.when(fits(t), t)))
+    found = once(best, {"valeur": F.when(inline, F.col("_own")).otherwise(beside)}, F.col("valeur").isNotNull())
+    found = found.select(*page, F.col("_field").alias("field"), "valeur", F.when(inline, F.col("_label")).otherwise(F.col("b.line_id")).alias("line_id"), F.when(inline, "meme_ligne").otherwise("voisin").alias("methode"))
+    return distinct_values(found, [*page, "field"], "valeur", "line_id")
 
 
 def distinct_values(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrier.operators import extraction as E
+from terrier.operators import fields
 
 
 def one(spark, expression, value, kind="string"):
@@ -133,3 +134,13 @@ def test_model_answers(spark):
     got = {r.cell_id: (r.official, r.score, r.methode) for r in E.model_answers(cells, names).collect()}
     assert got == {1: ("Aubenas", 100, "VLM_P1"), 2: ("Privas", 95, "VLM_P2")}
     assert E.model_answers(cells.filter("false"), names).count() == 0
+
+
+def test_line_pairs_make_labels_once(spark):
+    """Lines are read as labels once and as neighbours once, whatever is asked of their fields and values afterwards."""
+    made = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda k: made.add(1) or ("Commune", "Commune : Ucel", "Vals", "Dossier n° A09", None)[k % 5], "string")
+    own = spark.range(0, 200, 1, 2).select(F.floor(F.col("id") / 5).alias("page"), F.col("id").alias("line_id"), text("id").alias("text"), F.lit(10.0).alias("x0"), (F.col("id") % 5 * 20).cast("double").alias("y0"))
+    got = fields.line_pairs(own.withColumns({"x1": F.col("x0") + 40, "y1": F.col("y0") + 12}), ["page"]).collect()
+    assert made.value <= 400
+    assert {(r.line_id % 5, r.field, r.valeur, r.methode) for r in got} == {(1, "commune", "Ucel", "meme_ligne"), (3, "dossier", "n° A09", "meme_ligne")} and len(got) == 80
