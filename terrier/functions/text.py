@@ -105,9 +105,10 @@ def label_key(c: Column | str) -> Column:
 
 
 def spatial_key(c: Column | str) -> Column:
-    """Number marks unified before N6."""
+    """Number marks unified before N6; texts of ASCII alone without such a mark need but the end of N6."""
     out = F.regexp_replace(F.translate(col(c), "’‘`´", "''''"), "(?i)\\bN['°º]", "n ")
-    return label_key(out)
+    marked = F.contains(col(c), F.lit("'")) | F.contains(col(c), F.lit("`")) | col(c).rlike("[^\\x00-\\x7F]")
+    return F.trim(F.regexp_replace(F.lower(F.when(marked, bound(out, strip_accents)).otherwise(col(c))), "[^a-z0-9]+", " "))
 
 
 def unify_signs(c: Column | str) -> Column:

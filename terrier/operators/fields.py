@@ -100,24 +100,24 @@ def inline_value(text: Column, label: Column) -> Column:
     Keys and texts differ in length only by signs that keys drop, so the label is found in the text by its words.
     """
     pattern = F.concat(F.lit("(?iu)^.*?"), F.replace(F.replace(label, F.lit("."), F.lit("\\.")), F.lit(" "), F.lit("[^a-z0-9]+")))
-    plain = F.when(text.rlike("[^\\x00-\\x7F]"), X.strip_accents(text)).otherwise(text)
-    size = X.bound(plain, lambda p: F.length(p) - F.length(F.call_function("regexp_replace", p, pattern, F.lit(""))))
+    size = X.bound(X.strip_accents(text), lambda p: F.length(p) - F.length(F.call_function("regexp_replace", p, pattern, F.lit(""))))
 
-    def behind(at: Column) -> Column:
-        place = at["key"]["place"]
-        early = (place > 0) & (place - 1 <= 0.7 * at["key"]["length"]) & (at["size"] > 0)
-        own = F.trim(F.regexp_replace(F.substring(text, at["size"] + 1, F.length(text)), _SEPARATORS, ""))
+    def behind(size: Column) -> Column:
+        own = F.trim(F.regexp_replace(F.substring(text, size + 1, F.length(text)), _SEPARATORS, ""))
         lower = lambda o: (o == F.lower(o)) & o.rlike(r"\p{L}") & ~o.rlike(r"\d")
-        return F.when(early, X.bound(own, lambda o: F.when((F.length(o) >= 3) & ~lower(o), o)))
+        return F.when(size > 0, X.bound(own, lambda o: F.when((F.length(o) >= 3) & ~lower(o), o)))
 
-    key = X.bound(X.spatial_key(text), lambda k: F.struct(F.call_function("position", label, k).alias("place"), F.length(k).alias("length")))
-    return X.bound(F.struct(key.alias("key"), size.alias("size")), behind)
+    def early(key: Column) -> Column:
+        return X.bound(F.call_function("position", label, key), lambda place: (place > 0) & (place - 1 <= 0.7 * F.length(key)))
+
+    # a text that is hardly longer than its label has no room for a value
+    return F.when(F.length(text) >= F.length(label) + 3, F.when(X.bound(X.spatial_key(text), early), X.bound(size, behind)))
 
 
 def without_residue(value: Column, label: Column) -> Column:
     """The last words of the label that the value begins with are cut, the most words first; then a lone short word in small letters and separators."""
-    words = F.split(label, " ")
-    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+    words = F.length(label) - F.length(F.replace(label, F.lit(" "), F.lit(""))) + 1
+    tails = F.transform(F.sequence(words, F.lit(1), F.lit(-1)), lambda n: F.call_function("substring_index", label, F.lit(" "), -n))
 
     def cut(own: Column, hit: Column) -> Column:
         rest = F.when(hit.isNotNull(), F.trim(F.regexp_replace(F.trim(F.substring(own, F.length(hit) + 1, F.length(own))), _SEPARATORS, ""))).otherwise(own)
@@ -127,30 +127,36 @@ def without_residue(value: Column, label: Column) -> Column:
     return X.bound(F.trim(value), lambda own: X.bound(hit(own), lambda h: cut(own, h)))
 
 
-def label_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column) -> DataFrame:
-    """X7 before any check: page, field, label, label_id, place, methode, valeur, confidence: of each label of X3 (page, label_id, field, label) the text behind it in its own
-    block (place 0, 0.92), and its value block (1, 0.88), which must be no label's.
+def label_values(blocks: DataFrame, labels: DataFrame | None, page: list[str], width: Column, height: Column) -> DataFrame:
+    """X7 before any check: page, field, label, label_id, place, methode, valeur, confidence: of each label of X3 (page, label_id, field, label; None if the blocks
+    have field and label, null where they are no label) the text behind it in its own block (place 0, 0.92), and its value block (1, 0.88), which must be no label's.
     """
-    own = blocks.filter(F.trim("text") != "").select(*page, "block_id", "x0", "y0", "x1", "y1", F.trim("text").alias("text"))
-    marked = own.join(labels.select(*page, F.col("label_id").alias("block_id"), "field", "label"), [*page, "block_id"], "left")
-    tagged = marked.filter("field is not null").withColumnRenamed("block_id", "label_id")
-    boxes = tagged.select(*page, "label_id", F.col("label_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label")
-    beside = R.nearest_values(unbroadcast(boxes), marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label"), page, width, height, ["field", "label"], ["text", "_marked"])
-    near = beside.filter(~F.col("b._marked")).select(*page, "field", "label", "label_id", F.lit(1).alias("place"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, "")).alias("_raw"))
-    inside = once(tagged, {"_raw": inline_value(F.col("text"), F.col("label"))}, F.col("_raw").isNotNull()).select(*page, "field", "label", "label_id", F.lit(0).alias("place"), "_raw")
+    marks = [] if labels is not None else ["field", "label"]
+    marked = blocks.filter(F.trim("text") != "").select(*page, "block_id", "x0", "y0", "x1", "y1", F.trim("text").alias("text"), *marks)
+    if labels is not None:
+        marked = marked.join(labels.select(*page, F.col("label_id").alias("block_id"), "field", "label"), [*page, "block_id"], "left")
+    tagged = once(marked.filter("field is not null"), {"_own": inline_value(F.col("text"), F.col("label"))}, F.lit(True))
+    boxes = tagged.select(*page, F.col("block_id").alias("label_id"), F.col("block_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label", "_own")
+    others = marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label")
+    # a label comes through once, with its own text and its neighbour: after the join nothing is shuffled but by the page
+    beside = R.nearest_values(unbroadcast(boxes), others, page, width, height, ["field", "label", "_own"], ["text", "_marked"], every=True)
+    inside = F.struct(F.lit(0).alias("place"), F.col("_own").alias("_raw"))
+    near = F.struct(F.lit(1).alias("place"), F.when(~F.col("b._marked"), F.trim(F.regexp_replace(F.col("b.text"), _SEPARATORS, ""))).alias("_raw"))
+    raw = beside.select(*page, "field", "label", "label_id", F.explode(F.array(inside, near)).alias("r")).select(*page, "field", "label", "label_id", "r.place", "r._raw").filter("_raw is not null")
     kept = ((F.col("place") == 0) & (F.col("valeur") != "")) | (F.length("valeur") >= 3)
-    both = once(inside.unionByName(near), {"valeur": without_residue(F.col("_raw"), F.col("label"))}, kept)
+    both = once(raw, {"valeur": without_residue(F.col("_raw"), F.col("label"))}, kept)
     first = F.col("place") == 0
     return both.select(*page, "field", "label", "label_id", "place", F.when(first, "graph_inline").otherwise("graph_neighbor").alias("methode"), "valeur", F.when(first, 0.92).otherwise(0.88).alias("confidence"))
 
 
-def page_values(blocks: DataFrame, labels: DataFrame, page: list[str], width: Column, height: Column, check: Callable[[str, Column], Column] | None = None) -> DataFrame:
+def page_values(blocks: DataFrame, labels: DataFrame | None, page: list[str], width: Column, height: Column, check: Callable[[str, Column], Column] | None = None) -> DataFrame:
     """One value a page and field: page, field, valeur, methode, confidence, label: of label_values() that pass the check (C18, or None) the longest
     label's, then the smaller block's, its own text before its neighbour's.
     """
     found = label_values(blocks, labels, page, width, height)
     if check is not None:
-        names = [r[0] for r in labels.select("field").distinct().collect()]  # a row a field of the keyword table
+        known = blocks.filter("field is not null") if labels is None else labels
+        names = [r[0] for r in known.select("field").distinct().collect()]  # a row a field of the keyword table
         parts = [found.filter(F.col("field") == name).withColumn("valeur", check(name, F.col("valeur"))) for name in names]
         found = parts[0].filter("valeur <> ''") if parts else found
         for part in parts[1:]:

@@ -255,13 +255,13 @@ def with_places(rows: DataFrame, order: list[Column], place: str = "place") -> D
 # -- spatial ---------------------------------------------------------------------------------------------------------
 
 
-def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width: Column, height: Column, own: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
+def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width: Column, height: Column, own: list[str] | None = None, carried: list[str] | None = None, every: bool = False) -> DataFrame:
     """Each label's value block on its page: on the same line to the right (overlap 40 %, gap up to 60 % of the width,
     smallest gap); else below with 30 % overlap (gap up to 15 % of the height, gap + half the shift); else below anywhere (gap + twice
     the shift). Ties go to the smaller block id. Boxes are l_x0.. and x0..; ids label_id and block_id. ``own``: further keys of a label;
-    ``carried``: columns of the value block that come along, in the struct b.
+    ``carried``: columns of the value block that come along, in the struct b; ``every``: labels without a value block, too, their b is null.
     """
-    pairs = labels.join(blocks, page).filter(F.col("block_id") != F.col("label_block"))
+    others = blocks.withColumnsRenamed({c: f"_p_{c}" for c in page})
     overlap = lambda a0, a1, b0, b1: F.greatest(F.lit(0.0), F.least(F.col(a1), F.col(b1)) - F.greatest(F.col(a0), F.col(b0)))
     gap_x, gap_y = F.col("x0") - F.col("l_x1"), F.col("y0") - F.col("l_y1")
     shift = F.abs((F.col("x0") + F.col("x1")) / 2 - (F.col("l_x0") + F.col("l_x1")) / 2)
@@ -271,7 +271,11 @@ def nearest_values(labels: DataFrame, blocks: DataFrame, page: list[str], width:
     tier = F.when(same & (gap_x >= 0) & (gap_x <= 0.6 * width), 1).when(near & under, 2).when(near, 3)
     score = F.when(tier == 1, gap_x).when(tier == 2, gap_y + 0.5 * shift).otherwise(gap_y + 2 * shift)
     order = F.struct(tier.alias("tier"), score.alias("score"), "block_id", *(carried or []))
-    best = pairs.filter(tier.isNotNull()).groupBy(*page, "label_id", *(own or [])).agg(F.min(order).alias("b"))
+    on = (F.col("block_id") != F.col("label_block")) & tier.isNotNull()
+    for c in page:
+        on = on & (F.col(c) == F.col(f"_p_{c}"))
+    pairs = labels.join(others, on, "left" if every else "inner")
+    best = pairs.groupBy(*page, "label_id", *(own or [])).agg(F.min(F.when(F.col("block_id").isNotNull(), order)).alias("b"))
     return best if carried else best.select(*page, "label_id", *(own or []), "b.block_id", "b.tier")
 
 

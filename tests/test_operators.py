@@ -171,3 +171,27 @@ def test_parts_grow_with_the_rows(spark, tmp_path):
     li = spark.range(0, 2_600_000, 1, 4).select((F.col("id") % 400_000).alias("l_orderkey"), *[F.col("id").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
     li.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert fields.line_clusters(spark, str(tmp_path)).rdd.getNumPartitions() == 6
+
+
+def test_label_values_shuffle_once(spark, tmp_path):
+    """Labels with their own text and their neighbour in one join by page: nothing is shuffled but the lines; equal values where the labels are a table of their own."""
+    from terrier.operators import fields as E
+    from terrier.plans import fields
+
+    rows = [(1, 1, 0.0, 0.0, "Commune"), (1, 2, 60.0, 0.0, "Vals N° 3"), (1, 3, 0.0, 40.0, "Commune de : Ucel"), (2, 1, 0.0, 0.0, "commune"), (2, 2, 60.0, 0.0, "Commune"), (3, 1, 0.0, 0.0, "Commune: 12"), (3, 2, 0.0, 20.0, "de l'Ay"), (4, 1, 0.0, 0.0, "Ucel")]
+    blocks = spark.createDataFrame([(p, b, x, y, x + 40, y + 12, t) for p, b, x, y, t in rows], "page int, block_id int, x0 double, y0 double, x1 double, y1 double, text string")
+    is_label = F.lower("text").startswith("commune")
+    label = F.when(F.lower("text").startswith("commune de"), "commune de").when(is_label, "commune")
+    marked = blocks.withColumns({"field": F.when(is_label, "commune"), "label": label})
+    labels = marked.filter("field is not null").select("page", F.col("block_id").alias("label_id"), "field", "label")
+    got = [sorted((r.page, r.label_id, r.place, r.valeur) for r in E.label_values(b, t, ["page"], F.lit(300.0), F.lit(900.0)).collect()) for b, t in ((blocks, labels), (marked, None))]
+    assert got[0] == got[1] == [(1, 1, 1, "Vals N° 3"), (1, 3, 0, "Ucel"), (3, 1, 1, "l'Ay")]
+    li = spark.range(0, 2000, 1, 4).select((F.col("id") % 300).alias("l_orderkey"), *[F.col("id").alias(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fields.graph_fields(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
