@@ -370,10 +370,15 @@ def numbers_by_colour(blocks: DataFrame, prob: str = "prob", text: str = "text")
     return kept.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "page").orderBy("y0", "x0", "block_id")))
 
 
+def with_header(blocks: DataFrame, page: list[str], name: str = "header") -> DataFrame:
+    """Blocks with ``header`` (or that name), whether they begin in the upper quarter of what the page holds. One pass over the page's rows, no join."""
+    bottom = F.max("y1").over(W.partitionBy(*page))
+    return blocks.withColumn(name, F.coalesce(F.col("y0") <= bottom / 4, F.lit(False)))
+
+
 def header_quarter(blocks: DataFrame, page: list[str]) -> DataFrame:
     """The blocks of the upper quarter of what the page holds."""
-    bottom = F.max("y1").over(W.partitionBy(*page))
-    return blocks.withColumn("_bottom", bottom).filter(F.col("y0") <= F.col("_bottom") / 4).drop("_bottom")
+    return with_header(blocks, page, "_header").filter("_header").drop("_header")
 
 
 def confident(blocks: DataFrame, least: float, prob: str = "prob") -> DataFrame:
