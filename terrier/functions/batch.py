@@ -10,6 +10,7 @@ that both have, and as many more as a bit stands for several of the characters o
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,8 @@ from . import similarity as S
 
 #: Cells of the largest scratch array that a step works on.
 CELLS = 4_000_000
+#: Cells that a window of a text counts for: its steps' scratch stays in a processor's cache.
+PARTIAL_CELLS = 64
 #: What ends a token in the form "ends".
 TOKEN_END = " "
 
@@ -26,18 +29,33 @@ class Texts:
     """Distinct texts, prepared."""
 
     def __init__(self, values: list[str], symbols: np.ndarray | None = None):
-        self.values = values
+        self.values = self.plain = values
         self.length = np.array([len(v) for v in values], np.int64)
-        tokens = [sorted(set(v.split())) for v in values]
-        self.plain = values
-        self.sorted = [" ".join(sorted(v.split())) for v in values]
-        self.sorted_length = np.array([len(v) for v in self.sorted], np.int64)
-        self.sets = [" ".join(t) for t in tokens]
-        self.set_length = np.array([len(v) for v in self.sets], np.int64)
-        self.tokens = tokens
         self._forms: dict[str, np.ndarray] = {}
         self._bits: tuple[np.ndarray, np.ndarray] | None = None
 
+    # the forms by words are made for the scores that ask for them
+
+    @functools.cached_property
+    def tokens(self) -> list[list[str]]:
+        return [sorted(set(v.split())) for v in self.values]
+
+    @functools.cached_property
+    def sorted(self) -> list[str]:
+        return [" ".join(sorted(v.split())) for v in self.values]
+
+    @functools.cached_property
+    def sorted_length(self) -> np.ndarray:
+        return np.array([len(v) for v in self.sorted], np.int64)
+
+    @functools.cached_property
+    def sets(self) -> list[str]:
+        return [" ".join(t) for t in self.tokens]
+
+    @functools.cached_property
+    def set_length(self) -> np.ndarray:
+        return np.array([len(v) for v in self.sets], np.int64)
+
     def form(self, kind: str) -> np.ndarray:
         """Code points (n, longest), 0 behind a text's end. kind: plain, sorted, sets, or sets with a blank after each token ("ends")."""
         if kind not in self._forms:
@@ -126,6 +144,30 @@ def lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _window_lcs(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """lcs() of each row of small, 64 signs at most, with every window of its length of that row of large, those over the ends among them. A window's step is a step along the
+    marks of the row's signs, so that no window is written out.
+    """
+    size, n = small.shape[1], large.shape[1]
+    x, y, symbols = _coded(small, large)
+    rows = np.arange(len(x))
+    where = np.zeros((len(x), symbols + 1), np.uint64)
+    for i in range(size):
+        where[rows, x[:, i]] |= np.uint64(1) << np.uint64(i)
+    where[:, 0] = 0
+    marks = np.zeros((len(x), n + 2 * (size - 1)), np.uint64)
+    marks[:, size - 1 : size - 1 + n] = np.take_along_axis(where, y, axis=1)
+    width = n + size - 1
+    v = np.full((len(x), width), np.iinfo(np.uint64).max, np.uint64)
+    hit, total = np.empty_like(v), np.empty_like(v)
+    for j in range(size):
+        np.bitwise_and(v, marks[:, j : j + width], out=hit)
+        np.add(v, hit, out=total)
+        np.subtract(v, hit, out=v)
+        np.bitwise_or(v, total, out=v)
+    return np.bitwise_count(~v).astype(np.int64)
+
+
 def _share(common: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(total > 0, 200.0 * common / np.maximum(total, 1), 0.0)
 
@@ -156,16 +198,19 @@ def _partial_of(kind: str, size: str) -> Callable:
             own = order[low:high]
             s, n = int(short[own[0]]), int(long[own[0]])
             begin = np.arange(1 - s, n)
-            place = begin[:, None] + np.arange(s)
-            inside = (place >= 0) & (place < n)
-            size_ = inside.sum(axis=1)
-            for first, last in _chunks(len(own), 2 * place.size):
+            size_ = np.minimum(begin + s, n) - np.maximum(begin, 0)
+            for first, last in _chunks(len(own), (PARTIAL_CELLS if s <= 64 else 2 * s) * len(begin)):
                 k = own[first:last]
                 left, right = a[i[k]], b[j[k]]
                 small = np.where(swap[k, None], right[:, :s] if right.shape[1] >= s else 0, left[:, :s] if left.shape[1] >= s else 0)
                 large = np.where(swap[k, None], left[:, :n] if left.shape[1] >= n else 0, right[:, :n] if right.shape[1] >= n else 0)
-                windows = np.where(inside, large[:, np.where(inside, place, 0)], 0)
-                common = lcs(np.repeat(small, len(begin), axis=0), windows.reshape(-1, s)).reshape(len(k), len(begin))
+                if s <= 64:
+                    common = _window_lcs(small, large)
+                else:
+                    place = begin[:, None] + np.arange(s)
+                    inside = (place >= 0) & (place < n)
+                    windows = np.where(inside, large[:, np.where(inside, place, 0)], 0)
+                    common = lcs(np.repeat(small, len(begin), axis=0), windows.reshape(-1, s)).reshape(len(k), len(begin))
                 out[k] = (200.0 * common / (s + size_)).max(axis=1)
         return out
 
@@ -385,12 +430,19 @@ SCORERS = {
 }
 
 
+def _numbered(values: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct values and the number of each."""
+    ids: dict[str, int] = {}
+    numbers = np.fromiter((ids.setdefault(v, len(ids)) for v in values), np.int64, len(values))
+    return list(ids), numbers
+
+
 def of_pairs(name: str, left: list[str], right: list[str]) -> np.ndarray:
     """Scores of the pairs of two columns, each distinct text prepared and each distinct pair scored once."""
-    a, i = np.unique(np.array(left, object).astype(str) if left else np.zeros(0, str), return_inverse=True)
-    b, j = np.unique(np.array(right, object).astype(str) if right else np.zeros(0, str), return_inverse=True)
+    a, i = _numbered(left)
+    b, j = _numbered(right)
     pair, back = np.unique(i * max(1, len(b)) + j, return_inverse=True)
-    found = SCORERS[name].score(Texts(a.tolist()), pair // max(1, len(b)), Texts(b.tolist()), pair % max(1, len(b)))
+    found = SCORERS[name].score(Texts(a), pair // max(1, len(b)), Texts(b), pair % max(1, len(b)))
     return found[back]
 
 

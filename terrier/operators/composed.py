@@ -23,7 +23,7 @@ from . import extraction as E
 from . import fields as L
 from . import matching as M
 from . import records as R
-from .shared import remove, stored, unbroadcast
+from .shared import once, remove, stored, unbroadcast
 
 Score = Callable[[Column, Column], Column]
 FIELDS = ("commune", "n_ordre", "n_dossier", "section", "feuille", "date", "echelle", "geometre", "proprietaires_anciens", "proprietaires_nouveaux", "indication")
@@ -72,6 +72,8 @@ NATURES = (
     (("dmpc", "document d'arpentage"), "DMPC"),
 )
 PAGE = ["doc_id", "page"]
+#: Pages that a task decides, so that its memory doesn't grow with the input.
+TASK_PAGES = 25_000
 #: The strategies, the first preferred, and the confidence of a value in a vote.
 STRATEGIES = ("graphe", "contextuel", "mots_cles")
 VOTE_CONFIDENCE = {"contextuel": 0.72, "mots_cles": 0.70}
@@ -111,14 +113,25 @@ def page_table(blocks: DataFrame, documents: DataFrame | None = None, score: Sco
 
 
 def _checked(rows: DataFrame, value: str, score: Score) -> DataFrame:
-    """rows with ``value`` cleaned by its field's rule (C18), a branch a field; refused ones go."""
-    out = None
-    for f in FIELDS:
-        own = rows.filter(F.col("field") == f).withColumn(value, V.validated(f, value, score)).filter(F.col(value).isNotNull() & (F.col(value) != ""))
-        out = own if out is None else out.unionByName(own)
+    """rows with ``value`` cleaned by its field's rule (C18), once a row; refused ones go. Each rule is bound, so that they are no one piece of compiled code; surveyors are a
+    branch of their own where their score is a UDF, which is made for every row of its branch.
+    """
+    apart = () if getattr(score, "builtin", False) else ("geometre",)
+    passed = lambda own, fields: once(own.filter(F.col("field").isin(*fields)), {value: _of_field({f: V.validated(f, value, score) for f in fields})}, F.col(value) != "")
+    out = passed(rows, [f for f in FIELDS if f not in apart])
+    for f in apart:
+        out = out.unionByName(passed(rows, [f]))
     return out
 
 
+def _of_field(values: dict[str, Column], otherwise: Column | None = None) -> Column:
+    """The value of the row's field."""
+    out = None
+    for f, value in values.items():
+        out = F.when(F.col("field") == f, value) if out is None else out.when(F.col("field") == f, value)
+    return out if otherwise is None else out.otherwise(otherwise)
+
+
 def label_table(blocks: DataFrame, labels: dict[str, tuple[str, ...]] = LABELS) -> DataFrame:
     """X3 over all blocks: page, label_id, field, label."""
     keys: dict[str, str] = {}
@@ -167,13 +180,16 @@ def with_names(found: DataFrame, names: DataFrame, score: Score) -> DataFrame:
 def cells(pages: DataFrame, found: DataFrame, names: DataFrame, score: Score) -> DataFrame:
     """A row a page and field: the page's text and kind, and for each strategy a struct (valeur, confidence, official, known), null if it has nothing."""
     said = F.struct("valeur", "confidence", "official", "known")
-    wide = found.groupBy(*PAGE, "field").agg(*[F.min(F.when(F.col("methode") == s, said)).alias(s) for s in STRATEGIES])
+    # the fields of a page come to it as one row, so that what follows is about a page and nothing but this is shuffled
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // TASK_PAGES))
+    wide = found.repartition(parts, *PAGE).groupBy(*PAGE, "field").agg(*[F.min(F.when(F.col("methode") == s, said)).alias(s) for s in STRATEGIES])
+    wide = wide.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct(*STRATEGIES)))).alias("_said"))
     end = pages.select(*PAGE, L.closing("full_text").alias("c")).select(*PAGE, F.col("c.commune").alias("closing_commune"), F.col("c.date").alias("closing_date"))
     end = C.score_name(end, names, "closing_commune", score=score).select(*PAGE, F.when(F.coalesce("score", F.lit(0.0)) >= 80, F.col("matched")).alias("closing_name"), "closing_date")
     roles = F.create_map(*[x for r, fs in ROLE_FIELDS.items() for x in (F.lit(r), F.array(*map(F.lit, fs)))])
     wanted = F.when(F.col("kind") == "CROQUIS", F.array_union(roles[F.col("role")], F.array(*map(F.lit, SKETCH_FIELDS)))).otherwise(roles[F.col("role")])
-    own = pages.join(end, PAGE).withColumn("field", F.explode(wanted))
-    return own.join(wide, [*PAGE, "field"], "left")
+    own = pages.repartition(parts, *PAGE).join(end, PAGE).join(wide, PAGE, "left").withColumn("field", F.explode(wanted)).withColumn("_s", F.try_element_at("_said", F.col("field")))
+    return own.select(*pages.columns, "closing_name", "closing_date", "field", *[F.col(f"_s.{s}").alias(s) for s in STRATEGIES])
 
 
 def _empty(c: Column) -> Column:
@@ -199,17 +215,17 @@ def verified(rows: DataFrame) -> DataFrame:
         better = F.when(field == "commune", F.when(F.col(f"{s}.known"), F.greatest(F.lit(0.75), base + 0.20)).otherwise(base)).when(
             field.isin("n_ordre", "n_dossier"), F.when(F.upper(value).rlike(r"^[A-Z]\d{2}[.\-]?\d{2,5}$"), F.greatest(F.lit(0.85), base)).otherwise(base)
         ).otherwise(F.greatest(base + 0.15, F.lit(0.60)))
-        tries.append(F.when(weak & value.isNotNull() & (F.lower(value) != old), F.struct(value.alias("valeur"), F.bround(better, 2).alias("confidence"))))
+        tries.append(F.when(value.isNotNull() & (F.lower(value) != old), F.struct(value.alias("valeur"), F.bround(better, 2).alias("confidence"))))
     a, b = tries
-    own = own.withColumn("_b", F.when(a["confidence"] >= 0.65, a).otherwise(F.coalesce(b, a)))
+    own = own.withColumn("_b", F.when(weak, X.bound(a, lambda a: F.when(a["confidence"] >= 0.65, a).otherwise(F.coalesce(b, a)))))
     own = own.withColumns({"valeur": F.coalesce("_b.valeur", "valeur"), "confidence": F.coalesce("_b.confidence", "confidence"), "status": F.when(F.col("_b").isNotNull(), F.when(F.col("_b.confidence") >= 0.65, "OK").otherwise("INCERTAIN")).otherwise(F.col("status"))})
     none, sure = _empty(F.col("valeur")), F.coalesce("confidence", F.lit(0.0))
     end = F.when((field == "commune") & (none | (sure < 0.70)), F.col("closing_name")).when((field == "date") & (none | (sure < 0.65)), F.col("closing_date"))
     bare = field.isin("n_ordre", "n_dossier") & F.col("valeur").isNotNull() & (F.coalesce("status", F.lit("")) != "OK") & ~F.coalesce("valeur", F.lit("")).rlike(r"\d")
-    placed = F.when((field == "date") & none, L.date_by_place(F.col("_text")))
+    placed = F.when((field == "date") & none, X.bound(F.col("_text"), L.date_by_place))
     name = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("_text", _SURVEYOR_BELOW, 1), r"[.,;:]+$", ""), r"\s+", " "))
-    real = (F.length(name) >= 5) & (F.size(F.split(name, " ")) <= 4) & ~name.rlike(r"(?i)\b(et|de|le|la|du|un|une|par|sur|sans|avec|soussign|plan|accept|expert\b)") & ~F.upper(name).isin(*E.NO_SIGNATORY)
-    drawn = F.when((field == "geometre") & (F.coalesce("status", F.lit("")) != "OK") & real, name)
+    real = lambda n: (F.length(n) >= 5) & (F.size(F.split(n, " ")) <= 4) & ~n.rlike(r"(?i)\b(et|de|le|la|du|un|une|par|sur|sans|avec|soussign|plan|accept|expert\b)") & ~F.upper(n).isin(*E.NO_SIGNATORY)
+    drawn = F.when((field == "geometre") & (F.coalesce("status", F.lit("")) != "OK"), X.bound(name, lambda n: F.when(real(n), n)))
     own = own.withColumns({"_end": end, "_bare": bare, "_placed": placed, "_drawn": drawn})
     at = lambda e, p, n, k, d: F.when(F.col("_end").isNotNull(), e).when(F.col("_bare"), k).when(F.col("_placed").isNotNull(), p).when(F.col("_drawn").isNotNull(), n).otherwise(d)
     own = own.withColumns({
@@ -238,8 +254,8 @@ def voted(rows: DataFrame) -> DataFrame:
     taken = F.when((F.coalesce("confidence", F.lit(0.0)) >= 0.75) & (F.length(taken) > 4), taken)
     own = own.withColumn("_taken", F.collect_set(taken).over(page))
     said = F.filter(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.lower(F.col(f"{s}.valeur")).alias("key"), F.lit(i).alias("at"), F.col(f"{s}.confidence").alias("conf"), F.col(f"{s}.valeur").alias("valeur"))) for i, s in enumerate(STRATEGIES)]), lambda x: x.isNotNull())
-    last = F.transform(said, lambda x: F.struct((-F.element_at(F.filter(said, lambda y: y["key"] == x["key"]), -1)["conf"]).alias("conf"), F.get(F.filter(said, lambda y: y["key"] == x["key"]), F.lit(0))["at"].alias("at"), F.element_at(F.filter(said, lambda y: y["key"] == x["key"]), -1)["valeur"].alias("valeur"), x["key"].alias("key")))
-    own = own.withColumn("_said", last)
+    last = lambda said: F.transform(said, lambda x: X.bound(F.filter(said, lambda y: y["key"] == x["key"]), lambda e: F.struct((-F.element_at(e, -1)["conf"]).alias("conf"), F.get(e, F.lit(0))["at"].alias("at"), F.element_at(e, -1)["valeur"].alias("valeur"), x["key"].alias("key"))))
+    own = own.withColumn("_said", F.when(F.col("_open"), X.bound(said, last)))  # what a field that isn't voted on says is not asked
     free = F.filter("_said", lambda x: ~F.exists("_taken", lambda t: F.startswith(x["key"], t) | F.startswith(t, x["key"])))
     guarded = field.isin("proprietaires_anciens", "proprietaires_nouveaux", "geometre")
     own = own.withColumn("_said", F.when(guarded & (F.size(free) > 0), free).otherwise(F.col("_said"))).withColumn("_best", F.array_min("_said"))
@@ -256,15 +272,14 @@ def decided(rows: DataFrame) -> DataFrame:
     outcome of the vote, verified again.
     """
     first = F.coalesce(*[F.col(s) for s in STRATEGIES])
-    once = stored(verified(rows.withColumns({"valeur": first["valeur"], "official": first["official"], "known": first["known"]})), "verified")
-    twice = stored(voted(once), "voted")
+    twice = stored(voted(verified(rows.withColumns({"valeur": first["valeur"], "official": first["official"], "known": first["known"]}))), "voted")
     same = F.get(F.filter(F.array(*STRATEGIES), lambda s: s["valeur"] == F.col("valeur")), F.lit(0))
     again = twice.filter("again").withColumn("_s", same)
     named = (F.col("field") == "commune") & ((F.col("valeur") == F.coalesce("official", "closing_name")) | (F.col("valeur") == F.col("closing_name")))
     again = again.withColumns({"known": F.coalesce("_s.known", F.lit(False)) | F.coalesce(named, F.lit(False)), "official": F.coalesce("_s.official", "valeur")}).drop("_s", "confidence", "status", "again")
     columns = [*PAGE, "kind", "field", "valeur", "confidence", "status"]
     out = stored(verified(again).select(*columns).unionByName(twice.filter("not again").select(*columns)), "decided")
-    remove(once, twice)
+    remove(twice)
     return out
 
 
@@ -274,9 +289,8 @@ def page_fields(blocks: DataFrame, names: DataFrame, width: Column, height: Colu
     pages = unbroadcast(stored(page_table(blocks, documents, signal), "pages"))
     found = candidates(blocks, pages, width, height, score=surveyor, **tables)
     named = unbroadcast(stored(with_names(found, names, score), "named"))
-    rows = stored(cells(pages, named, names, score), "cells")
-    out = unbroadcast(stored(decided(rows), "page_fields"))
-    remove(pages, found, named, rows)
+    out = unbroadcast(decided(cells(pages, named, names, score)))
+    remove(pages, found, named)
     return out
 
 

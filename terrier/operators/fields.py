@@ -212,9 +212,9 @@ def zone_text(blocks: DataFrame, page: list[str], order: list[str], text: str =
 
 def _pattern_value(text: Column | str, pattern: str) -> Column:
     p = "(?iu)" + pattern
-    raw = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " "), r"^[ ,;:\-]+|[ ,;:\-]+$", "")
-    return F.when(raw != "", raw)  # empty, too, where the pattern isn't found
-
+    raw = lambda e: F.regexp_replace(F.regexp_replace(e, r"\s+", " "), r"^[ ,;:\-]+|[ ,;:\-]+$", "")
+    full = lambda c, use: X.bound(c, lambda e: F.when(e != "", use(e)))
+    return full(F.regexp_extract(text, p, 1), lambda e: full(raw(e), lambda r: r))  # empty, too, where the pattern isn't found
 
 def contextual(pages: DataFrame, patterns: dict[str, tuple[str, ...]], check: Callable[[str, Column], Column] = V.validated, text: str = "zone_text") -> DataFrame:
     """Pages with a column for each field: the first group of the first pattern that gives a value which passes the check."""
@@ -223,8 +223,10 @@ def contextual(pages: DataFrame, patterns: dict[str, tuple[str, ...]], check: Ca
 
 def contextual_options(pages: DataFrame, patterns: dict[str, tuple[str, ...]], page: list[str], text: str = "zone_text") -> DataFrame:
     """X14 before any check: page, field, place (of the pattern), valeur."""
-    each = [F.struct(F.lit(f).alias("field"), F.lit(i).alias("place"), _pattern_value(text, p).alias("valeur")) for f, own in patterns.items() for i, p in enumerate(own)]
-    return pages.select(*page, F.explode(F.array(*each)).alias("x")).filter("x.valeur is not null").select(*page, "x.*")
+    each = lambda t: F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("place"), _pattern_value(t, p).alias("valeur")) for f, own in patterns.items() for i, p in enumerate(own)])
+    # bound: the patterns of all fields as one piece of compiled code would be too long for the JVM to compile, and be interpreted
+    found = F.filter(X.bound(F.col(text), each), lambda x: x["valeur"].isNotNull())
+    return pages.select(*page, F.explode(found).alias("x")).select(*page, "x.*")
 
 
 def keyword_options(blocks: DataFrame, keywords: dict[str, tuple[str, ...]], page: list[str], order: str, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -250,12 +252,13 @@ def keyword_options(blocks: DataFrame, keywords: dict[str, tuple[str, ...]], pag
         which = F.lit(None).cast("int")
         for i, word in reversed(list(enumerate(words))):
             which = F.when(F.col("_k").contains(_key(word)), i).otherwise(which)
-        rests = [F.regexp_replace(F.trim(F.regexp_extract(raw, "(?iu)" + _quoted(word) + r"(.*)$", 1)), r"^[:–\-\s.]+", "") for word in words]
-        behind = F.coalesce(F.when(F.col("_parted") != "", F.col("_parted")), *[F.when(raw.rlike("(?iu)" + _quoted(word)), rest) for word, rest in zip(words, rests, strict=True)], F.lit(""))
+        rest = lambda word: F.regexp_replace(F.trim(F.regexp_extract(raw, "(?iu)" + _quoted(word) + r"(.*)$", 1)), r"^[:–\-\s.]+", "")
+        behind = F.coalesce(F.when(F.col("_parted") != "", F.col("_parted")), *[F.when(raw.rlike("(?iu)" + _quoted(word)), rest(word)) for word in words], F.lit(""))
         if stops:
             behind = F.trim(F.regexp_replace(behind, r"(?isu)\b(?:" + stops + r")\b.*$", ""))
-        each.append(F.struct(F.lit(field).alias("field"), which.alias("w"), behind.alias("behind")))
-    found = own.select(*page, order, "_after", F.explode(F.array(*each)).alias("x")).filter("x.w is not null")
+        # bound, so that only a field whose keyword the block holds is looked into, and the rules of all fields are no one piece of compiled code
+        each.append(X.bound(which, lambda w, field=field, behind=behind: F.when(w.isNotNull(), F.struct(F.lit(field).alias("field"), w.alias("w"), behind.alias("behind")))))
+    found = own.select(*page, order, "_after", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"))
     line = F.when(F.col("x.behind") != "", F.struct(F.lit(0).alias("place"), F.lit("ligne").alias("methode"), F.col("x.behind").alias("valeur")))
     options = F.filter(F.concat(F.array(line), "_after"), lambda o: o.isNotNull())
     first = found.select(*page, order, "x.field", "x.w", options.alias("_o")).groupBy(*page, "field").agg(F.min_by("_o", F.struct("w", order)).alias("_o"))
@@ -302,11 +305,15 @@ def cross_alerts(docs: DataFrame, echelle: str = "echelle", code: str = "code",
 
 def verified(values: DataFrame, text: str = "full_text", field: str = "field", value: str = "valeur", known: str = "known") -> DataFrame:
     """X24, pass A: values with confidence and verification_status; a value that is empty has neither."""
-    score = V.confidence("libre", value, text)
-    for name in ("commune", "n_ordre", "n_dossier", "section", "feuille", "date", "echelle", "geometre"):
-        score = F.when(F.col(field) == name, V.confidence(name, value, text, F.col(known))).otherwise(score)
+    def score(v: Column) -> Column:
+        out = V.confidence("libre", v, text)
+        for name in ("commune", "n_ordre", "n_dossier", "section", "feuille", "date", "echelle", "geometre"):
+            out = F.when(F.col(field) == name, V.confidence(name, v, text, F.col(known))).otherwise(out)
+        return out
+
     full = ~F.lower(F.trim(F.coalesce(F.col(value), F.lit("")))).isin("", "none", "nan")
-    out = values.withColumn("confidence", F.when(full, score))
+    # bound: the rules of all fields as one piece of compiled code would be too long for the JVM to compile, and be interpreted
+    out = values.withColumn("confidence", F.when(full, X.bound(F.col(value), score)))
     return out.withColumn("verification_status", F.when(F.col("confidence").isNotNull(), V.status(F.col("confidence"))))
 
 

@@ -12,7 +12,7 @@ from ..functions import similarity as S
 from ..functions import text as X
 from .candidates import near
 from .records import small
-from .shared import remove, stored
+from .shared import once, remove, stored
 
 Score = Callable[[Column, Column], Column]
 #: What the reference calls a cell that names nothing.
@@ -106,7 +106,7 @@ label_score.batch = "label"
 
 def label_matches(blocks: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", least: float = 0.82) -> DataFrame:
     """Per block the longest label that its key contains, or that it resembles (labels of six signs or more)."""
-    own = blocks.withColumn("_b", X.label_key(text))
+    own = once(blocks, {"_b": X.label_key(text)}, F.lit(True))
     hit = near(own, labels.select(X.label_key(label).alias("_l")), "_b", "_l", label_score, least)
     best = hit.groupBy("_b").agg(F.max_by("_l", F.struct(F.length("_l"), "_l")).alias("found"))
     return own.join(best, "_b").drop("_b")
