@@ -29,6 +29,8 @@ KEYWORDS = {
     "date": ("date", "le ", "fait à", "dressé le", "établi le", "signé le"),
     "departement": ("département", "departement", "dept", "dep."),
 }
+#: Lines whose labels and values a task makes, so that its memory doesn't grow with the input.
+TASK_LINES = 250_000
 _SEPARATORS = r"^[\s:;,|.\-–—]+"
 
 
@@ -135,6 +137,8 @@ def label_values(blocks: DataFrame, labels: DataFrame | None, page: list[str], w
     marked = blocks.filter(F.trim("text") != "").select(*page, "block_id", "x0", "y0", "x1", "y1", F.trim("text").alias("text"), *marks)
     if labels is not None:
         marked = marked.join(labels.select(*page, F.col("label_id").alias("block_id"), "field", "label"), [*page, "block_id"], "left")
+        parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // TASK_LINES))
+        marked = marked.repartition(parts, *page)
     tagged = once(marked.filter("field is not null"), {"_own": inline_value(F.col("text"), F.col("label"))}, F.lit(True))
     boxes = tagged.select(*page, F.col("block_id").alias("label_id"), F.col("block_id").alias("label_block"), *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "field", "label", "_own")
     others = marked.withColumn("_marked", F.col("field").isNotNull()).drop("field", "label")

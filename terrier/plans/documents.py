@@ -96,7 +96,7 @@ def document_run(spark, d):
         line(1, 4, F.concat(F.lit("Echelle : 1/"), text(500 * (1 + k % 4)))), line(1, 5, F.concat(F.lit("N° de dossier : A"), X.zero_filled(filed, 2), F.lit("-"), X.zero_filled(k % 10000, 4))),
         line(1, 6, F.when(k % 4 == 1, F.concat(F.lit("Objet : bornage contradictoire "), text(k))).otherwise("(x)")), line(2, 1, F.when(k % 2 == 0, "Géomètre : RACAT").otherwise("Cabinet BARRIAL")), line(2, 2, F.concat(F.lit("Fait à "), place(F.col("c_nationkey")), F.lit(", le "), day)),
     ]
-    blocks = spread(table(spark, d, "customer"), "c_custkey").select(k.alias("doc_id"), F.explode(F.array(*lines)).alias("b")).select("doc_id", "b.*")
+    blocks = spread(table(spark, d, "customer"), "c_custkey", rows=15_000).select(k.alias("doc_id"), F.explode(F.array(*lines)).alias("b")).select("doc_id", "b.*")
     blocks = blocks.select("doc_id", "page", "block_id", "text", F.lit(50.0).alias("x0"), F.lit(250.0).alias("x1"), (F.col("block_id") * 40.0).alias("y0"), (F.col("block_id") * 40.0 + 15).alias("y1"), F.lit(0.9).alias("prob"))
     names = table(spark, d, "nation").select(place(F.col("n_nationkey")).alias("officiel"), F.concat(F.lit("07"), X.zero_filled("n_nationkey", 3)).alias("code"), F.col("n_nationkey").alias("pos"))
     out = P.document_fields(blocks, names, F.lit(1000.0), F.lit(1400.0), score=edit_score, surveyor=edit_score)
